@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from quakespark.llm.common import table
 from quakespark.llm.exact_dedup import exact_copies
+from quakespark.llm.mixing import mix
+from quakespark.llm.packing import pack
+from quakespark.llm.warc import round_trip
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark, sf_dir):
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
 }
 
 ORACLES = {
@@ -23,4 +41,17 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op9_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT page_id, html, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(1 + (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest
+            FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS own FROM d)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = own THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> own THEN own END AS refers_to
+        FROM m
+    """,
 }
