@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from quakespark.llm.common import table
 from quakespark.llm.exact_dedup import exact_copies
+from quakespark.llm.language import identify
+from quakespark.llm.licenses import scan
+from quakespark.llm.line_dedup import drop_repeated_lines
 from quakespark.llm.mixing import mix
 from quakespark.llm.packing import pack
 from quakespark.llm.warc import round_trip
@@ -13,6 +16,14 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
@@ -25,11 +36,18 @@ def op9_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
@@ -46,7 +64,7 @@ ORACLES = {
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         d AS (
             SELECT page_id, html, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                CAST(1 + (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest
+                CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest
             FROM p),
         m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS own FROM d)
         SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
@@ -54,4 +72,19 @@ ORACLES = {
                CASE WHEN page_id <> own THEN own END AS refers_to
         FROM m
     """,
+    "op10_line_dedup": r"""
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s),
+        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+        r AS (SELECT *, ((h + 31 * coalesce(lag(h) OVER w, 0)) // 1024) % 2 AS bit, lead(i) OVER w IS NULL AS final
+              FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        b AS (SELECT *, CASE WHEN bit = 0 AND lag(bit) OVER w = 1 AND NOT final THEN 1 ELSE 0 END AS ends
+              FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
+        t AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
+        d AS (SELECT doc_id, chunk, n, body, n > 1 AND row_number() OVER (PARTITION BY n > 1, body ORDER BY doc_id, chunk) > 1 AS gone FROM t)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+               count(*) FILTER (gone) AS removed_chunks, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS text
+        FROM d GROUP BY doc_id
+    """,
 }
