@@ -8,10 +8,15 @@ from quakespark.llm.language import identify
 from quakespark.llm.licenses import scan
 from quakespark.llm.line_dedup import drop_repeated_lines
 from quakespark.llm.mixing import mix
+from quakespark.llm.ngram_join import ngram_jaccard
 from quakespark.llm.packing import pack
 from quakespark.llm.warc import round_trip
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
