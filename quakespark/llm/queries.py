@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quakespark.llm.common import table
 from quakespark.llm.exact_dedup import exact_copies
 from quakespark.llm.language import identify
@@ -46,6 +47,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_language_id": op5_language_id,
@@ -94,3 +96,5 @@ ORACLES = {
         FROM d GROUP BY doc_id
     """,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
