@@ -11,6 +11,7 @@ from quakespark.llm.line_dedup import drop_repeated_lines
 from quakespark.llm.mixing import mix
 from quakespark.llm.ngram_join import ngram_jaccard
 from quakespark.llm.packing import pack
+from quakespark.llm.pii import find_pii
 from quakespark.llm.spotsigs import fingerprints
 from quakespark.llm.warc import round_trip
 
@@ -23,6 +24,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_pii": op3_pii,
     "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
