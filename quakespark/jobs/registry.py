@@ -1,4 +1,439 @@
-"""All queries of the library by name, with their SQL equivalents."""
+"""All queries of the library by name, with their SQL equivalents.
 
-QUERIES = {}
-ORACLES = {}
+``events`` is read as the catalog and ``orders`` as the population grid. The
+statistics queries take the mean magnitude of a subgroup as their outcome p,
+so that the whole chain can be said in SQL; the decay fits have queries of
+their own.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quakespark.functions.geo import half_planes
+from quakespark.functions.labels import depth_group, interval_label
+from quakespark.jobs import oracles, studies
+from quakespark.operators import catalog as cat
+from quakespark.operators import exposure, logo, omori, resample, segments, stats
+from quakespark.sources import adapters, geojson
+from quakespark.sources.tables import scratch_dir, settle
+
+P = oracles.PARAMETERS
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.catalog(spark, d)
+
+
+def _candidates(spark, d):
+    return cat.search(_catalog(spark, d), P["lat"], P["lon"], min_mag=P["candidate_mag"])
+
+
+def _mainshocks(spark, d) -> DataFrame:
+    return settle(cat.decluster(_candidates(spark, d), P["window_days"], P["most"]), "mainshocks")
+
+
+def _aftershocks(spark, d, settled: bool = True) -> DataFrame:
+    found = cat.aftershocks(_catalog(spark, d), _mainshocks(spark, d), P["radius_km"], P["days"], P["min_mag"])
+    return settle(found, "aftershocks") if settled else found
+
+
+def _rings(events: DataFrame) -> DataFrame:
+    return segments.merged_rings(events, P["rings"], P["least"])
+
+
+def _records(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Aftershocks dealt to subgroups (fixed depth groups, half-planes, merged rings), and the mainshocks' columns."""
+    events = _aftershocks(spark, d)
+    dealt = segments.expand(events, _rings(events), carry=("t_days", "mag"))
+    fixed = events.select("mainshock_id", F.lit("depth").alias("subgroup_type"), depth_group(F.col("depth_km"), P["depths"]).alias("subgroup"), "t_days", "mag")
+    fixed = fixed.withColumn("record_id", F.concat_ws("|", "mainshock_id", "subgroup_type", "subgroup"))
+    return dealt.unionByName(fixed), events.groupBy("mainshock_id").agg(F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+
+
+def _subgroups(spark, d) -> DataFrame:
+    records, shocks = _records(spark, d)
+    keys = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
+    fits = settle(records.groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg("mag").alias("p")), "fits")
+    pop = exposure.subgroup_exposure(adapters.pixels(spark, d), shocks, fits, P["radius_km"])
+    return settle(fits.join(pop, keys[1:], "left").join(shocks.select("mainshock_id", "mainshock_mag"), "mainshock_id", "left"), "subgroups")
+
+
+def _sample(spark, d) -> DataFrame:
+    return settle(stats.analysis_sample(_subgroups(spark, d), P["radius_km"], P["least"]).withColumn("log10_pop", F.log10("pop_sum_subgroup")).withColumn("log_n_events", F.log(F.col("n_events").cast("double"))), "sample")
+
+
+def _mainshock_rows(spark, d) -> DataFrame:
+    events = _aftershocks(spark, d)
+    rows = events.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.avg("mag").alias("p"), F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+    pop = exposure.buffers(adapters.pixels(spark, d), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]))
+    return settle(stats.merge_with_exposure(rows, pop.withColumnRenamed("mainshock_id", "usgs_id"), "mainshock_id", "usgs_id").drop("c_lat", "c_lon"), "mainshock_rows")
+
+
+def _draws(spark, d) -> DataFrame:
+    """P['draws'] draws for each mainshock: mean magnitude of a hashed half of its aftershocks."""
+    half = resample.repetitions(_aftershocks(spark, d).select("mainshock_id", "usgs_id", "mag"), P["draws"]).where(resample.draw_integer(F.lit(P["seed"]), F.col("rep"), F.col("mainshock_id"), F.col("usgs_id")) % 2 == 0)
+    return half.groupBy(F.col("mainshock_id").alias("record_id"), F.col("rep").alias("draw")).agg(F.avg("mag").alias("p_boot"))
+
+
+def r(c: str, k: int = 6):
+    return F.round(F.col(c), k).alias(c)
+
+
+# ---- catalog
+
+
+def event_catalog(spark, d):
+    return _catalog(spark, d).select("usgs_id", "time_us", r("lat", 9), r("lon", 9), "depth_km", r("mag", 9), "place")
+
+
+def geojson_roundtrip(spark, d):
+    path = f"{scratch_dir(spark)}/geojson-{uuid.uuid4().hex}"
+    whole = _catalog(spark, d).withColumn("time_us", F.floor(F.col("time_us") / 1000) * 1000)
+    geojson.write_collections(whole, F.date_format("time_utc", "yyyy-MM-dd"), path)
+    return geojson.to_catalog(geojson.read_collections(spark, path)).select("usgs_id", "time_us", r("lat", 9), r("lon", 9), "depth_km", r("mag", 9), "place")
+
+
+def bbox_search(spark, d):
+    return cat.search(_catalog(spark, d), (25.0, 30.0), (99.0, 103.0), "2024-01-05", "2024-01-20", 2.0).select("usgs_id", "time_us", r("mag", 9))
+
+
+def mainshock_top1(spark, d):
+    return cat.strongest(_catalog(spark, d), ["place"]).select("place", "usgs_id", "time_us", r("mag", 9))
+
+
+def declustered_mainshocks(spark, d):
+    return _mainshocks(spark, d).select("usgs_id", "time_us", r("mag", 9))
+
+
+def aftershock_join(spark, d):
+    return _aftershocks(spark, d, False).select("mainshock_id", "usgs_id", r("t_days"), r("dist_km"))
+
+
+def catalog_clean(spark, d):
+    runs = _catalog(spark, d).crossJoin(F.broadcast(_mainshocks(spark, d).orderBy(F.desc("mag"), "time_us").limit(2).select(F.col("usgs_id").alias("run"))))  # two runs
+    kept = cat.clean_run(runs, _mainshocks(spark, d), True)
+    return kept.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.round(F.min("t_days"), 6).alias("first_days"), F.round(F.sum("t_days"), 3).alias("sum_days"))
+
+
+def catalog_summary(spark, d):
+    s = cat.summary(_aftershocks(spark, d, False), ["mainshock_id"])
+    return s.select("mainshock_id", "n_rows", *[r(c) for c in s.columns[2:]])
+
+
+def events_per_mainshock(spark, d):
+    return cat.run_index(_mainshocks(spark, d), _aftershocks(spark, d, False), radius_km=P["radius_km"], days=P["days"]).withColumn("mainshock_mag", F.round("mainshock_mag", 9))
+
+
+def circle_boxes(spark, d):
+    b = cat.boxes(_mainshocks(spark, d), P["radius_km"])
+    return b.select("mainshock_id", *[r(c) for c in b.columns[1:]])
+
+
+# ---- subgroups
+
+
+def depth_group_counts(spark, d):
+    return _aftershocks(spark, d, False).groupBy("mainshock_id", depth_group(F.col("depth_km"), P["depths"]).alias("depth_group")).agg(F.count("*").alias("n"))
+
+
+def half_plane_counts(spark, d):
+    e = _aftershocks(spark, d, False)
+    return e.select("mainshock_id", F.explode(half_planes(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).alias("region")).groupBy("mainshock_id", "region").agg(F.count("*").alias("n"))
+
+
+def region_predicate_counts(spark, d):
+    regions = {"West_of_lon0": F.col("lon") < 101.5, "East_of_lon0": F.col("lon") >= 101.5, "South_of_lat0": F.col("lat") < 28.5, "North_of_lat0": F.col("lat") >= 28.5}
+    return segments.expand(_aftershocks(spark, d, False), regions=regions).where("subgroup_type = 'region'").groupBy("mainshock_id", "subgroup").agg(F.count("*").alias("n"))
+
+
+def aftershock_ring_counts(spark, d):
+    return segments.ring_counts(_aftershocks(spark, d, False), list(P["rings"])).select("mainshock_id", F.col("ring").cast("int").alias("ring"), "n")
+
+
+def merged_rings(spark, d):
+    return _rings(_aftershocks(spark, d))
+
+
+def depth_segments(spark, d):
+    found = segments.depth_segments(_aftershocks(spark, d), P["least"])
+    return found.select("mainshock_id", interval_label(F.col("lo"), F.col("hi")).alias("segment"), F.round("lo", 6).alias("lo"), F.when(F.col("hi") < float("inf"), F.round("hi", 6)).alias("hi"), "first")
+
+
+def subgroup_expand(spark, d):
+    e = _aftershocks(spark, d)
+    return segments.expand(e, _rings(e)).groupBy("record_id", "subgroup_type", "subgroup").agg(F.count("*").alias("n"))
+
+
+# ---- decay
+
+
+def omori_nll(spark, d):
+    return omori.negative_log_likelihood(_aftershocks(spark, d, False), ["mainshock_id"], 50.0, 0.05, 1.1, P["tmin"], P["days"]).select("mainshock_id", "n_events", r("nll", 4))
+
+
+def omori_grid_fit(spark, d):
+    f = omori.grid_fit(_aftershocks(spark, d), ["mainshock_id"], P["tmin"], P["days"])
+    return f.select("mainshock_id", "n_events", r("k", 4), r("c", 9), r("p"), r("nll", 4))
+
+
+def omori_mle(spark, d):
+    e = _aftershocks(spark, d)
+    dealt = segments.expand(e, _rings(e), segments.depth_segments(e, P["least"]))
+    keys = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
+    fits = settle(omori.fit(dealt, keys, P["tmin"], P["days"], P["least"]), "fits")
+    whole = fits.where("subgroup = 'all_depth'")
+    return fits.unionByName(omori.relaxed(whole, fits)).select(*keys, "n_events", r("k", 4), r("c", 4), r("p", 4), r("nll", 4))
+
+
+def omori_single(spark, d):
+    """One catalog by fixed depth group, with its own start and all times."""
+    e = _aftershocks(spark, d).where(F.col("mag") >= 2.0).withColumn("depth_group", depth_group(F.col("depth_km"), P["depths"]))
+    return omori.fit(e, ["depth_group"], 0.05, None, 50).select("depth_group", "n_events", r("p", 4), r("nll", 4))
+
+
+def omori_sensitivity(spark, d):
+    f = omori.sensitivity(_aftershocks(spark, d), [1.0, 1.5, 2.0, 2.5], [0.01, 0.05, 0.1], P["days"])
+    return f.select("mc", "tmin_days", "n_events", r("p", 4), r("nll", 4))
+
+
+def omori_bootstrap(spark, d):
+    e = _aftershocks(spark, d).withColumn("record_id", F.concat_ws("|", "mainshock_id", F.lit("mainshock"), F.lit("all")))
+    fits = omori.fit(e, ["record_id"], P["tmin"], P["days"])
+    draws = settle(omori.bootstrap(e, fits, P["tmin"], P["days"], 20, P["seed"], 5), "draws")
+    found = omori.intervals(draws, "p_boot", ["record_id"])
+    return found.select("record_id", "n_draws", r("p_lo", 4), r("p_median", 4), r("p_hi", 4), "below_zero")
+
+
+def bootstrap_intervals(spark, d):
+    found = omori.intervals(_draws(spark, d), "p_boot", ["record_id"])
+    return found.select("record_id", "n_draws", r("p_lo"), r("p_median"), r("p_hi"), "below_zero")
+
+
+def binned_rate(spark, d):
+    return omori.binned_rate(_aftershocks(spark, d), ["mainshock_id"], P["tmin"], P["days"], 20).select("mainshock_id", "bin", "n", r("rate"))
+
+
+# ---- exposure and samples
+
+
+def buffer_exposure(spark, d):
+    b = exposure.buffers(adapters.pixels(spark, d), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]))
+    return b.select("mainshock_id", *[r(c, 4) for c in b.columns[1:]])
+
+
+def subgroup_exposure(spark, d):
+    s = _subgroups(spark, d)
+    return s.select("record_id", *[r(f"pop_{k}_subgroup", 4) for k in ("sum", "mean", "max")])
+
+
+def mainshock_summary(spark, d):
+    m = _mainshock_rows(spark, d)
+    return m.select("mainshock_id", "n_events", r("p"), r("mainshock_mag"), *[r(f"pop_sum_{k}km", 4) for k in P["buffers"]])
+
+
+def subgroup_summary(spark, d):
+    b = exposure.buffers(adapters.pixels(spark, d), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]))
+    s = _subgroups(spark, d).join(b, "mainshock_id", "left")
+    return s.select("record_id", "mainshock_id", "subgroup_type", "subgroup", "n_events", r("p"), r("pop_sum_subgroup", 4), r("pop_sum_50km", 4))
+
+
+def analysis_sample(spark, d):
+    return _sample(spark, d).select("record_id", "n_events", r("p"), r("pop_sum_subgroup", 4), "analysis_included")
+
+
+def features(spark, d):
+    made, names = logo.features(_sample(spark, d))
+    return made.select("record_id", *[F.round(F.col(n), 6).alias(n.replace("-", "_")) for n in ["log10_pop", "log_n_events", "ring_mid_km", "depth_mid_km", "type_depth", "type_region", "type_ring", "region_West_of_ms"]])
+
+
+# ---- correlations and regressions
+
+
+def corr_pearson_spearman(spark, d):
+    s = _sample(spark, d)
+    found = stats.correlations(s, "log10_pop", "p", ["subgroup_type"])
+    return found.select("subgroup_type", "n", r("pearson_r"), r("spearman_rho"), r("slope"))
+
+
+def corr_p_values(spark, d):
+    found = stats.correlations(_sample(spark, d), "log10_pop", "p", ["subgroup_type"])
+    return found.select("subgroup_type", F.round(stats.correlation_p("pearson_r", "n"), 8).alias("pearson_p"), F.round(stats.correlation_p("spearman_rho", "n"), 8).alias("spearman_p"))
+
+
+def controlled_ols(spark, d):
+    found = stats.ols(_sample(spark, d), "p", ["log10_pop", "log_n_events"]).where("term <> 'const'")
+    return found.select("term", r("coef"), r("se"), r("t", 5), "n", "dof", r("r2"), r("adj_r2"))
+
+
+def controlled_ols_full(spark, d):
+    found = stats.ols(_sample(spark, d), "p", ["log10_pop", "mainshock_mag", "log_n_events"])
+    return found.select(*[c if t not in ("double",) else r(c) for c, t in found.dtypes])
+
+
+def within_fe(spark, d):
+    found = stats.within_fe(_sample(spark, d))
+    return found.select(*[c if t not in ("double",) else r(c) for c, t in found.dtypes])
+
+
+def within_fe_slope(spark, d):
+    found = resample.permutation_slopes(_sample(spark, d), 1, P["seed"], terms=["log10_pop", "log_n_events"]).where("rep = 0")
+    return found.select(F.round("slope", 6).alias("slope"))
+
+
+def loo_corr(spark, d):
+    found = resample.leave_one_out(_sample(spark, d), "log10_pop", "p", "mainshock_id")
+    return found.select("omitted", "n", r("pearson_r"), r("spearman_rho"))
+
+
+def cluster_boot_corr(spark, d):
+    found = resample.cluster_bootstrap_correlation(_sample(spark, d), "log10_pop", "p", "mainshock_id", P["reps"], P["seed"])
+    return found.select("rep", "n", r("pearson_r"), r("spearman_rho"))
+
+
+def cluster_boot_fe(spark, d):
+    found = resample.cluster_bootstrap_fe(_sample(spark, d), P["reps"], P["seed"], terms=["log10_pop", "log_n_events"])
+    return found.select("rep", r("slope"))
+
+
+def within_permute(spark, d):
+    found = resample.permute_within(_sample(spark, d), "pop_sum_subgroup", "mainshock_id", "record_id", P["reps"], P["seed"])
+    return found.select("rep", "mainshock_id", "record_id", r("pop_sum_subgroup", 4))
+
+
+def permutation_test(spark, d):
+    found = resample.permutation_summary(resample.permutation_slopes(_sample(spark, d), 200, P["seed"], terms=["log10_pop", "log_n_events"]), [])
+    return found.select(r("observed"), "n_perm", r("p_value"), r("null_mean"), r("null_lo"), r("null_hi"))
+
+
+def exact_permutation(spark, d):
+    rows = _mainshock_rows(spark, d).where("pop_sum_50km > 0").withColumn("x", F.log10("pop_sum_50km")).orderBy("mainshock_id").limit(7).withColumn("study", F.lit("first seven"))
+    found = resample.exact_permutation(rows, "x", "p", ["study"])
+    return found.select("study", "n_orders", r("observed"), r("p_value"), r("null_lo"), r("null_hi"))
+
+
+def draw_histogram(spark, d):
+    return stats.histogram(_draws(spark, d), "p_boot", 25, ["record_id"])
+
+
+def draw_matrix(spark, d):
+    draws = settle(_draws(spark, d), "draws")
+    return resample.draw_matrix(draws.select("record_id").distinct(), draws, 30, P["seed"]).select("record_id", "rep", r("p"))
+
+
+# ---- prediction
+
+
+def logo_splits(spark, d):
+    return logo.splits(_sample(spark, d).select("record_id", "mainshock_id"), "mainshock_id").select("test_group", "record_id", "is_test")
+
+
+def logo_compare(spark, d):
+    _, predictions = logo.compare(_sample(spark, d))
+    found = logo.metrics(predictions)
+    return found.select("model", "n", *[r(c) for c in found.columns[2:]])
+
+
+def logo_folds(spark, d):
+    models, predictions = logo.compare(_sample(spark, d))
+    found = stats.errors(predictions, "p", "predicted", ["mainshock_id", "model"])
+    return found.join(models.select(F.col("test_group").alias("mainshock_id"), "model", "alpha"), ["mainshock_id", "model"]).select("mainshock_id", "model", "alpha", "n", r("mae"), r("rmse"), r("r2"), r("target_sd"))
+
+
+def train_bins(spark, d):
+    return logo.train_bins(_sample(spark, d), "p", "mainshock_id").select("test_group", r("q1"), r("q2"))
+
+
+def _mean_predictions(spark, d) -> DataFrame:
+    """Each row with the mean of its kind's other rows as prediction, and both as classes."""
+    s = _sample(spark, d)
+    kind = Window.partitionBy("subgroup_type")
+    rows = s.withColumn("predicted", F.try_divide(F.sum("p").over(kind) - F.col("p"), F.count("*").over(kind) - 1)).where("predicted IS NOT NULL")
+    bins = settle(logo.train_bins(rows, "p", "mainshock_id"), "bins")
+    return logo.classes(logo.classes(rows, bins, "p", "mainshock_id", "true_class"), bins, "predicted", "mainshock_id", "pred_class")
+
+
+def class_metrics(spark, d):
+    found = stats.class_metrics(_mean_predictions(spark, d), "true_class", "pred_class", ["subgroup_type"])
+    return found.select("subgroup_type", r("accuracy"), r("macro_f1"))
+
+
+def confusion(spark, d):
+    return stats.confusion(_mean_predictions(spark, d), "true_class", "pred_class", [])
+
+
+def ridge_confusion(spark, d):
+    return stats.confusion(logo.ridge_classes(logo.compare(_sample(spark, d))[1]), "true_class", "pred_class", [])
+
+
+def fold_metrics(spark, d):
+    found = stats.errors(_mean_predictions(spark, d), "p", "predicted", ["mainshock_id"])
+    return found.select("mainshock_id", "n", r("mae"), r("rmse"), r("r2", 5), r("target_sd"))
+
+
+def perm_importance(spark, d):
+    return logo.importance(_sample(spark, d), 5, P["seed"]).select("feature", r("delta_rmse"))
+
+
+# ---- studies
+
+
+def scale_sensitivity(spark, d):
+    found = studies.scale_study(_mainshock_rows(spark, d), P["buffers"], exact=False)
+    return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
+
+
+def scale_correlations(spark, d):
+    found = stats.correlations(studies.by_radius(_mainshock_rows(spark, d), P["buffers"]), "x", "p", ["radius_km"])
+    return found.select("radius_km", "n", r("pearson_r"), r("spearman_rho"), r("slope"))
+
+
+def _uncertainty(spark, d) -> DataFrame:
+    s = _sample(spark, d)
+    draws = resample.repetitions(s.select("record_id", "p"), 20).select("record_id", F.col("rep").alias("draw"), (F.col("p") + (resample.draw_integer(F.lit(3), F.col("rep"), F.col("record_id")) % 1000 - 500) / 20000.0).alias("p_boot"))
+    return studies.uncertainty(s, settle(draws, "draws"), 10, P["seed"])
+
+
+def uncertainty(spark, d):
+    found = studies.uncertainty_summary(_uncertainty(spark, d))
+    return found.select("metric", "n_draws", r("p_lo"), r("p_median"), r("p_hi"), "below_zero")
+
+
+def influence_subgroup(spark, d):
+    found = studies.subgroup_influence(_sample(spark, d), 50, P["seed"])
+    return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
+
+
+def influence_scale(spark, d):
+    found = studies.scale_influence(_mainshock_rows(spark, d), P["buffers"], exact=False)
+    return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
+
+
+def influence_range(spark, d):
+    loo = resample.leave_one_out(_sample(spark, d), "log10_pop", "p", "mainshock_id").where("omitted <> '(none)'")
+    found = studies.influence_summary(loo, "pearson_r", [])
+    return found.select("n", r("least"), r("greatest"), r("share_negative"), r("share_positive"))
+
+
+def report_facts(spark, d):
+    found = studies.report_facts(_sample(spark, d), _mainshock_rows(spark, d), 50, P["seed"])
+    return found.select("n_rows", "n_groups", "n_records", "n_mainshocks", "n_perm", "slopes_agree")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        event_catalog, geojson_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
+        depth_group_counts, half_plane_counts, region_predicate_counts, aftershock_ring_counts, merged_rings, depth_segments, subgroup_expand,
+        omori_nll, omori_grid_fit, omori_mle, omori_single, omori_sensitivity, omori_bootstrap, bootstrap_intervals, binned_rate,
+        buffer_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, features,
+        corr_pearson_spearman, corr_p_values, controlled_ols, controlled_ols_full, within_fe, within_fe_slope, loo_corr, cluster_boot_corr, cluster_boot_fe, within_permute, permutation_test, exact_permutation, draw_histogram, draw_matrix,
+        logo_splits, logo_compare, logo_folds, train_bins, class_metrics, confusion, ridge_confusion, fold_metrics, perm_importance,
+        scale_sensitivity, scale_correlations, uncertainty, influence_subgroup, influence_scale, influence_range, report_facts,
+    )
+}
+
+ORACLES = oracles.ORACLES
