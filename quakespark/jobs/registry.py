@@ -247,7 +247,8 @@ def analysis_sample(spark, d):
 
 def features(spark, d):
     made, names = logo.features(_sample(spark, d))
-    return made.select("record_id", *[F.round(F.col(n), 6).alias(n.replace("-", "_")) for n in ["log10_pop", "log_n_events", "ring_mid_km", "depth_mid_km", "type_depth", "type_region", "type_ring", "region_West_of_ms"]])
+    shown = ["log10_pop", "log_n_events", "ring_mid_km", "depth_mid_km", "type_depth", "type_region", "type_ring", "region_West_of_ms"]
+    return made.select("record_id", *[F.round(F.col(n) if n in names else F.lit(0.0), 6).alias(n) for n in shown])
 
 
 # ---- correlations and regressions
