@@ -5,9 +5,8 @@ that follow it, other common words skipped, within REACH words. A document's
 signature is the set of its spots' hashes. It follows the running text and
 not lists, menus or marks, which have few anchors. Signatures fall into
 partitions by set length, each a factor 1 / THRESHOLD wide, so that partners
-are in the same or the next partition; within it, Jaccard is only worked out
-where the ratio of the lengths allows the threshold. All of it is DataFrame
-functions.
+are in the same or the next partition, and pairs farther apart are not near
+without a look at their sets. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -97,6 +96,12 @@ def length_partition(size: Column, threshold: float = THRESHOLD) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(threshold))).cast("int")
 
 
+def is_near(a: Column, b: Column, like: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether two signatures reach the threshold; only partners in the same or neighbouring length partitions are compared."""
+    apart = F.abs(length_partition(F.size(a), threshold) - length_partition(F.size(b), threshold))
+    return F.when(apart > 1, False).otherwise(like >= threshold)
+
+
 def _ranges(keys: DataFrame, rows: int) -> list[int]:
     """Lower bounds of ranges of about ``rows`` keys: at most MOST_RANGES longs come to the driver."""
     n = keys.count()
@@ -142,7 +147,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row, with its own, its edited text's and the next document's likeness.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. The edited text has its last n_chars // 2 code
+    near_edited, near_next, length_partition, edited_is_near, next_is_near
+    (these two at THRESHOLD). The edited text has its last n_chars // 2 code
     points replaced by as many first ones of the next document (see ordered),
     or all it has. Null text counts as empty; an empty text's fingerprint is
     empty, and two of those are alike (1). A single row is its own next. Extra
@@ -155,12 +161,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edit = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.substring(F.col("next_text"), F.lit(1), half))
     signed = follow.withColumn("edited", edit).select("id", "key", "place", "guest", "text", "edited", signature(F.col("text")).alias("sig"), signature(F.col("edited")).alias("edited_sig"))
     found = signed.withColumn("next_sig", F.lead("sig").over(order)).where("not guest")
+    found = found.withColumns({"near_edited": likeness(F.col("sig"), F.col("edited_sig")), "near_next": likeness(F.col("sig"), F.col("next_sig"))})
     return found.select(
         F.col("id").alias(id_col),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("sig")).alias("fingerprint"),
         printed(F.col("edited_sig")).alias("edited_fingerprint"),
-        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
-        likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+        "near_edited",
+        "near_next",
+        length_partition(F.size("sig")).alias("length_partition"),
+        is_near(F.col("sig"), F.col("edited_sig"), F.col("near_edited")).alias("edited_is_near"),
+        is_near(F.col("sig"), F.col("next_sig"), F.col("near_next")).alias("next_is_near"),
     )

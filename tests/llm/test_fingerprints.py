@@ -48,6 +48,7 @@ def test_against_plain_spots(spark, per_range):
     rows += [(500, None), (500, "the same cat tree"), (500, "the same cat tree"), (None, "of the haus cat"), (None, ""), (2**62, "the cat tree " * 20_000), (7, "!!!"), (8, "\U0001f600é" * 9)]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, key int, place string")
     got = spotsigs.fingerprints(frame, rows=per_range).collect()
+    assert all(x.edited_is_near == (x.near_edited >= 0.8) and x.next_is_near == (x.near_next >= 0.8) for x in got)
     size = lambda x: len(x.fingerprint.split(",")) if x.fingerprint else 0
     assert sorted((str(x.doc_id), x.n_chars, x.edited_sha256, round(x.near_edited, 9), round(x.near_next, 9), size(x)) for x in got) == plain(rows)
 
