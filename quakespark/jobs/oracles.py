@@ -86,7 +86,7 @@ buf AS (
     SELECT m.usgs_id AS mainshock_id, {', '.join(f"{f}(pop) FILTER (dist_km <= {r}) AS pop_{n}_{r}km" for r in P['buffers'] for n, f in (('sum', 'sum'), ('mean', 'avg'), ('max', 'max')))}
     FROM ms m LEFT JOIN near n ON n.mainshock_id = m.usgs_id GROUP BY 1),
 fits AS (
-    SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, mainshock_id, subgroup_type, subgroup, count(*) AS n_events, avg(mag) AS p
+    SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, mainshock_id, subgroup_type, subgroup, count(*) AS n_events, avg(ln(mag)) AS p
     FROM rec GROUP BY ALL),
 pops AS (
     SELECT record_id, sum(pop) AS pop_sum_subgroup, avg(pop) AS pop_mean_subgroup, max(pop) AS pop_max_subgroup
@@ -100,10 +100,10 @@ samp AS (
     SELECT *, log10(pop_sum_subgroup) AS x, ln(n_events) AS z FROM sub
     WHERE subgroup <> 'all_depth' AND NOT (subgroup_type = 'ring' AND subgroup = '0-400km') AND n_events >= {M} AND pop_sum_subgroup > 0),
 msr AS (
-    SELECT mainshock_id, count(*) AS n_events, avg(mag) AS p, any_value(mainshock_mag) AS mainshock_mag FROM aft GROUP BY 1),
+    SELECT mainshock_id, count(*) AS n_events, avg(ln(mag)) AS p, any_value(mainshock_mag) AS mainshock_mag FROM aft GROUP BY 1),
 msrows AS (SELECT * FROM msr LEFT JOIN buf USING (mainshock_id)),
 draws AS (
-    SELECT mainshock_id AS record_id, rep AS draw, avg(mag) AS p_boot FROM aft, range(1, {P['draws'] + 1}) t(rep)
+    SELECT mainshock_id AS record_id, rep AS draw, avg(ln(mag)) AS p_boot FROM aft, range(1, {P['draws'] + 1}) t(rep)
     WHERE {_draw(str(P['seed']), 'rep', 'mainshock_id', 'usgs_id')} % 2 = 0 GROUP BY ALL),
 dm AS (
     SELECT record_id, mainshock_id, x - avg(x) OVER g AS x, z - avg(z) OVER g AS z, p - avg(p) OVER g AS y FROM samp WINDOW g AS (PARTITION BY mainshock_id)),

@@ -1,7 +1,7 @@
 """All queries of the library by name, with their SQL equivalents.
 
 ``events`` is read as the catalog and ``orders`` as the population grid. The
-statistics queries take the mean magnitude of a subgroup as their outcome p,
+statistics queries take the mean log magnitude of a subgroup as their outcome p,
 so that the whole chain can be said in SQL; the decay fits have queries of
 their own.
 """
@@ -57,7 +57,7 @@ def _records(spark, d) -> tuple[DataFrame, DataFrame]:
 def _subgroups(spark, d) -> DataFrame:
     records, shocks = _records(spark, d)
     keys = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
-    fits = settle(records.groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg("mag").alias("p")), "fits")
+    fits = settle(records.groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg(F.log("mag")).alias("p")), "fits")
     pop = exposure.subgroup_exposure(adapters.pixels(spark, d), shocks, fits, P["radius_km"])
     return settle(fits.join(pop, keys[1:], "left").join(shocks.select("mainshock_id", "mainshock_mag"), "mainshock_id", "left"), "subgroups")
 
@@ -68,15 +68,15 @@ def _sample(spark, d) -> DataFrame:
 
 def _mainshock_rows(spark, d) -> DataFrame:
     events = _aftershocks(spark, d)
-    rows = events.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.avg("mag").alias("p"), F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+    rows = events.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.avg(F.log("mag")).alias("p"), F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
     pop = exposure.buffers(adapters.pixels(spark, d), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]))
     return settle(stats.merge_with_exposure(rows, pop.withColumnRenamed("mainshock_id", "usgs_id"), "mainshock_id", "usgs_id").drop("c_lat", "c_lon"), "mainshock_rows")
 
 
 def _draws(spark, d) -> DataFrame:
-    """P['draws'] draws for each mainshock: mean magnitude of a hashed half of its aftershocks."""
+    """P['draws'] draws for each mainshock: mean log magnitude of a hashed half of its aftershocks."""
     half = resample.repetitions(_aftershocks(spark, d).select("mainshock_id", "usgs_id", "mag"), P["draws"]).where(resample.draw_integer(F.lit(P["seed"]), F.col("rep"), F.col("mainshock_id"), F.col("usgs_id")) % 2 == 0)
-    return half.groupBy(F.col("mainshock_id").alias("record_id"), F.col("rep").alias("draw")).agg(F.avg("mag").alias("p_boot"))
+    return half.groupBy(F.col("mainshock_id").alias("record_id"), F.col("rep").alias("draw")).agg(F.avg(F.log("mag")).alias("p_boot"))
 
 
 def r(c: str, k: int = 6):
