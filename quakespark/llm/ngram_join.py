@@ -4,7 +4,8 @@
 2. Shingles are put in one order, those of frequent slots last. Two sets of
    the wanted similarity share at least k of their first shingles (prefixes),
    so a class of which fewer than k occur in others' prefixes has no partner
-   and leaves. What stays are the copies and near copies.
+   and leaves. What stays are the copies and near copies. They meet at the
+   first few shingles (the core), of which partners share one.
 3. Of each shingle's classes a signature tree is built: leaves hold classes of
    like size, nodes the OR of their bitmaps and the range of their sizes.
    Trees are traversed in pairs of nodes; a pair is pruned when the overlap
@@ -54,11 +55,15 @@ class Rule:
 
     def shared(self, size: int) -> int:
         """Shingles of its prefix that a set of this size shares with a partner no smaller than it."""
-        return max(1, size * (100 - self.percent) // 400)
+        return max(1, size // 10)
 
     def prefix(self, size: int) -> int:
         return min(size, size - self.least_overlap(size) + self.shared(size))
 
+    def core(self, size: int) -> int:
+        """The first of these, of which partners share one."""
+        return size - self.least_overlap(size) + 1
+
     def enough(self, size: int) -> int:
         """... and with any partner."""
         return self.shared(self.least_overlap(size))
@@ -106,13 +111,13 @@ def slot_counts(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(token, cls, n): the prefix of each class, at most once for a task."""
+    """(token, cls, n, core): the prefix of each class, at most once for a task; core marks its first part."""
     shared, slots = sets.sparkSession.sparkContext.broadcast(counts), np.uint64(len(counts))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, seen = shared.value, set()
         for batch in batches:
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, core = [], [], [], []
             for cls, own in zip(batch.column("cls").to_pylist(), _tokens(batch), strict=True):
                 if not len(own) or cls in seen:
                     continue
@@ -122,19 +127,20 @@ def prefixes(sets: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
                 tokens.append(own[order[:take]])
                 classes.append(np.full(take, cls, dtype=np.int64))
                 sizes.append(np.full(take, len(own), dtype=np.int64))
+                core.append(np.arange(take) < rule.core(len(own)))
             if tokens:
-                yield _arrow({"token": (np.concatenate(tokens).view(np.int64), pa.int64()), "cls": (np.concatenate(classes), pa.int64()), "n": (np.concatenate(sizes), pa.int64())})
+                yield _arrow({"token": (np.concatenate(tokens).view(np.int64), pa.int64()), "cls": (np.concatenate(classes), pa.int64()), "n": (np.concatenate(sizes), pa.int64()), "core": (np.concatenate(core), pa.bool_())})
 
-    return sets.select("cls", "tokens").mapInArrow(make, "token long, cls long, n long")
+    return sets.select("cls", "tokens").mapInArrow(make, "token long, cls long, n long, core boolean")
 
 
 def possible_partners(entries: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
     """The entries of classes that share enough of their prefix with others, and of tokens that several of those have."""
     frequent = F.count("*").over(Window.partitionBy("token")) > 1
-    now = settle(entries.repartition("token").dropDuplicates(["token", "cls", "n"]).withColumn("_more", frequent).where("_more").drop("_more"), "entries")
+    now = settle(entries.repartition("token").dropDuplicates(["token", "cls", "n", "core"]).withColumn("_more", frequent).where("_more").drop("_more"), "entries")
     # enough(n) in SQL: integer divisions as in Rule.
     least = F.expr(f"(n * {rule.percent} + 99) div 100")
-    enough = F.greatest(F.lit(1), F.floor(least * (100 - rule.percent) / 400))
+    enough = F.greatest(F.lit(1), F.floor(least / 10))
     for _ in range(rounds):
         staying = F.count("*").over(Window.partitionBy("cls")) >= enough
         now = now.withColumn("_stays", staying).where("_stays").drop("_stays")
@@ -349,7 +355,7 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule) -> Data
         if edges:
             yield _edge_batch(edges)
 
-    joined = entries.join(signatures, "cls").select("token", "cls", "n", "bitmap")
+    joined = entries.where("core").join(signatures, "cls").select("token", "cls", "n", "bitmap")
     return joined.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(make, _EDGES).distinct()
 
 
