@@ -35,9 +35,9 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     aggregated before they are shuffled, so a node with very many edges is
     dealt over the tasks that hold them.
     """
-    now = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).alias("mark")
-    before = None
+    before = now.agg(mark).first()["mark"]
     for _ in range(MOST_ROUNDS):
         now = settle(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
         after = now.agg(mark).first()["mark"]

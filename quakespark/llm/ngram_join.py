@@ -10,8 +10,8 @@
    like size, nodes the OR of their bitmaps and the range of their sizes.
    Trees are traversed in pairs of nodes; a pair is pruned when the overlap
    that its bitmaps and sizes allow at most is below what the least sizes
-   need, or when all of it is connected already. Survivors are kept as a
-   spanning forest, so a group of copies gives as many rows as members.
+   need, or when all of it is connected already. Survivors are kept as stars
+   about their least class, so a group of copies gives a row for each member.
 4. The forest's components are groups of candidates. A group's sets come to
    one task (beyond BLOCK classes: block by block, each pair of blocks a
    task) and are joined exactly, with the same traversal ahead of it.
@@ -205,7 +205,6 @@ def fold(bitmaps: np.ndarray) -> np.ndarray:
 class Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -217,7 +216,10 @@ class Union:
         x, y = self.root(a), self.root(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+
+    def stars(self) -> list[tuple[int, int]]:
+        """An edge from each row to the least one of its component."""
+        return [(i, r) for i in range(len(self.parent)) if (r := self.root(i)) != i]
 
 
 class Node:
@@ -348,7 +350,7 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule) -> Data
             union = Union(len(classes))
             bitmaps = [np.frombuffer(x, dtype=np.uint64) for x in group.column("bitmap").to_pylist()]
             possible_pairs(group.column("n").to_numpy(), bitmaps, rule, union)
-            edges += [(int(classes[a]), int(classes[b])) for a, b in union.edges]
+            edges += [(int(classes[a]), int(classes[b])) for a, b in union.stars()]
             if len(edges) > 50_000:
                 yield _edge_batch(edges)
                 edges = []
@@ -367,10 +369,13 @@ def signatures_of(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(make, "cls long, bitmap binary")
 
 
-def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that span the similar classes of each candidate group (node, root)."""
-    size = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = join_small(groups, settle(size, "groups"), ["root"]).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLOCK) -> tuple[DataFrame, bool]:
+    """Edges (a, b) that span the similar classes of each candidate group (node, root), and whether no group was divided.
+
+    In an undivided group the edges are stars about a component's least class.
+    """
+    size = settle(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    placed = join_small(groups, size, ["root"]).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     dealt = sets.join(placed, "cls").withColumn("unit", unit).select("root", "unit.i", "unit.j", "own", "cls", "tokens")
 
@@ -405,11 +410,12 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             sides = None if i == j else group.column("own").to_numpy()
             possible_pairs(sizes, [bitmap_of(t, width_of(len(t))) for t in tokens], rule, union, similar, sides)
-            edges += [(int(classes[a]), int(classes[b])) for a, b in union.edges]
+            edges += [(int(classes[a]), int(classes[b])) for a, b in union.stars()]
         if edges:
             yield _edge_batch(edges)
 
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "cls").mapInArrow(make, _EDGES).distinct()
+    found = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "cls").mapInArrow(make, _EDGES)
+    return found.distinct(), size.agg(F.max("blocks")).first()[0] in (None, 1)
 
 
 def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,8 +433,13 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     classes = settle(entries.select("cls").distinct(), "classes")
     chosen = settle(candidate_sets(sets, classes), "chosen")
     groups = settle(connected(settle(bucket_forest(entries, signatures_of(chosen), rule), "forest"), "a", "b"), "groups")
-    links = connected(settle(exact_links(chosen, groups, rule), "links"), "a", "b")
-    roots = settle(links.select(F.col("node").alias("cls"), "root"), "roots")
+    links, whole = exact_links(chosen, groups, rule)
+    links = settle(links, "links")
+    if whole:  # stars already
+        roots = links.select(F.col("a").alias("cls"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("cls"), F.col("b").alias("root")).distinct())
+    else:
+        roots = connected(links, "a", "b").withColumnRenamed("node", "cls")
+    roots = settle(roots, "roots")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     rows = sets.select("id", "row", "n", "cls", "run")
     own = settle(join_small(rows, roots, ["cls"]).groupBy("root").agg(F.min(who).alias("linked")), "components")

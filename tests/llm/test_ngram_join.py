@@ -82,8 +82,12 @@ def test_groups_beyond_a_block(spark):
     sets = ngram_join.shingle_sets(frame, rule)
     chosen = sets.where("n > 0").groupBy("cls").agg({"tokens": "first"}).withColumnRenamed("first(tokens)", "tokens").cache()
     groups = chosen.selectExpr("cls AS node", "0L AS root")
-    small = {tuple(x) for x in ngram_join.connected(ngram_join.exact_links(chosen, groups, rule, 16), "a", "b").collect()}
-    whole = {tuple(x) for x in ngram_join.connected(ngram_join.exact_links(chosen, groups, rule, 10_000), "a", "b").collect()}
+    parts, undivided = ngram_join.exact_links(chosen, groups, rule, 16)
+    assert not undivided
+    small = {tuple(x) for x in ngram_join.connected(parts, "a", "b").collect()}
+    parts, undivided = ngram_join.exact_links(chosen, groups, rule, 10_000)
+    whole = {tuple(x) for x in ngram_join.connected(parts, "a", "b").collect()}
+    assert undivided and whole == {(x.a, x.b) for x in parts.collect()} | {(x.b, x.b) for x in parts.collect()}
     assert small == whole and len(small) > 20
 
 
