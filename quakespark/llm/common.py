@@ -30,7 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quakespark-{context.applicationId}"
 
 
-def settle(frame: DataFrame, name: str) -> DataFrame:
+def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no more than the tasks it ran,
@@ -38,7 +38,7 @@ def settle(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", codec).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -199,7 +199,7 @@ def record_types(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.monotonically_increasing_id().alias("rid")).withColumns({"sha": F.unhex(F.sha2("html", 256)), "bytes": F.octet_length("html")})
     keyed = keyed.withColumn("run", F.pmod(F.xxhash64("page_id", "rid"), F.lit(RUNS)).cast("int"))
-    keyed = settle(keyed, "pages")
+    keyed = settle(keyed, "pages", "zstd")
     order = F.struct(F.col("page_id").isNull().alias("none"), (-F.col("page_id")).alias("last"), F.col("rid").alias("rid"))
     won = elect(keyed, ["sha", "bytes"], order, RUNS, FAN)
     own = F.col("first").isNull() | (F.col("first.rid") == F.col("rid"))
