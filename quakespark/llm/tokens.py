@@ -4,7 +4,8 @@ The tokenizer used here drops white space before it splits, so the tokens of
 a text are those of its parts between ASCII white space, one after another.
 That holds for its normaliser as well (NFC and lower case of single
 characters never look over a space). Each part is encoded once by a Python
-worker and kept; the store is emptied when it has STORE parts. Parts of
+worker and kept; when STORE parts are held, a new store begins, and the last
+one serves until the new one is full too. Parts of
 Latin-1 letters, with a full stop or comma at most, are a piece or two for
 the library's BPE model; all others go through the whole tokenizer.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: At most so many parts of at most LONG characters are kept: some 150 MB.
+#: At most so many parts of at most LONG characters are in a store: two of them take some 250 MB.
 STORE, LONG = 500_000, 40
 
 
@@ -39,16 +40,21 @@ class Encoder:
         self.numbers = list(range(self.tokenizer.get_vocab_size()))  # shared by all that is kept
         self.symbols = _byte_symbols()
         self.kept: dict[str, tuple[int, ...]] = {"": ()}
+        self.last: dict[str, tuple[int, ...]] = {}
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a word of lower-case Latin-1 letters."""
         return tuple([self.numbers[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.symbols))])
 
     def _fresh(self, part: str) -> tuple[int, ...]:
+        code = self.last.get(part)
+        if code is not None:
+            self._keep(part, code)
+            return code
         mark = part[-1] if part[-1] in ".," else ""
         word = (part[:-1] if mark else part).lower()
         if word.isalpha() and max(word) <= "\xff":
-            code = self.kept.get(word)
+            code = self.kept.get(word) or self.last.get(word)
             if code is None:
                 code = self._word(word)
                 self._keep(word, code)
@@ -62,7 +68,7 @@ class Encoder:
     def _keep(self, part: str, code: tuple[int, ...]) -> None:
         if len(part) <= LONG:
             if len(self.kept) >= STORE:
-                self.kept = {"": ()}
+                self.last, self.kept = self.kept, {"": ()}
             self.kept[part] = code
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quakespark.llm import mixing, packing, warc
+from quakespark.llm import mixing, packing, tokens, warc
 from quakespark.llm.exact_dedup import drop_copies, exact_copies
 from quakespark.llm.tokens import encoder, tokenizer_path
 
@@ -165,8 +165,10 @@ def test_pack_is_gapless_and_exact(spark):
         assert at <= 4096
 
 
-def test_encoder_equals_whole_encoding():
-    own, r = encoder(tokenizer_path()), random.Random(3)
+@pytest.mark.parametrize("store", [20, 500_000])
+def test_encoder_equals_whole_encoding(monkeypatch, store):
+    monkeypatch.setattr(tokens, "STORE", store)
+    own, r = tokens.Encoder(tokenizer_path()), random.Random(3)
     letters = "abcDEFzéÉßüµª.,'’!?09 \n\t\r\x0b\x1ćİΣ -"
     for _ in range(2000):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
