@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import join_small, settle
+from quakespark.llm.common import settle
 from quakespark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     bases = settle(counts.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
-    ranked = join_small(pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "shard").orderBy("row", "piece"))), bases, ["length", "shard"])
+    ranked = pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "shard").orderBy("row", "piece"))).join(bases, ["length", "shard"])  # by the window's partitioning
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within") - 1).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(_take(slots))  # bounded by the lengths: some 100,000 rows at most
 
