@@ -8,6 +8,11 @@ single line. Chunks of several lines that occur again anywhere are removed
 but for their first occurrence. Candidates are found by digest with the
 tree-merge of exact dedup, and removed only after their bytes were compared
 with the first occurrence's.
+
+Such chunks miss most passages of fewer lines than a chunk has, as those share
+theirs with foreign lines. drop_repeated_passages has no chunk boundaries: it
+looks at every pair of neighbouring lines and at every line of LONG words, so
+it finds each repeated passage of two lines or more, wherever it stands.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import settle
+from quakespark.llm.common import settle, word_count
 from quakespark.llm.exact_dedup import elect
 
 RUNS, FAN = 64, 8
+#: A line of so many words is a passage by itself.
+LONG = 50
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,18 +69,57 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return named.select("id", "row", "chunk", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("bytes"), F.pmod(F.xxhash64("row", "chunk"), F.lit(RUNS)).cast("int").alias("run"), "text")
 
 
+def passages_of(text: Column) -> Column:
+    """The passages of a text, (chunk, text): 2i is line i if it has LONG words, 2i + 1 the lines i and i + 1."""
+
+    def cut(lines: Column) -> Column:
+        entry = lambda number, text: F.struct(number.cast("int").alias("chunk"), text.alias("text"))
+        long = F.filter(F.transform(lines, lambda x, i: entry(i * 2, x)), lambda e: word_count(e["text"]) >= LONG)
+        pair = lambda i: entry(i * 2 - 1, F.concat(F.element_at(lines, i), F.lit("\n"), F.element_at(lines, i + 1)))
+        return F.when(F.size(lines) > 1, F.concat(long, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair))).otherwise(long)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
+
+
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("chunk").alias("chunk"))
+
+
+def _verified(found: DataFrame, by: list[str]) -> DataFrame:
+    """(id, row, removed): the chunks whose bytes are those of their digest's first occurrence."""
+    firsts = found.where("own").groupBy("sha", "bytes").agg(F.min("text").alias("kept_text"))
+    spread = found.select(*by).distinct().join(firsts, ["sha", "bytes"])
+    same = found.where("not own").join(spread, by).where(F.col("text") == F.col("kept_text"))
+    return same.groupBy("id", "row").agg(F.sort_array(F.collect_set("chunk")).alias("removed"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(id, row, removed) for rows of (id, text) that lose chunks; removed: the chunks' numbers from 0."""
     chunks = _exploded(docs)
     keys = settle(chunks.drop("text"), "chunks")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("chunk").alias("chunk"))
-    won = elect(keys, ["sha", "bytes"], place, RUNS, FAN)
+    won = elect(keys, ["sha", "bytes"], _place(), RUNS, FAN)
     by = ["sha", "bytes", "run"]
-    found = settle(chunks.join(won, by).withColumn("own", place == F.col("first")), "candidates")
-    firsts = found.where("own").groupBy("sha", "bytes").agg(F.min("text").alias("kept_text"))
-    spread = found.select(*by).distinct().join(firsts, ["sha", "bytes"])
-    same = found.where("not own").join(spread, by).where(F.col("text") == F.col("kept_text"))
-    return same.groupBy("id", "row").agg(F.sort_array(F.collect_set("chunk")).alias("removed"))
+    return _verified(settle(chunks.join(won, by).withColumn("own", _place() == F.col("first")), "candidates"), by)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(id, row, removed) for rows of (id, text) that lose passages; removed: the numbers of passages_of.
+
+    Digests are shuffled without text, and are MD5: bytes decide. Only texts
+    that hold repeated digests are cut again, to those passages.
+    """
+    cut = docs.select("id", _row(F.col("id"), F.col("text")).alias("row"), F.explode(passages_of(F.col("text"))).alias("p"))
+    keys = cut.select("id", "row", "p.chunk", F.unhex(F.md5(F.col("p.text").cast("binary"))).alias("sha"), F.octet_length("p.text").alias("bytes"))
+    keys = settle(keys.withColumn("run", F.pmod(F.xxhash64("row", "chunk"), F.lit(RUNS)).cast("int")), "passages")
+    won = elect(keys, ["sha", "bytes"], _place(), RUNS, FAN)
+    by = ["sha", "bytes", "run"]
+    several = keys.join(won, by).select("id", "row", F.struct("chunk", *by, (_place() == F.col("first")).alias("own")).alias("w"))
+    wanted = several.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("w").alias("wanted"))
+    rows = docs.withColumn("row", _row(F.col("id"), F.col("text"))).join(wanted, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")))
+    text = lambda all_, c: F.array_join(F.slice(all_, F.shiftright(c, 1) + 1, c % 2 + 1), "\n")
+    filled = let(F.split("text", "\n", -1), lambda all_: F.transform("wanted", lambda w: F.struct(w.alias("w"), text(all_, w["chunk"]).alias("text"))))
+    found = rows.select("id", "row", F.explode(filled).alias("f")).select("id", "row", "f.w.*", "f.text")
+    return _verified(settle(found, "candidates"), by)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,3 +144,29 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks"),
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
     )
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: identifier, n_lines, n_removed, removed_passages, text.
+
+    A line goes if it lies in a passage (two neighbouring lines, or one line of
+    LONG words) that occurs earlier: in a row with a smaller identifier (null
+    last) or further up. So of a longer passage all lines go, and every line
+    stays where it first occurs. removed_passages counts the runs of lines that
+    went. Rows are treated as in drop_repeated_lines.
+    """
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    gone = repeated_passages(slim).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "removed")
+    joined = slim.withColumn("row", _row(F.col("id"), F.col("text"))).join(gone, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    lost = F.flatten(F.transform("removed", lambda c: F.when(c % 2 == 1, F.array(F.shiftright(c, 1), F.shiftright(c, 1) + 1)).otherwise(F.array(F.shiftright(c, 1)))))
+    left = joined.withColumn("lost", F.array_sort(F.array_distinct(lost)))
+    kept = let(F.split("text", "\n", -1), lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("lost")), lambda i: F.get(all_, i)))
+    left = left.withColumn("kept", F.when(F.col("lost").isNotNull(), kept))
+    runs = F.size(F.filter(F.transform("lost", lambda x, i: (i == 0) | (x - F.get(F.col("lost"), i - 1) > 1)), lambda first: first))
+    return left.select(
+        F.col("id").alias(id_col),
+        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+        F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"),
+        F.when(F.col("lost").isNull(), 0).otherwise(runs).cast("long").alias("removed_passages"),
+        F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+    )

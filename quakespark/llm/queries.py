@@ -7,7 +7,7 @@ from quakespark.llm.common import table
 from quakespark.llm.exact_dedup import exact_copies
 from quakespark.llm.language import identify
 from quakespark.llm.licenses import scan
-from quakespark.llm.line_dedup import drop_repeated_lines
+from quakespark.llm.line_dedup import drop_repeated_lines, drop_repeated_passages
 from quakespark.llm.mixing import mix
 from quakespark.llm.ngram_join import ngram_jaccard
 from quakespark.llm.packing import pack
@@ -56,6 +56,11 @@ def op10_line_dedup(spark, sf_dir):
     return drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_passages(spark, sf_dir):
+    """All repeated passages; op10_line_dedup has the chunk rule that its SQL states."""
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_passages": op10_line_dedup_passages,
 }
 
 ORACLES = {

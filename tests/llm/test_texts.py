@@ -6,7 +6,7 @@ import re
 import zlib
 
 from quakespark.llm import language, licenses
-from quakespark.llm.line_dedup import drop_repeated_lines
+from quakespark.llm.line_dedup import LONG, drop_repeated_lines, drop_repeated_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -168,3 +168,41 @@ def test_line_dedup_against_plain_chunks(spark):
     assert sorted((str(x.doc_id), x.n_lines, x.n_removed, x.removed_chunks, x.text) for x in got) == sorted((str(i), *want[i is None, i or 0, t or ""]) for i, t in rows)
     assert sum(x.n_removed for x in got) > 500
     assert drop_repeated_lines(frame.where("false")).count() == 0
+
+
+def plain_passages(rows):
+    seen, out = set(), {}
+    for key in sorted({(i is None, i or 0, t or "") for i, t in rows}):
+        lines = key[2].split("\n")
+        lost = set()
+        for k, x in enumerate(lines):
+            own = [(x,)] if len([w for w in re.split(r"[ \t-\r]+", x) if w]) >= LONG else []
+            own += [(x, lines[k + 1])] if k + 1 < len(lines) else []
+            for passage in own:
+                if passage in seen:
+                    lost |= set(range(k, k + len(passage)))
+                seen.add(passage)
+        runs = sum(k - 1 not in lost for k in lost)
+        out[key] = (len(lines), len(lost), runs, "\n".join(x for k, x in enumerate(lines) if k not in lost))
+    return out
+
+
+def test_passages_of_two_to_five_lines_are_found(spark):
+    r = random.Random(9)
+    passages = [[f"passage {n} line {k} " + "word " * 20 for k in range(n)] for n in (2, 3, 4, 5)] + [["one long line " * 20]]
+    rows = []
+    for i in range(100):
+        lines = [f"own line {i} {k}" for k in range(4)]
+        at = r.randint(0, 4)
+        lines[at:at] = passages[i % 5]
+        rows.append((i, "\n".join(lines)))
+    pool = [f"line {i}" for i in range(8)]
+    rows += [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(100, 200)]
+    rows += [(200, None), (201, ""), (202, "\n\n\n"), (None, rows[0][1]), (204, rows[1][1]), (204, rows[1][1]), (205, "a\na\na"), (206, "w " * 20_000), (207, "w " * 20_000)]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, lost int")
+    want, got = plain_passages(rows), drop_repeated_passages(frame).collect()
+    assert sorted((str(x.doc_id), x.n_lines, x.n_removed, x.removed_passages, x.text) for x in got) == sorted((str(i), *want[i is None, i or 0, t or ""]) for i, t in rows)
+    planted = sum(len(passages[i % 5]) for i in range(5, 100))
+    count = lambda rows: sum(x.n_removed for x in rows if x.doc_id is not None and x.doc_id < 100)
+    assert count(got) == planted and count(drop_repeated_lines(frame).collect()) < planted / 2
+    assert drop_repeated_passages(frame.where("false")).count() == 0
