@@ -4,14 +4,16 @@ A known word scores by its log frequency in each language. An unseen word
 backs off to its longest character n-gram that was seen, at each place: first
 n-grams of LONGEST characters, then shorter ones, down to single letters. All
 frequencies are counted by Spark over every labelled row; the model keeps the
-most frequent WORDS words and GRAMS n-grams of each length, a size that does
-not grow with the corpus, and is broadcast.
+most frequent WORDS words and GRAMS n-grams of each length (fewer beyond WIDTH
+languages), a size that does not grow with the corpus, and is broadcast.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from quakespark.llm.common import settle
 
 WORDS, GRAMS, LONGEST = 100_000, 20_000, 4
-#: Languages are told apart; beyond this many, the most frequent are learned.
-LANGUAGES = 200
+#: All languages are learned; beyond this many, tables have fewer keys, so that their cells stay as many.
+WIDTH = 200
 #: Added to every count.
 SMOOTHING = 0.5
 #: A word says at most this much (nats) for one language over another: no single word decides a long text.
@@ -33,10 +35,24 @@ STEP = 6.0
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
-#: Bytes of lower-case text: ASCII other than letters to a space; other characters count as letters of a word.
+#: Bytes of lower-case text: ASCII other than letters to a space; other characters are looked at in unseen words only.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
-#: Words of more than so many letters are cut there before they back off.
-_REACH = 64
+
+
+def _beyond_ascii() -> str:
+    """A character class of the letters and marks beyond ASCII."""
+    out, start = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        own = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in "LM"
+        if own and start is None:
+            start = c
+        elif not own and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+_WORD = re.compile(f"[a-z{_beyond_ascii()}]+")
 
 
 @dataclass
@@ -50,8 +66,8 @@ class Model:
 
 
 def letters(text: Column) -> Column:
-    """The words of a text in lower case: runs of ASCII letters and of characters beyond ASCII."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """The words of a text in lower case: runs of letters and the marks on them."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+"), lambda w: w != "")
 
 
 def _scores(rows: pd.DataFrame, languages: list[str]) -> tuple[list[str], np.ndarray]:
@@ -74,23 +90,25 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), letters(F.col(f"`{text_col}`")).alias("words"))
     counts = rows.select("lang", F.explode("words").alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
     counts = settle(counts, "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()  # one row for each language
     languages = sorted(r["lang"] for r in totals)
+    words, grams = (max(1, size * WIDTH // max(WIDTH, len(languages))) for size in (words, grams))
     if not languages:
         return Model([], {}, {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    counts = counts.where(F.col("lang").isin(languages))
 
     def most_frequent(table: DataFrame, limit: int) -> pd.DataFrame:
         top = table.groupBy("key").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "key").limit(limit)
         return table.join(top, "key").select("key", "lang", "n").toArrow().to_pandas()  # at most limit x languages rows
 
-    cut = F.concat(F.lit(" "), F.substring("key", 1, _REACH), F.lit(" "))
     known, word_scores = _scores(most_frequent(counts, words), languages)
     gram_rows = []
-    padded = settle(counts.select("lang", "n", cut.alias("word")), "padded")
+    # As arrays of characters: a place in a long string is only found from its start.
+    padded = settle(counts.select("lang", "n", F.split(F.concat(F.lit(" "), "key", F.lit(" ")), "").alias("word")), "padded")
+    # A function of its own: a lambda's second parameter, default or not, would be the index.
+    grams_of = lambda size: F.transform(F.sequence(F.lit(1), F.size("word") - (size - 1)), lambda i: F.array_join(F.slice("word", i, size), ""))
     for size in range(1, longest + 1):
-        gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (size - 1)), lambda i, size=size: F.substring(F.col("word"), i, F.lit(size))))
-        of_size = padded.where(F.length("word") >= size).select("lang", "n", gram.alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        gram = F.explode(grams_of(size))
+        of_size = padded.where(F.size("word") >= size).select("lang", "n", gram.alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
         of_size = settle(of_size, "grams")
         gram_rows.append(most_frequent(of_size, grams))
     tables = [_scores(r, languages) for r in gram_rows]
@@ -101,7 +119,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
 
 def longest_grams(grams: dict[str, int], word: str, longest: int = LONGEST) -> list[int]:
     """Rows of the longest n-gram seen at each place of a word."""
-    text, found, get = f" {word[:_REACH]} ", [], grams.get
+    text, found, get = f" {word} ", [], grams.get
     for at in range(len(text) - 1):
         for end in range(at + longest, at, -1):
             row = get(text[at:end])
@@ -120,28 +138,42 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float]:
         """(language, share of its posterior); (und, 0) for null, no letter or a model of no languages.
 
-        An unseen word scores the mean over its places.
+        An unseen run is cut at what is no letter; it scores the mean over its
+        places, as one word or as one for every LONGEST of them: scripts without
+        spaces have a sentence in a run.
         """
         model = self.model
         if not text or not model.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0
         counts = Counter(text.lower().encode().translate(_FOLD).split())
-        get, rows, times, grams, shares = model.words.get, [], [], [], []
-        for word, n in counts.items():
-            row = get(word)
+        get, rows, times, grams, shares, weight = model.words.get, [], [], [], [], 0.0
+        for run, n in counts.items():
+            row = get(run)
             if row is not None:
                 rows.append(row)
                 times.append(n)
-            elif found := longest_grams(model.grams, word.decode()):
-                grams += found
-                shares += [n / len(found)] * len(found)
+                weight += n
+                continue
+            for word in (run.decode(),) if run.isascii() else _WORD.findall(run.decode()):
+                row = get(word.encode())
+                if row is not None:
+                    rows.append(row)
+                    times.append(n)
+                    weight += n
+                elif found := longest_grams(model.grams, word):
+                    own = n * max(1.0, len(found) / LONGEST)
+                    grams += found
+                    shares += [own / len(found)] * len(found)
+                    weight += own
+                else:
+                    weight += n
         total = np.zeros(len(model.languages))
         if rows:
             total += np.array(times, dtype=np.float32) @ model.word_scores[rows]
         if grams:
             total += np.array(shares, dtype=np.float32) @ model.gram_scores[grams]
         # Words of a text depend on each other: their evidence grows with the root of their number beyond a few.
-        total = total * min(1.0, math.sqrt(25 / max(1, sum(counts.values())))) + model.prior * 0.1
+        total = total * min(1.0, math.sqrt(25 / max(1.0, weight))) + model.prior * 0.1
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return model.languages[best], float(odds[best] / odds.sum())

@@ -63,6 +63,24 @@ def test_unseen_words_back_off_to_shorter_grams():
     assert language.Scorer(model)("xyz xyz")[0] == "a" and language.Scorer(model)("q")[0] == "b"
 
 
+def test_runs_without_spaces_are_read_whole():
+    import numpy as np
+
+    model = language.Model(["en", "zh"], {b"the": 0}, {"\u597d": 0}, np.array([[2.0, -2.0]], np.float32), np.array([[-2.0, 2.0]], np.float32), np.zeros(2, np.float32))
+    assert language.longest_grams(model.grams, "x" * 100 + "\u597d" * 5) == [0] * 5
+    score = language.Scorer(model)
+    assert score("the the the the the " + "\u597d" * 200)[0] == "zh" and score("the the the \u597d")[0] == "en"
+    assert score("\u201cthe\u201d")[0] == "en"
+
+
+def test_language_learns_beyond_the_start_of_runs_and_rare_labels(spark):
+    rows = [(f"{'x' * 80}q{k}", "a") for k in ("", "")] + [("x" * 80 + "z", "b")] + [(f"w{i}", f"l{i}") for i in range(220)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 222 and {"xq", "xz", "xxxq"} <= set(model.grams)
+    frame = spark.createDataFrame([("\u4f60\u597d\u3002\u4e16\u754c\uff0c\u201cabc\u201d \u0939\u093f",)], "text string")
+    assert frame.select(language.letters(frame.text)).first()[0] == language._WORD.findall(frame.first().text) == ["\u4f60\u597d", "\u4e16\u754c", "abc", "\u0939\u093f"]
+
+
 def plain_scan(text):
     folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
