@@ -6,9 +6,8 @@ signs outside base spans: candidate segments of at most LONGEST pieces are
 scored as wholes (how many digits, their groups, what separates them, check
 digit, words before, what touches either end), and dynamic programming over
 the pieces chooses boundaries and kinds together. A span it adds has a
-posterior of at least SURE. Its weights are fitted by likelihood, on written
-examples and on a bounded sample of the corpus' own stretches, where what no
-base pattern matches counts as clean.
+posterior of at least SURE. Its weights are fitted by likelihood on written
+examples alone: that no base pattern matches does not make a text clean.
 """
 
 from __future__ import annotations
@@ -32,9 +31,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SURE = 0.9
-LONGEST = 16
-#: At most so many documents' stretches are taken from the corpus to fit on.
-SAMPLE_DOCS = 300
+LONGEST = 48
 EPOCHS, RATE, PENALTY = 8, 0.3, 1e-4
 
 _NUMBERS = re.compile(r"[0-9](?:[0-9 ().\-\[\]/]|\[dot\]|\(dot\)){5,60}[0-9]")
@@ -73,22 +70,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, str]]:
     """(offset, text) of the parts of a text that the field looks at: what may hold an entity outside base spans."""
-    taken = sorted((s, e) for _, s, e in base)
-    last = -1
-    found = list(_NUMBERS.finditer(text))
-    if any(x in text for x in _NAME_MARKS):
-        found = sorted([*found, *_NAMES.finditer(text)], key=lambda m: m.span())
-    for m in found:
-        if any(s < m.end() and m.start() < e for s, e in taken):
-            continue
-        start, end = max(m.start() - _SIDE - (m.start() > 0 and text[m.start() - 1] in "(+"), last, 0), min(m.end() + _SIDE, len(text))
-        for s, e in taken:
-            if e <= m.start():
-                start = max(start, e)
-            elif s >= m.end():
-                end = min(end, s)
-        last = m.end()
-        yield start, text[start:end]
+    at, named = 0, any(x in text for x in _NAME_MARKS)
+    for s, e in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
+        if at < s:
+            last, found = at, list(_NUMBERS.finditer(text, at, s))
+            if named:
+                found = sorted([*found, *_NAMES.finditer(text, at, s)], key=lambda m: m.span())
+            for m in found:
+                start = max(m.start() - _SIDE - (m.start() > 0 and text[m.start() - 1] in "(+"), last)
+                last = m.end()
+                yield start, text[start : min(m.end() + _SIDE, s)]
+        at = max(at, e)
 
 
 def kinds_of(span: str) -> list[str]:
@@ -117,6 +109,8 @@ def features(span: str, kind: str, before: str, after: str) -> list[str]:
     out.append(f"right={'a' if after[:1].isalpha() else '0' if after[:1].isdigit() else after[:1].strip() or '_'}")
     if re.match(r"[\s.,/:-]*\d", after):
         out.append("digits follow")
+    if re.match(r" ?[\[(](?:dot|[.])[\])]", after):
+        out.append("dot follows")
     if re.search(r"\d[\s.,/:-]*$", before):
         out.append("digits before")
     if kind == "card":
@@ -137,13 +131,19 @@ def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, str, list[s
     Kind O is one piece outside of all entities.
     """
     cuts = [0, *(m.end() for m in _PIECE.finditer(text))]
-    n, out = len(cuts) - 1, []
+    n, out, named = len(cuts) - 1, [], "@" in text or "at" in text
     for i in range(n):
         out.append((i, i + 1, cuts[i], cuts[i + 1], "O", []))
-        if text[cuts[i]].isspace():
+        if not (text[cuts[i]].isalnum() or text[cuts[i]] in "(+"):
             continue
+        digits = 0
         for j in range(i + 1, min(n, i + LONGEST) + 1):
+            if not text[cuts[j] - 1].isalnum():
+                continue
             span = text[cuts[i] : cuts[j]]
+            digits += sum(c.isdigit() for c in text[cuts[j - 1] : cuts[j]])
+            if digits > 19 and not named:
+                break
             if len(span) >= 7:
                 out += [(i, j, cuts[i], cuts[j], kind, features(span, kind, text[max(0, cuts[i] - 24) : cuts[i]], text[cuts[j] : cuts[j] + 8])) for kind in kinds_of(span)]
     return n, out
@@ -197,15 +197,15 @@ def written_examples(seed: int = 7, each: int = 60) -> list[tuple[str, list[tupl
     words = ["the", "and", "of", "call", "tel", "phone", "fax", "card", "visa", "host", "from", "mail", "contact", "und", "der", "le", "que", "number", "no", "in", "total", "on"]
     octet = lambda: str(r.randint(0, 255))
     made = {
-        "email": [lambda: f"{low(5)}.{low(4)} (at) {low(6)}.com", lambda: f"{low(6)} [at] {low(5)} [dot] org", lambda: f"{low(4)}{d(2)}(at){low(5)}(dot)net", lambda: f"{low(6)}(at){low(5)}.org", lambda: f"{low(5)} @ {low(6)}.de"],
-        "ip": [lambda: f"{octet()}[.]{octet()}[.]{octet()}[.]{octet()}", lambda: f"{octet()}(dot){octet()}(dot){octet()}(dot){octet()}", lambda: f"{octet()} . {octet()} . {octet()} . {octet()}"],
+        "email": [lambda: f"{low(4)}.{low(5)} (at) {low(7)} (dot) co (dot) {low(2)}", lambda: f"{low(5)} [at] {low(6)} [dot] {low(3)} [dot] {low(2)}", lambda: f"{low(3)}.{low(6)} (at) {low(4)} (dot) {low(6)} (dot) com", lambda: f"{low(6)}(at){low(5)}(dot){low(3)}(dot){low(2)}", lambda: f"{low(5)}.{low(4)} (at) {low(6)}.com", lambda: f"{low(6)} [at] {low(5)} [dot] org", lambda: f"{low(4)}{d(2)}(at){low(5)}(dot)net", lambda: f"{low(6)}(at){low(5)}.org", lambda: f"{low(5)} @ {low(6)}.de"],
+        "ip": [lambda: f"{octet()} (dot) {octet()} (dot) {octet()} (dot) {octet()}", lambda: f"{octet()}[.]{octet()}[.]{octet()}[.]{octet()}", lambda: f"{octet()}(dot){octet()}(dot){octet()}(dot){octet()}", lambda: f"{octet()} . {octet()} . {octet()} . {octet()}"],
         "card": [lambda: ".".join(re.findall("....", _card_number(r))), lambda: "/".join(re.findall("....", _card_number(r))), lambda: "  ".join(re.findall("....", _card_number(r)))],
         "phone": [lambda: f"({d(3)}) {r.randint(2, 9)}{d(2)}-{d(4)}", lambda: f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}", lambda: f"{r.randint(2, 9)}{d(2)}.{d(3)}.{d(4)}"],
         "": [lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)} 1{d(1)}:{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", lambda: d(9), lambda: d(16), lambda: f"{d(3)} {d(2)} {d(3)} {d(2)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(3)}", lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)} {d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)} {d(4)}", lambda: f"{d(4)}-{d(4)}", lambda: f"v{d(1)}.{d(2)}.{d(3)} {d(8)}", lambda: f"{d(5)}.{d(4)} {d(3)}.{d(6)}"],
     }
     out = []
     for kind, forms in made.items():
-        for _ in range(each * (1 if kind else 3)):
+        for _ in range(each * {"": 3, "email": 3}.get(kind, 1)):
             before = " ".join(r.choice(words) for _ in range(r.randint(0, 3)))
             body, gap = r.choice(forms)(), " " if before else ""
             after = r.choice(["", ".", ","]) + r.choice(["", " " + r.choice(words)])
@@ -234,17 +234,6 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EP
     return weights
 
 
-def sample_of(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[tuple[str, list]]:
-    """Stretches of the corpus as clean examples: of ``limit`` documents with long numbers, first by hash of their text."""
-    has = docs.where(F.col("text").rlike(r"[0-9][0-9 ().\[\]/-]{5,}[0-9]|[(\[]at[)\]]"))
-    rows = has.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["h"]).orderBy("h").limit(limit).collect()
-    return [(part, []) for r in rows for _, part in list(stretches(r["text"], base_spans(r["text"])))[:3]]
-
-
-def train(docs: DataFrame, limit: int = SAMPLE_DOCS) -> dict[str, float]:
-    return fit(written_examples() + sample_of(docs, limit))
-
-
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """What the field adds; never overlaps a base span."""
     out: list[tuple[str, int, int]] = []
@@ -284,7 +273,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     looked at each; extra columns are ignored.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    known = train(slim) if weights is None else weights
+    known = fit(written_examples()) if weights is None else weights
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

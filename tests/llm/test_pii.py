@@ -88,3 +88,18 @@ def test_clean_documents_stay_clean(spark):
     for x in pii.find_pii(docs).join(docs, "doc_id").collect():
         assert x.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in plain_base(x.text)).encode()).hexdigest()
         assert re.search("[0-9@]", x.text) or not x.spans
+
+
+def test_what_is_left_beside_base_spans_is_scored():
+    weights = pii.fit(pii.written_examples())
+    found = lambda t: {t[s:e] for _, s, e in pii.added_spans(t, pii.base_spans(t), weights)}
+    assert found("host 10.0.0.5 415-555-2671") == {"415-555-2671"}
+    assert found("415-555-2671 10.0.0.5 617.555.0143") == {"415-555-2671", "617.555.0143"}
+    assert {t for _, t in pii.stretches("a 10.0.0.5 b", [("ip", 2, 10)])} == set()
+
+
+def test_long_written_forms_are_one_segment():
+    weights = pii.fit(pii.written_examples())
+    for kind, text in (("ip", "10 (dot) 2 (dot) 3 (dot) 4"), ("email", "john.smith (at) example (dot) co (dot) uk")):
+        whole = f"host {text}" if kind == "ip" else f"mail {text}"
+        assert pii.added_spans(whole, pii.base_spans(whole), weights) == [(kind, 5, len(whole))], whole
