@@ -311,8 +311,8 @@ def permutation_test(spark, d):
 
 
 def exact_permutation(spark, d):
-    rows = _mainshock_rows(spark, d).where("pop_sum_50km > 0").withColumn("x", F.log10("pop_sum_50km")).orderBy("mainshock_id").limit(7).withColumn("study", F.lit("first seven"))
-    found = resample.exact_permutation(rows, "x", "p", ["study"])
+    rows = _mainshock_rows(spark, d).where("pop_sum_50km > 0").withColumn("x", F.log10("pop_sum_50km")).withColumn("study", F.lit("all"))
+    found = resample.order_permutation(rows, "x", "p", ["study"], seed=P["seed"])
     return found.select("study", "n_orders", r("observed"), r("p_value"), r("null_lo"), r("null_hi"))
 
 
@@ -383,7 +383,7 @@ def perm_importance(spark, d):
 
 
 def scale_sensitivity(spark, d):
-    found = studies.scale_study(_mainshock_rows(spark, d), P["buffers"], exact=False)
+    found = studies.scale_study(_mainshock_rows(spark, d), P["buffers"])
     return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
 
 
@@ -409,7 +409,7 @@ def influence_subgroup(spark, d):
 
 
 def influence_scale(spark, d):
-    found = studies.scale_influence(_mainshock_rows(spark, d), P["buffers"], exact=False)
+    found = studies.scale_influence(_mainshock_rows(spark, d), P["buffers"])
     return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
 
 

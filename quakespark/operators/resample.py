@@ -168,6 +168,35 @@ def exact_permutation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFra
     return found.groupBy(*by).agg(F.count("*").alias("n_orders"), F.first("observed").alias("observed"), F.avg(hit).alias("p_value"), F.percentile("slope", 0.025).alias("null_lo"), F.percentile("slope", 0.975).alias("null_hi"))
 
 
+def order_permutation(rows: DataFrame, x: str, y: str, by: list[str], reps: int = 5000, seed: int = 7) -> DataFrame:
+    """exact_permutation for groups of up to MOST_EXACT rows; for larger ones ``reps`` seeded orders of all rows.
+
+    n_orders is then reps and the p (hits + 1) / (reps + 1).
+    """
+    block = 500
+    sized = settle(rows.dropna(subset=[x, y]).withColumn("_n", F.count("*").over(Window.partitionBy(*by))), "sized")
+    packed = sized.where(F.col("_n") > MOST_EXACT).groupBy(*by).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("v"))
+    dealt = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(block)))).repartition(*by, "start")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                pairs = sorted((v["x"], v["y"]) for v in r.v)
+                u, v = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+                u = u - u.mean()
+                if not (u @ u) > 0:
+                    continue
+                draw = np.random.default_rng([seed, r.start])
+                slopes_ = [(draw.permutation(v) @ u) / (u @ u) for _ in range(min(block, reps - r.start))]
+                yield pd.DataFrame({**{b: getattr(r, b) for b in by}, "slope": slopes_, "observed": (v @ u) / (u @ u)})
+
+    kinds = dict(rows.dtypes)
+    found = dealt.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double, observed double")
+    hit = (F.abs("slope") >= F.abs(F.col("observed")) - 1e-12).cast("long")
+    drawn = found.groupBy(*by).agg(F.count("*").alias("n_orders"), F.first("observed").alias("observed"), ((F.sum(hit) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile("slope", 0.025).alias("null_lo"), F.percentile("slope", 0.975).alias("null_hi"))
+    return exact_permutation(sized.where(F.col("_n") <= MOST_EXACT), x, y, by).unionByName(drawn)
+
+
 def orders_of(numbers: np.ndarray, n: int) -> np.ndarray:
     """The orders of n things with the given numbers, each a row."""
     digits = np.empty((len(numbers), n), dtype=np.int64)

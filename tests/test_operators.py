@@ -230,3 +230,11 @@ def test_correlations_guard_constants(spark):
     assert got["a"].pearson_r is None and got["a"].slope is None and got["b"].pearson_r == pytest.approx(-1) and got["b"].n == 2
 
 
+
+
+def test_order_permutation_takes_all_rows(spark):
+    rows = spark.range(11).selectExpr("'many' g", "id x", "id y").union(spark.range(5).selectExpr("'few' g", "id x", "id y"))
+    found = {r.g: r for r in resample.order_permutation(rows, "x", "y", ["g"], 1000, 7).collect()}
+    assert found["few"].n_orders == 120 and abs(found["few"].p_value - 2 / 120) < 1e-12
+    assert found["many"].n_orders == 1000 and found["many"].observed == 1 and found["many"].p_value == 1 / 1001
+    assert -0.8 < found["many"].null_lo < -0.4 and 0.4 < found["many"].null_hi < 0.8
