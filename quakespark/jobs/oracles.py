@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 #: Parameters of the registered queries, at every size of the tables.
 PARAMETERS = {
     "lat": (22.0, 35.0), "lon": (97.5, 105.5), "candidate_mag": 4.5, "window_days": 2.0, "most": 30, "radius_km": 400.0, "days": 10.0, "min_mag": 1.0,
-    "rings": (0.0, 50.0, 150.0, 400.0), "least": 25, "depths": [0.0, 10.0, 20.0, 40.0, 80.0, 300.0], "buffers": (10, 25, 50), "tmin": 0.01, "reps": 20, "draws": 20, "seed": 7,
+    "rings": (0.0, 50.0, 150.0, 400.0), "least": 25, "depths": [0.0, 10.0, 20.0, 40.0, 80.0, 300.0], "buffers": (10, 25, 50), "tmin": 0.01, "seed": 7,
+    "least_mainshock": 30, "least_relaxed": 10, "draws": 200, "reps": 20, "reps_corr": 400, "reps_fe": 2000, "reps_permutation": 5000, "reps_uncertainty": 1000, "reps_influence": 1000,
 }
 P = PARAMETERS
 
@@ -23,6 +26,29 @@ def _draw(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
 
+def _poisson(h: str) -> str:
+    """A Poisson number of mean one from 32 bits."""
+    total, term, ends = 0.0, math.exp(-1), []
+    for k in range(10):
+        total += term
+        term /= k + 1
+        ends.append(f"CAST({h} / 4294967296e0 >= {total!r}e0 AS INT)")
+    return " + ".join(ends)
+
+
+def _grid(name: str, source: str, by: str, gate: int = 0, weight: str = "1") -> str:
+    """Tables that end with ``name``: the best grid point by ``by``, with n, k, c, p, nll."""
+    enough = f"SELECT {by} FROM {source} GROUP BY ALL HAVING count(*) >= {gate}"
+    return f"""
+    {name}_sums AS (
+        SELECT {by}, i, c, sum({weight}) AS n, sum({weight} * ln(t_days + c)) AS logs FROM {source} {f"JOIN ({enough}) USING ({by})" if gate else ""}, cs
+        WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY {by}, i, c HAVING sum({weight}) >= 20),
+    {name}_k AS (SELECT s.*, j, p, n / ((pow({P['days']}e0 + c, 1 - p) - pow({P['tmin']}e0 + c, 1 - p)) / (1 - p)) AS k FROM {name}_sums s, ps),
+    {name} AS MATERIALIZED (
+        SELECT *, CAST(n AS BIGINT) AS n_events, n - n * ln(k) + p * logs AS nll FROM {name}_k
+        QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY round(n - n * ln(k) + p * logs, 9), i, j) = 1)"""
+
+
 M = P["least"]
 WINDOW, SPAN = int(P["window_days"] * 86400e6), int(P["days"] * 86400e6)
 
@@ -39,7 +65,7 @@ kept(t) AS (
     UNION ALL
     SELECT min(c.time_us) FROM kept k JOIN cand c ON c.time_us >= k.t + {WINDOW} HAVING min(c.time_us) IS NOT NULL),
 ms AS (
-    SELECT usgs_id, time_us, mag, lat, lon FROM cand WHERE time_us IN (SELECT t FROM kept ORDER BY t LIMIT {P['most']})
+    SELECT usgs_id, time_us, mag, lat, lon, depth_km, place FROM cand WHERE time_us IN (SELECT t FROM kept ORDER BY t LIMIT {P['most']})
     QUALIFY row_number() OVER (PARTITION BY time_us ORDER BY usgs_id) = 1),
 aft0 AS (
     SELECT m.usgs_id AS mainshock_id, m.mag AS mainshock_mag, m.lat AS c_lat, m.lon AS c_lon, c.usgs_id, c.time_us, c.lat, c.lon, c.depth_km, c.mag,
@@ -85,9 +111,11 @@ near AS (SELECT * FROM near0 WHERE dist_km <= {P['radius_km']}),
 buf AS (
     SELECT m.usgs_id AS mainshock_id, {', '.join(f"{f}(pop) FILTER (dist_km <= {r}) AS pop_{n}_{r}km" for r in P['buffers'] for n, f in (('sum', 'sum'), ('mean', 'avg'), ('max', 'max')))}
     FROM ms m LEFT JOIN near n ON n.mainshock_id = m.usgs_id GROUP BY 1),
+cs AS (SELECT i, exp(ln(1e-6) + (ln(10e0) - ln(1e-6)) * i / 39) AS c FROM range(0, 40) t(i)),
+ps AS (SELECT j, 0.2e0 + 4.8e0 * j / 59 AS p FROM range(0, 60) t(j)),
+{_grid("fitted", "rec", "mainshock_id, subgroup_type, subgroup", M)},
 fits AS (
-    SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, mainshock_id, subgroup_type, subgroup, count(*) AS n_events, avg(ln(mag)) AS p
-    FROM rec GROUP BY ALL),
+    SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, mainshock_id, subgroup_type, subgroup, n_events, p FROM fitted),
 pops AS (
     SELECT record_id, sum(pop) AS pop_sum_subgroup, avg(pop) AS pop_mean_subgroup, max(pop) AS pop_max_subgroup
     FROM fits f JOIN near n ON f.mainshock_id = n.mainshock_id
@@ -99,14 +127,18 @@ sub AS (SELECT f.*, pop_sum_subgroup, pop_mean_subgroup, pop_max_subgroup FROM f
 samp AS (
     SELECT *, log10(pop_sum_subgroup) AS x, ln(n_events) AS z FROM sub
     WHERE subgroup <> 'all_depth' AND NOT (subgroup_type = 'ring' AND subgroup = '0-400km') AND n_events >= {M} AND pop_sum_subgroup > 0),
+{_grid("shockfits", "aft", "mainshock_id", P["least_mainshock"])},
 msr AS (
-    SELECT mainshock_id, count(*) AS n_events, avg(ln(mag)) AS p, any_value(mainshock_mag) AS mainshock_mag FROM aft GROUP BY 1),
+    SELECT f.mainshock_id, f.n_events, f.p, m.mag AS mainshock_mag FROM shockfits f JOIN ms m ON m.usgs_id = f.mainshock_id),
 msrows AS (SELECT * FROM msr LEFT JOIN buf USING (mainshock_id)),
-draws AS (
-    SELECT mainshock_id AS record_id, rep AS draw, avg(ln(mag)) AS p_boot FROM aft, range(1, {P['draws'] + 1}) t(rep)
-    WHERE {_draw(str(P['seed']), 'rep', 'mainshock_id', 'usgs_id')} % 2 = 0 GROUP BY ALL),
+hashed AS (
+    SELECT mainshock_id AS record_id, rep AS draw, t_days, {_draw(str(P['seed']), 'rep', 'mainshock_id', 'usgs_id')} AS h FROM aft, range(1, {P['draws'] + 1}) t(rep)),
+taken AS (SELECT record_id, draw, t_days, {_poisson('h')} AS times FROM hashed),
+{_grid("drawn0", "taken", "record_id, draw", 0, "times")},
+draws AS (SELECT record_id, draw, p AS p_boot FROM drawn0),
+dm0 AS (SELECT record_id, mainshock_id, x, z, p AS y, CAST(subgroup_type = 'region' AS DOUBLE) AS r, CAST(subgroup_type = 'ring' AS DOUBLE) AS g FROM samp),
 dm AS (
-    SELECT record_id, mainshock_id, x - avg(x) OVER g AS x, z - avg(z) OVER g AS z, p - avg(p) OVER g AS y FROM samp WINDOW g AS (PARTITION BY mainshock_id)),
+    SELECT record_id, mainshock_id, x - avg(x) OVER w AS x, z - avg(z) OVER w AS z, r - avg(r) OVER w AS r, g - avg(g) OVER w AS g, y - avg(y) OVER w AS y FROM dm0 WINDOW w AS (PARTITION BY mainshock_id)),
 kinds AS (
     SELECT *, (sum(p) OVER k - p) / nullif(count(*) OVER k - 1, 0) AS predicted FROM samp WINDOW k AS (PARTITION BY subgroup_type)),
 known AS (SELECT * FROM kinds WHERE predicted IS NOT NULL),
@@ -130,34 +162,49 @@ def _corr(a: str, b: str) -> str:
     return f"round(CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN corr({a}, {b}) END, 6)"
 
 
-def _two(sums: str) -> str:
-    """The first slope from sums of products of x, z and y."""
-    return f"CASE WHEN sxx * szz - sxz * sxz > 1e-10 * sxx * szz THEN (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) ELSE sxy / sxx END AS {sums}"
+def _swept(source: str, name: str, part: str = "", w: str = "") -> str:
+    """Tables that end with ``name``: z, r, g made orthogonal one after another, and y freed of them; x stays."""
+    over = f"OVER ({'PARTITION BY ' + part if part else ''})"
+
+    def less(a: str, q: str) -> str:
+        return f"{a} - {q} * coalesce(sum({w}{a} * {q}) {over} / CASE WHEN sum({w}{q} * {q}) {over} > 1e-9 THEN sum({w}{q} * {q}) {over} END, 0) AS {a}"
+
+    return f""", {name}1 AS (SELECT * REPLACE ({less('r', 'z')}, {less('g', 'z')}, {less('y', 'z')}) FROM {source}),
+    {name}2 AS (SELECT * REPLACE ({less('g', 'r')}, {less('y', 'r')}) FROM {name}1),
+    {name} AS (SELECT * REPLACE ({less('y', 'g')}) FROM {name}2)"""
+
+
+def _slope(w: str = "") -> str:
+    """x's coefficient from what _swept gives, as an aggregate."""
+    gone = "".join(f" - coalesce(pow(sum({w}x * {q}), 2) / CASE WHEN sum({w}{q} * {q}) > 1e-9 THEN sum({w}{q} * {q}) END, 0)" for q in "zrg")
+    return f"sum({w}x * y) / (sum({w}x * x){gone}) AS slope"
 
 
 _SUMS = ", ".join(f"sum({{w}}{a} * {b}) AS s{a}{b}" for a, b in (("x", "x"), ("z", "z"), ("x", "z"), ("x", "y"), ("z", "y"), ("y", "y")))
 
 _CATALOG = "SELECT usgs_id, {time} AS time_us, round(lat, 9) AS lat, round(lon, 9) AS lon, depth_km, round(mag, 9) AS mag, place FROM cat"
 
-_PERMUTED = f"""
-    , placed AS (SELECT record_id, mainshock_id, x, z, y, row_number() OVER (PARTITION BY mainshock_id ORDER BY record_id) AS n FROM dm),
+_PERMUTED = _swept("dm", "sw") + f"""
+    , placed AS (SELECT *, row_number() OVER (PARTITION BY mainshock_id ORDER BY record_id) AS n FROM sw),
     given AS (
         SELECT rep, mainshock_id, x, row_number() OVER (PARTITION BY mainshock_id, rep ORDER BY md5(concat_ws('|', {P['seed']}, rep, record_id)), record_id) AS n
-        FROM placed, range(1, {{reps}} + 1) t(rep)),
+        FROM placed, range(1, {P['reps_permutation']} + 1) t(rep)),
     every AS (
-        SELECT g.rep, p.record_id, g.x, p.z, p.y FROM given g JOIN placed p ON g.mainshock_id = p.mainshock_id AND g.n = p.n
-        UNION ALL SELECT 0, record_id, x, z, y FROM dm),
-    perrep AS (SELECT rep, {_SUMS.format(w='')} FROM every GROUP BY 1),
-    slopes AS (SELECT rep, {_two('slope')} FROM perrep)
+        SELECT v.rep, v.x, p.z, p.r, p.g, p.y FROM given v JOIN placed p ON v.mainshock_id = p.mainshock_id AND v.n = p.n
+        UNION ALL SELECT 0, x, z, r, g, y FROM sw),
+    slopes AS (SELECT rep, {_slope()} FROM every GROUP BY 1)
 """
 
-_DRAWN = f"""
-    , lv AS (SELECT mainshock_id, row_number() OVER (ORDER BY mainshock_id) - 1 AS place, count(*) OVER () AS g FROM (SELECT DISTINCT mainshock_id FROM samp)),
+
+def _drawn(reps: int) -> str:
+    return f"""
+    , lv AS (SELECT mainshock_id, row_number() OVER (ORDER BY mainshock_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT mainshock_id FROM samp)),
     times AS (
-        SELECT rep, {_draw(str(P['seed']), 'rep', 'place')} % g AS place, count(*) AS times FROM lv, range(1, {P['reps'] + 1}) t(rep) GROUP BY ALL),
+        SELECT rep, {_draw(str(P['seed']), 'rep', 'place')} % n AS place, count(*) AS times FROM lv, range(1, {reps + 1}) t(rep) GROUP BY ALL),
     drawn AS (SELECT rep, mainshock_id, times FROM times JOIN lv USING (place))
 """
 
+
 _BODIES = {
     "event_catalog": _CATALOG.format(time="time_us"),
     "geojson_roundtrip": _CATALOG.format(time="time_us // 1000 * 1000"),
@@ -165,12 +212,15 @@ _BODIES = {
     "mainshock_top1": "SELECT place, usgs_id, time_us, round(mag, 9) AS mag FROM cat WHERE mag IS NOT NULL QUALIFY row_number() OVER (PARTITION BY place ORDER BY mag DESC, time_us, usgs_id) = 1",
     "declustered_mainshocks": "SELECT usgs_id, time_us, round(mag, 9) AS mag FROM ms",
     "aftershock_join": "SELECT mainshock_id, usgs_id, round(t_days, 6) AS t_days, round(dist_km, 6) AS dist_km FROM aft",
-    "catalog_clean": """, two AS (SELECT * FROM ms ORDER BY mag DESC, time_us LIMIT 2)
+    "catalog_clean": f"""
         SELECT t.usgs_id AS mainshock_id, count(*) AS n_events, round(min((c.time_us - t.time_us) / 86400e6), 6) AS first_days, round(sum((c.time_us - t.time_us) / 86400e6), 3) AS sum_days
-        FROM cat c JOIN two t ON c.time_us > t.time_us AND c.usgs_id <> t.usgs_id
-        WHERE c.mag BETWEEN -1 AND 10 AND (c.depth_km IS NULL OR c.depth_km BETWEEN -5 AND 800) GROUP BY 1""",
+        FROM cat c JOIN ms t ON c.time_us > t.time_us AND c.time_us <= t.time_us + {SPAN} AND c.usgs_id <> t.usgs_id
+        WHERE c.mag BETWEEN -1 AND 10 AND (c.depth_km IS NULL OR c.depth_km BETWEEN -5 AND 800) AND {_distance('6371e0', 'c.lat', 'c.lon', 't.lat', 't.lon')} <= {P['radius_km']} GROUP BY 1""",
+    "mainshock_list": "SELECT usgs_id, time_us, round(lat, 9) AS lat, round(lon, 9) AS lon, depth_km, round(mag, 9) AS mag, place FROM ms",
+    "fits_roundtrip": "SELECT mainshock_id, mainshock_id || '|mainshock|all' AS record_id, n_events, round(p, 6) AS p FROM msr",
+    "line_fit": "SELECT 'mainshock' AS scope, count(*) AS n, round(regr_slope(p, log10(pop_sum_50km)), 6) AS slope, round(regr_intercept(p, log10(pop_sum_50km)), 6) AS intercept FROM msrows WHERE pop_sum_50km > 0 AND p IS NOT NULL",
     "catalog_summary": "SELECT mainshock_id, count(*) AS n_rows, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in ("mag", "depth_km", "t_days") for f in ("min", "max")) + " FROM aft GROUP BY 1",
-    "events_per_mainshock": f"SELECT m.usgs_id AS mainshock_id, round(any_value(m.mag), 9) AS mainshock_mag, count(a.usgs_id) AS n_events, CAST({P['radius_km']} AS DOUBLE) AS radius_km, CAST({P['days']} AS DOUBLE) AS days FROM ms m LEFT JOIN aft a ON a.mainshock_id = m.usgs_id GROUP BY 1",
+    "events_per_mainshock": f"SELECT m.usgs_id, any_value(m.time_us) AS time_us, round(any_value(m.mag), 9) AS mag, round(any_value(m.lat), 9) AS lat, round(any_value(m.lon), 9) AS lon, any_value(m.depth_km) AS depth_km, any_value(m.place) AS place, count(a.usgs_id) AS aftershocks_n, CAST({P['radius_km']} AS DOUBLE) AS radius_km, CAST({P['days']} AS DOUBLE) AS days_after, CAST({P['min_mag']} AS DOUBLE) AS minmag FROM ms m LEFT JOIN aft a ON a.mainshock_id = m.usgs_id GROUP BY 1",
     "circle_boxes": "SELECT usgs_id AS mainshock_id, round(lat - 400e0 / 111, 6) AS lat_min, round(lat + 400e0 / 111, 6) AS lat_max, round(lon - 400e0 / (111e0 * greatest(cos(radians(lat)), 1e-6)), 6) AS lon_min, round(lon + 400e0 / (111e0 * greatest(cos(radians(lat)), 1e-6)), 6) AS lon_max FROM ms",
     "depth_group_counts": f"SELECT mainshock_id, {_depth('depth_km')} AS depth_group, count(*) AS n FROM aft GROUP BY ALL",
     "half_plane_counts": "SELECT mainshock_id, subgroup AS region, count(*) AS n FROM rec0 WHERE subgroup_type = 'region' GROUP BY ALL",
@@ -179,14 +229,7 @@ _BODIES = {
     "merged_rings": "SELECT mainshock_id, lo, hi FROM rings",
     "subgroup_expand": "SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, subgroup_type, subgroup, count(*) AS n FROM rec0 GROUP BY ALL",
     "omori_nll": f"SELECT mainshock_id, count(*) AS n_events, round(50e0 * (pow(10.05e0, 1 - 1.1e0) - pow(0.06e0, 1 - 1.1e0)) / (1 - 1.1e0) - (count(*) * ln(50e0) - 1.1e0 * sum(ln(t_days + 0.05e0))), 4) AS nll FROM aft WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY 1",
-    "omori_grid_fit": f"""
-        , cs AS (SELECT i, exp(ln(1e-6) + (ln(10e0) - ln(1e-6)) * i / 39) AS c FROM range(0, 40) t(i)),
-        ps AS (SELECT j, 0.2e0 + 4.8e0 * j / 59 AS p FROM range(0, 60) t(j)),
-        sums AS (SELECT mainshock_id, i, c, count(*) AS n, sum(ln(t_days + c)) AS logs FROM aft, cs WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY ALL HAVING count(*) >= 20),
-        ks AS (SELECT *, n / ((pow({P['days']}e0 + c, 1 - p) - pow({P['tmin']}e0 + c, 1 - p)) / (1 - p)) AS k FROM sums, ps),
-        tried AS (SELECT *, n - n * ln(k) + p * logs AS nll FROM ks)
-        SELECT mainshock_id, n AS n_events, round(k, 4) AS k, round(c, 9) AS c, round(p, 6) AS p, round(nll, 4) AS nll FROM tried
-        QUALIFY row_number() OVER (PARTITION BY mainshock_id ORDER BY round(nll, 9), i, j) = 1""",
+    "omori_grid_fit": ", " + _grid("best", "aft", "mainshock_id") + " SELECT mainshock_id, n_events, round(k, 4) AS k, round(c, 9) AS c, round(p, 6) AS p, round(nll, 4) AS nll FROM best",
     "bootstrap_intervals": "SELECT record_id, count(p_boot) AS n_draws, round(quantile_cont(p_boot, 0.025), 6) AS p_lo, round(quantile_cont(p_boot, 0.5), 6) AS p_median, round(quantile_cont(p_boot, 0.975), 6) AS p_hi, avg(CAST(p_boot < 0 AS DOUBLE)) AS below_zero FROM draws GROUP BY 1",
     "binned_rate": f"""
         , b AS (SELECT mainshock_id, CAST(least(floor(ln(t_days / {P['tmin']}) * 20 / ln({P['days'] / P['tmin']}e0)), 19) AS INT) AS bin, count(*) AS n FROM aft WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY ALL),
@@ -211,21 +254,21 @@ _BODIES = {
         e AS (SELECT *, syy - b1 * sxy - b2 * szy AS rss FROM b),
         t AS (SELECT 'log10_pop' AS term, b1 AS coef, sqrt(rss / (n - 3) * szz / det) AS se, n, rss, syy FROM e UNION ALL SELECT 'log_n_events', b2, sqrt(rss / (n - 3) * sxx / det), n, rss, syy FROM e)
         SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 5) AS t, n, n - 3 AS dof, round(1 - rss / syy, 6) AS r2, round(1 - rss / syy * (n - 1) / (n - 3), 6) AS adj_r2 FROM t""",
-    "within_fe_slope": f", s AS (SELECT {_SUMS.format(w='')} FROM dm), b AS (SELECT {_two('slope')} FROM s) SELECT round(slope, 6) AS slope FROM b",
+    "within_fe_slope": _swept("dm", "sw") + f", b AS (SELECT {_slope()} FROM sw) SELECT round(slope, 6) AS slope FROM b",
     "loo_corr": f"""
         , o AS (SELECT g.mainshock_id AS omitted, s.x, s.p FROM (SELECT DISTINCT mainshock_id FROM samp) g JOIN samp s ON s.mainshock_id <> g.mainshock_id UNION ALL SELECT '(none)', x, p FROM samp),
         k AS (SELECT *, {_ranks('omitted')} FROM o)
         SELECT omitted, count(*) AS n, {_corr('x', 'p')} AS pearson_r, {_corr('rx', 'ry')} AS spearman_rho FROM k GROUP BY 1""",
-    "cluster_boot_corr": _DRAWN + f""", e AS (SELECT d.rep, s.x, s.p FROM drawn d JOIN samp s USING (mainshock_id), range(1, 1000) t(i) WHERE i <= times),
+    "cluster_boot_corr": _drawn(P["reps_corr"]) + f""", e AS (SELECT d.rep, s.x, s.p FROM drawn d JOIN samp s USING (mainshock_id), range(1, 1000) t(i) WHERE i <= times),
         k AS (SELECT *, {_ranks('rep')} FROM e)
         SELECT CAST(rep AS INT) AS rep, count(*) AS n, {_corr('x', 'p')} AS pearson_r, {_corr('rx', 'ry')} AS spearman_rho FROM k GROUP BY 1""",
-    "cluster_boot_fe": _DRAWN + f""", s AS (SELECT rep, {_SUMS.format(w='times * ')} FROM drawn JOIN dm USING (mainshock_id) GROUP BY 1),
-        b AS (SELECT rep, {_two('slope')} FROM s) SELECT CAST(rep AS INT) AS rep, round(slope, 6) AS slope FROM b""",
+    "cluster_boot_fe": _drawn(P["reps_fe"]) + ", wd AS (SELECT rep, times, x, z, r, g, y FROM drawn JOIN dm USING (mainshock_id))" + _swept("wd", "sw", "rep", "times * ") + f"""
+        , b AS (SELECT rep, {_slope('times * ')} FROM sw GROUP BY 1) SELECT CAST(rep AS INT) AS rep, round(slope, 6) AS slope FROM b""",
     "within_permute": f"""
         , pl AS (SELECT record_id, mainshock_id, pop_sum_subgroup, row_number() OVER (PARTITION BY mainshock_id ORDER BY record_id) AS n FROM samp),
         gv AS (SELECT rep, mainshock_id, pop_sum_subgroup, row_number() OVER (PARTITION BY mainshock_id, rep ORDER BY md5(concat_ws('|', {P['seed']}, rep, record_id)), record_id) AS n FROM pl, range(1, {P['reps'] + 1}) t(rep))
         SELECT CAST(rep AS INT) AS rep, g.mainshock_id, p.record_id, round(g.pop_sum_subgroup, 4) AS pop_sum_subgroup FROM gv g JOIN pl p ON g.mainshock_id = p.mainshock_id AND g.n = p.n""",
-    "permutation_test": _PERMUTED.format(reps=200) + """
+    "permutation_test": _PERMUTED + """
         SELECT round(any_value(o.slope), 6) AS observed, count(*) AS n_perm, round((count(*) FILTER (abs(s.slope) >= abs(o.slope)) + 1) / (count(*) + 1), 6) AS p_value,
                round(avg(s.slope), 6) AS null_mean, round(quantile_cont(s.slope, 0.025), 6) AS null_lo, round(quantile_cont(s.slope, 0.975), 6) AS null_hi
         FROM slopes s, (SELECT slope FROM slopes WHERE rep = 0) o WHERE s.rep > 0""",

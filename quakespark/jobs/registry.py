@@ -1,9 +1,11 @@
 """All queries of the library by name, with their SQL equivalents.
 
 ``events`` is read as the catalog and ``orders`` as the population grid. The
-statistics queries take the mean log magnitude of a subgroup as their outcome p,
-so that the whole chain can be said in SQL; the decay fits have queries of
-their own.
+tables of the study (mainshocks, aftershocks, subgroups, samples) are made once
+for a session and folder and shared by its queries, as a study's jobs do. In
+the statistics queries p is the decay exponent of the likelihood's best grid
+point, which SQL can find as well; the omori_* queries take the refined fits,
+with their bootstrap, through exposure, regression and prediction.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from quakespark.functions.labels import depth_group, interval_label
 from quakespark.jobs import oracles, studies
 from quakespark.operators import catalog as cat
 from quakespark.operators import exposure, logo, omori, resample, segments, stats
-from quakespark.sources import adapters, geojson
-from quakespark.sources.tables import scratch_dir, settle
+from quakespark.sources import adapters, geojson, sinks
+from quakespark.sources.tables import made_once, scratch_dir, settle
 
 P = oracles.PARAMETERS
+RECORD = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -32,51 +35,106 @@ def _candidates(spark, d):
     return cat.search(_catalog(spark, d), P["lat"], P["lon"], min_mag=P["candidate_mag"])
 
 
-def _mainshocks(spark, d) -> DataFrame:
-    return settle(cat.decluster(_candidates(spark, d), P["window_days"], P["most"]), "mainshocks")
+_mainshocks = made_once("mainshocks", lambda spark, d: cat.decluster(_candidates(spark, d), P["window_days"], P["most"]))
 
 
-def _aftershocks(spark, d, settled: bool = True) -> DataFrame:
-    found = cat.aftershocks(_catalog(spark, d), _mainshocks(spark, d), P["radius_km"], P["days"], P["min_mag"])
-    return settle(found, "aftershocks") if settled else found
+def _joined(spark, d) -> DataFrame:
+    return cat.aftershocks(_catalog(spark, d), _mainshocks(spark, d), P["radius_km"], P["days"], P["min_mag"])
 
 
-def _rings(events: DataFrame) -> DataFrame:
-    return segments.merged_rings(events, P["rings"], P["least"])
+_aftershocks = made_once("aftershocks", _joined)
+_rings = made_once("rings", lambda spark, d: segments.merged_rings(_aftershocks(spark, d), P["rings"], P["least"]))
 
 
-def _records(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Aftershocks dealt to subgroups (fixed depth groups, half-planes, merged rings), and the mainshocks' columns."""
+def _shocks(spark, d) -> DataFrame:
+    """The columns of the mainshocks that have aftershocks."""
+    return _aftershocks(spark, d).groupBy("mainshock_id").agg(F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+
+
+def _records(spark, d) -> DataFrame:
+    """Aftershocks dealt to subgroups: fixed depth groups, half-planes, merged rings."""
     events = _aftershocks(spark, d)
-    dealt = segments.expand(events, _rings(events), carry=("t_days", "mag"))
-    fixed = events.select("mainshock_id", F.lit("depth").alias("subgroup_type"), depth_group(F.col("depth_km"), P["depths"]).alias("subgroup"), "t_days", "mag")
-    fixed = fixed.withColumn("record_id", F.concat_ws("|", "mainshock_id", "subgroup_type", "subgroup"))
-    return dealt.unionByName(fixed), events.groupBy("mainshock_id").agg(F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+    dealt = segments.expand(events, _rings(spark, d))
+    fixed = events.select("mainshock_id", F.lit("depth").alias("subgroup_type"), depth_group(F.col("depth_km"), P["depths"]).alias("subgroup"), "t_days")
+    return dealt.unionByName(fixed.withColumn("record_id", F.concat_ws("|", "mainshock_id", "subgroup_type", "subgroup")))
 
 
-def _subgroups(spark, d) -> DataFrame:
-    records, shocks = _records(spark, d)
-    keys = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
-    fits = settle(records.groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg(F.log("mag")).alias("p")), "fits")
+def _with_exposure(spark, d, fits: DataFrame) -> DataFrame:
+    shocks = settle(_shocks(spark, d), "shocks")
     pop = exposure.subgroup_exposure(adapters.pixels(spark, d), shocks, fits, P["radius_km"])
-    return settle(fits.join(pop, keys[1:], "left").join(shocks.select("mainshock_id", "mainshock_mag"), "mainshock_id", "left"), "subgroups")
+    return fits.join(pop, RECORD[1:], "left").join(shocks.select("mainshock_id", "mainshock_mag"), "mainshock_id", "left")
+
+
+def _grid_subgroups(spark, d) -> DataFrame:
+    fits = omori.grid_fit(_records(spark, d), RECORD, P["tmin"], P["days"], raw=P["least"])
+    return _with_exposure(spark, d, settle(fits.select(*RECORD, "n_events", "p"), "fits"))
+
+
+_subgroups = made_once("subgroups", _grid_subgroups)
+
+
+def _sampled(subgroups: DataFrame) -> DataFrame:
+    return stats.with_terms(stats.analysis_sample(subgroups, P["radius_km"], P["least"]))
 
 
-def _sample(spark, d) -> DataFrame:
-    return settle(stats.analysis_sample(_subgroups(spark, d), P["radius_km"], P["least"]).withColumn("log10_pop", F.log10("pop_sum_subgroup")).withColumn("log_n_events", F.log(F.col("n_events").cast("double"))), "sample")
+_sample = made_once("sample", lambda spark, d: _sampled(_subgroups(spark, d)))
 
 
-def _mainshock_rows(spark, d) -> DataFrame:
+def _shock_rows(spark, d) -> DataFrame:
     events = _aftershocks(spark, d)
-    rows = events.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.avg(F.log("mag")).alias("p"), F.first("mainshock_mag").alias("mainshock_mag"), F.first("c_lat").alias("c_lat"), F.first("c_lon").alias("c_lon"))
+    fits = omori.grid_fit(events, ["mainshock_id"], P["tmin"], P["days"], raw=P["least_mainshock"]).select("mainshock_id", "n_events", "p")
     pop = exposure.buffers(adapters.pixels(spark, d), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]))
-    return settle(stats.merge_with_exposure(rows, pop.withColumnRenamed("mainshock_id", "usgs_id"), "mainshock_id", "usgs_id").drop("c_lat", "c_lon"), "mainshock_rows")
+    rows = fits.join(_shocks(spark, d).select("mainshock_id", "mainshock_mag"), "mainshock_id")
+    return stats.merge_with_exposure(rows, pop.withColumnRenamed("mainshock_id", "usgs_id"), "mainshock_id", "usgs_id")
 
 
-def _draws(spark, d) -> DataFrame:
-    """P['draws'] draws for each mainshock: mean log magnitude of a hashed half of its aftershocks."""
-    half = resample.repetitions(_aftershocks(spark, d).select("mainshock_id", "usgs_id", "mag"), P["draws"]).where(resample.draw_integer(F.lit(P["seed"]), F.col("rep"), F.col("mainshock_id"), F.col("usgs_id")) % 2 == 0)
-    return half.groupBy(F.col("mainshock_id").alias("record_id"), F.col("rep").alias("draw")).agg(F.avg(F.log("mag")).alias("p_boot"))
+_mainshock_rows = made_once("mainshock_rows", _shock_rows)
+
+
+def _drawn(spark, d) -> DataFrame:
+    """P['draws'] draws for each mainshock: the decay exponent of its aftershocks, each taken a Poisson number of times."""
+    every = resample.repetitions(_aftershocks(spark, d).select(F.col("mainshock_id").alias("record_id"), "usgs_id", "t_days"), P["draws"]).withColumnRenamed("rep", "draw")
+    times = omori.poisson(resample.draw_integer(F.lit(P["seed"]), F.col("draw"), F.col("record_id"), F.col("usgs_id")))
+    taken = every.withColumn("times", times).where("times > 0")
+    return omori.grid_fit(taken, ["record_id", "draw"], P["tmin"], P["days"], weight=F.col("times")).select("record_id", "draw", F.col("p").alias("p_boot"))
+
+
+_draws = made_once("draws", _drawn)
+
+
+# ---- the refined fits
+
+
+def _fitted(spark, d) -> DataFrame:
+    """Fits of every subgroup of mainshocks with enough events, relaxed rows too."""
+    events = _aftershocks(spark, d)
+    enough = events.groupBy("mainshock_id").agg(F.count("*").alias("n")).where(F.col("n") >= P["least_mainshock"]).select("mainshock_id")
+    events = events.join(settle(enough, "enough"), "mainshock_id", "left_semi")
+    dealt = segments.expand(events, _rings(spark, d), segments.depth_segments(events, P["least"]))
+    fits = omori.fit(dealt, RECORD, P["tmin"], P["days"], raw=P["least"])
+    return fits.unionByName(omori.relaxed(omori.fit(events, ["mainshock_id"], P["tmin"], P["days"], raw=P["least_relaxed"]), fits))
+
+
+_fits = made_once("omori_fits", _fitted)
+
+
+def _resampled(spark, d) -> DataFrame:
+    """P['draws'] bootstrap draws for each fitted subgroup; relaxed rows have none."""
+    events = _aftershocks(spark, d)
+    dealt = segments.expand(events, _rings(spark, d), segments.depth_segments(events, P["least"]), carry=("t_days", "usgs_id"))
+    return omori.bootstrap(dealt, _fits(spark, d).where("subgroup <> 'all_relaxed'"), P["tmin"], P["days"], P["draws"], P["seed"])
+
+
+_boots = made_once("omori_draws", _resampled)
+
+
+def _decay(spark, d) -> DataFrame:
+    ends = omori.intervals(_boots(spark, d), "p_boot", ["record_id"]).select("record_id", "p_lo", "p_hi")
+    return _with_exposure(spark, d, _fits(spark, d).join(ends, "record_id", "left"))
+
+
+_decays = made_once("omori_subgroups", _decay)
+_decay_sample = made_once("omori_sample", lambda spark, d: _sampled(_decays(spark, d)))
 
 
 def r(c: str, k: int = 6):
@@ -110,22 +168,32 @@ def declustered_mainshocks(spark, d):
 
 
 def aftershock_join(spark, d):
-    return _aftershocks(spark, d, False).select("mainshock_id", "usgs_id", r("t_days"), r("dist_km"))
+    return _joined(spark, d).select("mainshock_id", "usgs_id", r("t_days"), r("dist_km"))
 
 
 def catalog_clean(spark, d):
-    runs = _catalog(spark, d).crossJoin(F.broadcast(_mainshocks(spark, d).orderBy(F.desc("mag"), "time_us").limit(2).select(F.col("usgs_id").alias("run"))))  # two runs
-    kept = cat.clean_run(runs, _mainshocks(spark, d), True)
+    """What a download of each mainshock's circle holds, a day before it too, cleaned."""
+    around = cat.mainshock_columns(_mainshocks(spark, d)).withColumn("ms_time_us", F.col("ms_time_us") - cat.DAY_US)
+    runs = cat.near_pairs(_catalog(spark, d), around, P["radius_km"], span_us=int((P["days"] + 1) * cat.DAY_US)).withColumnRenamed("mainshock_id", "run")
+    kept = cat.clean_run(runs.select("run", *_catalog(spark, d).columns), _mainshocks(spark, d), True)
     return kept.groupBy("mainshock_id").agg(F.count("*").alias("n_events"), F.round(F.min("t_days"), 6).alias("first_days"), F.round(F.sum("t_days"), 3).alias("sum_days"))
 
 
 def catalog_summary(spark, d):
-    s = cat.summary(_aftershocks(spark, d, False), ["mainshock_id"])
+    s = cat.summary(_joined(spark, d), ["mainshock_id"])
     return s.select("mainshock_id", "n_rows", *[r(c) for c in s.columns[2:]])
 
 
 def events_per_mainshock(spark, d):
-    return cat.run_index(_mainshocks(spark, d), _aftershocks(spark, d, False), radius_km=P["radius_km"], days=P["days"]).withColumn("mainshock_mag", F.round("mainshock_mag", 9))
+    found = cat.run_index(_mainshocks(spark, d), _joined(spark, d), radius_km=P["radius_km"], days_after=P["days"], minmag=P["min_mag"])
+    return found.withColumns({c: r(c, 9) for c in ("mag", "lat", "lon")})
+
+
+def mainshock_list(spark, d):
+    """The mainshocks written as a list and read back."""
+    path = f"{scratch_dir(spark)}/mainshocks-{uuid.uuid4().hex}"
+    sinks.write_mainshocks(_mainshocks(spark, d), path)
+    return sinks.read_mainshocks(spark, path, lines=True).select("usgs_id", "time_us", r("lat", 9), r("lon", 9), "depth_km", r("mag", 9), "place")
 
 
 def circle_boxes(spark, d):
@@ -137,75 +205,134 @@ def circle_boxes(spark, d):
 
 
 def depth_group_counts(spark, d):
-    return _aftershocks(spark, d, False).groupBy("mainshock_id", depth_group(F.col("depth_km"), P["depths"]).alias("depth_group")).agg(F.count("*").alias("n"))
+    return _joined(spark, d).groupBy("mainshock_id", depth_group(F.col("depth_km"), P["depths"]).alias("depth_group")).agg(F.count("*").alias("n"))
 
 
 def half_plane_counts(spark, d):
-    e = _aftershocks(spark, d, False)
+    e = _joined(spark, d)
     return e.select("mainshock_id", F.explode(half_planes(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).alias("region")).groupBy("mainshock_id", "region").agg(F.count("*").alias("n"))
 
 
 def region_predicate_counts(spark, d):
     regions = {"West_of_lon0": F.col("lon") < 101.5, "East_of_lon0": F.col("lon") >= 101.5, "South_of_lat0": F.col("lat") < 28.5, "North_of_lat0": F.col("lat") >= 28.5}
-    return segments.expand(_aftershocks(spark, d, False), regions=regions).where("subgroup_type = 'region'").groupBy("mainshock_id", "subgroup").agg(F.count("*").alias("n"))
+    return segments.expand(_joined(spark, d), regions=regions).where("subgroup_type = 'region'").groupBy("mainshock_id", "subgroup").agg(F.count("*").alias("n"))
 
 
 def aftershock_ring_counts(spark, d):
-    return segments.ring_counts(_aftershocks(spark, d, False), list(P["rings"])).select("mainshock_id", F.col("ring").cast("int").alias("ring"), "n")
+    return segments.ring_counts(_joined(spark, d), list(P["rings"])).select("mainshock_id", F.col("ring").cast("int").alias("ring"), "n")
 
 
 def merged_rings(spark, d):
-    return _rings(_aftershocks(spark, d))
+    return _rings(spark, d)
 
 
 def depth_segments(spark, d):
-    found = segments.depth_segments(_aftershocks(spark, d), P["least"])
+    return _shown_depths(segments.depth_segments(_aftershocks(spark, d), P["least"]))
+
+
+def depth_segments_binned(spark, d):
+    return _shown_depths(segments.depth_segments(_aftershocks(spark, d), P["least"], bins=P["depths"]))
+
+
+def _shown_depths(found):
     return found.select("mainshock_id", interval_label(F.col("lo"), F.col("hi")).alias("segment"), F.round("lo", 6).alias("lo"), F.when(F.col("hi") < float("inf"), F.round("hi", 6)).alias("hi"), "first")
 
 
 def subgroup_expand(spark, d):
-    e = _aftershocks(spark, d)
-    return segments.expand(e, _rings(e)).groupBy("record_id", "subgroup_type", "subgroup").agg(F.count("*").alias("n"))
+    return segments.expand(_aftershocks(spark, d), _rings(spark, d)).groupBy("record_id", "subgroup_type", "subgroup").agg(F.count("*").alias("n"))
 
 
 # ---- decay
 
 
 def omori_nll(spark, d):
-    return omori.negative_log_likelihood(_aftershocks(spark, d, False), ["mainshock_id"], 50.0, 0.05, 1.1, P["tmin"], P["days"]).select("mainshock_id", "n_events", r("nll", 4))
+    return omori.negative_log_likelihood(_joined(spark, d), ["mainshock_id"], 50.0, 0.05, 1.1, P["tmin"], P["days"]).select("mainshock_id", "n_events", r("nll", 4))
 
 
 def omori_grid_fit(spark, d):
-    f = omori.grid_fit(_aftershocks(spark, d), ["mainshock_id"], P["tmin"], P["days"])
+    f = omori.grid_fit(_joined(spark, d), ["mainshock_id"], P["tmin"], P["days"])
     return f.select("mainshock_id", "n_events", r("k", 4), r("c", 9), r("p"), r("nll", 4))
 
 
 def omori_mle(spark, d):
-    e = _aftershocks(spark, d)
-    dealt = segments.expand(e, _rings(e), segments.depth_segments(e, P["least"]))
-    keys = ["record_id", "mainshock_id", "subgroup_type", "subgroup"]
-    fits = settle(omori.fit(dealt, keys, P["tmin"], P["days"], P["least"]), "fits")
-    whole = fits.where("subgroup = 'all_depth'")
-    return fits.unionByName(omori.relaxed(whole, fits)).select(*keys, "n_events", r("k", 4), r("c", 4), r("p", 4), r("nll", 4))
+    return _fits(spark, d).select(*RECORD, "n_events", r("k", 3), r("c", 4), r("p", 3), r("nll", 4))
+
+
+def _single(spark, d) -> DataFrame:
+    """One catalog with its own magnitude of completeness and start."""
+    return _aftershocks(spark, d).where(F.col("mag") >= 2.0)
+
+
+def _with_intervals(times: DataFrame, name: str, raw: int) -> DataFrame:
+    """Fits by ``name`` over 0.05 days to the last event, with bootstrap intervals."""
+    end = float(times.agg(F.max("t_days")).first()[0] or 0.0)
+    fits = omori.fit(times, [name], 0.05, end, raw=raw)
+    named = times.withColumn("record_id", F.col(name))
+    draws = omori.bootstrap(named, fits.withColumn("record_id", F.col(name)), 0.05, end, P["draws"], P["seed"])
+    ends = omori.intervals(draws, "p_boot", ["record_id"]).withColumnRenamed("record_id", name)
+    return fits.join(ends, name, "left").select(name, "n_events", r("p", 3), r("nll", 4), r("p_lo", 3), r("p_hi", 3))
 
 
 def omori_single(spark, d):
-    """One catalog by fixed depth group, with its own start and all times."""
-    e = _aftershocks(spark, d).where(F.col("mag") >= 2.0).withColumn("depth_group", depth_group(F.col("depth_km"), P["depths"]))
-    return omori.fit(e, ["depth_group"], 0.05, None, 50).select("depth_group", "n_events", r("p", 4), r("nll", 4))
+    """By fixed depth group, of at least 50 events."""
+    return _with_intervals(_single(spark, d).withColumn("depth_group", depth_group(F.col("depth_km"), P["depths"])), "depth_group", 50)
+
+
+def omori_single_regions(spark, d):
+    """By region (predicates that the user names), of at least 80 events."""
+    e = _single(spark, d)
+    regions = {"West_of_lon0": F.col("lon") < 101.5, "East_of_lon0": F.col("lon") >= 101.5, "South_of_lat0": F.col("lat") < 28.5, "North_of_lat0": F.col("lat") >= 28.5}
+    dealt = segments.expand(e, regions=regions, carry=("t_days", "usgs_id")).where("subgroup_type = 'region'")
+    return _with_intervals(dealt.select(F.col("subgroup").alias("region"), "t_days", "usgs_id"), "region", 80)
+
+
+def omori_single_all(spark, d):
+    """All events of the catalog."""
+    return _with_intervals(_single(spark, d).withColumn("scope", F.lit("all")), "scope", 0)
 
 
 def omori_sensitivity(spark, d):
     f = omori.sensitivity(_aftershocks(spark, d), [1.0, 1.5, 2.0, 2.5], [0.01, 0.05, 0.1], P["days"])
-    return f.select("mc", "tmin_days", "n_events", r("p", 4), r("nll", 4))
+    return f.select("mc", "tmin_days", "n_events", r("p", 3), r("nll", 4))
 
 
 def omori_bootstrap(spark, d):
-    e = _aftershocks(spark, d).withColumn("record_id", F.concat_ws("|", "mainshock_id", F.lit("mainshock"), F.lit("all")))
-    fits = omori.fit(e, ["record_id"], P["tmin"], P["days"])
-    draws = settle(omori.bootstrap(e, fits, P["tmin"], P["days"], 20, P["seed"], 5), "draws")
-    found = omori.intervals(draws, "p_boot", ["record_id"])
-    return found.select("record_id", "n_draws", r("p_lo", 4), r("p_median", 4), r("p_hi", 4), "below_zero")
+    found = omori.intervals(_boots(spark, d), "p_boot", ["record_id"])
+    return found.select("record_id", "n_draws", r("p_lo", 3), r("p_median", 3), r("p_hi", 3), "below_zero")
+
+
+def omori_subgroups(spark, d):
+    """Each subgroup's fit with its interval and its people."""
+    return _decays(spark, d).select(*RECORD, "n_events", r("p", 3), r("p_lo", 3), r("p_hi", 3), r("mainshock_mag"), r("pop_sum_subgroup", 4))
+
+
+def omori_fe(spark, d):
+    """The fixed-effects model of the refined p, and the exposure slope's interval with whole mainshocks drawn."""
+    sample = _decay_sample(spark, d)
+    boot = resample.cluster_bootstrap_fe(sample, P["reps_fe"], P["seed"])
+    ends = omori.intervals(boot.withColumn("term", F.lit("log10_pop")), "slope", ["term"]).withColumnsRenamed({"p_lo": "boot_lo", "p_median": "boot_median", "p_hi": "boot_hi"})
+    found = stats.within_fe(sample).join(F.broadcast(ends), "term", "left")  # one row
+    return found.select(*[c if t != "double" else r(c, 4) for c, t in found.dtypes])
+
+
+def omori_permutation(spark, d):
+    found = resample.permutation_summary(resample.permutation_slopes(_decay_sample(spark, d), P["reps_permutation"], P["seed"]), [])
+    return found.select(r("observed", 4), "n_perm", r("p_value", 4), r("null_mean", 4), r("null_lo", 4), r("null_hi", 4))
+
+
+def omori_logo(spark, d):
+    _, predictions = logo.compare(_decay_sample(spark, d))
+    found = logo.metrics(predictions)
+    return found.select("model", "n", *[r(c, 4) for c in found.columns[2:]])
+
+
+def fits_roundtrip(spark, d):
+    """Fits of subgroups and mainshocks written as nested sections, and the mainshocks' section read back."""
+    fits = _subgroups(spark, d).select(*RECORD, "n_events", "p")
+    whole = _mainshock_rows(spark, d).select(F.concat_ws("|", "mainshock_id", F.lit("mainshock"), F.lit("all")).alias("record_id"), "mainshock_id", F.lit("mainshock").alias("subgroup_type"), F.lit("all").alias("subgroup"), "n_events", "p")
+    path = f"{scratch_dir(spark)}/fits-{uuid.uuid4().hex}"
+    sinks.write_json(sinks.nested_fits(fits.unionByName(whole), {"Mc": P["min_mag"], "tmin_days": P["tmin"], "tmax_days": P["days"]}), path)
+    return sinks.read_fits(spark, path, "by_mainshock", "record_id string, n_events long, p double").select("mainshock_id", "record_id", "n_events", r("p"))
 
 
 def bootstrap_intervals(spark, d):
@@ -245,6 +372,12 @@ def analysis_sample(spark, d):
     return _sample(spark, d).select("record_id", "n_events", r("p"), r("pop_sum_subgroup", 4), "analysis_included")
 
 
+def line_fit(spark, d):
+    """The line of p on log10 of the people within 50 km, over the mainshocks."""
+    rows = _mainshock_rows(spark, d).where("pop_sum_50km > 0").withColumns({"x": F.log10("pop_sum_50km"), "scope": F.lit("mainshock")})
+    return stats.correlations(rows, "x", "p", ["scope"]).select("scope", "n", r("slope"), r("intercept"))
+
+
 def features(spark, d):
     made, names = logo.features(_sample(spark, d))
     shown = ["log10_pop", "log_n_events", "ring_mid_km", "depth_mid_km", "type_depth", "type_region", "type_ring", "region_West_of_ms"]
@@ -271,7 +404,12 @@ def controlled_ols(spark, d):
 
 
 def controlled_ols_full(spark, d):
-    found = stats.ols(_sample(spark, d), "p", ["log10_pop", "mainshock_mag", "log_n_events"])
+    found = stats.controlled(_sample(spark, d))
+    return found.select(*[c if t not in ("double",) else r(c) for c, t in found.dtypes])
+
+
+def controlled_ols_effects(spark, d):
+    found = stats.controlled(_sample(spark, d), effects=True)
     return found.select(*[c if t not in ("double",) else r(c) for c, t in found.dtypes])
 
 
@@ -281,7 +419,7 @@ def within_fe(spark, d):
 
 
 def within_fe_slope(spark, d):
-    found = resample.permutation_slopes(_sample(spark, d), 1, P["seed"], terms=["log10_pop", "log_n_events"]).where("rep = 0")
+    found = resample.permutation_slopes(_sample(spark, d), 1, P["seed"]).where("rep = 0")
     return found.select(F.round("slope", 6).alias("slope"))
 
 
@@ -291,12 +429,12 @@ def loo_corr(spark, d):
 
 
 def cluster_boot_corr(spark, d):
-    found = resample.cluster_bootstrap_correlation(_sample(spark, d), "log10_pop", "p", "mainshock_id", P["reps"], P["seed"])
+    found = resample.cluster_bootstrap_correlation(_sample(spark, d), "log10_pop", "p", "mainshock_id", P["reps_corr"], P["seed"])
     return found.select("rep", "n", r("pearson_r"), r("spearman_rho"))
 
 
 def cluster_boot_fe(spark, d):
-    found = resample.cluster_bootstrap_fe(_sample(spark, d), P["reps"], P["seed"], terms=["log10_pop", "log_n_events"])
+    found = resample.cluster_bootstrap_fe(_sample(spark, d), P["reps_fe"], P["seed"])
     return found.select("rep", r("slope"))
 
 
@@ -306,7 +444,7 @@ def within_permute(spark, d):
 
 
 def permutation_test(spark, d):
-    found = resample.permutation_summary(resample.permutation_slopes(_sample(spark, d), 200, P["seed"], terms=["log10_pop", "log_n_events"]), [])
+    found = resample.permutation_summary(resample.permutation_slopes(_sample(spark, d), P["reps_permutation"], P["seed"]), [])
     return found.select(r("observed"), "n_perm", r("p_value"), r("null_mean"), r("null_lo"), r("null_hi"))
 
 
@@ -321,7 +459,7 @@ def draw_histogram(spark, d):
 
 
 def draw_matrix(spark, d):
-    draws = settle(_draws(spark, d), "draws")
+    draws = _draws(spark, d)
     return resample.draw_matrix(draws.select("record_id").distinct(), draws, 30, P["seed"]).select("record_id", "rep", r("p"))
 
 
@@ -392,19 +530,14 @@ def scale_correlations(spark, d):
     return found.select("radius_km", "n", r("pearson_r"), r("spearman_rho"), r("slope"))
 
 
-def _uncertainty(spark, d) -> DataFrame:
-    s = _sample(spark, d)
-    draws = resample.repetitions(s.select("record_id", "p"), 20).select("record_id", F.col("rep").alias("draw"), (F.col("p") + (resample.draw_integer(F.lit(3), F.col("rep"), F.col("record_id")) % 1000 - 500) / 20000.0).alias("p_boot"))
-    return studies.uncertainty(s, settle(draws, "draws"), 10, P["seed"])
-
-
 def uncertainty(spark, d):
-    found = studies.uncertainty_summary(_uncertainty(spark, d))
-    return found.select("metric", "n_draws", r("p_lo"), r("p_median"), r("p_hi"), "below_zero")
+    """The analysis for P['reps_uncertainty'] picks from every subgroup's bootstrap draws of the refined p."""
+    found = studies.uncertainty_summary(studies.uncertainty(_decay_sample(spark, d), _boots(spark, d), P["reps_uncertainty"], P["seed"]))
+    return found.select("metric", "n_draws", r("p_lo", 4), r("p_median", 4), r("p_hi", 4), r("below_zero", 4))
 
 
 def influence_subgroup(spark, d):
-    found = studies.subgroup_influence(_sample(spark, d), 50, P["seed"])
+    found = studies.subgroup_influence(_sample(spark, d), P["reps_influence"], P["seed"])
     return found.select(*[c if t != "double" else r(c) for c, t in found.dtypes])
 
 
@@ -414,7 +547,7 @@ def influence_scale(spark, d):
 
 
 def influence_range(spark, d):
-    loo = resample.leave_one_out(_sample(spark, d), "log10_pop", "p", "mainshock_id").where("omitted <> '(none)'")
+    loo = resample.leave_one_out_pearson(_sample(spark, d), "log10_pop", "p", "mainshock_id").where("omitted <> '(none)'")
     found = studies.influence_summary(loo, "pearson_r", [])
     return found.select("n", r("least"), r("greatest"), r("share_negative"), r("share_positive"))
 
@@ -427,11 +560,11 @@ def report_facts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        event_catalog, geojson_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
-        depth_group_counts, half_plane_counts, region_predicate_counts, aftershock_ring_counts, merged_rings, depth_segments, subgroup_expand,
-        omori_nll, omori_grid_fit, omori_mle, omori_single, omori_sensitivity, omori_bootstrap, bootstrap_intervals, binned_rate,
-        buffer_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, features,
-        corr_pearson_spearman, corr_p_values, controlled_ols, controlled_ols_full, within_fe, within_fe_slope, loo_corr, cluster_boot_corr, cluster_boot_fe, within_permute, permutation_test, exact_permutation, draw_histogram, draw_matrix,
+        event_catalog, geojson_roundtrip, mainshock_list, fits_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
+        depth_group_counts, half_plane_counts, region_predicate_counts, aftershock_ring_counts, merged_rings, depth_segments, depth_segments_binned, subgroup_expand,
+        omori_nll, omori_grid_fit, omori_mle, omori_single, omori_single_regions, omori_single_all, omori_sensitivity, omori_bootstrap, omori_subgroups, omori_fe, omori_permutation, omori_logo, bootstrap_intervals, binned_rate,
+        buffer_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, line_fit, features,
+        corr_pearson_spearman, corr_p_values, controlled_ols, controlled_ols_full, controlled_ols_effects, within_fe, within_fe_slope, loo_corr, cluster_boot_corr, cluster_boot_fe, within_permute, permutation_test, exact_permutation, draw_histogram, draw_matrix,
         logo_splits, logo_compare, logo_folds, train_bins, class_metrics, confusion, ridge_confusion, fold_metrics, perm_importance,
         scale_sensitivity, scale_correlations, uncertainty, influence_subgroup, influence_scale, influence_range, report_facts,
     )

@@ -42,11 +42,15 @@ def scale_study(mainshocks: DataFrame, radii=RADII, by: list[str] | None = None,
 
 
 def subgroup_influence(sample: DataFrame, reps: int, seed: int) -> DataFrame:
-    """For each mainshock left out: the fixed-effects slope, its permutation p, and errors of the three models."""
-    without = settle(stats.without_each(sample, "mainshock_id"), "without")
-    size = without.groupBy("omitted").agg(F.count("*").alias("n"), F.count_distinct("mainshock_id").alias("n_groups"))
-    tested = resample.permutation_summary(resample.permutation_slopes(without, reps, seed, by=["omitted"]), ["omitted"])
-    _, predictions = logo.compare(without, ["omitted"])
+    """For each mainshock left out: the fixed-effects slope, its permutation p, and errors of the three models.
+
+    All from groups' sums less the one left out; only predictions meet rows.
+    """
+    own = settle(sample.groupBy(F.col("mainshock_id").alias("omitted")).agg(F.count("*").alias("own")), "sizes")
+    total = own.agg(F.sum("own").alias("rows"), F.count("*").alias("groups"))  # one row
+    size = own.crossJoin(F.broadcast(total)).select("omitted", (F.col("rows") - F.col("own")).alias("n"), (F.col("groups") - 1).alias("n_groups"))
+    tested = resample.permutation_summary(resample.permutation_slopes_without_each(sample, reps, seed), ["omitted"])
+    _, predictions = logo.compare_without_each(sample)
     scores = stats.errors(predictions, "p", "predicted", ["omitted", "model"]).groupBy("omitted").pivot("model", list(logo.MODELS)).agg(F.first("mae").alias("mae"), F.first("rmse").alias("rmse"), F.first("r2").alias("r2"))
     return size.join(tested.select("omitted", F.col("observed").alias("fe_exposure_slope"), F.col("p_value").alias("permutation_p")), "omitted").join(scores, "omitted", "left").withColumn("scope", F.lit("subgroup_fe_ml"))
 
@@ -72,8 +76,7 @@ def uncertainty(sample: DataFrame, draws: DataFrame, n: int, seed: int) -> DataF
 
     The ridge's alphas are those of the point estimates.
     """
-    point, _ = logo.compare(sample)
-    alphas = {r["test_group"]: r["alpha"] for r in point.where("model = 'ridge'").select("test_group", "alpha").collect()}  # one for each mainshock
+    chosen = settle(logo.compare(sample)[0].where("model = 'ridge'").select("test_group", "alpha"), "alphas")
     picked = resample.draw_matrix(sample.select("record_id"), draws, n, seed)
     rows = settle(sample.drop("p").join(picked, "record_id"), "picked")
     made, names = logo.features(rows)
@@ -81,7 +84,7 @@ def uncertainty(sample: DataFrame, draws: DataFrame, n: int, seed: int) -> DataF
     terms, columns = stats.fe_terms(rows)
     slope = resample.slopes(stats.gram(stats.demeaned(terms, [*columns, "p"], ["rep", "mainshock_id"]), [*columns, "p"], ["rep"]), ["rep"])
     grams, shift = logo.centred_grams(made, names, "p", ["rep", "mainshock_id"])
-    predictions = logo.predict(made, settle(logo.fold_models(grams, names, shift, ["rep"], alphas), "models"), names, ["rep"])
+    predictions = logo.predict(made, settle(logo.fold_models(grams, names, shift, ["rep"], chosen), "models"), names, ["rep"])
     scores = stats.errors(predictions, "p", "predicted", ["rep", "model"]).groupBy("rep").pivot("model", list(logo.MODELS)).agg(F.first("mae").alias("mae"), F.first("rmse").alias("rmse"), F.first("r2").alias("r2"))
     return exposure.select("rep", "pearson_r", "spearman_rho").join(slope.withColumnRenamed("slope", "fe_exposure_slope"), "rep").join(scores, "rep").withColumnRenamed("rep", "draw")
 

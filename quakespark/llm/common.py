@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast when it has no more rows than this; each such
 #: side has a few short columns, so this is some tens of MB at most.
 BROADCAST_ROWS = 100_000
+#: Rows of an Arrow batch between Spark and Python: texts may be long.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset.
+
+    A temporary folder is one machine's, so it is taken only in local mode.
+    """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quakespark-{context.applicationId}"
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batches to ``rows`` rows, so that a Python worker holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -42,6 +57,17 @@ def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``frame`` is called so."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt: int = 16) -> DataFrame:
     """Join with a side of one row for each key: broadcast if it is small, else by salted keys.
 
@@ -51,9 +77,29 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    (name,) = fresh(left, "_salt")
+    salted = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     every = [F.col(f"`{c}`") for c in left.columns]
-    return left.withColumn("_salt", F.pmod(F.xxhash64(*every), F.lit(salt)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    return left.withColumn(name, F.pmod(F.xxhash64(*every), F.lit(salt)).cast("int")).join(salted, [*on, name], how).drop(name)
+
+
+def matched(docs: DataFrame, keys: list[Column], found: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (left_semi, left_anti, inner) with ``found`` by non-null keys, its first columns.
+
+    All columns of ``docs`` come back as they were, whatever their names;
+    further columns of ``found`` follow. Rows of ``found`` are short, so the
+    documents are shuffled only where it has too many to be broadcast.
+    """
+    names = fresh(docs, *[f"_key{i}" for i in range(len(keys))])
+    tagged = docs.withColumns(dict(zip(names, keys, strict=True)))
+    renamed = found.withColumnsRenamed(dict(zip(found.columns[: len(keys)], names, strict=True)))
+    return join_small(tagged, renamed, names, how).drop(*names)
+
+
+def row_keys(id_col: str, digest: Column) -> list[Column]:
+    """Keys of a row, none of them null: whether it has an identifier, that identifier, and a digest of its text."""
+    own = F.col(f"`{id_col}`")
+    return [own.isNull(), F.coalesce(own.cast("string"), F.lit("")), digest]
 
 
 def word_count(text: Column) -> Column:

@@ -12,10 +12,10 @@ copies, so a text with a third of all rows never meets in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import SPACE, settle
+from quakespark.llm.common import SPACE, fresh, matched, row_keys, settle
 
 RUNS, FAN = 64, 8
 
@@ -79,20 +79,24 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_copies keeps, all columns as they were.
+    """The rows of ``docs`` that exact_copies keeps, all columns as they were, whatever their names.
 
-    Rows to drop are few, so they are what is joined: by identifier and
-    digest. Where a row to drop repeats a kept row's identifier and text, one
-    of them is taken.
+    Rows to drop are what is joined: by identifier and digest. Where a row to
+    drop repeats a kept row's identifier and text, one of them is taken. Null
+    text counts as empty, a null identifier comes last, and an empty table
+    stays empty.
     """
     found = exact_copies(docs, id_col, text_col)
-    key, digest = F.col(f"`{id_col}`"), F.sha2(normalised(F.col(f"`{text_col}`")), 256)
-    gone = settle(found.where("group_size > 1").groupBy(F.col(f"`{id_col}`").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")), "gone")
-    tagged = docs.withColumns({"_id": key, "_sha": digest})
-    match = [F.col("l._id").eqNullSafe(F.col("r._id")), F.col("l._sha") == F.col("r._sha")]
-    out = tagged.alias("l").join(gone.where("not _kept or _n > 1").alias("r"), match, "left_anti")
-    repeated = gone.where("_kept and _n > 1")
+    keys = row_keys(id_col, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    several = found.where("group_size > 1").select(*row_keys(id_col, F.col("text_sha256")), "kept").toDF("none", "own", "sha", "kept")
+    gone = settle(several.groupBy("none", "own", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "gone")
+    out = matched(docs, keys, gone.where("not kept or n > 1").select("none", "own", "sha"), "left_anti")
+    repeated = gone.where("kept and n > 1").select("none", "own", "sha")
     if repeated.limit(1).count():
-        again = tagged.alias("l").join(repeated.alias("r"), match, "left_semi").dropDuplicates(["_id", "_sha"])
-        out = out.unionByName(again)
-    return out.drop("_id", "_sha")
+        again = matched(docs, keys, repeated, "left_semi")
+        number = fresh(again, "_number", "_first")
+        names = fresh(again, "_none", "_own", "_sha")
+        tagged = again.withColumns(dict(zip(names, keys, strict=True))).withColumn(number[0], F.monotonically_increasing_id())
+        first = settle(tagged, "again").withColumn(number[1], F.min(number[0]).over(Window.partitionBy(*names)))
+        out = out.unionByName(first.where(F.col(number[0]) == F.col(number[1])).drop(*number, *names))
+    return out

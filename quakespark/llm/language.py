@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import settle
+from quakespark.llm.common import bound_batches, fresh, settle
 
 WORDS, GRAMS, LONGEST = 100_000, 20_000, 4
 #: All languages are learned; beyond this many, tables have fewer keys, so that their cells stay as many.
@@ -181,6 +181,7 @@ class Scorer:
 
 def labeller(spark: SparkSession, model: Model):
     """A vectorised function text -> (lang_pred, score) that carries the model."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -211,6 +212,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language can't be told: null text, no letter, or no language learned at all."""
+    """``docs`` without the rows whose language can't be told: null text, no letter, or no language learned at all.
+
+    All columns stay as they were, whatever their names; repeated rows are
+    judged each, and an empty table stays empty.
+    """
     label = labeller(docs.sparkSession, train(docs.where(~held_out(F.col(f"`{id_col}`"))), text_col, lang_col))
-    return docs.withColumn("_lang", label(F.col(f"`{text_col}`"))["lang_pred"]).where(F.col("_lang") != UNKNOWN).drop("_lang")
+    (name,) = fresh(docs, "_lang")
+    return docs.withColumn(name, label(F.col(f"`{text_col}`"))["lang_pred"]).where(F.col(name) != UNKNOWN).drop(name)

@@ -2,7 +2,7 @@
 
 Words are dealt in blocks of BLOCK_WORDS. The sources get their integer
 quotas of blocks by highest quotients (target / 1, / 3, / 5, ...), and each
-source's quota goes to its shards the same way. Within a shard the documents
+source's quota goes to groups of its shards and on to the shards the same way. Within a shard the documents
 lie on a line in seeded order, twice in a row; the line is cut into blocks,
 and the quota is a run of blocks from a seeded start, around the end. So no
 document is taken a second time before all others of the shard are taken
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import join_small, settle, word_count
+from quakespark.llm.common import fresh, join_small, matched, row_keys, settle, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -23,6 +23,8 @@ CEILING = 2.0
 BLOCK_WORDS = 16
 #: A shard has about so many words; it is ordered by one task.
 SHARD_WORDS = 1 << 18
+#: A source's quota goes to groups of so many shards first, so a task ranks quotients of one group.
+GROUP_SHARDS = 4096
 SEED = 11
 
 
@@ -82,7 +84,7 @@ def _overlap(start: Column, stop: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(stop, high) - F.greatest(start, low))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: dict[str, Column] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, group_shards: int = GROUP_SHARDS, seed: int = SEED, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row for each input row: identifier, size, source_size, target, taken.
 
     ``size`` is the number of words, 0 for null or empty text; such rows are
@@ -104,9 +106,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sources.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")), "targets"
     )
     dealt = join_small(sized, sources, by_source).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("shards")))
-    by_shard = [*by_source, "shard"]
+    by_shard, by_group = [*by_source, "shard"], [*by_source, "shard_group"]
     shards = dealt.groupBy(*by_shard).agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shards = settle(apportion(shards, by_source, by_shard, "shard_size", F.col("source_quota")).select(*by_shard, "quota"), "shards")
+    shards = settle(shards.withColumn("shard_group", F.floor(F.col("shard") / group_shards).cast("long")), "shard_sizes")
+    groups = shards.groupBy(*by_group).agg(F.sum("shard_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
+    groups = apportion(groups, by_source, by_group, "group_size", F.col("source_quota")).withColumnRenamed("quota", "group_quota")
+    shards = shards.join(groups.select(*by_group, "group_quota"), by_group)
+    shards = settle(apportion(shards, by_group, by_shard, "shard_size", F.col("group_quota")).select(*by_shard, "quota"), "shards")
     order = Window.partitionBy(*by_shard).orderBy(F.xxhash64(F.lit(seed + 1), "id"), F.col("id").asc_nulls_last(), "size", *carry)
     line = dealt.withColumns({"stop": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("size").over(Window.partitionBy(*by_shard))})
     placed = join_small(line, shards, by_shard)
@@ -122,14 +128,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row 0, 1 or 2 times, as often as mix takes its words, to the nearest.
 
-    Decisions join their rows by identifier and a hash of the text; rows equal
-    in both share one decision.
+    All columns stay as they were, whatever their names. Decisions join their
+    rows by identifier and a hash of the text; rows equal in both share one
+    decision. Rows of no words go, and an empty table stays empty.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    found = mix(docs, id_col, text_col, source_col, carry={"_hash": text_hash})
-    times = F.when(F.max("size") == 0, 0).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int")
-    times = found.groupBy(F.col(f"`{id_col}`").alias("_id"), "_hash").agg(times.alias("_times")).where("_times > 0")
-    tagged = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_hash": text_hash})
-    match = [F.col("l._id").eqNullSafe(F.col("r._id")), F.col("l._hash") == F.col("r._hash")]
-    out = tagged.alias("l").join(times.alias("r"), match).select(*[F.col(f"l.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("r._times"))).alias("_copy"))
-    return out.drop("_copy")
+    digest, times = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), fresh(docs, "_times")[0]
+    found = mix(docs, id_col, text_col, source_col, carry={"row_digest": digest})
+    often = F.when(F.max("size") == 0, 0).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int")
+    keyed = found.select(*row_keys(id_col, F.col("row_digest")), "taken", "size").toDF("none", "own", "digest", "taken", "size")
+    wanted = settle(keyed.groupBy("none", "own", "digest").agg(often.alias(times)).where(F.col(times) > 0), "times")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    (copy,) = fresh(docs, "_copy")
+    return matched(docs, row_keys(id_col, digest), wanted, "inner").select(*every, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

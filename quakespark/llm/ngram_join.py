@@ -13,8 +13,11 @@
    need, or when all of it is connected already. Survivors are kept as stars
    about their least class, so a group of copies gives a row for each member.
 4. The forest's components are groups of candidates. A group's sets come to
-   one task (beyond BLOCK classes: block by block, each pair of blocks a
-   task) and are joined exactly, with the same traversal ahead of it.
+   one task and are joined exactly, with the same traversal ahead of it.
+
+In 3 and 4 a shingle or group of more than BLOCK classes (in 4 also: of more
+than BLOCK_BYTES of sets) goes block by block, each pair of blocks a unit of
+its own, so a task holds two blocks whatever holds a third of all rows.
 5. Components of the exact links are the result.
 """
 
@@ -29,16 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import join_small, settle
+from quakespark.llm.common import bound_batches, join_small, matched, row_keys, settle
 from quakespark.llm.components import connected
 from quakespark.llm.exact_dedup import elect
 from quakespark.llm.shingles import merged_table, shingles, slices, word_hashes
 
-#: Slots of the table of frequencies (8 MB) and bits of that of candidates (4 MB): fixed, whatever the input.
-SLOTS, FILTER_BITS = 1 << 20, 1 << 25
-#: Classes of a candidate group that one task joins; larger groups go by pairs of blocks.
-BLOCK = 2048
+#: Slots of the table of frequencies (8 MB), whatever the input.
+SLOTS = 1 << 20
+#: A slot with more than HOT shingles and HOT_TIMES the mean is hot: its shingles count as shared unseen.
+HOT, HOT_TIMES = 1 << 16, 16
+#: Bits of the filter of candidates: about ten for each class, within these bounds (0.5 to 128 MB).
+FILTER_BITS = 1 << 22, 1 << 30
+#: Classes, and bytes of their sets, that are a block.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 LEAF, FANOUT = 32, 8
+#: 64-bit words of a bitmap at most: in the exact join, and in the trees of shingles, where bitmaps are shuffled.
+WIDEST, WIDEST_SENT = 1024, 128
 RUNS, FAN = 64, 8
 
 
@@ -111,33 +120,47 @@ def slot_counts(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(token, cls, n, core): the prefix of each class, at most once for a task; core marks its first part."""
+    """(token, cls, n, core, hot): the prefix of each class, at most once for a task.
+
+    core marks its first part, hot the tokens of hot slots.
+    """
     shared, slots = sets.sparkSession.sparkContext.broadcast(counts), np.uint64(len(counts))
+    limit = max(HOT, HOT_TIMES * float(counts.mean()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, seen = shared.value, set()
         for batch in batches:
-            tokens, classes, sizes, core = [], [], [], []
+            tokens, classes, sizes, core, hot = [], [], [], [], []
             for cls, own in zip(batch.column("cls").to_pylist(), _tokens(batch), strict=True):
                 if not len(own) or cls in seen:
                     continue
                 seen.add(cls)
                 take = rule.prefix(len(own))
-                order = np.argsort(frequency[(own % slots).astype(np.int64)], kind="stable")  # own is sorted: ties by token
-                tokens.append(own[order[:take]])
+                times = frequency[(own % slots).astype(np.int64)]
+                order = np.argsort(times, kind="stable")[:take]  # own is sorted: ties by token
+                tokens.append(own[order])
+                hot.append(times[order] > limit)
                 classes.append(np.full(take, cls, dtype=np.int64))
                 sizes.append(np.full(take, len(own), dtype=np.int64))
                 core.append(np.arange(take) < rule.core(len(own)))
             if tokens:
-                yield _arrow({"token": (np.concatenate(tokens).view(np.int64), pa.int64()), "cls": (np.concatenate(classes), pa.int64()), "n": (np.concatenate(sizes), pa.int64()), "core": (np.concatenate(core), pa.bool_())})
+                yield _arrow({"token": (np.concatenate(tokens).view(np.int64), pa.int64()), "cls": (np.concatenate(classes), pa.int64()), "n": (np.concatenate(sizes), pa.int64()), "core": (np.concatenate(core), pa.bool_()), "hot": (np.concatenate(hot), pa.bool_())})
 
-    return sets.select("cls", "tokens").mapInArrow(make, "token long, cls long, n long, core boolean")
+    return sets.select("cls", "tokens").mapInArrow(make, "token long, cls long, n long, core boolean, hot boolean")
 
 
 def possible_partners(entries: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
-    """The entries of classes that share enough of their prefix with others, and of tokens that several of those have."""
-    frequent = F.count("*").over(Window.partitionBy("token")) > 1
-    now = settle(entries.repartition("token").dropDuplicates(["token", "cls", "n", "core"]).withColumn("_more", frequent).where("_more").drop("_more"), "entries")
+    """The entries of classes that share enough of their prefix with others, and of tokens that several of those have.
+
+    Tokens of hot slots are taken to be shared: they are dealt by class as
+    well, so that no task gets all rows of one. That keeps more, never less.
+    """
+    by = ["token", "spread"]
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(1 << 16))).otherwise(F.lit(0))
+    group = Window.partitionBy(*by)
+    frequent = F.col("hot") | (F.min("cls").over(group) < F.max("cls").over(group))
+    shared = entries.withColumn("spread", spread).repartition(*by).withColumn("_more", frequent).where("_more").drop("_more")
+    now = settle(shared.dropDuplicates([*by, "cls", "n", "core"]), "entries")
     # enough(n) in SQL: integer divisions as in Rule.
     least = F.expr(f"(n * {rule.percent} + 99) div 100")
     enough = F.greatest(F.lit(1), F.floor(least / 10))
@@ -145,7 +168,7 @@ def possible_partners(entries: DataFrame, rule: Rule, rounds: int = 2) -> DataFr
         staying = F.count("*").over(Window.partitionBy("cls")) >= enough
         now = now.withColumn("_stays", staying).where("_stays").drop("_stays")
         now = settle(now.withColumn("_more", frequent).where("_more").drop("_more"), "entries")
-    return now
+    return now.drop("spread", "hot")
 
 
 def _filter_places(classes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +176,13 @@ def _filter_places(classes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
     return (own % np.uint64(bits)).astype(np.int64), ((own >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)
 
 
-def candidate_filter(classes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of class numbers, as bytes: a fixed size, all classes in it."""
+def filter_bits(classes: int) -> int:
+    low, high = FILTER_BITS
+    return min(high, max(low, 1 << int(classes * 10).bit_length()))
+
+
+def candidate_filter(classes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of class numbers, as bytes: a bounded size, all classes in it."""
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for places in _filter_places(batch.column("cls").to_numpy(), bits):
@@ -165,7 +193,7 @@ def candidate_filter(classes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 def candidate_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, tokens), once for each of the given classes. Other sets are left out before the shuffle, by the filter."""
-    bits = FILTER_BITS
+    bits = filter_bits(classes.count())
     shared = sets.sparkSession.sparkContext.broadcast(candidate_filter(classes, bits))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +213,9 @@ def candidate_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
 # ---- signature trees
 
 
-def width_of(size: int) -> int:
-    """Words of 64 bits in a bitmap: about two bits for each shingle, a power of two from 4 to 1024."""
-    return 1 << min(10, max(2, int(np.ceil(np.log2(max(size, 1) * 2 / 64))) if size > 32 else 2))
+def width_of(size: int, widest: int = WIDEST) -> int:
+    """Words of 64 bits in a bitmap: about two bits for each shingle, a power of two from 4 to ``widest``."""
+    return min(widest, 1 << max(2, int(np.ceil(np.log2(max(size, 1) * 2 / 64))) if size > 32 else 2))
 
 
 def bitmap_of(tokens: np.ndarray, words: int) -> np.ndarray:
@@ -338,18 +366,30 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return _arrow({"a": ([e[0] for e in edges], pa.int64()), "b": ([e[1] for e in edges], pa.int64())})
 
 
-def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule) -> DataFrame:
+def _units(placed: DataFrame, name: Column) -> DataFrame:
+    """Rows with a number of ``blocks``, dealt: ``own`` block, and once for each pair of blocks i <= j that has it."""
+    own = F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
+    return placed.withColumn("own", own).withColumn("unit", pair).withColumns({"i": F.col("unit.i"), "j": F.col("unit.j")}).drop("unit", "blocks")
+
+
+def _sides(group: pa.Table) -> np.ndarray | None:
+    """For a pair of different blocks the block of each row: only pairs across are looked at."""
+    return None if group.column("i")[0].as_py() == group.column("j")[0].as_py() else group.column("own").to_numpy()
+
+
+def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that span what the trees of each token's classes leave possible."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for group in _grouped(batches, ["token"]):
+        for group in _grouped(batches, ["token", "i", "j"]):
             if group.num_rows < 2:
                 continue
             classes = group.column("cls").to_numpy()
             union = Union(len(classes))
             bitmaps = [np.frombuffer(x, dtype=np.uint64) for x in group.column("bitmap").to_pylist()]
-            possible_pairs(group.column("n").to_numpy(), bitmaps, rule, union)
+            possible_pairs(group.column("n").to_numpy(), bitmaps, rule, union, sides=_sides(group))
             edges += [(int(classes[a]), int(classes[b])) for a, b in union.stars()]
             if len(edges) > 50_000:
                 yield _edge_batch(edges)
@@ -357,27 +397,33 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule) -> Data
         if edges:
             yield _edge_batch(edges)
 
-    joined = entries.where("core").join(signatures, "cls").select("token", "cls", "n", "bitmap")
-    return joined.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(make, _EDGES).distinct()
+    core = entries.where("core").select("token", "cls", "n")
+    large = settle(core.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    if large.limit(1).count():
+        dealt = _units(join_small(core, large, ["token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), F.col("cls"))
+    else:
+        dealt = core.withColumns({k: F.lit(0) for k in ("own", "i", "j")})
+    joined = dealt.join(signatures, "cls").select("token", "i", "j", "own", "cls", "n", "bitmap")
+    return joined.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls").mapInArrow(make, _EDGES).distinct()
 
 
 def signatures_of(sets: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _arrow({"cls": (batch.column("cls"), pa.int64()), "bitmap": ([bitmap_of(t, width_of(len(t))).tobytes() for t in _tokens(batch)], pa.binary())})
+            yield _arrow({"cls": (batch.column("cls"), pa.int64()), "bitmap": ([bitmap_of(t, width_of(len(t), WIDEST_SENT)).tobytes() for t in _tokens(batch)], pa.binary())})
 
     return sets.mapInArrow(make, "cls long, bitmap binary")
 
 
-def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLOCK) -> tuple[DataFrame, bool]:
+def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, bool]:
     """Edges (a, b) that span the similar classes of each candidate group (node, root), and whether no group was divided.
 
     In an undivided group the edges are stars about a component's least class.
     """
-    size = settle(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
-    placed = join_small(groups, size, ["root"]).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    dealt = sets.join(placed, "cls").withColumn("unit", unit).select("root", "unit.i", "unit.j", "own", "cls", "tokens")
+    members = sets.join(groups.withColumnRenamed("node", "cls"), "cls")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("tokens")) / block_bytes)).cast("int")
+    size = settle(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
+    dealt = _units(join_small(members, size, ["root"]), F.col("cls")).select("root", "i", "j", "own", "cls", "tokens")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -387,9 +433,11 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
             classes = group.column("cls").to_numpy()
             tokens = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
             sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+            bitmaps = [bitmap_of(t, width_of(len(t))) for t in tokens]
             lengths = np.concatenate(([0], np.cumsum(sizes)))
             numbers = np.unique(np.concatenate(tokens), return_inverse=True)[1]
-            own = [numbers[lengths[k] : lengths[k + 1]] for k in range(len(tokens))]
+            del tokens
+            own = [numbers[lengths[k] : lengths[k + 1]] for k in range(len(sizes))]
             mark = np.zeros(int(numbers.max()) + 1, dtype=bool)
 
             def similar(p: np.ndarray, q: np.ndarray, own=own, mark=mark, sizes=sizes) -> np.ndarray:
@@ -407,9 +455,7 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
                 return out
 
             union = Union(len(classes))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            sides = None if i == j else group.column("own").to_numpy()
-            possible_pairs(sizes, [bitmap_of(t, width_of(len(t))) for t in tokens], rule, union, similar, sides)
+            possible_pairs(sizes, bitmaps, rule, union, similar, _sides(group))
             edges += [(int(classes[a]), int(classes[b])) for a, b in union.stars()]
         if edges:
             yield _edge_batch(edges)
@@ -427,6 +473,7 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     and is a component alone. Repeated rows are equal rows of one component.
     An empty table gives an empty result; extra columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     sets = settle(shingle_sets(slim, rule), "sets")
     entries = possible_partners(prefixes(sets, slot_counts(sets), rule), rule)
@@ -457,9 +504,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the first row of each component, all columns as they were. Rows of no words all stay."""
+    """``docs`` with the first row of each component, all columns as they were, whatever their names.
+
+    First is the smallest identifier, null last, then the smallest hash of the
+    text; rows that repeat identifier and text stay or go together. Rows of no
+    words all stay. An empty table stays empty.
+    """
     found = near_components(docs, Rule(n, percent), id_col, text_col)
-    gone = settle(found.where(~(F.col("component.id").eqNullSafe(F.col("id")) & (F.col("component.row") == F.col("row")))).select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct(), "gone")
-    own, row = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    tagged = docs.withColumns({"_own": own, "_hash": row})
-    return tagged.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_anti").drop("_own", "_hash")
+    first = F.col("component.id").eqNullSafe(F.col("id")) & (F.col("component.row") == F.col("row"))
+    gone = settle(found.where(~first).select(*row_keys("id", F.col("row"))).toDF("none", "own", "digest").distinct(), "gone")
+    digest = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return matched(docs, row_keys(id_col, digest), gone, "left_anti")

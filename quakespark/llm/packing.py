@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import settle
+from quakespark.llm.common import bound_batches, settle
 from quakespark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     own, repeated identifiers too; a null identifier stays null. Extra columns
     are ignored. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     pieces = settle(source.mapInPandas(_pieces(tokenizer or tokenizer_path(), capacity, end_id), PIECES), "pieces")
     shard = F.pmod(F.xxhash64("row", "piece"), F.lit(SHARDS)).cast("int")

@@ -42,17 +42,36 @@ def _block_hashes(raw: np.ndarray) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    powers, inverses = (_POWERS, _INVERSES) if len(raw) <= _BLOCK else (_powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 1 << 64), len(raw)))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[raw] * powers[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_VALUES[raw] * _POWERS[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
+
+
+def _long_word(raw: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, block by block."""
+    total, scale, step = 0, 1, pow(_BASE, _BLOCK, 1 << 64)
+    for at in range(0, len(raw), _BLOCK):
+        part = raw[at : at + _BLOCK]
+        total += int((_VALUES[part] * _POWERS[: len(part)]).sum(dtype=np.uint64)) * scale
+        scale = scale * step % (1 << 64)
+    return mix(np.array([(total + len(raw)) % (1 << 64)], dtype=np.uint64))
+
+
+def _next_space(raw: np.ndarray, at: int) -> int:
+    while at < len(raw):
+        gaps = np.flatnonzero(_SPACES[raw[at : at + _BLOCK]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += _BLOCK
+    return len(raw)
 
 
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, of UTF-8 bytes.
 
     A word's hash is a polynomial over its bytes, taken for all words at once
-    from running sums. Long texts go block by block, cut at white space.
+    from running sums. Long texts go block by block, cut at white space; a
+    word longer than a block is summed over its blocks.
     """
     if len(raw) <= _BLOCK:
         return _block_hashes(raw)
@@ -61,11 +80,12 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
         end = min(at + _BLOCK, len(raw))
         if end < len(raw):
             gaps = np.flatnonzero(_SPACES[raw[at:end]])
-            if len(gaps):
-                end = at + int(gaps[-1]) + 1
-            else:
-                gaps = np.flatnonzero(_SPACES[raw[end:]])
-                end = end + int(gaps[0]) + 1 if len(gaps) else len(raw)
+            if not len(gaps):
+                end = _next_space(raw, end)
+                parts.append(_long_word(raw[at:end]))
+                at = end
+                continue
+            end = at + int(gaps[-1]) + 1
         parts.append(_block_hashes(raw[at:end]))
         at = end
     return np.concatenate(parts)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quakespark.functions.geo import EVENT_RADIUS_KM, cell, cells_around, circle_bounds, haversine_km
 from quakespark.sources.tables import small
@@ -38,42 +39,68 @@ def strongest(catalog: DataFrame, area: list[str] | None = None) -> DataFrame:
 def decluster(candidates: DataFrame, window_days: float, most: int | None = None, region: str | None = None) -> DataFrame:
     """In order of time, the events at least ``window_days`` after the last one kept, up to ``most``; by region if given.
 
-    In order of time only the last kept event matters, so regions stream
-    through sorted and each keeps one number.
+    An event whose predecessor lies a window or more before it is always kept,
+    so events fall into chains that do not depend on each other. Chains are
+    found from neighbours in buckets of a window's length, dealt to tasks, and
+    each streams through one with the last kept time as all its state.
     """
-    window = int(window_days * DAY_US)
-    key = F.lit("") if region is None else F.col(region)
+    window = max(1, int(window_days * DAY_US))
+    key = F.lit("") if region is None else F.coalesce(F.col(region).cast("string"), F.lit(""))
+    keyed = candidates.where("time_us is not null").withColumns({"_region": key, "_bucket": F.floor(F.col("time_us") / window)})
+    before = keyed.groupBy("_region", "_bucket").agg(F.max("time_us").alias("_before")).withColumn("_bucket", F.col("_bucket") + 1)
+    inside = Window.partitionBy("_region", "_bucket").orderBy("time_us", "usgs_id")
+    previous = F.coalesce(F.lag("time_us").over(inside), F.col("_before"))
+    opens = F.when(previous.isNull() | (F.col("time_us") - previous >= window), 1).otherwise(0)
+    marked = keyed.join(before, ["_region", "_bucket"], "left").withColumn("_opens", opens)
+    marked = marked.withColumn("_chain", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("_region").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket of time
+    bases = marked.groupBy("_region", "_bucket").agg(F.sum("_opens").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    chained = marked.join(bases, ["_region", "_bucket"]).withColumn("_chain", F.col("_chain") + F.col("_base"))
+    columns = [*candidates.columns, "_region"]
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last, count = None, None, 0
+        now, last = None, None
         for batch in batches:
             kept = []
-            for place, time in zip(batch["_region"], batch["time_us"], strict=True):
-                if place != now:
-                    now, last, count = place, None, 0
-                keep = (last is None or time - last >= window) and (most is None or count < most)
+            for chain, time in zip(zip(batch["_region"], batch["_chain"], strict=True), batch["time_us"], strict=True):
+                keep = chain != now or time - last >= window
                 kept.append(keep)
                 if keep:
-                    last, count = time, count + 1
-            yield batch[kept].drop(columns="_region")
+                    now, last = chain, time
+            yield batch.loc[kept, columns]
 
-    keyed = candidates.where("time_us is not null").withColumn("_region", F.coalesce(key, F.lit("")))
-    ordered = keyed.repartition("_region").sortWithinPartitions("_region", "time_us", "usgs_id")
-    return ordered.mapInPandas(pick, candidates.schema)
+    by = ["_region", "_chain"]
+    dealt = chained.select(*columns, "_chain").repartition(*by).sortWithinPartitions(*by, "time_us", "usgs_id")
+    schema = StructType([*candidates.schema.fields, StructField("_region", StringType())])
+    found = dealt.mapInPandas(pick, schema)
+    if most is not None:
+        first = Window.partitionBy("_region").orderBy("time_us", "usgs_id")  # one event for each window of time at most
+        found = found.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most)
+    return found.select(*candidates.columns)
 
 
-def near_pairs(points: DataFrame, centers: DataFrame, radius_km: float, earth_km: float = EVENT_RADIUS_KM, degrees: float = CELL_DEGREES) -> DataFrame:
+def near_pairs(points: DataFrame, centers: DataFrame, radius_km: float, earth_km: float = EVENT_RADIUS_KM, degrees: float = CELL_DEGREES, span_us: int | None = None) -> DataFrame:
     """Points and the centers (c_lat, c_lon) within a distance of them, with dist_km.
 
     Both meet on a cell of the sphere: a center is repeated for the cells that
-    its circle may touch, a point has one. Centers are broadcast where they
-    are few; else it is a shuffled join on the cell.
+    its circle may touch, a point has one. With ``span_us`` they also meet on
+    a bucket of time of that length: a center (ms_time_us) has the buckets up
+    to ``span_us`` later, and points (time_us) farther off are left out.
+    Centers are broadcast where they are few; else it is a shuffled join on
+    cell and bucket.
     """
     y, x = cell(F.col("lat"), F.col("lon"), degrees)
+    on = {"_y": y, "_x": x}
     cells = centers.withColumn("_cell", F.explode(cells_around(F.col("c_lat"), F.col("c_lon"), radius_km, degrees))).withColumns({"_y": F.col("_cell.y"), "_x": F.col("_cell.x")}).drop("_cell")
-    met = points.withColumns({"_y": y, "_x": x}).join(small(cells), ["_y", "_x"])
+    if span_us is not None:
+        bucket = lambda time: F.floor(time / span_us)
+        on["_t"] = bucket(F.col("time_us"))
+        cells = cells.withColumn("_t", F.explode(F.sequence(bucket(F.col("ms_time_us")), bucket(F.col("ms_time_us") + span_us))))
+    met = points.withColumns(on).join(small(cells), list(on))
+    if span_us is not None:
+        met = met.where((F.col("time_us") >= F.col("ms_time_us")) & (F.col("time_us") <= F.col("ms_time_us") + span_us))
     far = haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"), earth_km)
-    return met.withColumn("dist_km", far).where(F.col("dist_km") <= radius_km).drop("_y", "_x")
+    return met.withColumn("dist_km", far).where(F.col("dist_km") <= radius_km).drop(*on)
 
 
 def mainshock_columns(mainshocks: DataFrame) -> DataFrame:
@@ -86,8 +113,8 @@ def aftershocks(catalog: DataFrame, mainshocks: DataFrame, radius_km: float, day
     One row for each mainshock and event; t_days counts from the mainshock.
     """
     slim = catalog.where(F.col("mag") >= min_mag).select("usgs_id", "time_us", "lat", "lon", "depth_km", "mag")
-    pairs = near_pairs(slim, mainshock_columns(mainshocks), radius_km)
-    after = pairs.where((F.col("time_us") > F.col("ms_time_us")) & (F.col("time_us") <= F.col("ms_time_us") + int(days * DAY_US)) & (F.col("usgs_id") != F.col("mainshock_id")))
+    pairs = near_pairs(slim, mainshock_columns(mainshocks), radius_km, span_us=int(days * DAY_US))
+    after = pairs.where((F.col("time_us") > F.col("ms_time_us")) & (F.col("usgs_id") != F.col("mainshock_id")))
     return after.withColumn("t_days", (F.col("time_us") - F.col("ms_time_us")) / float(DAY_US))
 
 
@@ -109,10 +136,10 @@ def summary(catalog: DataFrame, by: list[str]) -> DataFrame:
 
 
 def run_index(mainshocks: DataFrame, catalog: DataFrame, **parameters) -> DataFrame:
-    """Each mainshock with its number of events (0 for none) and the job's parameters."""
-    counts = catalog.groupBy("mainshock_id").agg(F.count("*").alias("n_events"))
-    named = mainshock_columns(mainshocks).join(counts, "mainshock_id", "left")
-    return named.select("mainshock_id", "mainshock_mag", F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), *[F.lit(v).alias(k) for k, v in parameters.items()])
+    """Each mainshock's row with its number of events (0 for none) and the job's parameters."""
+    counts = catalog.groupBy(F.col("mainshock_id").alias("usgs_id")).agg(F.count("*").alias("_n"))
+    named = mainshocks.select("usgs_id", "time_us", "mag", "lat", "lon", "depth_km", "place").join(counts, "usgs_id", "left")
+    return named.withColumn("aftershocks_n", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n").withColumns({k: F.lit(v) for k, v in parameters.items()})
 
 
 def boxes(mainshocks: DataFrame, radius_km: float) -> DataFrame:

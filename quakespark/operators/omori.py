@@ -1,29 +1,34 @@
 """Omori-Utsu decay K / (t + c)^p: likelihood, fits, bootstrap and rates.
 
 For given c and p the best K is n / I(c, p), so a fit needs only n and the sum
-of ln(t + c). A grid of these is an ordinary aggregation of any size; the
-refinement works on one record's times, or on a histogram of them where there
-are very many.
+of ln(t + c). Sums for a grid of c are an ordinary aggregation, combined before
+they are shuffled; a fit looks at such a grid, then at finer ones about the
+best c, a few rounds. So a record's times never meet in one task, whatever
+their number, and every record is fitted alike.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.sources.tables import settle, small
+from quakespark.sources.tables import settle, small, together
 
 C_RANGE, P_RANGE = (1e-6, 10.0), (0.2, 5.0)
 C_STEPS, P_STEPS = 40, 60
 #: Fewer events in the window than this give no fit.
 LEAST = 20
-#: Times of a record beyond this number are fitted as a histogram of so many bins.
-MOST_TIMES, BINS = 50_000, 2000
+#: A fit's rounds after the grid, each with so many steps between the neighbours of the best c.
+ROUNDS, STEPS = 5, 16
+#: A bootstrap draw is fitted at so many c, up to REACH away from the record's own in ln c.
+DRAW_STEPS, REACH = 25, 4.0
+#: A record's times are dealt to so many tasks for its draws.
+SPREAD = 16
 
 
 def c_grid(n: int = C_STEPS) -> list[float]:
@@ -48,117 +53,115 @@ def negative_log_likelihood(times: DataFrame, by: list[str], k: float, c: float,
     return times.where(F.col("t_days").between(low, high)).groupBy(*by).agg(F.count("*").alias("n_events"), nll.alias("nll"))
 
 
-def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: int = LEAST) -> DataFrame:
-    """The best of C_STEPS x P_STEPS grid points by group: n_events, k, c, p, nll. One aggregation, no skew."""
-    spark = times.sparkSession
-    cs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(c_grid())])
-    inside = times.where(F.col("t_days").between(low, high)).select(*by, "t_days", F.explode(cs).alias("g"))
-    sums = inside.groupBy(*by, F.col("g.i").alias("i"), F.col("g.c").alias("c")).agg(F.count("*").alias("n_events"), F.sum(F.log(F.col("t_days") + F.col("g.c"))).alias("logs"))
-    ps = spark.createDataFrame([(j, p) for j, p in enumerate(p_grid())], "j int, p double")
-    tried = sums.where(F.col("n_events") >= least).crossJoin(F.broadcast(ps))  # P_STEPS rows
+def counted(times: DataFrame, by: list[str], low: float, high: float, least: int, raw: int, weight: Column | None = None) -> tuple[DataFrame, Column]:
+    """The times in [low, high] of groups that have ``raw`` times in all, with the weight; and the gate on the window's count."""
+    w = F.lit(1) if weight is None else weight
+    inside = F.col("t_days").between(low, high)
+    kept = times.select(*by, "t_days", w.alias("w"))
+    if raw > 0:
+        enough = kept.groupBy(*by).agg(F.sum("w").alias("_raw")).where(F.col("_raw") >= raw).select(*by)
+        kept = kept.join(enough, by, "left_semi")
+    return kept.where(inside), F.col("n_events") >= least
+
+
+def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: int = LEAST, raw: int = 0, weight: Column | None = None) -> DataFrame:
+    """The best of C_STEPS x P_STEPS grid points by group: n_events, k, c, p, nll. One aggregation, no skew.
+
+    A group needs ``raw`` times in all and ``least`` in the window. ``weight``
+    (a whole number) says how often a time counts.
+    """
+    inside, gate = counted(times, by, low, high, least, raw, weight)
+    logs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.sum(F.col("w") * F.log(F.col("t_days") + c)).alias("logs")) for i, c in enumerate(c_grid())])
+    sums = inside.groupBy(*by).agg(F.sum("w").cast("long").alias("n_events"), logs.alias("g")).where(gate)
+    ps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(p_grid())])
+    tried = sums.select(*by, "n_events", F.explode("g").alias("g")).select(*by, "n_events", "g.*", F.explode(ps).alias("q")).select(*by, "n_events", "i", "c", "logs", "q.*")
     k = F.col("n_events") / integral(F.col("c"), F.col("p"), F.lit(float(low)), F.lit(float(high)))
     tried = tried.withColumn("k", k).withColumn("nll", F.col("n_events") - F.col("n_events") * F.log("k") + F.col("p") * F.col("logs"))
     best = F.min_by(F.struct("n_events", "k", "c", "p", "nll"), F.struct(F.round("nll", 9).alias("nll"), "i", "j"))
     return tried.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
-# ---- refinement: numpy, one record at a time
+# ---- refinement: numpy, over the sums of many records at a time
 
 
 def _integral(c, p, low: float, high: float):
     a, b = np.log(low + c), np.log(high + c)
     q = 1.0 - p
-    near = np.abs(q) <= 1e-6
-    safe = np.where(near, 1.0, q)
-    return np.where(near, b - a, (np.exp(b * q) - np.exp(a * q)) / safe)
+    small_q = np.abs(q) <= 1e-12
+    safe = np.where(small_q, 1.0, q)
+    return np.exp(a * q) * np.where(small_q, b - a, np.expm1((b - a) * q) / safe)
 
 
-def profile(c, p, times: np.ndarray, weights: np.ndarray, low: float, high: float):
-    """Negative log-likelihood with the best K, for arrays c and p of one shape."""
-    c, p = np.atleast_1d(c), np.atleast_1d(p)
-    n = weights.sum()
-    logs = np.log(times[None, :] + c[:, None]) @ weights
+def profile(c, p, n, logs, low: float, high: float):
+    """Negative log-likelihood with the best K, from n and the sums of ln(t + c)."""
     return n - n * np.log(n / _integral(c, p, low, high)) + p * logs
 
 
-def best_p(c: float, times: np.ndarray, weights: np.ndarray, low: float, high: float) -> tuple[float, float]:
-    """(nll, p) at a given c: the likelihood is convex in p, so its slope is halved to zero inside the bounds."""
-    n, logs = weights.sum(), float(np.log(times + c) @ weights)
-    f = lambda p: float(n - n * math.log(n / float(_integral(np.float64(c), np.float64(p), low, high))) + p * logs)
-    a, b = P_RANGE
+def best_p(c: np.ndarray, n: np.ndarray, logs: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nll, p) for arrays of one shape: the likelihood is convex in p, so golden sections close in on the best."""
+    f = lambda p: profile(c, p, n, logs, low, high)
+    a, b = (np.full(np.shape(logs), end) for end in P_RANGE)
     ratio = (math.sqrt(5) - 1) / 2
     x, y = b - ratio * (b - a), a + ratio * (b - a)
     fx, fy = f(x), f(y)
-    while b - a > 1e-7:
-        if fx <= fy:
-            b, y, fy = y, x, fx
-            x = b - ratio * (b - a)
-            fx = f(x)
-        else:
-            a, x, fx = x, y, fy
-            y = a + ratio * (b - a)
-            fy = f(y)
-    return min((f(p), p) for p in (x, P_RANGE[0], P_RANGE[1]))
-
-
-def refine(times: np.ndarray, low: float, high: float, weights: np.ndarray | None = None, start: float | None = None) -> tuple[float, float, float, float] | None:
-    """(K, c, p, nll) of the greatest likelihood within the bounds; None where no finite one exists.
-
-    The best p for each c leaves a function of ln c. It is looked at on a
-    grid (around ``start`` if given) and narrowed about its lowest point.
-    """
-    weights = np.ones(len(times)) if weights is None else weights
-    n = weights.sum()
-    if n <= 0:
-        return None
-    at = lambda u: best_p(math.exp(u), times, weights, low, high)
-    ends = math.log(C_RANGE[0]), math.log(C_RANGE[1])
-    grid = np.linspace(*ends, 24) if start is None else np.clip(math.log(start) + np.array([-2.0, -1.0, -0.4, 0.0, 0.4, 1.0, 2.0]), *ends)
-    found = [(*at(u), u) for u in grid]
-    step = (grid[1] - grid[0]) if start is None else 0.6
-    best = min(found)
-    while step > 1e-4:
-        for u in (best[2] - step, best[2] + step):
-            u = min(max(u, ends[0]), ends[1])
-            best = min(best, (*at(u), u))
-        step /= 2
-    nll, p, u = best
-    if not math.isfinite(nll):
-        return None
-    c = math.exp(u)
-    return n / float(_integral(np.float64(c), np.float64(p), low, high)), c, p, nll
-
-
-def condensed(times: DataFrame, by: list[str], low: float, high: float, least: int = LEAST) -> DataFrame:
-    """(by, t_days, w): the times in [low, high] of groups with ``least`` of them, each of weight 1.
-
-    A group of more than MOST_TIMES comes as a histogram over the logarithm of
-    time (BINS mean times and their counts) that Spark has counted, so no task
-    holds more than that of one record.
-    """
-    inside = times.where(F.col("t_days").between(low, high))
-    logs = F.log(F.greatest("t_days", F.lit(1e-9)))
-    sizes = settle(inside.groupBy(*by).agg(F.count("*").alias("_n"), F.min(logs).alias("_a"), F.max(logs).alias("_b")).where(F.col("_n") >= least), "sizes")
-    sized = inside.join(small(sizes), by)
-    place = F.floor(F.coalesce(F.try_divide((logs - F.col("_a")) * BINS, F.col("_b") - F.col("_a")), F.lit(0.0)))
-    few = sized.where(F.col("_n") <= MOST_TIMES).select(*by, "t_days", F.lit(1.0).alias("w"))
-    many = sized.where(F.col("_n") > MOST_TIMES).groupBy(*by, place.alias("_bin")).agg(F.exp(F.avg(logs)).alias("t_days"), F.count("*").cast("double").alias("w"))
-    return few.unionByName(many.select(*by, "t_days", "w"))
+    for _ in range(40):
+        lower = fx <= fy
+        a, b = np.where(lower, a, x), np.where(lower, y, b)
+        new = np.where(lower, b - ratio * (b - a), a + ratio * (b - a))
+        value = f(new)
+        x, y, fx, fy = np.where(lower, new, y), np.where(lower, x, new), np.where(lower, value, fy), np.where(lower, fx, value)
+    found = [(f(p), p) for p in ((a + b) / 2, np.full(np.shape(logs), P_RANGE[0]), np.full(np.shape(logs), P_RANGE[1]))]
+    nll, p = found[0]
+    for value, end in found[1:]:
+        nll, p = np.where(value < nll, value, nll), np.where(value < nll, end, p)
+    return nll, p
+
+
+def _log_sums(inside: DataFrame, by: list[str], points: int) -> DataFrame:
+    """n_events and the sums of ln(t + c) for each of the points of the column ``cs``, an array."""
+    logs = F.array(*[F.sum(F.col("w") * F.log(F.col("t_days") + F.get("cs", F.lit(i)))) for i in range(points)])
+    return inside.groupBy(*by).agg(F.sum("w").cast("long").alias("n_events"), logs.alias("logs"), F.first("cs").alias("cs"))
 
 
 FITS = "n_events long, k double, c double, p double, nll double"
 
 
-def fit(times: DataFrame, by: list[str], low: float, high: float | None, least: int = LEAST) -> DataFrame:
-    """Fits by group over [low, high] (null: to the latest time of all): by, n_events, k, c, p, nll."""
-    end = float(times.agg(F.max("t_days")).first()[0] or 0.0) if high is None else float(high)
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = refine(group["t_days"].to_numpy(), low, end, group["w"].to_numpy())
-        rows = [] if found is None else [(*key, int(group["w"].sum()), *found)]
-        return pd.DataFrame(rows, columns=[*by, "n_events", "k", "c", "p", "nll"])
+def _closer(by: list[str], kinds: dict[str, str], low: float, high: float):
+    """For rows of sums: the best of their points (FITS), and the next points about it; and the schema of that."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = math.log(C_RANGE[0]), math.log(C_RANGE[1])
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = batch["n_events"].to_numpy(float)
+            c, logs = np.stack(batch["cs"].to_numpy()), np.stack(batch["logs"].to_numpy())
+            nll, p = best_p(c, n[:, None], logs, low, high)
+            at, rows, u = np.argmin(nll, axis=1), np.arange(len(batch)), np.log(c)
+            left, right = u[rows, np.maximum(at - 1, 0)], u[rows, np.minimum(at + 1, c.shape[1] - 1)]
+            cs = np.exp(np.clip(np.linspace(left, right, STEPS + 1, axis=1), *ends))
+            own_c, own_p = c[rows, at], p[rows, at]
+            yield batch[by].assign(n_events=batch["n_events"], k=n / _integral(own_c, own_p, low, high), c=own_c, p=own_p, nll=nll[rows, at], cs=list(cs))
+
+    return run, ", ".join([*[f"{b} {kinds[b]}" for b in by], FITS, "cs array<double>"])
 
+
+def fit(times: DataFrame, by: list[str], low: float, high: float | None, least: int = LEAST, raw: int = 0) -> DataFrame:
+    """Fits by group over [low, high] (null: to the latest time of all): by, n_events, k, c, p, nll.
+
+    A group needs ``raw`` times in all and ``least`` in the window.
+    """
+    end = float(times.agg(F.max("t_days")).first()[0] or 0.0) if high is None else float(high)
     kinds = dict(times.dtypes)
-    return condensed(times, by, low, end, least).groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + ", " + FITS)
+    inside, gate = counted(times, by, low, end, least, raw)
+    inside = settle(inside, "times")
+    run, schema = _closer(by, kinds, low, end)
+    first = inside.withColumn("cs", F.array(*[F.lit(c) for c in c_grid()]))
+    now = settle(_log_sums(first, by, C_STEPS).where(gate).mapInPandas(run, schema), "fits")
+    for _ in range(ROUNDS):
+        closer = inside.join(small(now.select(*by, "cs")), by)
+        now = settle(_log_sums(closer, by, STEPS + 1).mapInPandas(run, schema), "fits")
+    return now.drop("cs")
 
 
 def sensitivity(events: DataFrame, mcs: list[float], starts: list[float], high: float, least: int = 200) -> DataFrame:
@@ -166,35 +169,86 @@ def sensitivity(events: DataFrame, mcs: list[float], starts: list[float], high:
     out = None
     for start in starts:
         grid = events.withColumn("mc", F.explode(F.filter(F.array(*[F.lit(float(m)) for m in mcs]), lambda m: F.col("mag") >= m))).select("mc", "t_days")
-        enough = grid.groupBy("mc").agg(F.count("*").alias("all")).where(F.col("all") >= least)
-        own = fit(grid.join(F.broadcast(enough.select("mc")), "mc"), ["mc"], start, high).withColumn("tmin_days", F.lit(float(start)))  # at most len(mcs) rows
+        own = fit(grid, ["mc"], start, high, raw=least).withColumn("tmin_days", F.lit(float(start)))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws: int = 200, seed: int = 7, block: int = 25) -> DataFrame:
-    """Draws (record_id, draw, p_boot): refits of events resampled with replacement.
+def poisson(draw: Column) -> Column:
+    """A Poisson number of mean one from a uniform number of 32 bits."""
+    u, total, term = draw / float(1 << 32), 0.0, math.exp(-1)
+    out = F.lit(0)
+    for k in range(10):
+        total += term
+        term /= k + 1
+        out = out + (u >= total).cast("int")
+    return out
 
-    A record's draws go in blocks to many tasks; each starts at the record's
-    own fit and takes its random numbers from the seed, record and block.
-    """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1)))
-    point = fits.select("record_id", F.col("c").alias("c0"))
-    dealt = condensed(times, ["record_id"], low, high).join(small(settle(point, "points")), "record_id").withColumn("block", blocks)
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        record, number = key
-        group = group.sort_values("t_days")
-        t, w = group["t_days"].to_numpy(), group["w"].to_numpy()
-        r = np.random.default_rng([seed, zlib.crc32(record.encode()), number])
-        total, rows = int(w.sum()), []
-        for k in range(number * block, min(draws, (number + 1) * block)):
-            found = refine(t, low, high, r.multinomial(total, w / w.sum()).astype(float), float(group["c0"].iloc[0]))
-            if found is not None:
-                rows.append((record, k, found[2]))
-        return pd.DataFrame(rows, columns=["record_id", "draw", "p_boot"])
+def _uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Uniform numbers of (key, draw, seed), a row for each key: integer mixing, so they depend on nothing else."""
+    x = keys[:, None] ^ ((draws[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
 
-    return dealt.groupBy("record_id", "block").applyInPandas(one, "record_id string, draw int, p_boot double")
+
+def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws: int = 200, seed: int = 7) -> DataFrame:
+    """Draws (record_id, draw, p_boot): refits of a record's events resampled with replacement.
+
+    In a draw each event counts a Poisson number of times with mean one, a
+    hash of (event, draw, seed): so a record's events are resampled wherever
+    they lie, and only sums for each draw are shuffled. A draw is fitted at
+    DRAW_STEPS values of c about the record's own and between the best three.
+    """
+    offsets = np.linspace(-REACH, REACH, DRAW_STEPS)
+    ends = math.log(C_RANGE[0]), math.log(C_RANGE[1])
+    event = [c for c in ("usgs_id", "t_days") if c in times.columns]
+    keyed = times.where(F.col("t_days").between(low, high)).select("record_id", "t_days", F.xxhash64(*event).alias("key"))
+    point = small(settle(fits.select("record_id", F.log("c").alias("u0")), "points"))
+    salt = F.pmod("key", F.lit(SPREAD))
+    dealt = keyed.join(point, "record_id").repartition("record_id", salt).sortWithinPartitions("record_id")
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, u0 = None, None, 0.0
+        numbers = np.arange(draws)
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"record_id": now, "draw": numbers, "u0": u0, "n": total[:, 0], "logs": list(total[:, 1:])})
+
+        for batch in batches:
+            for record, own in batch.groupby("record_id", sort=False):
+                if record != now:
+                    if now is not None:
+                        yield done()
+                    now, total, u0 = record, np.zeros((draws, DRAW_STEPS + 1)), float(own["u0"].iloc[0])
+                t, keys = own["t_days"].to_numpy(), own["key"].to_numpy().view(np.uint64)
+                c = np.exp(np.clip(u0 + offsets, *ends))
+                for at in range(0, len(t), 2048):
+                    part = slice(at, at + 2048)
+                    weights = np.searchsorted(cdf, _uniform(keys[part], numbers, seed), "right").astype(float)
+                    total += weights.T @ np.column_stack([np.ones(len(t[part])), np.log(t[part, None] + c[None, :])])
+        if now is not None:
+            yield done()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["n"] > 0]
+            if not len(batch):
+                continue
+            u = np.clip(batch["u0"].to_numpy()[:, None] + offsets[None, :], *ends)
+            nll, p = best_p(np.exp(u), batch["n"].to_numpy()[:, None], np.stack(batch["logs"].to_numpy()), low, high)
+            rows, at = np.arange(len(batch)), np.clip(np.argmin(nll, axis=1), 1, DRAW_STEPS - 2)
+            (a, b, d), (pa_, pb, pd_) = ([x[rows, at + k] for k in (-1, 0, 1)] for x in (nll, p))
+            bend = a - 2 * b + d
+            shift = np.clip(np.where(bend > 0, (a - d) / (2 * np.where(bend > 0, bend, 1.0)), np.where(a < d, -1.0, 1.0)), -1, 1)
+            shift = np.where(u[rows, at + 1] > u[rows, at - 1], shift, 0.0)
+            value = pb + shift * (pd_ - pa_) / 2 + shift**2 * (pa_ - 2 * pb + pd_) / 2
+            yield pd.DataFrame({"record_id": batch["record_id"], "draw": batch["draw"].astype("int32"), "p_boot": np.clip(value, *P_RANGE)})
+
+    parts = dealt.mapInPandas(sums, "record_id string, draw int, u0 double, n double, logs array<double>")
+    return together(parts, ["record_id", "u0", "draw"], {"logs": DRAW_STEPS}).mapInPandas(solve, "record_id string, draw int, p_boot double")
 
 
 def intervals(draws: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -203,10 +257,14 @@ def intervals(draws: DataFrame, value: str, by: list[str]) -> DataFrame:
     return draws.groupBy(*by).agg(F.count(value).alias("n_draws"), ends.alias("q"), F.avg((F.col(value) < 0).cast("double")).alias("below_zero")).select(*by, "n_draws", F.col("q")[0].alias("p_lo"), F.col("q")[1].alias("p_median"), F.col("q")[2].alias("p_hi"), "below_zero")
 
 
-def relaxed(records: DataFrame, fits: DataFrame, enough: int = 6) -> DataFrame:
-    """Rows ``all_relaxed`` for mainshocks with fewer than ``enough`` fitted subgroups; they repeat the mainshock's fit."""
-    few = fits.groupBy("mainshock_id").agg(F.count("*").alias("n")).where(F.col("n") < enough).select("mainshock_id")
-    own = records.join(few, "mainshock_id", "left_semi")
+def relaxed(whole: DataFrame, fits: DataFrame, enough: int = 6) -> DataFrame:
+    """Rows ``all_relaxed`` for mainshocks with fewer than ``enough`` fitted subgroups, none among them too.
+
+    ``whole``: fits of all events of a mainshock, under the lower gate that
+    such rows have.
+    """
+    full = fits.groupBy("mainshock_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= enough).select("mainshock_id")
+    own = whole.join(full, "mainshock_id", "left_anti")
     return own.withColumns({"subgroup_type": F.lit("depth"), "subgroup": F.lit("all_relaxed"), "record_id": F.concat_ws("|", "mainshock_id", F.lit("depth"), F.lit("all_relaxed"))})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakespark.operators.stats import average_rank, demeaned, fe_terms, gram, independent, pearson, unpack, without_each
-from quakespark.sources.tables import settle, small
+from quakespark.sources.tables import settle, small, together
 
 
 def draw_hash(*parts: Column) -> Column:
@@ -28,11 +29,33 @@ def repetitions(rows: DataFrame, n: int) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """Correlations without each group, and of all rows as ``(none)``: omitted, n, pearson_r, spearman_rho."""
-    kept = rows.select(F.col(group).cast("string").alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
+    """Correlations without each group, and of all rows as ``(none)``: omitted, n, pearson_r, spearman_rho.
+
+    Pearson's needs the totals less a group's own moments. Ranks change with
+    what is left out, so for Spearman's the rows meet each other group.
+    """
+    kept = rows.select(F.col(group).cast("string").alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
     every = without_each(kept, "_g").unionByName(kept.withColumn("omitted", F.lit("(none)")))
     ranked = every.withColumns({"_rx": average_rank("_x", ["omitted"]), "_ry": average_rank("_y", ["omitted"])})
-    return ranked.groupBy("omitted").agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho"))
+    ranks = ranked.groupBy("omitted").agg(pearson("_rx", "_ry").alias("spearman_rho"))
+    return leave_one_out_pearson(rows, x, y, group).join(ranks, "omitted")
+
+
+def leave_one_out_pearson(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """omitted, n, pearson_r without each group and, as ``(none)``, of all: from the groups' moments alone."""
+    kept = rows.select(F.col(group).cast("string").alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    means = kept.agg(F.avg("_x"), F.avg("_y")).first()
+    u, v = (F.col(c) - float(m or 0.0) for c, m in zip(("_x", "_y"), means, strict=True))
+    names = ("n", "u", "v", "uu", "vv", "uv")
+    sums = [F.sum(e).alias(k) for k, e in zip(names, (F.lit(1.0), u, v, u * u, v * v, u * v), strict=True)]
+    own = settle(kept.groupBy("_g").agg(*sums), "moments")
+    total = own.agg(*[F.sum(k).alias(f"all_{k}") for k in names])  # one row
+    less = own.crossJoin(F.broadcast(total)).select(F.col("_g").alias("omitted"), *[(F.col(f"all_{k}") - F.col(k)).alias(k) for k in names], *[F.col(f"all_{k}") for k in ("uu", "vv")])
+    whole = total.select(F.lit("(none)").alias("omitted"), *[F.col(f"all_{k}").alias(k) for k in names], "all_uu", "all_vv")
+    spread = lambda c: F.col(f"{c}{c}") - F.col(c) * F.col(c) / F.col("n")
+    moves = (spread("u") > 1e-12 * F.col("all_uu")) & (spread("v") > 1e-12 * F.col("all_vv"))
+    r = F.try_divide(F.col("uv") - F.col("u") * F.col("v") / F.col("n"), F.sqrt(spread("u") * spread("v")))
+    return less.unionByName(whole).where("n > 0").select("omitted", F.col("n").cast("long").alias("n"), F.when(moves, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).alias("pearson_r"))
 
 
 def cluster_draws(groups: DataFrame, reps: int, seed: int) -> DataFrame:
@@ -64,11 +87,6 @@ def group_grams(rows: DataFrame, columns: list[str], group: str, by: list[str] |
     return gram(demeaned(rows, columns, keys), columns, keys)
 
 
-def _add_arrays(grams: DataFrame, by: list[str], k: int, weight: str) -> DataFrame:
-    total = lambda c, m: F.array(*[F.sum(F.col(weight) * F.get(F.col(c), F.lit(i))) for i in range(m)]).alias(c)
-    return grams.groupBy(*by).agg(F.sum(F.col(weight) * F.col("n")).alias("n"), total("sums", k), total("products", k * (k + 1) // 2))
-
-
 def first_slope(matrix: np.ndarray) -> float | None:
     """The first term's coefficient from products of demeaned (terms..., outcome); None where it has no variation."""
     inner, own = matrix[1:-1, 1:-1], matrix[1:-1, -1]
@@ -78,13 +96,38 @@ def first_slope(matrix: np.ndarray) -> float | None:
     return float(np.linalg.lstsq(inner[np.ix_(kept, kept)], own[kept], rcond=None)[0][0])
 
 
+def first_slopes(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> list[float | None]:
+    """first_slope for many rows at once: the other terms are swept out together, unclear cases go one by one."""
+    k = sums.shape[1]
+    m = np.zeros((len(n), k, k))
+    i, j = np.triu_indices(k)
+    m[:, i, j] = products
+    m[:, j, i] = products
+    size = m[:, np.arange(k), np.arange(k)].copy()
+    unclear = size[:, 0] <= 0
+    for t in range(1, k - 1):
+        pivot = m[:, t, t]
+        unclear |= (pivot <= 1e-7 * size[:, t]) & (size[:, t] > 0)
+        safe = np.where(pivot > 0, pivot, np.inf)
+        m = m - m[:, :, t, None] * m[:, None, t, :] / safe[:, None, None]
+    unclear |= m[:, 0, 0] <= 1e-7 * size[:, 0]
+    own = m[:, 0, -1] / np.where(unclear, 1.0, m[:, 0, 0])
+    return [first_slope(unpack(n[r], sums[r], products[r])) if unclear[r] else float(own[r]) for r in range(len(n))]
+
+
 def slopes(sums: DataFrame, by: list[str]) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(*[getattr(r, b) for b in by], first_slope(unpack(r.n, r.sums, r.products))) for r in batch.itertuples(index=False)], columns=[*by, "slope"])
+            if len(batch):
+                found = first_slopes(batch["n"].to_numpy(float), np.stack(batch["sums"].to_numpy()), np.stack(batch["products"].to_numpy()))
+                yield batch[by].assign(slope=pd.array(found, dtype="Float64"))
 
     kinds = dict(sums.dtypes)
-    return sums.mapInPandas(solve, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double")
+    return sums.select(*by, "n", "sums", "products").mapInPandas(solve, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double")
+
+
+def _lengths(k: int) -> dict[str, int]:
+    return {"sums": k, "products": k * (k + 1) // 2}
 
 
 def cluster_bootstrap_fe(sample: DataFrame, reps: int, seed: int, outcome: str = "p", terms: list[str] | None = None) -> DataFrame:
@@ -93,7 +136,7 @@ def cluster_bootstrap_fe(sample: DataFrame, reps: int, seed: int, outcome: str =
     columns = [*(terms or names), outcome]
     grams = settle(group_grams(rows, columns, "mainshock_id"), "grams")
     draws = cluster_draws(grams.select(F.col("mainshock_id").alias("group")), reps, seed).withColumnRenamed("group", "mainshock_id")
-    return slopes(_add_arrays(draws.join(small(grams), "mainshock_id"), ["rep"], len(columns), "times"), ["rep"])
+    return slopes(together(draws.join(small(grams), "mainshock_id"), ["rep"], _lengths(len(columns)), "times"), ["rep"])
 
 
 def permute_within(rows: DataFrame, value: str, group: str, key: str, reps: int, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -104,21 +147,77 @@ def permute_within(rows: DataFrame, value: str, group: str, key: str, reps: int,
     return given.join(placed.drop(value), [*keys, "_to"]).select(*keys, "rep", key, value)
 
 
-def permutation_slopes(sample: DataFrame, reps: int, seed: int, outcome: str = "p", terms: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """(by, rep, slope): rep 0 is the observed slope, others have the exposure permuted within mainshocks.
+def permutation_sums(sample: DataFrame, reps: int, seed: int, outcome: str = "p", terms: list[str] | None = None, each: bool = False, value: str = "log10_pop") -> tuple[DataFrame, int]:
+    """Sums of products (see gram) of (exposure, other terms..., outcome), demeaned by mainshock, for each repetition; and how many columns they are of.
 
-    The outcome is freed of the other terms once; a repetition then needs a
-    few sums of products over its rows, not a fit over all of them.
+    Repetition 0 is as observed; in the others a mainshock's exposures are
+    dealt to its rows in the order of hashes, as in permute_within. Rows are
+    shuffled once, by mainshock; a task then adds up all repetitions, so
+    ``reps`` rows leave it and not ``reps`` copies of its rows. With ``each``
+    the sums stay apart by mainshock.
     """
-    by = by or []
     rows, names = fe_terms(sample)
-    others = [t for t in (terms or names) if t != "log10_pop"]
-    within = demeaned(rows, ["log10_pop", *others, outcome], [*by, "mainshock_id"]).select(*by, "mainshock_id", "record_id", "log10_pop", *others, outcome)
-    within = settle(within, "within")
-    dealt = permute_within(within, "log10_pop", "mainshock_id", "record_id", reps, seed, by)
-    observed = within.select(*by, "mainshock_id", F.lit(0).alias("rep"), "record_id", "log10_pop")
-    every = dealt.unionByName(observed).join(within.drop("log10_pop"), [*by, "mainshock_id", "record_id"])
-    return slopes(gram(every, ["log10_pop", *others, outcome], [*by, "rep"]), [*by, "rep"])
+    columns = [value, *[t for t in (terms or names) if t != value], outcome]
+    k = len(columns)
+    kept = rows.dropna(subset=columns).select("mainshock_id", "record_id", *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+
+    def of_group(own: pd.DataFrame) -> tuple[int, np.ndarray]:
+        own = own.sort_values("record_id")
+        v = own[[f"v{i}" for i in range(k)]].to_numpy(float)
+        v = v - v.mean(axis=0)
+        keys = own["record_id"].tolist()
+        orders = np.empty((reps + 1, len(keys)), dtype=np.int64)
+        orders[0] = np.arange(len(keys))
+        for rep in range(1, reps + 1):
+            marks = [hashlib.md5(f"{seed}|{rep}|{key}".encode()).hexdigest() for key in keys]
+            orders[rep] = sorted(range(len(keys)), key=lambda i: (marks[i], keys[i]))  # noqa: B023
+        i, j = np.triu_indices(k)
+        out = np.tile((v.T @ v)[i, j], (reps + 1, 1))
+        out[:, 1:k] = v[orders, 0] @ v[:, 1:]
+        return len(keys), out
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows_of(name, n: int, products: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"mainshock_id": name, "rep": np.arange(reps + 1, dtype=np.int32), "n": float(n), "sums": [np.zeros(k)] * (reps + 1), "products": list(products)})
+
+        held: list[pd.DataFrame] = []
+        total_n, total = 0, np.zeros((reps + 1, k * (k + 1) // 2))
+
+        def close() -> tuple[int, np.ndarray]:
+            return of_group(pd.concat(held)) if held else (0, 0.0)
+
+        for batch in batches:
+            for name, own in batch.groupby("mainshock_id", sort=False):
+                if held and held[0]["mainshock_id"].iloc[0] != name:
+                    n, products = close()
+                    if each:
+                        yield rows_of(held[0]["mainshock_id"].iloc[0], n, products)
+                    total_n, total, held = total_n + n, total + products, []
+                held.append(own)
+        n, products = close()
+        if each and held:
+            yield rows_of(held[0]["mainshock_id"].iloc[0], n, products)
+        if not each and (held or total_n):
+            yield rows_of("", total_n + n, total + products)
+
+    dealt = kept.repartition("mainshock_id").sortWithinPartitions("mainshock_id")
+    sums = dealt.mapInPandas(add, "mainshock_id string, rep int, n double, sums array<double>, products array<double>")
+    return (sums if each else together(sums, ["rep"], _lengths(k))), k
+
+
+def permutation_slopes(sample: DataFrame, reps: int, seed: int, outcome: str = "p", terms: list[str] | None = None) -> DataFrame:
+    """(rep, slope): rep 0 is the observed slope, others have the exposure permuted within mainshocks."""
+    return slopes(permutation_sums(sample, reps, seed, outcome, terms)[0], ["rep"])
+
+
+def permutation_slopes_without_each(sample: DataFrame, reps: int, seed: int, outcome: str = "p") -> DataFrame:
+    """(omitted, rep, slope): permutation_slopes without each mainshock, from the totals less its own sums."""
+    sums, k = permutation_sums(sample, reps, seed, outcome, each=True)
+    sums = settle(sums, "permuted")
+    total = settle(together(sums, ["rep"], _lengths(k)), "totals").withColumnsRenamed({c: f"all_{c}" for c in ("n", "sums", "products")})
+    minus = lambda c: F.zip_with(F.col(f"all_{c}"), F.col(c), lambda a, b: a - b).alias(c)
+    less = sums.join(small(total), "rep").select(F.col("mainshock_id").alias("omitted"), "rep", (F.col("all_n") - F.col("n")).alias("n"), minus("sums"), minus("products"))
+    return slopes(less.where("n > 0"), ["omitted", "rep"])
 
 
 def permutation_summary(found: DataFrame, by: list[str]) -> DataFrame:

@@ -16,16 +16,18 @@ from quakespark.sources.tables import settle, small
 Segment = tuple[float, float]
 
 
-def merge_sparse(segments: list[Segment], count: Callable[[list[Segment]], list[int]], least: int) -> list[Segment]:
-    """Neighbours merged until each has ``least`` or one is left: the first of the fewest, with the smaller neighbour, the left of equals."""
-    while len(segments) > 1:
-        counts = count(segments)
-        if min(counts) >= least:
-            break
-        i = counts.index(min(counts))
-        left = i > 0 and (i == len(segments) - 1 or counts[i - 1] <= counts[i + 1])
-        j = i - 1 if left else i
-        segments = [*segments[:j], (segments[j][0], segments[j + 1][1]), *segments[j + 2 :]]
+def merge_fewest(segments: list[Segment], counts: list[int]) -> list[Segment]:
+    """The first of the fewest joined with its smaller neighbour, the left of equals."""
+    i = counts.index(min(counts))
+    left = i > 0 and (i == len(segments) - 1 or counts[i - 1] <= counts[i + 1])
+    j = i - 1 if left else i
+    return [*segments[:j], (segments[j][0], segments[j + 1][1]), *segments[j + 2 :]]
+
+
+def merge_sparse(segments: list[Segment], count: Callable[[list[Segment]], list[int]], least: int, most: int | None = None) -> list[Segment]:
+    """Neighbours merged until each has ``least`` or one is left, and then until there are ``most`` at most."""
+    while len(segments) > 1 and (min(counts := count(segments)) < least or most is not None and len(segments) > most):
+        segments = merge_fewest(segments, counts)
     return segments
 
 
@@ -73,6 +75,12 @@ class Depths:
         i = bisect.bisect_right(self.values, x)
         return self.below[i - 1] if i else 0
 
+    def less(self, x: float) -> int:
+        import bisect
+
+        i = bisect.bisect_left(self.values, x)
+        return self.below[i - 1] if i else 0
+
     def quantile(self, q: float) -> float:
         """Linear between the two nearest ranks."""
         at = q * (self.n - 1)
@@ -120,13 +128,26 @@ def depth_segments_of(depths: Depths, least: int, target: int = 3, fewest: int =
     return []
 
 
-def binned_depth_segments(depths: Depths, bins: list[float], least: int, fewest: int = 2) -> list[Segment]:
-    """The other way to depth segments: fixed bins, merged where sparse; none where fewer than ``fewest`` remain."""
-    if not depths.values:
+def binned_depth_segments(depths: Depths, bins: list[float], least: int, most: int = 3) -> list[Segment]:
+    """The other way to depth segments: fixed bins ``[lo, hi)`` and what lies below, merged to at most ``most``.
+
+    Where one segment is left, thirds or halves by quantiles if each has
+    ``least``; a single segment over all depths is none.
+    """
+    if not depths.values or len(bins) < 2:
         return []
-    edges = [*[b for b in bins if b < depths.values[-1]], math.inf]
-    segments = merge_sparse(list(zip(edges, edges[1:], strict=False)), depths.counts, least)
-    return segments if len(segments) >= fewest and min(depths.counts(segments)) >= least else []
+    count = lambda segments: [depths.less(hi) - depths.less(lo) for lo, hi in segments]
+    edges = [*map(float, bins), math.inf]
+    merged = merge_sparse(list(zip(edges, edges[1:], strict=False)), count, least, most)
+    merged = [s for s, n in zip(merged, count(merged), strict=True) if n]
+    if len(merged) > 1:
+        return merged
+    for parts in range(min(3, most), 1, -1):
+        cuts = [depths.values[0], *(depths.quantile(i / parts) for i in range(1, parts)), math.inf]
+        split = list(zip(cuts, cuts[1:], strict=False))
+        if depths.n >= parts * least and min(count(split)) >= least:
+            return split
+    return [s for s in merged if s[0] > edges[0] + 1e-9 or not math.isinf(s[1])]
 
 
 def depth_segments(events: DataFrame, least: int, target: int = 3, fewest: int = 2, bins: list[float] | None = None) -> DataFrame:
@@ -135,7 +156,7 @@ def depth_segments(events: DataFrame, least: int, target: int = 3, fewest: int =
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         depths = Depths(group["depth_km"].tolist(), group["n"].astype(int).tolist())
-        found = depth_segments_of(depths, least, target, fewest) if bins is None else binned_depth_segments(depths, bins, least, fewest)
+        found = depth_segments_of(depths, least, target, fewest) if bins is None else binned_depth_segments(depths, bins, least, target)
         return pd.DataFrame([(group["mainshock_id"].iloc[0], lo, hi, k == 0) for k, (lo, hi) in enumerate(found)], columns=["mainshock_id", "lo", "hi", "first"])
 
     return histogram.groupBy("mainshock_id").applyInPandas(fold, "mainshock_id string, lo double, hi double, first boolean")

@@ -50,11 +50,11 @@ def average_rank(column: str, by: list[str]) -> Column:
 
 
 def correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """n, pearson_r, spearman_rho, slope of y on x, by group; rows with a null or infinite value are left out."""
+    """n, pearson_r, spearman_rho, slope and intercept of y on x, by group; rows with a null or infinite value are left out."""
     kept = rows.withColumns({"_x": finite(F.col(x).cast("double")), "_y": finite(F.col(y).cast("double"))}).where("_x is not null and _y is not null")
     ranked = kept.withColumns({"_rx": average_rank("_x", by), "_ry": average_rank("_y", by)})
     slope = F.when(F.min("_x") < F.max("_x"), F.try_divide(F.covar_pop("_x", "_y"), F.var_pop("_x")))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho"), slope.alias("slope"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho"), slope.alias("slope"), (F.avg("_y") - slope * F.avg("_x")).alias("intercept"))
 
 
 def correlation_p(r: str, n: str) -> Column:
@@ -144,20 +144,42 @@ def ols(rows: DataFrame, y: str, xs: list[str], by: list[str] | None = None) ->
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for r in batch.itertuples(index=False):
-                if r.n and r.n > 0:
+            for r in batch.to_dict("records"):
+                n, sums_, products = r["n"], r["sums"], r["products"]
+                if n and n > 0:
                     back = np.eye(len(shift) + 1)
                     back[1:, 0] = shift
-                    found += [(*[getattr(r, b) for b in by], *x) for x in ols_rows(back @ unpack(r.n, r.sums, r.products) @ back.T, xs)]
+                    found += [(*[r[b] for b in by], *x) for x in ols_rows(back @ unpack(n, sums_, products) @ back.T, xs)]
             yield pd.DataFrame(found, columns=[*by, *[c.split()[0] for c in OLS.split(", ")]])
 
     kinds = dict(rows.dtypes)
     return sums.mapInPandas(solve, ", ".join([*[f"{b} {kinds[b]}" for b in by], OLS]))
 
 
+def exposure_column(frame: DataFrame) -> str:
+    """The subgroups' own population where a table has it, else that within 50 km."""
+    return "pop_sum_subgroup" if "pop_sum_subgroup" in frame.columns else "pop_sum_50km"
+
+
 def with_terms(sample: DataFrame) -> DataFrame:
-    """Adds log10_pop, log_n_events and the types' indicator columns type_*; the types come back as ``type_columns``."""
-    return sample.withColumns({"log10_pop": F.log10("pop_sum_subgroup"), "log_n_events": F.log(F.greatest(F.col("n_events").cast("double"), F.lit(1.0)))})
+    """Adds log10_pop (null where there are no people) and log_n_events."""
+    return sample.withColumns({"log10_pop": F.log10(exposure_column(sample)), "log_n_events": F.log(F.greatest(F.col("n_events").cast("double"), F.lit(1.0)))})
+
+
+def controlled(rows: DataFrame, outcome: str = "p", effects: bool = False) -> DataFrame:
+    """Least squares of the outcome on log10(exposure, 1 at least), magnitude and log(n), with effects of the mainshocks if wanted.
+
+    The effects are indicators fe_* of all mainshocks but the first, a small
+    level set.
+    """
+    made = rows.withColumns({"log10_pop": F.log10(F.greatest(finite(F.col(exposure_column(rows)).cast("double")), F.lit(1.0))), "log_n_events": F.log(F.greatest(F.col("n_events").cast("double"), F.lit(1.0)))})
+    made = made.withColumn(outcome, finite(F.col(outcome).cast("double"))).dropna(subset=[outcome, "log10_pop", "mainshock_mag", "log_n_events"])
+    names = ["log10_pop", "mainshock_mag", "log_n_events"]
+    if effects:
+        levels = sorted(r[0] for r in made.select(F.col("mainshock_id").cast("string")).distinct().collect())[1:]
+        made = made.withColumns({f"fe_{v}": (F.col("mainshock_id") == v).cast("double") for v in levels})
+        names += [f"fe_{v}" for v in levels]
+    return ols(made, outcome, names)
 
 
 def type_levels(sample: DataFrame) -> list[str]:

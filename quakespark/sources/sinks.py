@@ -45,7 +45,38 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.option("header", True).csv(path)
 
 
-def nested_fits(fits: DataFrame) -> DataFrame:
-    """One row for each section (mainshock or subgroup) and mainshock, with its fits as an array; for write_json."""
+MAINSHOCKS = "usgs_id string, time_utc string, lat double, lon double, depth_km double, mag double, place string"
+
+
+def read_mainshocks(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """Mainshocks from files that hold a list of them or a single one (or, with ``lines``, one on each line), as catalog rows; times are UTC."""
+    rows = spark.read.schema(MAINSHOCKS).option("multiLine", not lines).json(paths)
+    time = F.to_timestamp("time_utc")
+    return rows.withColumns({"time_utc": time, "time_us": F.unix_micros(time), **{c: finite(F.col(c)) for c in ("lat", "lon", "depth_km", "mag")}})
+
+
+def write_mainshocks(mainshocks: DataFrame, path: str) -> None:
+    """Mainshocks as JSON lines for read_mainshocks; times as ISO strings in UTC."""
+    stamp = F.date_format("time_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    write_json(mainshocks.withColumn("time_utc", stamp).select("usgs_id", "time_utc", "lat", "lon", "depth_km", "mag", "place"), path)
+
+
+def nested_fits(fits: DataFrame, baseline: dict[str, float] | None = None) -> DataFrame:
+    """One row for each section (mainshock or subgroup) and mainshock, with its fits as an array; for write_json.
+
+    ``baseline`` (Mc, tmin_days, tmax_days, ...) is repeated in each row.
+    """
     section = F.when(F.col("subgroup_type") == "mainshock", "by_mainshock").otherwise("by_subgroup")
-    return fits.groupBy(section.alias("section"), "mainshock_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in fits.columns if c != "mainshock_id"]))).alias("fits"))
+    nested = fits.groupBy(section.alias("section"), "mainshock_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in fits.columns if c != "mainshock_id"]))).alias("fits"))
+    return nested if baseline is None else nested.withColumn("baseline", F.struct(*[F.lit(float(v)).alias(k) for k, v in baseline.items()]))
+
+
+def read_fits(spark: SparkSession, path: str, section: str, fields: str) -> DataFrame:
+    """The fits of one section of what nested_fits gave; ``fields`` is the schema of a fit."""
+    rows = spark.read.schema(f"section string, mainshock_id string, fits array<struct<{fields}>>").json(path)
+    return rows.where(F.col("section") == section).select("mainshock_id", F.explode("fits").alias("fit")).select("mainshock_id", "fit.*")
+
+
+def write_ordered(frame: DataFrame, order: list, path: str) -> None:
+    """A report in order: CSV part files whose names follow the order."""
+    frame.orderBy(*order).write.option("header", True).csv(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ BROADCAST_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A shared folder: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A shared folder: below spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
@@ -28,6 +32,39 @@ def settle(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def made_once(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that the jobs of a session share: made from a folder and settled when first asked for, and again if its files are gone."""
+
+    def get(spark: SparkSession, folder: str) -> DataFrame:
+        key = spark.sparkContext.applicationId, folder, name
+        found = _MADE.get(key)
+        if found is None or not _there(found):
+            found = _MADE[key] = settle(make(spark, folder), name)
+        return found
+
+    return get
+
+
+def _there(frame: DataFrame) -> bool:
+    """Whether the files of a settled table still stand in its folder."""
+    spark = frame.sparkSession
+    for file in frame.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True
+
+
+def together(grams: DataFrame, by: list[str], arrays: dict[str, int], weight: str | None = None) -> DataFrame:
+    """Numbers n and arrays of given lengths summed by ``by``, element by element; times a weight if given."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    total = lambda c, m: F.array(*[F.sum(w * F.get(F.col(c), F.lit(i))) for i in range(m)]).alias(c)
+    return grams.groupBy(*by).agg(F.sum(w * F.col("n")).alias("n"), *[total(c, m) for c, m in arrays.items()])
+
+
 def small(frame: DataFrame) -> DataFrame:
     """Marks a side for broadcast if it has at most BROADCAST_ROWS rows; else leaves the join to the optimizer."""
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
