@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import fresh, join_small, matched, row_keys, settle, word_count
+from quakespark.llm.common import fresh, join_small, settle, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -25,6 +25,8 @@ BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 18
 #: A source's quota goes to groups of so many shards first, so a task ranks quotients of one group.
 GROUP_SHARDS = 4096
+#: Beyond about so many shards in all they grow instead: ordering one is a sort, which spills.
+MOST_SHARDS = 1 << 17
 SEED = 11
 
 
@@ -84,59 +86,89 @@ def _overlap(start: Column, stop: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(stop, high) - F.greatest(start, low))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, group_shards: int = GROUP_SHARDS, seed: int = SEED, carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row for each input row: identifier, size, source_size, target, taken.
+def _row_hashes(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's hash in its shard's order, and one of its text."""
+    return F.xxhash64(F.lit(SEED + 1), F.col(f"`{id_col}`")), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
-    ``size`` is the number of words, 0 for null or empty text; such rows are
-    taken 0 words of. A null source is a source of its own, last in order.
-    Repeated identifiers are separate rows. Row order, and so the result,
-    depends only on the rows and the seed. Extra columns are ignored (``carry``
-    names expressions to add to the result).
-    """
-    carry = carry or {}
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *[c.alias(k) for k, c in carry.items()])
+
+def _shard(order: Column, digest: Column, shards: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED), order, digest), shards)
+
+
+BY_SOURCE = ["none", "source"]
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, budget: float, ceiling: float, block: int, shard_words: int, group_shards: int) -> tuple[DataFrame, DataFrame, Window]:
+    """Each row with its shard, place and ``taken`` words; the sources; and the order of a shard's rows."""
+    order, digest = _row_hashes(id_col, text_col)
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), order.alias("order"), digest.alias("digest"))
     sized = settle(sized.withColumns({"none": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))}), "sized")
-    by_source = ["none", "source"]
-    sums = settle(sized.groupBy(*by_source).agg(F.sum("size").alias("source_size")), "sources")
+    sums = settle(sized.groupBy(*BY_SOURCE).agg(F.sum("size").alias("source_size")), "sources")
     named = F.when(~F.col("none"), F.col("source"))
     sources = source_targets(sums.select(named.alias("source"), "source_size"), weights, budget, ceiling)
     total = F.sum("source_size").over(Window.partitionBy())
-    sources = apportion(sources.withColumn("seats", F.round(total * budget / block).cast("long")), [], ["source"], "target", F.col("seats"))
-    sources = settle(
-        sources.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")), "targets"
-    )
-    dealt = join_small(sized, sources, by_source).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("shards")))
-    by_shard, by_group = [*by_source, "shard"], [*by_source, "shard_group"]
+    sources = sources.withColumns({"seats": F.round(total * budget / block).cast("long"), "shard_words": F.greatest(F.lit(float(shard_words)), total / MOST_SHARDS)})
+    sources = apportion(sources, [], ["source"], "target", F.col("seats"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("shard_words"))).cast("long")
+    sources = settle(sources.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target", F.col("quota").alias("source_quota"), shards.alias("shards")), "targets")
+    dealt = join_small(sized, sources, BY_SOURCE).withColumn("shard", _shard(F.col("order"), F.col("digest"), F.col("shards")))
+    by_shard, by_group = [*BY_SOURCE, "shard"], [*BY_SOURCE, "shard_group"]
     shards = dealt.groupBy(*by_shard).agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = settle(shards.withColumn("shard_group", F.floor(F.col("shard") / group_shards).cast("long")), "shard_sizes")
     groups = shards.groupBy(*by_group).agg(F.sum("shard_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
-    groups = apportion(groups, by_source, by_group, "group_size", F.col("source_quota")).withColumnRenamed("quota", "group_quota")
+    groups = apportion(groups, BY_SOURCE, by_group, "group_size", F.col("source_quota")).withColumnRenamed("quota", "group_quota")
     shards = shards.join(groups.select(*by_group, "group_quota"), by_group)
     shards = settle(apportion(shards, by_group, by_shard, "shard_size", F.col("group_quota")).select(*by_shard, "quota"), "shards")
-    order = Window.partitionBy(*by_shard).orderBy(F.xxhash64(F.lit(seed + 1), "id"), F.col("id").asc_nulls_last(), "size", *carry)
-    line = dealt.withColumns({"stop": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("size").over(Window.partitionBy(*by_shard))})
+    line_order = Window.partitionBy(*by_shard).orderBy("order", "digest", F.col("id").asc_nulls_last())
+    line = dealt.withColumns({"stop": F.sum("size").over(line_order.rowsBetween(Window.unboundedPreceding, 0)), "length": F.sum("size").over(Window.partitionBy(*by_shard))})
     placed = join_small(line, shards, by_shard)
     start, stop, length, b = F.col("stop") - F.col("size"), F.col("stop"), F.col("length"), F.lit(block)
     blocks = F.greatest(F.lit(1), F.ceil(length * 2 / block)).cast("long")
-    placed = placed.withColumns({"blocks": blocks, "quota": F.least("quota", blocks)}).withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), *by_shard), F.col("blocks")))
+    placed = placed.withColumns({"blocks": blocks, "quota": F.least("quota", blocks)}).withColumn("first", F.pmod(F.xxhash64(F.lit(SEED + 2), *by_shard), F.col("blocks")))
     low, high = F.col("first") * b, F.least(F.col("first") + F.col("quota"), F.col("blocks")) * b
     around = F.greatest(F.lit(0), F.col("first") + F.col("quota") - F.col("blocks")) * b
     taken = sum((_overlap(start + shift, stop + shift, x, y) for shift in (F.lit(0), length) for x, y in ((low, high), (F.lit(0), around))), F.lit(0))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+    return placed.withColumn("taken", taken.cast("long")), sources, line_order
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, group_shards: int = GROUP_SHARDS) -> DataFrame:
+    """One row for each input row: identifier, size, source_size, target, taken.
+
+    ``size`` is the number of words, 0 for null or empty text; such rows are
+    taken 0 words of. A null source is a source of its own, last in order.
+    Repeated identifiers are separate rows. Row order, and so the result,
+    depends only on the rows and the seed. Extra columns are ignored, and an
+    empty table gives an empty result.
+    """
+    placed, _, _ = _placed(docs, id_col, text_col, source_col, weights, budget, ceiling, block, shard_words, group_shards)
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """``docs`` with each row 0, 1 or 2 times, as often as mix takes its words, to the nearest.
 
-    All columns stay as they were, whatever their names. Decisions join their
-    rows by identifier and a hash of the text; rows equal in both share one
+    Along a shard's line that number changes at a few places only, the ends of
+    the run. So documents meet the places of their shard, a row for each of
+    MOST_SHARDS or so, and are not shuffled. All columns stay as they were,
+    whatever their names; rows equal in identifier, text and source share one
     decision. Rows of no words go, and an empty table stays empty.
     """
-    digest, times = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), fresh(docs, "_times")[0]
-    found = mix(docs, id_col, text_col, source_col, carry={"row_digest": digest})
-    often = F.when(F.max("size") == 0, 0).otherwise(F.floor(F.sum("taken") / F.sum("size") + 0.5)).cast("int")
-    keyed = found.select(*row_keys(id_col, F.col("row_digest")), "taken", "size").toDF("none", "own", "digest", "taken", "size")
-    wanted = settle(keyed.groupBy("none", "own", "digest").agg(often.alias(times)).where(F.col(times) > 0), "times")
+    placed, sources, order = _placed(docs, id_col, text_col, source_col, weights, budget, ceiling, block, shard_words, group_shards)
+    often = placed.where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    turns = often.withColumn("before", F.lag("times").over(order)).where("before is null or before <> times")
+    by_shard = [*BY_SOURCE, "shard"]
+    turn = F.struct(F.struct("order", "digest").alias("place"), F.col("times"))
+    turns = settle(turns.groupBy(*by_shard).agg(F.sort_array(F.collect_list(turn)).alias("turns")), "turns")  # some five for each shard
+    names = dict(zip([*by_shard, "order", "digest", "turns", "shards", "times", "copy"], fresh(docs, "_none", "_source", "_shard", "_order", "_digest", "_turns", "_shards", "_times", "_copy"), strict=True))
+    own, source = dict(zip(("order", "digest"), _row_hashes(id_col, text_col), strict=True)), F.col(f"`{source_col}`").cast("string")
+    tagged = docs.where(F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    tagged = tagged.withColumns({names["none"]: source.isNull(), names["source"]: F.coalesce(source, F.lit("")), names["order"]: own["order"], names["digest"]: own["digest"]})
+    rename = lambda f: f.withColumnsRenamed({c: names[c] for c in f.columns})
+    tagged = join_small(tagged, rename(sources.select(*BY_SOURCE, "shards")), [names[c] for c in BY_SOURCE])
+    tagged = tagged.withColumn(names["shard"], _shard(F.col(names["order"]), F.col(names["digest"]), F.col(names["shards"])))
+    met = join_small(tagged, rename(turns), [names[c] for c in by_shard])
+    place = F.struct(F.col(names["order"]).alias("order"), F.col(names["digest"]).alias("digest"))
+    last = F.try_element_at(F.filter(names["turns"], lambda t: t["place"] <= place), F.lit(-1))["times"]
     every = [F.col(f"`{c}`") for c in docs.columns]
-    (copy,) = fresh(docs, "_copy")
-    return matched(docs, row_keys(id_col, digest), wanted, "inner").select(*every, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
+    wanted = met.withColumn(names["times"], last).where(F.col(names["times"]) > 0)
+    return wanted.select(*every, F.explode(F.sequence(F.lit(1), F.col(names["times"]))).alias(names["copy"])).drop(names["copy"])

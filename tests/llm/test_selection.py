@@ -103,6 +103,23 @@ def test_mix_against_plain_resharing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_rows_repeat_as_mix_takes_them(spark):
+    r = random.Random(8)
+    rows = [(i, f"t{i} " + "w " * r.choice([0, 1, 50, 300, 2000]), r.choice(["a", "b", "b", "b", "c", "dé", None])) for i in range(500)] + [(900, None, "a"), (901, " \t", "b"), (None, "no id here", "c")]
+    schema = "doc_id long, text string, source string, _times int, _shard string, _order long"
+    frame = spark.createDataFrame([(*x, 7, "s", None) for x in rows], schema)
+    taken = {x.doc_id: (x.taken, x.size) for x in mixing.mix(frame, shard_words=9000).collect()}
+    got = mixing.repeat_mixed(frame, shard_words=9000)
+    assert got.columns == frame.columns
+    found = got.collect()
+    times = collections.Counter(x.doc_id for x in found)
+    for i, (t, size) in taken.items():
+        assert times[i] == (int(t / size + 0.5) if size else 0), i
+    assert all((x._times, x._shard, x._order) == (7, "s", None) for x in found) and len(set(times.values())) == 2
+    twice = spark.createDataFrame([(1, "same row", "a", 0, "s", None)] * 3 + [(2, "other words here", "a", 0, "s", None)], schema)
+    assert set(collections.Counter(x.doc_id for x in mixing.repeat_mixed(twice).collect()).values()) <= {1, 2, 3, 6}
+
+
 def test_sainte_lague_against_highest_quotients(spark):
     r = random.Random(2)
     parties = [(g, k, float(r.choice([0, 1, 5, 30, 1000, 7.5]))) for g in range(30) for k in range(r.randint(1, 12))]
