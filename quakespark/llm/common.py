@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: A side of a join is broadcast when it has no more rows than this; each such
 #: side has a few short columns, so this is some tens of MB at most.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 400_000
 #: Rows of an Arrow batch between Spark and Python: texts may be long.
 BATCH_ROWS = 512
 
@@ -57,6 +57,15 @@ def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more: what was made of them has been settled itself."""
+    for frame in frames:
+        spark, files = frame.sparkSession, frame.inputFiles()
+        if files and f"/quakespark-{spark.sparkContext.applicationId}/" in files[0]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(frame: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of ``frame`` is called so."""
     taken = {c.lower() for c in frame.columns}
@@ -69,7 +78,7 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt: int = 16) -> DataFrame:
-    """Join with a side of one row for each key: broadcast if it is small, else by salted keys.
+    """Join with a side of few rows for each key: broadcast if it is small, else by salted keys.
 
     ``right`` should be cheap to count (settled). Beyond BROADCAST_ROWS each of
     its rows is repeated for every salt, so that a key with a third of the

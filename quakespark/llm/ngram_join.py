@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, join_small, matched, row_keys, settle
+from quakespark.llm.common import bound_batches, discard, join_small, matched, row_keys, settle
 from quakespark.llm.components import connected
 from quakespark.llm.exact_dedup import elect
 from quakespark.llm.shingles import merged_table, shingles, slices, word_hashes
@@ -87,22 +87,35 @@ def _arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 
 
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, row, n, cls, run, tokens) for rows of (id, text): set size, class, and the sorted hashes."""
+    """(id, row, n, cls, sure, run, tokens) for rows of (id, text): set size, class (two halves of a digest), and the sorted hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, sets = [], [], []
+            sizes, classes, sures, sets = [], [], [], []
             for raw in slices(batch.column("text")):
                 own = shingles(word_hashes(raw), rule.n)
                 body = own.tobytes()
                 sizes.append(len(own))
-                classes.append(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True))
+                digest = hashlib.blake2b(body, digest_size=16).digest()
+                classes.append(int.from_bytes(digest[:8], "little", signed=True))
+                sures.append(int.from_bytes(digest[8:], "little", signed=True))
                 sets.append(body)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), batch.column("run"), pa.array(sets, pa.binary())], names=["id", "row", "n", "cls", "run", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sures, pa.int64()), batch.column("run"), pa.array(sets, pa.binary())], names=["id", "row", "n", "cls", "sure", "run", "tokens"])
 
     row = F.xxhash64("text")
     run = F.pmod(F.xxhash64("id", row), F.lit(RUNS)).cast("int")
-    return docs.select("id", row.alias("row"), run.alias("run"), "text").mapInArrow(make, "id long, row long, n long, cls long, run int, tokens binary")
+    return docs.select("id", row.alias("row"), run.alias("run"), "text").mapInArrow(make, "id long, row long, n long, cls long, sure long, run int, tokens binary")
+
+
+def clashes(rows: DataFrame) -> DataFrame:
+    """(cls) of different sets that share a class number: a few, if any, of 10^10 sets."""
+    return rows.groupBy("cls").agg(F.min("sure").alias("a"), F.max("sure").alias("b")).where("a <> b").select("cls")
+
+
+def apart(rows: DataFrame, clashing: DataFrame) -> DataFrame:
+    """``rows`` (cls, sure, ...) with numbers of their own for the sets that share one."""
+    own = F.when(F.col("_clash"), F.xxhash64("cls", "sure")).otherwise(F.col("cls"))
+    return join_small(rows, clashing.withColumn("_clash", F.lit(True)), ["cls"], "left").withColumn("cls", own).select(*rows.columns)
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -166,8 +179,9 @@ def possible_partners(entries: DataFrame, rule: Rule, rounds: int = 2) -> DataFr
     enough = F.greatest(F.lit(1), F.floor(least / 10))
     for _ in range(rounds):
         staying = F.count("*").over(Window.partitionBy("cls")) >= enough
-        now = now.withColumn("_stays", staying).where("_stays").drop("_stays")
-        now = settle(now.withColumn("_more", frequent).where("_more").drop("_more"), "entries")
+        kept = now.withColumn("_stays", staying).where("_stays").drop("_stays")
+        before, now = now, settle(kept.withColumn("_more", frequent).where("_more").drop("_more"), "entries")
+        discard(before)
     return now.drop("spread", "hot")
 
 
@@ -207,7 +221,7 @@ def candidate_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.take(pa.array(rows))
 
     found = sets.select("cls", "tokens").mapInArrow(make, "cls long, tokens binary")
-    return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return join_small(found, classes, ["cls"], "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 # ---- signature trees
@@ -420,10 +434,11 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
 
     In an undivided group the edges are stars about a component's least class.
     """
-    members = sets.join(groups.withColumnRenamed("node", "cls"), "cls")
-    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("tokens")) / block_bytes)).cast("int")
+    members = join_small(sets.select("cls", F.octet_length("tokens").alias("bytes")), groups.withColumnRenamed("node", "cls"), ["cls"])
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
     size = settle(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
-    dealt = _units(join_small(members, size, ["root"]), F.col("cls")).select("root", "i", "j", "own", "cls", "tokens")
+    units = settle(_units(join_small(members.drop("bytes"), size, ["root"]), F.col("cls")).select("root", "i", "j", "own", "cls"), "units")
+    dealt = join_small(sets.select("cls", "tokens"), units, ["cls"]).select("root", "i", "j", "own", "cls", "tokens")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -476,19 +491,29 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     sets = settle(shingle_sets(slim, rule), "sets")
+    shared = settle(clashes(sets.select("cls", "sure")), "clashes")
+    if shared.limit(1).count():
+        whole = sets
+        sets = settle(apart(whole, shared), "sets")
+        discard(whole)
+    rows = settle(sets.select("id", "row", "n", "cls", "run"), "rows")
     entries = possible_partners(prefixes(sets, slot_counts(sets), rule), rule)
     classes = settle(entries.select("cls").distinct(), "classes")
     chosen = settle(candidate_sets(sets, classes), "chosen")
-    groups = settle(connected(settle(bucket_forest(entries, signatures_of(chosen), rule), "forest"), "a", "b"), "groups")
+    discard(sets)
+    forest = settle(bucket_forest(entries, signatures_of(chosen), rule), "forest")
+    discard(entries)
+    groups = settle(connected(forest, "a", "b"), "groups")
+    discard(forest)
     links, whole = exact_links(chosen, groups, rule)
     links = settle(links, "links")
+    discard(chosen, groups)
     if whole:  # stars already
         roots = links.select(F.col("a").alias("cls"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("cls"), F.col("b").alias("root")).distinct())
     else:
         roots = connected(links, "a", "b").withColumnRenamed("node", "cls")
     roots = settle(roots, "roots")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    rows = sets.select("id", "row", "n", "cls", "run")
     own = settle(join_small(rows, roots, ["cls"]).groupBy("root").agg(F.min(who).alias("linked")), "components")
     linked = settle(join_small(roots, own, ["root"]).select("cls", "linked"), "linked")
     copies = elect(rows, ["cls"], who, RUNS, FAN).select("cls", "run", F.col("first").alias("copied"))

@@ -110,6 +110,31 @@ def test_drop_near_copies(spark):
     assert ngram_join.drop_near_copies(frame.where("false")).count() == 0 and ngram_join.ngram_jaccard(frame.where("false")).count() == 0
 
 
+def test_sets_of_one_class_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 10), (2, 5, 10), (3, 5, 11), (4, 6, 10), (5, 6, 10)], "id long, cls long, sure long")
+    shared = ngram_join.clashes(rows)
+    assert [x.cls for x in shared.collect()] == [5]
+    got = {x.id: x.cls for x in ngram_join.apart(rows, shared).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == got[5] == 6 and len(set(got.values())) == 3
+    assert ngram_join.apart(rows, shared).columns == rows.columns
+
+
+def test_unbroken_text_and_a_hot_shingle(spark):
+    r = random.Random(12)
+    rows = [(0, "x" * 3_000_000), (1, "x" * 3_000_000), (2, "y" * 3_000_000)]
+    hot = "these three words"
+    rows += [(10 + i, hot + " " + " ".join(f"v{r.randint(0, 10**6)}" for _ in range(2))) for i in range(3000)]
+    base = [f"b{i}" for i in range(40)]
+    rows += [(5000 + i, " ".join([*base[:38], f"e{i}", base[39]])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in ngram_join.ngram_jaccard(frame, 3, 80).collect()}
+    assert [got[i].component_id for i in (0, 1, 2)] == [0, 0, 2] and got[0].n_shingles == 1
+    assert {got[5000 + i].component_id for i in range(600)} == {5000}
+    small = [x for x in rows if 10 <= x[0] < 10 + 3000]
+    sets = {i: plain_sets(t, 3) for i, t in small}
+    assert all(got[i].n_shingles == len(sets[i]) and got[i].component_id == i for i, _ in small)
+
+
 def test_prefixes_lose_no_pair():
     r = random.Random(3)
     for percent in (60, 80, 90, 95):
