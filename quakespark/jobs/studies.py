@@ -37,7 +37,7 @@ def scale_study(mainshocks: DataFrame, radii=RADII, by: list[str] | None = None,
     alphas = predicted.where("model = 'ridge'").groupBy(*keys).agg(F.percentile("alpha", 0.5).alias("median_alpha"))
     out = full.join(without, keys, "left").join(scores, keys, "left").join(alphas, keys, "left")
     if exact:
-        out = out.join(resample.order_permutation(rows, "x", "p", keys).select(*keys, "n_orders", F.col("p_value").alias("exact_permutation_p")), keys, "left")
+        out = out.join(resample.order_permutation(rows, "x", "p", keys, null=False).select(*keys, "n_orders", F.col("p_value").alias("exact_permutation_p")), keys, "left")
     return out
 
 

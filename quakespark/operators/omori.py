@@ -187,7 +187,8 @@ def poisson(draw: Column) -> Column:
 
 def _uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     """Uniform numbers of (key, draw, seed), a row for each key: integer mixing, so they depend on nothing else."""
-    x = keys[:, None] ^ ((draws[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+    start = np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))
+    x = keys[:, None] ^ ((draws[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + start)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53

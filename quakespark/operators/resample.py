@@ -235,19 +235,11 @@ def permutation_summary(found: DataFrame, by: list[str]) -> DataFrame:
 MOST_EXACT = 10
 
 
-def exact_permutation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """by, n_orders, observed slope and the exact two-sided p over all orders of y, with 2.5 and 97.5 % points.
+def _tested(dealt: DataFrame, by: list[str], kinds: dict[str, str], null: bool, slopes_of) -> DataFrame:
+    """For units (by, v, start, ...) the orders' slopes: n, hits, observed and slope; a row for each order, or without ``null`` for each unit.
 
-    A group's orders are numbered and dealt to tasks in ranges; a number gives
-    its order by the factorial number system.
+    ``slopes_of(row, u, v)`` gives the slopes of a unit's orders, for centred u.
     """
-    packed = rows.dropna(subset=[x, y]).groupBy(*by).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("v"), F.count("*").alias("n"))
-    packed = settle(packed, "packed")
-    largest = packed.agg(F.max("n")).first()[0]
-    if largest is not None and largest > MOST_EXACT:
-        raise ValueError(f"{largest} rows have too many orders; use permutation_slopes")
-    step = math.factorial(7)
-    dealt = packed.withColumn("start", F.explode(F.expr(f"sequence(0L, factorial(cast(n as int)) - 1, {step}L)"))).repartition(*by, "start")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,43 +249,59 @@ def exact_permutation(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFra
                 u = u - u.mean()
                 if not (u @ u) > 0:
                     continue
-                numbers = np.arange(r.start, min(r.start + step, math.factorial(len(u))))
-                orders = orders_of(numbers, len(u))
-                yield pd.DataFrame({**{b: getattr(r, b) for b in by}, "slope": (v[orders] @ u) / (u @ u), "observed": (v @ u) / (u @ u)})
+                found, own = slopes_of(r, u, v), float((v @ u) / (u @ u))
+                hits = np.abs(found) >= abs(own) - 1e-12
+                made = {"slope": found, "n": 1, "hits": hits.astype(np.int64)} if null else {"slope": [None], "n": [len(found)], "hits": [int(hits.sum())]}
+                yield pd.DataFrame({**made, **{b: getattr(r, b) for b in by}, "observed": own})[[*by, "slope", "n", "hits", "observed"]].astype({"slope": float})
+
+    found = dealt.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double, n long, hits long, observed double")
+    ends = [F.percentile("slope", q).alias(c) for q, c in ((0.025, "null_lo"), (0.975, "null_hi"))] if null else []
+    return found.groupBy(*by).agg(F.sum("n").alias("n_orders"), F.first("observed").alias("observed"), F.sum("hits").alias("hits"), *ends)
+
 
-    kinds = dict(rows.dtypes)
-    found = dealt.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double, observed double")
-    hit = (F.abs("slope") >= F.abs(F.col("observed")) - 1e-12).cast("double")
-    return found.groupBy(*by).agg(F.count("*").alias("n_orders"), F.first("observed").alias("observed"), F.avg(hit).alias("p_value"), F.percentile("slope", 0.025).alias("null_lo"), F.percentile("slope", 0.975).alias("null_hi"))
+def _packed(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    pair = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return rows.groupBy(*by).agg(F.collect_list(pair).alias("v"), F.count("*").alias("_n"))  # one row for each mainshock
 
 
-def order_permutation(rows: DataFrame, x: str, y: str, by: list[str], reps: int = 5000, seed: int = 7) -> DataFrame:
+def exact_permutation(rows: DataFrame, x: str, y: str, by: list[str], null: bool = True) -> DataFrame:
+    """by, n_orders, observed slope and the exact two-sided p over all orders of y; with ``null`` its 2.5 and 97.5 % points.
+
+    A group's orders are numbered and dealt to tasks in ranges; a number gives
+    its order by the factorial number system.
+    """
+    packed = settle(_packed(rows.dropna(subset=[x, y]), x, y, by), "packed")
+    largest = packed.agg(F.max("_n")).first()[0]
+    if largest is not None and largest > MOST_EXACT:
+        raise ValueError(f"{largest} rows have too many orders; use permutation_slopes")
+    step = math.factorial(7)
+    dealt = packed.withColumn("start", F.explode(F.expr(f"sequence(0L, factorial(cast(_n as int)) - 1, {step}L)"))).drop("_n").repartition(*by, "start")
+
+    def slopes_of(r, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        numbers = np.arange(r.start, min(r.start + step, math.factorial(len(u))))
+        return (v[orders_of(numbers, len(u))] @ u) / (u @ u)
+
+    found = _tested(dealt, by, dict(rows.dtypes), null, slopes_of)
+    return found.withColumn("p_value", F.col("hits") / F.col("n_orders")).drop("hits")
+
+
+def order_permutation(rows: DataFrame, x: str, y: str, by: list[str], reps: int = 5000, seed: int = 7, null: bool = True) -> DataFrame:
     """exact_permutation for groups of up to MOST_EXACT rows; for larger ones ``reps`` seeded orders of all rows.
 
     n_orders is then reps and the p (hits + 1) / (reps + 1).
     """
     block = 500
-    sized = settle(rows.dropna(subset=[x, y]).withColumn("_n", F.count("*").over(Window.partitionBy(*by))), "sized")
-    packed = sized.where(F.col("_n") > MOST_EXACT).groupBy(*by).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("v"))
+    sized = settle(rows.dropna(subset=[x, y]).withColumn("_size", F.count("*").over(Window.partitionBy(*by))), "sized")
+    packed = _packed(sized.where(F.col("_size") > MOST_EXACT), x, y, by).drop("_n")
     dealt = packed.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(block)))).repartition(*by, "start")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                pairs = sorted((v["x"], v["y"]) for v in r.v)
-                u, v = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-                u = u - u.mean()
-                if not (u @ u) > 0:
-                    continue
-                draw = np.random.default_rng([seed, r.start])
-                slopes_ = [(draw.permutation(v) @ u) / (u @ u) for _ in range(min(block, reps - r.start))]
-                yield pd.DataFrame({**{b: getattr(r, b) for b in by}, "slope": slopes_, "observed": (v @ u) / (u @ u)})
-
-    kinds = dict(rows.dtypes)
-    found = dealt.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", slope double, observed double")
-    hit = (F.abs("slope") >= F.abs(F.col("observed")) - 1e-12).cast("long")
-    drawn = found.groupBy(*by).agg(F.count("*").alias("n_orders"), F.first("observed").alias("observed"), ((F.sum(hit) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile("slope", 0.025).alias("null_lo"), F.percentile("slope", 0.975).alias("null_hi"))
-    return exact_permutation(sized.where(F.col("_n") <= MOST_EXACT), x, y, by).unionByName(drawn)
+    def slopes_of(r, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        draw = np.random.default_rng([seed, r.start])
+        return np.array([(draw.permutation(v) @ u) / (u @ u) for _ in range(min(block, reps - r.start))])
+
+    drawn = _tested(dealt, by, dict(rows.dtypes), null, slopes_of)
+    drawn = drawn.withColumn("p_value", (F.col("hits") + 1) / (F.col("n_orders") + 1)).drop("hits")
+    return exact_permutation(sized.where(F.col("_size") <= MOST_EXACT), x, y, by, null).unionByName(drawn)
 
 
 def orders_of(numbers: np.ndarray, n: int) -> np.ndarray:

@@ -86,28 +86,65 @@ def test_fit_recovers_and_is_best(spark):
     for name, own in fits.items():
         t = np.array([x for k, x in rows if k == name])
         c, p = np.meshgrid(np.exp(np.linspace(math.log(1e-6), math.log(10), 60)), np.linspace(0.2, 5, 80))
-        best = omori.profile(c.ravel(), p.ravel(), t, np.ones(len(t)), 0.01, 100.0).min()
+        logs = np.log(t[:, None] + np.exp(np.linspace(math.log(1e-6), math.log(10), 60))[None, :]).sum(axis=0)
+        best = omori.profile(c, p, len(t), logs[None, :], 0.01, 100.0).min()
         assert own.nll <= best + 1e-6 and own.nll <= grid[name].nll + 1e-6
         nll = omori.negative_log_likelihood(times.where(F.col("record_id") == name), ["record_id"], own.k, own.c, own.p, 0.01, 100.0).first().nll
         assert nll == pytest.approx(own.nll, abs=1e-6)
-    draws = omori.bootstrap(times, spark.createDataFrame([(k, v.c) for k, v in fits.items()], "record_id string, c double"), 0.01, 100.0, 12, 7, 5)
+    draws = omori.bootstrap(times, spark.createDataFrame([(k, v.c) for k, v in fits.items()], "record_id string, c double"), 0.01, 100.0, 60, 7)
     got = {x.record_id: x for x in omori.intervals(draws, "p_boot", ["record_id"]).collect()}
-    assert got["a"].n_draws == 12 and got["a"].p_lo < fits["a"].p < got["a"].p_hi
+    assert got["a"].n_draws == 60 and got["a"].p_lo < fits["a"].p < got["a"].p_hi
 
 
-def test_histogram_fit_is_close(spark, monkeypatch):
+def test_fit_is_the_same_however_times_are_dealt(spark):
     r = random.Random(5)
     times = spark.createDataFrame([("a", float(t)) for t in simulated(r, 3000, 0.05, 1.1, 0.01, 100.0)], "record_id string, t_days double")
-    whole = omori.fit(times, ["record_id"], 0.01, 100.0).first()
-    monkeypatch.setattr(omori, "MOST_TIMES", 500)
-    assert omori.condensed(times, ["record_id"], 0.01, 100.0).agg(F.sum("w")).first()[0] == 3000
-    assert omori.fit(times, ["record_id"], 0.01, 100.0).first().p == pytest.approx(whole.p, abs=2e-3)
+    one, many = (omori.fit(times.repartition(n), ["record_id"], 0.01, 100.0).first() for n in (1, 7))
+    assert one.p == pytest.approx(many.p, abs=1e-9) and one.nll == pytest.approx(many.nll, abs=1e-6) and one.n_events == many.n_events == 3000
+
+
+def test_bootstrap_draws_are_fits_of_resampled_times(spark):
+    r = random.Random(8)
+    t = simulated(r, 300, 0.05, 1.1, 0.01, 100.0)
+    times = spark.createDataFrame([("a", f"e{i}", float(x)) for i, x in enumerate(t)], "record_id string, usgs_id string, t_days double")
+    fits = omori.fit(times, ["record_id"], 0.01, 100.0)
+    draws = {x.draw: x.p_boot for x in omori.bootstrap(times, fits, 0.01, 100.0, 8, 7).collect()}
+    again = {x.draw: x.p_boot for x in omori.bootstrap(times.repartition(5), fits, 0.01, 100.0, 8, 7).collect()}
+    assert draws.keys() == again.keys() == set(range(8)) and all(abs(draws[k] - again[k]) < 1e-5 for k in draws)
+    keys = [x.k for x in times.select(F.xxhash64("usgs_id", "t_days").alias("k"), "t_days").collect()]
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    weights = np.searchsorted(cdf, omori._uniform(np.array(keys).view(np.uint64), np.arange(8), 7), "right")
+    c = np.exp(np.linspace(math.log(1e-6), math.log(10), 2000))
+    for k in range(8):
+        logs = (weights[:, k, None] * np.log(t[:, None] + c[None, :])).sum(axis=0)
+        nll, p = omori.best_p(c, np.full(len(c), float(weights[:, k].sum())), logs, 0.01, 100.0)
+        assert draws[k] == pytest.approx(p[np.argmin(nll)], abs=0.02)
+
+
+def test_gates_on_all_times_and_on_the_window(spark):
+    inside = [("enough", 0.02 + 0.1 * i) for i in range(21)] + [("enough", 0.001)] * 4
+    few_raw = [("raw", 0.02 + 0.1 * i) for i in range(24)]
+    few_window = [("window", 0.02 + 0.1 * i) for i in range(19)] + [("window", 200.0)] * 20
+    times = spark.createDataFrame(inside + few_raw + few_window, "record_id string, t_days double")
+    for how in (omori.fit, omori.grid_fit):
+        assert {(x.record_id, x.n_events) for x in how(times, ["record_id"], 0.01, 100.0, raw=25).collect()} == {("enough", 21)}
+
+
+def test_sensitivity_is_a_fit_of_each_cell(spark):
+    r = random.Random(6)
+    events = spark.createDataFrame([(float(t), 1 + 2 * r.random()) for t in simulated(r, 900, 0.1, 1.05, 0.005, 100.0)], "t_days double, mag double")
+    got = {(x.mc, x.tmin_days): x for x in omori.sensitivity(events, [1.0, 1.5, 2.9], [0.01, 0.1], 100.0, 200).collect()}
+    assert set(got) == {(m, s) for m in (1.0, 1.5) for s in (0.01, 0.1)}
+    for (mc, start), own in got.items():
+        alone = omori.fit(events.where(F.col("mag") >= mc).withColumn("k", F.lit("x")), ["k"], start, 100.0).first()
+        assert own.n_events == alone.n_events and own.p == pytest.approx(alone.p, abs=1e-5)
 
 
 def test_relaxed_rows(spark):
     fits = spark.createDataFrame([("m|depth|all_depth", "m", "depth", "all_depth"), ("n|depth|all_depth", "n", "depth", "all_depth"), *[(f"n|ring|{i}", "n", "ring", str(i)) for i in range(6)]], "record_id string, mainshock_id string, subgroup_type string, subgroup string")
-    got = omori.relaxed(fits.where("subgroup = 'all_depth'"), fits).collect()
-    assert [r.record_id for r in got] == ["m|depth|all_relaxed"]
+    whole = spark.createDataFrame([("m", 0.9), ("n", 1.0), ("none", 1.1)], "mainshock_id string, p double")
+    got = {r.record_id: r.p for r in omori.relaxed(whole, fits).collect()}
+    assert got == {"m|depth|all_relaxed": 0.9, "none|depth|all_relaxed": 1.1}
 
 
 def plain_depths(d, least):
@@ -144,6 +181,48 @@ def test_depth_segments_against_plain_rule():
         assert len(own) == len(want) and all(a == pytest.approx(b) for a, b in zip(own, want, strict=True)), (sorted(d), own, want)
 
 
+def plain_bins(d, bins, least, most=3):
+    """Fixed bins merged pair by pair on the values themselves, thirds or halves where one is left."""
+    cnt = lambda s: sum(s[0] <= x < s[1] for x in d)
+    segs = list(zip(bins, [*bins[1:], math.inf], strict=True))
+
+    def merged(segs):
+        n = [cnt(s) for s in segs]
+        i = n.index(min(n))
+        j = 1 if i == 0 else i - 1 if i == len(segs) - 1 or n[i - 1] <= n[i + 1] else i + 1
+        a, b = min(i, j), max(i, j)
+        return segs[:a] + [(segs[a][0], segs[b][1])] + segs[b + 1 :]
+
+    while len(segs) > 1 and min(map(cnt, segs)) < least:
+        segs = merged(segs)
+    while len(segs) > most:
+        segs = merged(segs)
+    segs = [s for s in segs if cnt(s)] if d else []
+    if len(segs) > 1 or not d:
+        return segs
+    for k in (3, 2):
+        cuts = [min(d), *np.quantile(d, [i / k for i in range(1, k)]).tolist(), math.inf]
+        out = list(zip(cuts, cuts[1:], strict=False))
+        if len(d) >= k * least and min(map(cnt, out)) >= least:
+            return out
+    return [s for s in segs if not (math.isinf(s[1]) and s[0] <= bins[0] + 1e-9)]
+
+
+def test_binned_depth_segments_against_plain_rule():
+    r = random.Random(17)
+    bins = [0, 10, 20, 40, 80, 300]
+    for _ in range(600):
+        d = [float(r.choice([1, 15, 30, 60, 100, r.randint(-5, 400), r.uniform(0, 12)])) for _ in range(r.randint(0, 80))]
+        if not any(0 <= x for x in d):
+            continue
+        values = sorted(set(d))
+        own = segments.binned_depth_segments(segments.Depths(values, [d.count(v) for v in values]), bins, 8)
+        want = plain_bins(d, bins, 8)
+        assert len(own) == len(want) and all(a == pytest.approx(b) for a, b in zip(own, want, strict=True)), (sorted(d), own, want)
+    five = segments.Depths([1, 15, 30, 60, 100], [40] * 5)
+    assert len(segments.binned_depth_segments(five, bins, 25)) == 3
+
+
 def test_merge_sparse():
     count = lambda table: lambda segs: [sum(v for k, v in table.items() if lo <= k < hi) for lo, hi in segs]
     rings = [(0, 50), (50, 150), (150, 400)]
@@ -231,7 +310,6 @@ def test_correlations_guard_constants(spark):
 
 
 
-
 def test_order_permutation_takes_all_rows(spark):
     rows = spark.range(11).selectExpr("'many' g", "id x", "id y").union(spark.range(5).selectExpr("'few' g", "id x", "id y"))
     found = {r.g: r for r in resample.order_permutation(rows, "x", "y", ["g"], 1000, 7).collect()}
