@@ -115,6 +115,15 @@ def test_templates():
     assert labels("Licensed under the Apache License, Version 1.1.") == "apache"
     assert labels("is licensed under the GNU General Public License, version 3.") == "gpl,gpl-3.0-only"
     assert labels("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version") == "gpl,gpl-3.0-or-later"
+    assert labels("under the GNU General Public License version 3 or newer") == "gpl,gpl-3.0-or-later" and labels("under the GNU General Public License version 3 or something") == "gpl"
+    assert labels("under the terms of the GNU GPL. Under the GNU General Public License version 2.0 or later. Under the GNU General Public License, version 2 only, it says.") == "gpl,gpl-2.0-only,gpl-2.0-or-later"
+    assert labels("under the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.") == "lgpl-2.1-or-later"
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    assert labels(mit) == "mit-text" and labels(mit.replace("sublicense", "sell")) == "" and labels(mit[:400]) == ""
+    own = licenses.Scanner({}, [("x", "go ((left|right)) now !(or)"), ("y", "go ((left|right)) now or later")])
+    assert [own(t)[5] for t in ("go left now", "go right now and", "go up now", "go left now or", "go left now or later", "go left now. go right now or later")] == ["x", "x", "", "", "y", "x,y"]
+    assert licenses.longest([(0, 5, "a"), (1, 4, "b"), (0, 5, "c"), (2, 9, "d"), (6, 9, "e")]) == {"a", "c", "d"}
     own = licenses.Scanner({}, [("x", "open the {{2-3}} door [[now [[please]]]] end")])
     yes = ["open the a b door end", "open the a b c door end", "open the a b door now end", "open the door door door door now please end", "z open the open the a b door end"]
     no = ["open the a door end", "open the a b c d door end", "open the a b door please end", "open the a b door now please", "open the"]
