@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers
-and always stay. The field looks at the stretches that hold digits or at
-signs outside base spans: candidate segments of at most LONGEST pieces are
+and always stay; they are matched so that a text of any length and shape is
+looked at once. The field looks at the stretches that hold digits, at signs or
+long runs of letters and digits (keys, passwords) outside base spans: candidate segments of at most LONGEST pieces are
 scored as wholes (how many digits, their groups, what separates them, check
 digit, words before, what touches either end), and dynamic programming over
 the pieces chooses boundaries and kinds together. A span it adds has a
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the field adds may also be a key, token or password.
+FIELD_KINDS = (*KINDS, "secret")
 
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns of cards and phones; those of e-mail and IP addresses are matched in parts, see base_spans.
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -34,9 +35,20 @@ SURE = 0.9
 LONGEST = 48
 EPOCHS, RATE, PENALTY = 8, 0.3, 1e-4
 
+#: What the pattern of e-mail addresses has before and after the at sign, and four or more numbers with full stops between.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+
 _NUMBERS = re.compile(r"[0-9](?:[0-9 ().\-\[\]/]|\[dot\]|\(dot\)){5,60}[0-9]")
-_NAMES = re.compile(r"[\w.+-]+ ?[\[(](?:at|@)[\])] ?[\w-]+(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[\w-]+)+|[\w.+-]+ @ ?[\w-]+\.\w+|[\w.+-]+@ [\w-]+\.\w+")
-_NAME_MARKS = ("(at)", "[at]", "(@)", "[@]", " @", "@ ")
+#: Written-out at signs, and what a name and a host may be beside them (bounded, as in addresses).
+_MARKS = re.compile(r"[\[(](?:at|@)[\])]| @|@ ")
+_NAME = re.compile(r"[\w.+-]{1,64} ?\Z")
+_HOST = re.compile(r" ?[\w-]{1,63}(?: ?(?:\.|[\[(](?:dot|\.)[\])]) ?[\w-]{1,63}){1,8}")
+_PLAIN_HOST = re.compile(r" ?[\w-]{1,63}\.\w{1,63}")
+#: A run that may be a secret: long, of letters and digits.
+_RUN = re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{16,200}(?![\w/+-])")
+_ASSIGNED = re.compile(r"[=:]\s*[\"']?\Z")
 _PIECE = re.compile(r"[^\W\d_]+|\d+|\s+|.", re.S)
 _SIDE = 20
 
@@ -49,12 +61,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from their at signs: a text is looked at once."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _DOMAIN.match(text, at + 1) if start < at else None
+        if host:
+            end = host.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the base patterns; leftmost, non-overlapping within a kind; failing matches are dropped."""
-    out: list[tuple[str, int, int]] = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in m[0].split("."))]
+    out: list[tuple[str, int, int]] = [("email", *x) for x in _emails(text)]
+    for m in _DOTTED.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in four):
+                out.append(("ip", at, end))
+            at = end + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -68,18 +99,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field
 
 
-def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, str]]:
-    """(offset, text) of the parts of a text that the field looks at: what may hold an entity outside base spans."""
-    at, named = 0, any(x in text for x in _NAME_MARKS)
+def _names(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Places of names and hosts around a written-out at sign."""
+    for m in _MARKS.finditer(text, low, high):
+        bracket = m[0][0] in "[("
+        name = _NAME.search(text[max(low, m.start() - 65) : m.start()])
+        host = (_HOST if bracket else _PLAIN_HOST).match(text, m.end(), high)
+        if name and host and (bracket or name[0][-1] != " "):
+            yield m.start() - len(name[0]), host.end()
+
+
+def _runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Places of runs that may be secrets."""
+    for m in _RUN.finditer(text, low, high):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            yield m.span()
+
+
+def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, tuple[int, int] | None]]:
+    """(offset, text, run) of the parts of a text that the field looks at: what may hold an entity outside base spans.
+
+    ``run`` is where in the part a run stands that may be a secret; other
+    parts have none.
+    """
+    at = 0
     for s, e in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
         if at < s:
-            last, found = at, list(_NUMBERS.finditer(text, at, s))
-            if named:
-                found = sorted([*found, *_NAMES.finditer(text, at, s)], key=lambda m: m.span())
-            for m in found:
-                start = max(m.start() - _SIDE - (m.start() > 0 and text[m.start() - 1] in "(+"), last)
-                last = m.end()
-                yield start, text[start : min(m.end() + _SIDE, s)]
+            for a, b in _runs(text, at, s):
+                start = max(a - _SIDE, at)
+                yield start, text[start : min(b + 4, s)], (a - start, b - start)
+            last = at
+            for a, b in sorted([*(m.span() for m in _NUMBERS.finditer(text, at, s)), *_names(text, at, s)]):
+                start = max(a - _SIDE - (a > 0 and text[a - 1] in "(+"), last)
+                last = max(b, last)
+                if start < b:
+                    yield start, text[start : min(b + _SIDE, s)], None
         at = max(at, e)
 
 
@@ -149,6 +203,26 @@ def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, str, list[s
     return n, out
 
 
+def secret_features(span: str, before: str) -> list[str]:
+    """Names of what holds of a run that may be a secret."""
+    digits, word = sum(c.isdigit() for c in span), re.findall(r"[^\W\d_]+", before)
+    letters = "".join(c for c in span if c.isalpha())
+    case = "upper" if letters.isupper() else "hex" if re.fullmatch(r"[0-9a-f]+", span) else "lower" if letters.islower() else "both"
+    turns = len(re.findall(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", span))
+    out = ["bias", f"case={case}", f"length={min(len(span) // 4, 12)}", f"digits={digits * 8 // len(span)}", f"turns={min(turns, 6)}", f"marks={min(sum(c in '/-_+' for c in span), 4)}"]
+    out += [f"word={word[-1].lower() if word else ''}", f"assigned={bool(_ASSIGNED.search(before))}", f"head={span[:4] if span[:4].isupper() else ''}"]
+    return [f"secret {x}" for x in out]
+
+
+def run_segments(text: str, run: tuple[int, int]) -> tuple[int, list[tuple[int, int, int, int, str, list[str]]]]:
+    """Pieces of a stretch with one candidate: its whole run as a secret."""
+    cuts = [0, *(m.end() for m in _PIECE.finditer(text))]
+    out = [(i, i + 1, a, b, "O", []) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    a, b = run
+    out.append((cuts.index(a), cuts.index(b), a, b, "secret", secret_features(text[a:b], text[max(0, a - 24) : a])))
+    return len(cuts) - 1, out
+
+
 def _sum_logs(values: list[float]) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
@@ -204,6 +278,18 @@ def written_examples(seed: int = 7, each: int = 60) -> list[tuple[str, list[tupl
         "": [lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)} 1{d(1)}:{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", lambda: d(9), lambda: d(16), lambda: f"{d(3)} {d(2)} {d(3)} {d(2)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(3)}", lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)} {d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)} {d(4)}", lambda: f"{d(4)}-{d(4)}", lambda: f"v{d(1)}.{d(2)}.{d(3)} {d(8)}", lambda: f"{d(5)}.{d(4)} {d(3)}.{d(6)}"],
     }
     out = []
+    upper = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 2)) + "a7"
+    coded = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "d4"
+    shut = ["password=", "password = ", 'password: "', "passwd=", "pwd=", "token = ", 'token = "', "token=", "secret=", 'secret: "', "api_key=", 'key = "', "auth: ", "access_token="]
+    secrets = [lambda: (r.choice(shut), coded(r.choice([18, 24, 32, 40]))), lambda: (r.choice(shut), mixed(r.randint(16, 44))), lambda: ("", "AKIA" + upper(15) + "7"), lambda: (r.choice(["", "aws "]), "AKIA" + upper(15) + "7"), lambda: ("", "ghp_" + mixed(36)), lambda: (r.choice(["", "key="]), "sk-" + mixed(40))]
+    others = [lambda: ("commit ", coded(40)), lambda: ("sha256 ", coded(64)), lambda: ("", coded(32)), lambda: ("id ", f"{coded(8)}-{coded(4)}-{coded(4)}-{coded(4)}-{coded(12)}"), lambda: ("", f"{low(6)}-{low(8)}-{d(4)}"), lambda: ("see ", f"{low(5)}/{low(7)}/{low(6)}{d(3)}"), lambda: ("", f"{low(10)}_{low(6)}_{d(2)}"), lambda: ("", f"{low(14)}{d(4)}"), lambda: ("no ", f"{d(4)}-{d(6)}-{low(1)}{d(5)}"), lambda: ("key=", f"{low(9)}-{low(8)}{d(1)}"), lambda: ("", f"{low(4)}{d(2)}-{low(12)}")]
+    for forms, kind in ((secrets, "secret"), (others, "")):
+        for _ in range(each * 4):
+            before = " ".join(r.choice(words) for _ in range(r.randint(0, 3)))
+            (lead, body), gap = r.choice(forms)(), " " if before else ""
+            start = len(before) + len(gap) + len(lead)
+            out.append((before + gap + lead + body + r.choice(["", ".", '"', " " + r.choice(words)]), [(kind, start, start + len(body))] if kind else []))
     for kind, forms in made.items():
         for _ in range(each * {"": 3, "email": 3}.get(kind, 1)):
             before = " ".join(r.choice(words) for _ in range(r.randint(0, 3)))
@@ -218,6 +304,7 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EP
     """Weights by gradient steps on the likelihood of the whole segmentations; order and start are fixed."""
     weights: dict[str, float] = {}
     made = [(segments(text), {(k, s, e) for k, s, e in gold}) for text, gold in examples]
+    made += [(run_segments(text, run), set(gold)) for text, gold in examples for run in _runs(text, 0, len(text))]
     order = random.Random(1)
     for epoch in range(epochs):
         rate = RATE / (1 + epoch)
@@ -237,8 +324,8 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EP
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """What the field adds; never overlaps a base span."""
     out: list[tuple[str, int, int]] = []
-    for offset, part in stretches(text, base):
-        n, own = segments(part)
+    for offset, part, run in stretches(text, base):
+        n, own = segments(part) if run is None else run_segments(part, run)
         if all(not s[5] for s in own):
             continue
         scores, post = marginals(n, own, weights)
@@ -251,21 +338,21 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str,
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (FIELD_KINDS.index(x[0]), x[1])))
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_found long"
 
 
 def find_all(text: str | None, weights: dict[str, float]) -> tuple:
     base = base_spans(text or "")
     spans = base + added_spans(text or "", base, weights)
     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-    return *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)
+    return *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), sum(k == "secret" for k, _, _ in spans), len(spans)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
-    """One row for each input row: identifier, counts of base spans by kind, base_sha256, spans.
+    """One row for each input row: identifier, counts of base spans by kind, base_sha256, spans, n_secret, n_found (all spans).
 
     Spans are kind:start:end in code points, end exclusive, by kind and start,
     joined by commas; base_sha256 is the digest of the base ones so written.

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 from quakespark.llm import pii
 
@@ -95,7 +96,7 @@ def test_what_is_left_beside_base_spans_is_scored():
     found = lambda t: {t[s:e] for _, s, e in pii.added_spans(t, pii.base_spans(t), weights)}
     assert found("host 10.0.0.5 415-555-2671") == {"415-555-2671"}
     assert found("415-555-2671 10.0.0.5 617.555.0143") == {"415-555-2671", "617.555.0143"}
-    assert {t for _, t in pii.stretches("a 10.0.0.5 b", [("ip", 2, 10)])} == set()
+    assert {t for _, t, _ in pii.stretches("a 10.0.0.5 b", [("ip", 2, 10)])} == set()
 
 
 def test_long_written_forms_are_one_segment():
@@ -103,3 +104,39 @@ def test_long_written_forms_are_one_segment():
     for kind, text in (("ip", "10 (dot) 2 (dot) 3 (dot) 4"), ("email", "john.smith (at) example (dot) co (dot) uk")):
         whole = f"host {text}" if kind == "ip" else f"mail {text}"
         assert pii.added_spans(whole, pii.base_spans(whole), weights) == [(kind, 5, len(whole))], whole
+
+
+def test_base_spans_of_any_characters():
+    r = random.Random(13)
+    for _ in range(6000):
+        text = "".join(r.choice("ab1@..-+%_ é19") for _ in range(r.randint(0, 24)))
+        assert pii.base_spans(text) == plain_base(text), text
+    for _ in range(3000):
+        text = "".join(r.choice("12345.... 0") for _ in range(r.randint(0, 30)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_long_unbroken_texts_end():
+    weights = pii.fit(pii.written_examples())
+    for text in ("a" * 10**6, "a" * 10**6 + " @", "7" * 300_000, "a" * 10**6 + " (at) x.com", "1." * 300_000, "a@" * 300_000, "+1" * 300_000, "a1" * 500_000, "é" * 10**6, "@ " * 300_000):
+        start = time.process_time()
+        pii.find_all(text, weights)
+        assert time.process_time() - start < 12, text[:10]
+
+
+def test_secrets_in_unseen_forms():
+    weights, r = pii.fit(pii.written_examples()), random.Random(99)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "b3"
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 1)) + "4"
+    found = total = wrong = clean = 0
+    for _ in range(300):
+        lead, body = r.choice([("and password=", code(18)), ('der token = "', code(40)), ("que AKIA", key(16)), ("passwd: ", code(20))])
+        body = "AKIA" + body if lead.endswith("AKIA") else body
+        text = lead.removesuffix("AKIA") + body + r.choice(['"', " ones.", ""])
+        total += 1
+        found += ("secret", text.index(body), text.index(body) + len(body)) in pii.added_spans(text, [], weights)
+    for _ in range(300):
+        text = r.choice(["commit " + code(40), "the file " + "/".join("".join(r.choice("abcdef") for _ in range(7)) for _ in range(3)) + "12 of it", "Rechtsschutzversicherungsgesellschaften 2024", "a well-known-state-of-the-art-2 thing"])
+        clean += 1
+        wrong += bool(pii.added_spans(text, [], weights))
+    assert found / total > 0.95 and wrong / clean < 0.02
