@@ -5,8 +5,9 @@ a document: it runs best-fit decreasing over the counts of each length (at
 most CAPACITY numbers) and yields slots, each a range of ranks within a
 length, the sequences they go to, one after another, and their offset. The
 pieces then take their slots by joining on the rank within their length.
-Ranks come from counts by (length, shard), so that a length with a third of
-all pieces is ranked by many tasks.
+Ranks come from counts by (length, shard), with more shards for a frequent
+length, so that one with a third of all pieces is ranked by many tasks. A
+piece of CAPACITY tokens is a sequence by itself and needs no rank.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, settle
+from quakespark.llm.common import bound_batches, join_small, settle
 from quakespark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are ranked in so many shards.
-SHARDS = 64
+#: A shard of a length has about a 4096th of the pieces, within these bounds: some thousand shards in all, and one more for each further 131,072 pieces.
+SHARD_PIECES, PARTS = (256, 1 << 17), 4096
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 SLOTS = "length long, low long, high long, sequence long, offset long"
@@ -122,14 +123,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     pieces = settle(source.mapInPandas(_pieces(tokenizer or tokenizer_path(), capacity, end_id), PIECES), "pieces")
-    shard = F.pmod(F.xxhash64("row", "piece"), F.lit(SHARDS)).cast("int")
-    pieces = pieces.withColumn("shard", shard)
-    counts = settle(pieces.groupBy("length", "shard").agg(F.count("*").alias("n")), "counts")
+    shown = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(*shown, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part = pieces.where(F.col("length") < capacity)
+    lengths = settle(part.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in lengths.collect()}  # fewer than `capacity` rows
+    low, high = SHARD_PIECES
+    size = min(high, max(low, sum(histogram.values()) // PARTS))
+    shards = lengths.select("length", F.ceil(F.col("n") / size).alias("shards"))  # fewer than `capacity` rows
+    part = part.join(F.broadcast(shards), "length").withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.col("shards"))).drop("shards")
+    counts = part.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = settle(counts.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
-    ranked = pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "shard").orderBy("row", "piece"))).join(bases, ["length", "shard"])  # by the window's partitioning
+    within = F.row_number().over(Window.partitionBy("length", "shard").orderBy("row", "piece"))
+    ranked = join_small(part.withColumn("within", within), bases, ["length", "shard"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within") - 1).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(_take(slots))  # bounded by the lengths: some 100,000 rows at most
 
@@ -144,4 +152,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 sequence[rows], offset[rows] = first[at] + ranks[rows] - low[at], off[at]
             yield batch.drop(columns="rank").assign(doc_id=batch.doc_id.astype("Int64"), sequence_id=sequence, offset=offset)
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 
 import pytest
@@ -192,7 +193,7 @@ def test_encoder_equals_whole_encoding(monkeypatch, store):
         assert own(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, json.dumps(text)
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/é", "same"), (2, None, "same"), (3, "u\r\nX: y", "same"), (4, "u", ""), (5, "u", None), (6, "u", "\U0001f600" * 400_000), (None, "u", "same"), (8, "u", "lone"), (8, "u", "lone")]
     pages += [(100 + i, f"http://h/{i}", f"<html>{i % 40} " + "text of a page " * 50) for i in range(400)]
     frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, bytes string")
@@ -213,15 +214,55 @@ def test_archives_round_trip(spark):
         else:
             assert r.refers_to == newest[text]
     assert collections.Counter(r.record_type for r in got)["response"] == len(newest)
+    assert len({r.record_id for r in got}) == len(got)
+    folder = f"file://{tmp_path}/archives"
+    assert warc.export_archives(archives, folder).agg(F.sum("bytes")).first()[0] == sum(p.stat().st_size for p in (tmp_path / "archives").glob("*.warc.zst"))
+    assert sorted(map(str, warc.read_files(spark, folder).collect())) == sorted(map(str, got))
 
 
 def test_bad_archives_are_told():
-    record = warc.record_bytes(1, "u", b"payload", "response", None)
+    record = warc.record_bytes("urn:page:1:0", "u", b"payload", "response", None)
     good = warc.archive_bytes([record], [b"payload"])
     assert [warc.parse_record(r)["payload"] for r in warc.read_archive(good)] == [b"payload"]
-    for bad in (good[:-3], b"", b"\0" * 20, good[8:]):
+    assert list(warc.read_archive(good[8:])) == list(warc.read_archive(good[:8] + struct.pack("<II", 0x184D2A50, 3) + b"abc" + good[8:])) == [record]
+    for bad in (good[:-3], b"", b"\0" * 20, good[:4] + b"\xff\0\0\0"):
         with pytest.raises((warc.BadArchive, warc.zstd.ZstdError)):
             list(warc.read_archive(bad))
     for broken in (record.replace(b"payload\r\n", b"payloae\r\n"), record[:-4], record.replace(b"WARC/1.1", b"WARC/0.9")):
         with pytest.raises(warc.BadArchive):
             warc.parse_record(broken)
+
+
+def test_records_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nhello"
+
+    def record(kind, block, version=b"WARC/1.0", **more):
+        names = {"warc-type": kind, "WARC-Record-ID": "<urn:uuid:1>", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in more.items()}}
+        return version + b"\r\n" + b"".join(f"{k}:{v}\r\n".encode() for k, v in names.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+    assert warc.parse_record(record("warcinfo", b"software: x"))["payload"] == b"software: x"
+    own = warc.parse_record(record("response", http, content_type="application/http; msgtype=response", warc_payload_digest="sha1:" + warc.digest_base32(b"hello"), warc_target_uri="<http://a/>", x_folded="a\r\n b"))
+    assert (own["payload"], own["payload_bytes"], own["target_uri"], own["page_id"], own["record_id"]) == (b"hello", 5, "http://a/", None, "urn:uuid:1")
+    assert warc.parse_record(record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content_type="application/http"))["payload_bytes"] == 0
+    assert warc.parse_record(record("revisit", b"", warc_payload_digest="sha1:" + "A" * 32))["payload_digest"] == "A" * 32
+    assert warc.parse_record(record("metadata", b"", b"WARC/1.1"))["payload_bytes"] == 0
+    for bad in (record("response", http, content_type="application/http", warc_payload_digest="sha1:" + "A" * 32), record("resource", b"x", warc_block_digest="sha1:" + "A" * 32), record("resource", b"x").replace(b"warc-type", b"x"), record("resource", b"x", b"WARC/2.0")):
+        with pytest.raises(warc.BadArchive):
+            warc.parse_record(bad)
+
+
+def test_frequent_and_full_lengths_are_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", (8, 16))
+    rows = [(i, "some words here", "s") for i in range(700)] + [(1000 + i, "word " * r, "s") for i, r in enumerate(random.Random(3).choices(range(5, 9000), k=60))] + [(2000 + i, "word " * 4095, "s") for i in range(5)]
+    got = packing.pack(docs(spark, rows)).collect()
+    sequences = collections.defaultdict(list)
+    for x in got:
+        sequences[x.sequence_id].append((x.offset, x.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len({(x.doc_id, x.piece) for x in got}) == len(got) and {x.doc_id for x in got} == {i for i, _, _ in rows}
+    assert len(sequences) <= sum(x.length for x in got) / 4096 * 1.05 + 2
