@@ -136,7 +136,7 @@ def test_sensitivity_is_a_fit_of_each_cell(spark):
     got = {(x.mc, x.tmin_days): x for x in omori.sensitivity(events, [1.0, 1.5, 2.9], [0.01, 0.1], 100.0, 200).collect()}
     assert set(got) == {(m, s) for m in (1.0, 1.5) for s in (0.01, 0.1)}
     for (mc, start), own in got.items():
-        alone = omori.fit(events.where(F.col("mag") >= mc).withColumn("k", F.lit("x")), ["k"], start, 100.0).first()
+        alone = omori.fit(events.where(F.col("mag") >= mc).withColumn("all", F.lit("x")), ["all"], start, 100.0).first()
         assert own.n_events == alone.n_events and own.p == pytest.approx(alone.p, abs=1e-5)
 
 
