@@ -12,6 +12,7 @@
    that its bitmaps and sizes allow at most is below what the least sizes
    need, or when all of it is connected already. Survivors are kept as stars
    about their least class, so a group of copies gives a row for each member.
+   Of shingles that the same classes have, one is looked at.
 4. The forest's components are groups of candidates. A group's sets come to
    one task and are joined exactly, with the same traversal ahead of it.
 
@@ -412,11 +413,15 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule, block:
             yield _edge_batch(edges)
 
     core = entries.where("core").select("token", "cls", "n")
-    large = settle(core.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large")
-    if large.limit(1).count():
-        dealt = _units(join_small(core, large, ["token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), F.col("cls"))
+    own = F.xxhash64("cls")
+    alike = [F.count("*").alias("size"), F.bit_xor(own).alias("x"), F.sum(F.shiftrightunsigned(own, 34)).alias("y"), F.min("cls").alias("low"), F.max("cls").alias("high")]
+    kept = core.groupBy("token").agg(*alike).where("size > 1").groupBy("size", "x", "y", "low", "high").agg(F.min("token").alias("token"))
+    kept = settle(kept.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "tokens")
+    dealt = join_small(core, kept, ["token"])
+    if kept.where("blocks > 1").limit(1).count():
+        dealt = _units(dealt, F.col("cls"))
     else:
-        dealt = core.withColumns({k: F.lit(0) for k in ("own", "i", "j")})
+        dealt = dealt.drop("blocks").withColumns({k: F.lit(0) for k in ("own", "i", "j")})
     joined = dealt.join(signatures, "cls").select("token", "i", "j", "own", "cls", "n", "bitmap")
     return joined.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls").mapInArrow(make, _EDGES).distinct()
 
@@ -446,14 +451,15 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
             if group.num_rows < 2:
                 continue
             classes = group.column("cls").to_numpy()
-            tokens = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
+            tokens = [x.view(np.uint64) for x in slices(group.column("tokens").combine_chunks())]
             sizes = np.array([len(t) for t in tokens], dtype=np.int64)
             bitmaps = [bitmap_of(t, width_of(len(t))) for t in tokens]
-            lengths = np.concatenate(([0], np.cumsum(sizes)))
-            numbers = np.unique(np.concatenate(tokens), return_inverse=True)[1]
-            del tokens
-            own = [numbers[lengths[k] : lengths[k + 1]] for k in range(len(sizes))]
-            mark = np.zeros(int(numbers.max()) + 1, dtype=bool)
+            every = np.concatenate(tokens)
+            every.sort()
+            every = every[np.concatenate(([True], every[1:] != every[:-1]))]
+            own = [np.searchsorted(every, t).astype(np.int32) for t in tokens]
+            mark = np.zeros(len(every), dtype=bool)
+            del tokens, every
 
             def similar(p: np.ndarray, q: np.ndarray, own=own, mark=mark, sizes=sizes) -> np.ndarray:
                 out, last = np.zeros(len(p), dtype=bool), -1
@@ -472,6 +478,8 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
             union = Union(len(classes))
             possible_pairs(sizes, bitmaps, rule, union, similar, _sides(group))
             edges += [(int(classes[a]), int(classes[b])) for a, b in union.stars()]
+            del own, bitmaps, group
+            pa.default_memory_pool().release_unused()
         if edges:
             yield _edge_batch(edges)
 

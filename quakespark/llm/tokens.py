@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: At most so many parts of at most LONG characters are in a store: two of them take some 120 MB.
-STORE, LONG = 250_000, 40
+#: At most so many parts of at most LONG characters are in a store: two of them take some 60 MB.
+STORE, LONG = 120_000, 40
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
