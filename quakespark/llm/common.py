@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,26 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def frees(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that gives freed memory back to the system at the end.
+
+    Python workers outlive their tasks. What the allocators keep of one
+    stage's batches would count for the executor through all later ones.
+    """
+
+    @functools.wraps(make)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from make(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 

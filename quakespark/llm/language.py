@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, fresh, settle
+from quakespark.llm.common import bound_batches, frees, fresh, settle
 
 WORDS, GRAMS, LONGEST = 100_000, 20_000, 4
 #: All languages are learned; beyond this many, tables have fewer keys, so that their cells stay as many.
@@ -185,6 +185,7 @@ def labeller(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @frees
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
         for batch in texts:

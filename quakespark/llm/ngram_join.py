@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, discard, join_small, matched, row_keys, settle
+from quakespark.llm.common import bound_batches, discard, frees, join_small, matched, row_keys, settle
 from quakespark.llm.components import connected
 from quakespark.llm.exact_dedup import elect
 from quakespark.llm.shingles import merged_table, shingles, slices, word_hashes
@@ -90,6 +90,7 @@ def _arrow(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """(id, row, n, cls, sure, run, tokens) for rows of (id, text): set size, class (two halves of a digest), and the sorted hashes."""
 
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, sures, sets = [], [], [], []
@@ -141,6 +142,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
     shared, slots = sets.sparkSession.sparkContext.broadcast(counts), np.uint64(len(counts))
     limit = max(HOT, HOT_TIMES * float(counts.mean()))
 
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, seen = shared.value, set()
         for batch in batches:
@@ -211,6 +213,7 @@ def candidate_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
     bits = filter_bits(classes.count())
     shared = sets.sparkSession.sparkContext.broadcast(candidate_filter(classes, bits))
 
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for batch in batches:
@@ -396,6 +399,7 @@ def _sides(group: pa.Table) -> np.ndarray | None:
 def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that span what the trees of each token's classes leave possible."""
 
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
         for group in _grouped(batches, ["token", "i", "j"]):
@@ -427,6 +431,7 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule, block:
 
 
 def signatures_of(sets: DataFrame) -> DataFrame:
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _arrow({"cls": (batch.column("cls"), pa.int64()), "bitmap": ([bitmap_of(t, width_of(len(t), WIDEST_SENT)).tobytes() for t in _tokens(batch)], pa.binary())})
@@ -445,6 +450,7 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
     units = settle(_units(join_small(members.drop("bytes"), size, ["root"]), F.col("cls")).select("root", "i", "j", "own", "cls"), "units")
     dealt = join_small(sets.select("cls", "tokens"), units, ["cls"]).select("root", "i", "j", "own", "cls", "tokens")
 
+    @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
         for group in _grouped(batches, ["root", "i", "j"]):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, join_small, settle
+from quakespark.llm.common import bound_batches, frees, join_small, settle
 from quakespark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -41,6 +41,7 @@ def cut(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, int, i
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @frees
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4")
         for batch in batches:
@@ -141,6 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within") - 1).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(_take(slots))  # bounded by the lengths: some 100,000 rows at most
 
+    @frees
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakespark.llm.common import frees
+
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 #: Texts are hashed in blocks of about so many bytes.
 _BLOCK = 1 << 18
@@ -127,6 +129,7 @@ def merged_table(rows: DataFrame, fill, size: int, dtype: str, join) -> np.ndarr
     """
     step = max(1, min(_SEGMENT, size))
 
+    @frees
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
