@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -69,15 +70,32 @@ def frees(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return run
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a query that runs in here when the query has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def settle(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no more than the tasks it ran,
-    and columns such as row numbers stay as they were first made.
+    and columns such as row numbers stay as they were first made. The shuffle
+    files behind the table go once it is written.
     """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", codec).parquet(path)
+    with shuffles_dropped(spark):
+        frame.write.option("compression", codec).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -6,12 +6,14 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from quakespark.llm import mixing, packing, tokens, warc
+from quakespark.llm.common import settle
 from quakespark.llm.exact_dedup import drop_copies, exact_copies
 from quakespark.llm.tokens import encoder, tokenizer_path
 
@@ -266,3 +268,16 @@ def test_frequent_and_full_lengths_are_packed_whole(spark, monkeypatch):
         assert at <= 4096
     assert len({(x.doc_id, x.piece) for x in got}) == len(got) and {x.doc_id for x in got} == {i for i, _, _ in rows}
     assert len(sequences) <= sum(x.length for x in got) / 4096 * 1.05 + 2
+
+
+def test_shuffle_files_of_a_settled_table_go(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(key, None), blocks.getAllFiles().size()
+    made = settle(spark.range(100_000).groupBy((F.col("id") % 5_003).alias("k")).count(), "counts")
+    deadline = time.time() + 20
+    while blocks.getAllFiles().size() > held and time.time() < deadline:
+        time.sleep(0.2)
+    assert blocks.getAllFiles().size() <= held
+    assert spark.conf.get(key, None) == before
+    assert made.count() == 5_003
