@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quakespark.llm.common import table
+from quakespark.llm.decontamination import contamination
 from quakespark.llm.exact_dedup import exact_copies
+from quakespark.llm.hard_negatives import hard_negatives
 from quakespark.llm.language import identify
 from quakespark.llm.licenses import scan
 from quakespark.llm.line_dedup import drop_repeated_lines, drop_repeated_passages
@@ -12,6 +16,7 @@ from quakespark.llm.mixing import mix
 from quakespark.llm.ngram_join import ngram_jaccard
 from quakespark.llm.packing import pack
 from quakespark.llm.pii import find_pii
+from quakespark.llm.ranked_search import ranked_search
 from quakespark.llm.spotsigs import fingerprints
 from quakespark.llm.warc import round_trip
 
@@ -61,6 +66,20 @@ def op10_line_dedup_passages(spark, sf_dir):
     return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Anchors are every hundredth row; labels of every seventh move on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0, positives=5, k=10)
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -74,8 +93,14 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op10_line_dedup_passages": op10_line_dedup_passages,
+    "op11_decontamination": op11_decontamination,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "op8_exact_dedup": r"""
         WITH t AS (
@@ -113,6 +138,55 @@ ORACLES = {
                count(*) FILTER (gone) AS removed_chunks, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS text
         FROM d GROUP BY doc_id
     """,
+    "op11_decontamination": rf"""
+        WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS ws FROM benchmark),
+        k AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: list_aggregate(ws[i:i+9], 'string_agg', ' '))) AS run,
+                     least(len(ws), 10) AS size FROM b WHERE len(ws) > 0),
+        d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        s AS (SELECT DISTINCT size FROM k),
+        p AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS i, ws FROM d, s WHERE len(ws) >= size),
+        r AS (SELECT doc_id, size, i, list_aggregate(ws[i:i+size-1], 'string_agg', ' ') AS run FROM p),
+        m AS (SELECT r.doc_id, r.i, r.size, k.item_id FROM r JOIN k ON r.run = k.run AND r.size = k.size),
+        h AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS w FROM m) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+              FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+    "op12_ranked_search": rf"""
+        WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        l AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+        c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM l),
+        m AS (SELECT doc_id, 100 - 75 + ((75 * n * big_n) // big_l) AS m FROM l, c),
+        q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY term, big_n),
+        s AS (SELECT item_id, doc_id, CAST(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.id AS a, a.label AS own, b.id AS b, b.label AS label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM v a, v b WHERE a.id % 100 = 0),
+        p AS (
+            SELECT a, own, b, score FROM s WHERE own = label AND a <> b
+            QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b AS pos, p.score AS ps, s.b AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+            FROM p JOIN s ON p.a = s.a AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT a AS anchor_id, pos AS positive_id, CAST(rank AS INT) AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score
+        FROM n WHERE rank <= 10
+    """,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
