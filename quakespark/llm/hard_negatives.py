@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -33,7 +34,7 @@ from quakespark.llm.shingles import slices
 SHARD_ROWS, SHARD_BYTES = 4096, 8 << 20
 #: Rows that the cells are fitted on, and cells, at most.
 SAMPLE, CELLS = 4096, 256
-LEAF = 32
+LEAF = 128
 #: Anchors of a block, and bytes of its vectors.
 BLOCK, BLOCK_BYTES = 8192, 8 << 20
 #: Rounding of a distance, as a part of M.
@@ -60,12 +61,10 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, as int64: by floats where they hold every sum."""
+def exact_kind(rows: np.ndarray, q: np.ndarray) -> type:
+    """Floats where they hold every inner product of these whole numbers exactly, else 64-bit integers."""
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(rows.shape[1], 1)
-    if most < 2**53:
-        return np.rint(rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return rows.astype(np.int64) @ q.astype(np.int64)
+    return np.float64 if most < 2**53 else np.int64
 
 
 def augmented(rows: np.ndarray, m2: float) -> np.ndarray:
@@ -122,7 +121,7 @@ class Tree:
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, points: np.ndarray, bounds: np.ndarray, m2: float):
-        self.vectors, self.ids, self.labels, self.points, self.bounds, self.m2 = vectors, ids, labels, points, bounds, m2
+        self.vectors, self.ids, self.labels, self.points, self.bounds, self.m2 = vectors, ids, labels, points, bounds.tolist(), m2
 
     @staticmethod
     def grown(vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, m2: float) -> Tree:
@@ -160,46 +159,48 @@ class Tree:
 
 
 class Walk:
-    """Searches of one query in a tree; what is computed for one window serves the next."""
+    """Searches of one query for the rows that ``takes`` marks; leaves that one window has opened serve the next."""
 
-    def __init__(self, tree: Tree, nodes: dict[tuple[int, int], int], q: np.ndarray, to_points: np.ndarray):
-        """``to_points``: the query's inner products with the tree's vantage points."""
-        self.tree, self.nodes, self.q = tree, nodes, q
+    def __init__(self, tree: Tree, nodes: dict[tuple[int, int], int], rows: np.ndarray, q: np.ndarray, takes: np.ndarray):
+        """``rows`` and ``q``: the tree's vectors and the query, as numbers in which their inner products are exact."""
+        self.tree, self.nodes, self.rows, self.q, self.takes = tree, nodes, rows, q, takes
         self.q2, self.slack = float((q.astype(np.float64) ** 2).sum()), SLACK * max(tree.m2, 1.0) ** 0.5
-        self.far = np.sqrt(np.maximum(tree.m2 + self.q2 - 2 * to_points, 0)).tolist()
-        self.leaves: dict[int, np.ndarray] = {}
+        self.far = np.sqrt(np.maximum(tree.m2 + self.q2 - 2.0 * (rows[tree.points] @ q), 0)).tolist()
+        self.leaves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def score(self, distance: float) -> float:
         return (self.tree.m2 + self.q2 - distance * distance) / 2
 
-    def scores(self, a: int, b: int) -> np.ndarray:
+    def leaf(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(-score, id) of the leaf's marked rows, in order."""
         found = self.leaves.get(a)
         if found is None:
-            found = self.leaves[a] = dots(self.tree.vectors[a:b], self.q)
+            kept = np.flatnonzero(self.takes[a:b]) + a
+            minus, ids = -(self.rows[kept] @ self.q), self.tree.ids[kept]
+            order = np.lexsort((ids, minus))
+            found = self.leaves[a] = minus[order].astype(np.int64), ids[order]
         return found
 
-    def nearest(self, takes: np.ndarray, low: float = -np.inf, high: float = np.inf) -> Iterator[tuple[int, int]]:
-        """(score, id) of the rows that ``takes`` marks with low <= score <= high, highest score first, then smallest id."""
-        tree, queue = self.tree, [(-np.inf, 0, 0, len(self.tree.ids), 0.0, np.inf)]
+    def nearest(self, low: float = -np.inf, high: float = np.inf) -> Iterator[tuple[int, int]]:
+        """(score, id) of the marked rows with low <= score <= high, highest score first, then smallest id."""
+        queue: list[tuple] = [(-np.inf, 0, 0, len(self.tree.ids), 0.0, np.inf)]
         while queue:
             entry = heapq.heappop(queue)
             if entry[1]:  # a leaf's next row
-                minus, _, own, rest, at = entry
+                minus, _, own, leaf, at = entry
                 yield -minus, own
-                if at < len(rest):
-                    heapq.heappush(queue, (-int(rest[at][0]), 1, int(rest[at][1]), rest, at + 1))
+                if at < len(leaf[0]) and leaf[0][at] <= -low:
+                    heapq.heappush(queue, (int(leaf[0][at]), 1, int(leaf[1][at]), leaf, at + 1))
                 continue
             _, _, a, b, near, far = entry
             if b - a <= LEAF:
-                scores = self.scores(a, b)
-                kept = np.flatnonzero(takes[a:b] & (scores >= low) & (scores <= high))
-                if len(kept):
-                    kept = kept[np.lexsort((tree.ids[a:b][kept], -scores[kept]))]
-                    rest = np.column_stack((scores[kept], tree.ids[a:b][kept]))
-                    heapq.heappush(queue, (-int(rest[0][0]), 1, int(rest[0][1]), rest, 1))
+                leaf = self.leaf(a, b)
+                at = int(np.searchsorted(leaf[0], -high)) if high < np.inf else 0
+                if at < len(leaf[0]) and leaf[0][at] <= -low:
+                    heapq.heappush(queue, (int(leaf[0][at]), 1, int(leaf[1][at]), leaf, at + 1))
                 continue
             place, half = self.nodes[a, b], a + (b - a) // 2
-            d, (lo0, hi0, lo1, hi1) = self.far[place], tree.bounds[place].tolist()
+            d, (lo0, hi0, lo1, hi1) = self.far[place], self.tree.bounds[place]
             for x, y, lo, hi in ((a, half, lo0, hi0), (half, b, lo1, hi1)):
                 least, most = max(near, d - hi - self.slack, lo - d - self.slack), min(far, d + hi + self.slack)
                 best = self.score(least)
@@ -250,7 +251,7 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             tree = Tree.grown(vectors, ids, coded.indices.to_numpy().astype(np.int32), m2)
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([group[0].column("shard")[0].as_py()]), "m2": pa.array([m2]), "dims": pa.array([dims], pa.int32()), "names": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
-                **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in (("ids", tree.ids), ("labels", tree.labels), ("vectors", tree.vectors), ("points", tree.points), ("bounds", tree.bounds))},
+                **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in (("ids", tree.ids), ("labels", tree.labels), ("vectors", tree.vectors), ("points", tree.points), ("bounds", np.array(tree.bounds, dtype=np.float64)))},
             })
 
     schema = "shard long, m2 double, dims int, names array<string>, ids binary, labels binary, vectors binary, points binary, bounds binary"
@@ -265,7 +266,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tree, list[str]]
 
 
 def _search(index: DataFrame, queries: DataFrame, find, schema: str, block: int) -> DataFrame | None:
-    """``find(walk, tree, label's number or -1, query row)`` -> rows, for each query (query, id, label, v, ...) in each tree."""
+    """``find(walk_of, tree, label's number or -1, query row)`` -> rows, for each query (query, id, label, v, ...) in each tree; ``walk_of(takes)`` is its Walk."""
     spark, found = index.sparkSession, None
     shape = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     size = max(1, min(block, BLOCK_BYTES // (8 * max(shape[1] or 0, 1))))
@@ -280,9 +281,10 @@ def _search(index: DataFrame, queries: DataFrame, find, schema: str, block: int)
             for tree, names in _trees(batches):
                 number, nodes, dims, out = {x: i for i, x in enumerate(names)}, tree.nodes(), tree.vectors.shape[1], []
                 queries = [np.array(r["v"] + [0] * (dims - len(r["v"])), dtype=np.int64) for r in asked]
-                points = tree.vectors[tree.points].astype(np.float64)
+                kind = exact_kind(tree.vectors, np.stack(queries))
+                rows = tree.vectors.astype(kind)
                 for r, q in zip(asked, queries, strict=True):
-                    out += find(Walk(tree, nodes, q, points @ q.astype(np.float64)), tree, number.get(r["label"], -1), r)
+                    out += find(partial(Walk, tree, nodes, rows, q.astype(kind)), tree, number.get(r["label"], -1), r)
                 if out:
                     yield pa.RecordBatch.from_pylist(out)
 
@@ -314,9 +316,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     index = build_index(rows, shard_rows)
     anchors = settle(rows.where(is_anchor).withColumn("query", F.monotonically_increasing_id()), "anchors")
 
-    def same(walk: Walk, tree: Tree, label: int, r) -> list[dict]:
-        takes = (tree.labels == label) & (tree.ids != r["id"])
-        return [{"query": r["query"], "id": i, "score": s} for s, i in islice(walk.nearest(takes), positives)] if takes.any() else []
+    def same(walk_of, tree: Tree, label: int, r) -> list[dict]:
+        walk = walk_of((tree.labels == label) & (tree.ids != r["id"]))
+        return [{"query": r["query"], "id": i, "score": s} for s, i in islice(walk.nearest(), positives)]
 
     found = _search(index, anchors, same, "query long, id long, score long", block)
     if found is None:
@@ -324,14 +326,14 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     best = settle(_first(found, ["query"], positives, "place").withColumn("place", F.col("place").cast("long")), "positives")
     pairs = anchors.join(best.groupBy("query").agg(F.collect_list(F.struct("place", "score")).alias("own")), "query")  # a few for each
 
-    def other(walk: Walk, tree: Tree, label: int, r) -> list[dict]:
-        takes, out, known = tree.labels != label, [], {}
+    def other(walk_of, tree: Tree, label: int, r) -> list[dict]:
+        walk, out, known = walk_of(tree.labels != label), [], {}
         for place, p in r["own"]:
             window = -(-low * p // 100), high * p // 100
             if window[0] > window[1]:
                 continue
             if window not in known:
-                known[window] = list(islice(walk.nearest(takes, *window), k))
+                known[window] = list(islice(walk.nearest(*window), k))
             out += [{"query": r["query"], "place": place, "id": i, "score": s} for s, i in known[window]]
         return out
 

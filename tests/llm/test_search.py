@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.llm import decontamination, hard_negatives, postings, ranked_search
-from quakespark.llm.hard_negatives import Tree, Walk, dots
+from quakespark.llm.hard_negatives import Tree, Walk
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -212,21 +212,21 @@ def test_hard_negatives(spark, sizes):
     assert hard_negatives.hard_negatives(table, F.col("id") < 0).count() == 0
 
 
-def test_walk_is_nearest_first_and_prunes():
+def test_walk_is_nearest_first_and_prunes(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 32)
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 8)) * 900
     vectors = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 8)) * 20).astype(np.int64)
     m2 = float((vectors.astype(float) ** 2).sum(axis=1).max())
     tree = Tree.grown(vectors, rng.permutation(4000), rng.integers(0, 3, 4000).astype(np.int32), m2)
-    visited = 0
+    visited, takes = 0, tree.labels != 1
     for q in vectors[::400]:
-        walk = Walk(tree, tree.nodes(), q, tree.vectors[tree.points].astype(float) @ q)
-        every = dots(tree.vectors, q)
+        walk = Walk(tree, tree.nodes(), tree.vectors.astype(float), q.astype(float), takes)
+        every = tree.vectors @ q
         top = int(every.max())
         low, high = int(0.3 * top), int(0.9 * top)
-        takes = tree.labels != 1
         want = sorted((-int(s), int(i)) for s, i, t in zip(every, tree.ids, takes, strict=True) if t and low <= s <= high)[:10]
-        found = [x for _, x in zip(range(10), walk.nearest(takes, low, high), strict=False)]
+        found = [x for _, x in zip(range(10), walk.nearest(low, high), strict=False)]
         assert [(-s, i) for s, i in found] == want
         visited += len(walk.leaves)
     assert visited < 0.5 * 10 * 4000 / 20  # leaves of about 31 rows
