@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.operators.stats import average_rank, demeaned, fe_terms, gram, independent, pearson, unpack, without_each
+from quakespark.operators.ordering import complete, dominance_sums, looked_up, ranked_values, running, weighted_order
+from quakespark.operators.stats import demeaned, fe_terms, gram, independent, unpack
 from quakespark.sources.tables import settle, small, together
 
 
@@ -29,16 +31,117 @@ def repetitions(rows: DataFrame, n: int) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """Correlations without each group, and of all rows as ``(none)``: omitted, n, pearson_r, spearman_rho.
+    """Correlations without each group, and of all rows as ``(none)``: omitted, n, pearson_r, spearman_rho."""
+    return leave_one_out_pearson(rows, x, y, group).join(leave_one_out_spearman(rows, x, y, group), "omitted")
 
-    Pearson's needs the totals less a group's own moments. Ranks change with
-    what is left out, so for Spearman's the rows meet each other group.
+
+def leave_one_out_spearman(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """omitted, spearman_rho without each group and, as ``(none)``, of all, from one ranking of all rows.
+
+    A row's rank without a group is its rank less c, the group's rows below it
+    and half of those equal to it. Of the sums that the correlation needs,
+
+    - squares of ranks follow from the numbers of ties,
+    - rank times rank and rank times c from sums over the group's own rows: c
+      of y summed with the ranks of x is, for each row of the group, the ranks
+      of x above it in y, a running sum over all rows,
+    - c of x times c of y, over all rows, from dominance counts: for pairs of
+      the group's rows, the rows above one in x and above the other in y. A
+      group whose pairs outnumber the rows (there are few) has its c of every
+      row instead, all such groups at once as arrays.
     """
-    kept = rows.select(F.col(group).cast("string").alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
-    every = without_each(kept, "_g").unionByName(kept.withColumn("omitted", F.lit("(none)")))
-    ranked = every.withColumns({"_rx": average_rank("_x", ["omitted"]), "_ry": average_rank("_y", ["omitted"])})
-    ranks = ranked.groupBy("omitted").agg(pearson("_rx", "_ry").alias("spearman_rho"))
-    return leave_one_out_pearson(rows, x, y, group).join(ranks, "omitted")
+    kept = rows.select(F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    kept = settle(kept.withColumn("id", F.monotonically_increasing_id()), "kept")
+    size = kept.count()
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("value"), scope.alias("scope")) for c in ("x", "y") for scope in (F.lit(None).cast("string"), F.col("g"))])).alias("s")
+    values = ranked_values(kept.select(stacked).select("s.*"), "value", ["which", "scope"])
+    own = kept
+    for c in ("x", "y"):  # below and equal among all rows (b, e), and in the group (gb, ge)
+        whole = values.where((F.col("which") == c) & F.col("scope").isNull()).select(F.col("value").alias(c), "n", F.col("below").alias(f"b{c}"), F.col("n").alias(f"e{c}"))
+        inside = values.where((F.col("which") == c) & F.col("scope").isNotNull()).select(F.col("scope").alias("g"), F.col("value").alias(c), "n", F.col("below").alias(f"gb{c}"), F.col("n").alias(f"ge{c}"))
+        own = looked_up(looked_up(own, whole, [c]).drop("n"), inside, ["g", c]).drop("n")
+    rank, half = (lambda b, e: F.col(b) + (F.col(e) + 1) / 2), (lambda b, e: F.col(b) + F.col(e) / 2)
+    own = settle(own.withColumns({"rx": rank("bx", "ex"), "ry": rank("by", "ey"), "cx": half("gbx", "gex"), "cy": half("gby", "gey")}), "ranked_rows")
+    above = own.select("id", "g", "x", "y")
+    for c, other in (("x", "ry"), ("y", "rx")):  # the other ranks of the rows above, half of those equal
+        sums = own.groupBy(c).agg(F.sum(other).alias("own"), F.count("*").alias("n"))
+        after = running(sums, [], [c], {"before": F.col("own")})
+        above = looked_up(above, settle(after.select(c, "n", (F.lit(size * (size + 1) / 2) - F.col("before") - F.col("own") / 2).alias(f"over_{c}")), "above"), [c]).drop("n")
+    cube = lambda n: n * n * n - n
+    lost = lambda c: F.sum((cube((F.col(f"e{c}") - F.col(f"ge{c}")).cast("double")) - cube(F.col(f"e{c}").cast("double"))) / F.col(f"ge{c}"))
+    sums = own.join(above.select("id", "over_x", "over_y"), "id").groupBy("g").agg(
+        F.count("*").alias("m"), F.sum(F.col("rx") * F.col("ry")).alias("rr"), F.sum("over_y").alias("ry_all"), F.sum("over_x").alias("rx_all"),
+        F.sum(F.col("rx") * F.col("cy")).alias("ry_own"), F.sum(F.col("ry") * F.col("cx")).alias("rx_own"), F.sum(F.col("cx") * F.col("cy")).alias("cc_own"),
+        F.sum(F.col("rx") - 0.5).alias("sx"), F.sum(F.col("ry") - 0.5).alias("sy"), lost("x").alias("tx"), lost("y").alias("ty"),
+    )
+    sums = settle(sums, "group_sums")
+    few = sums.where(F.col("m") * F.col("m") <= size).select("g")
+    many = sorted(r["g"] for r in sums.where(F.col("m") * F.col("m") > size).select("g").collect())  # at most the root of the rows
+    corners = own.join(small(few), "g", "left_semi").select("g", "bx", "by")
+    corners = settle(corners, "corners")
+    at = lambda c, name: F.explode(F.array(F.col(c), F.col(c) + 1)).alias(name)
+    queries = corners.select("g", at("bx", "a")).join(corners.select("g", at("by", "b")), "g")
+    counted = dominance_sums(own.select(F.col("bx").alias("x"), F.col("by").alias("y")), queries, "g", size)
+    counted = sums.join(counted, "g", "left").where(F.col("m") * F.col("m") <= size).select("g", (F.col("m") * F.col("m") * float(size) - F.col("m") * (F.col("sx") + F.col("sy")) + F.coalesce("total", F.lit(0)) / 4).alias("cc"))
+    if many:
+        counted = counted.unionByName(_dominated_by(own, many))
+    total = own.agg(F.sum(F.col("rx") * F.col("ry")).alias("all_rr"))  # one row
+    ties = values.where("scope IS NULL").agg(*[F.coalesce(F.sum(F.when(F.col("which") == c, cube(F.col("n").cast("double")))), F.lit(0.0)).alias(f"all_t{c}") for c in ("x", "y")])  # one row
+    one = total.crossJoin(ties)
+    groups = sums.join(counted, "g").crossJoin(F.broadcast(one)).select(
+        F.col("g").alias("omitted"), (F.lit(float(size)) - F.col("m")).alias("n"), (F.col("all_tx") + F.col("tx")).alias("tx"), (F.col("all_ty") + F.col("ty")).alias("ty"),
+        (F.col("all_rr") - F.col("rr") - (F.col("ry_all") - F.col("ry_own")) - (F.col("rx_all") - F.col("rx_own")) + F.col("cc") - F.col("cc_own")).alias("xy"),
+    )
+    whole = one.select(F.lit("(none)").alias("omitted"), F.lit(float(size)).alias("n"), F.col("all_tx").alias("tx"), F.col("all_ty").alias("ty"), F.col("all_rr").alias("xy"))
+    n = F.col("n")
+    spread = lambda t: (n * n * n - n - F.col(t)) / 12
+    moves = (spread("tx") > 0) & (spread("ty") > 0)
+    r = F.try_divide(F.col("xy") - n * (n + 1) * (n + 1) / 4, F.sqrt(spread("tx") * spread("ty")))
+    return groups.unionByName(whole).where("n > 0").select("omitted", F.when(moves, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).alias("spearman_rho"))
+
+
+def _dominated_by(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """(g, cc): for each of a few groups, the sum over all rows of c of x times c of y (see above)."""
+    k, place = len(groups), F.broadcast(rows.sparkSession.createDataFrame([(g, i) for i, g in enumerate(groups)], "g string, place int"))
+    times = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.coalesce("place", F.lit(-1))).cast("int"))
+    weighed = settle(rows.join(place, "g", "left").select("id", "x", "y", times.alias("times")), "marks")
+
+    def add(x: np.ndarray, y: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        return (x * y).sum(axis=0)
+
+    found = weighted_sums(weighed, k, 1, add)
+    return rows.sparkSession.createDataFrame([(g, float(v)) for g, v in zip(groups, found[0], strict=True)], "g string, cc double")
+
+
+def weighted_sums(rows: DataFrame, width: int, outputs: int, add, carry: tuple[str, ...] = ()) -> np.ndarray:
+    """Sums over rows (id, x, y, times) of add(c of x, c of y, batch): ``outputs`` rows of ``width`` numbers.
+
+    c is, for each of the ``width`` weights in times, the weight of the rows
+    with a smaller value and half that of equal ones (see weighted_order).
+    ``carry`` names further columns of rows that the batch has.
+    """
+    (by_x, add_x), (by_y, add_y) = weighted_order(rows, "x", width), weighted_order(rows, "y", width)
+    both = by_x.select("id", F.col("range").alias("px"), F.col("value").alias("x"), F.col("local").alias("lx")).join(by_y.select("id", F.col("range").alias("py"), F.col("value").alias("y"), F.col("local").alias("ly")), "id")
+    if carry:
+        both = both.join(rows.select("id", *carry), "id")
+    shared = rows.sparkSession.sparkContext.broadcast((add_x, add_y))  # three rows of weights for each range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, (add_x, add_y) = None, shared.value
+        for batch in batches:
+            if batch.num_rows:
+                column = lambda c: batch.column(c).to_numpy()  # noqa: B023, E731
+                lists = lambda c: batch.column(c).flatten().to_numpy().reshape(-1, width)  # noqa: B023, E731
+                own = np.atleast_2d(add(complete(lists("lx"), column("px"), column("x"), add_x), complete(lists("ly"), column("py"), column("y"), add_y), batch))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(outputs)), "sums": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    out = np.zeros((outputs, width))
+    long = both.mapInArrow(run, "part long, sums array<double>").select("part", F.posexplode("sums").alias("at", "v")).groupBy("part", "at").agg(F.sum("v").alias("v"))
+    for r in long.collect():  # outputs * width numbers
+        out[r["part"], r["at"]] = r["v"]
+    return out
 
 
 def leave_one_out_pearson(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
@@ -72,13 +175,54 @@ def cluster_draws(groups: DataFrame, reps: int, seed: int) -> DataFrame:
     return drawn.groupBy("rep", "place").agg(F.count("*").alias("times")).join(small(placed), "place").select("rep", "group", "times")
 
 
+#: Repetitions whose multiplicities a row carries at once.
+REPS_AT_ONCE = 512
+
+
 def cluster_bootstrap_correlation(rows: DataFrame, x: str, y: str, group: str, reps: int, seed: int) -> DataFrame:
-    """(rep, n, pearson_r, spearman_rho) with whole groups drawn; repeated groups' rows repeat."""
-    kept = rows.select(F.col(group).alias("group"), F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
-    draws = small(settle(cluster_draws(kept, reps, seed), "draws"))
-    every = kept.join(draws, "group").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    ranked = every.withColumns({"_rx": average_rank("_x", ["rep"]), "_ry": average_rank("_y", ["rep"])})
-    return ranked.groupBy("rep").agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho"))
+    """(rep, n, pearson_r, spearman_rho) with whole groups drawn; repeated groups' rows repeat.
+
+    A row has its group's multiplicities as an array, one for each repetition.
+    Ranks are weighted by them: all repetitions come from running sums of these
+    arrays over one order of the rows, and no row is copied.
+    """
+    spark = rows.sparkSession
+    kept = settle(rows.select(F.col(group).alias("group"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().withColumn("id", F.monotonically_increasing_id()), "kept")
+    draws = settle(cluster_draws(kept, reps, seed), "draws")
+    means = kept.agg(F.avg("x"), F.avg("y")).first()
+    shift = [float(m or 0.0) for m in means]
+    parts = [_bootstrapped(kept, draws.where(F.col("rep").between(low, low + REPS_AT_ONCE - 1)), low, min(REPS_AT_ONCE, reps - low + 1), shift) for low in range(1, reps + 1, REPS_AT_ONCE)]
+    found = [r for part in parts for r in part if r[1]]
+    return spark.createDataFrame(found, "rep int, n long, pearson_r double, spearman_rho double")
+
+
+def _bootstrapped(kept: DataFrame, draws: DataFrame, low: int, width: int, shift: list[float]) -> list[tuple]:
+    drawn = draws.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("rep", F.col("times").cast("int")))).alias("own"))  # width entries at most
+    times = F.transform(F.sequence(F.lit(low), F.lit(low + width - 1)), lambda r: F.coalesce(F.try_element_at("own", r), F.lit(0)))
+    weighed = settle(kept.join(small(settle(drawn.select("group", times.alias("times")), "times")), "group").select("id", "x", "y", "times"), "weighed")
+
+    def add(cx: np.ndarray, cy: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        t = batch.column("times").flatten().to_numpy(zero_copy_only=False).reshape(cx.shape)
+        u, v = (batch.column(c).to_numpy()[:, None] - m for c, m in zip(("x", "y"), shift, strict=True))
+        pairs = [np.ones_like(u), u, v, u * u, v * v, u * v]
+        return np.stack([*[(t * p).sum(axis=0) for p in pairs], *[(t * p).sum(axis=0) for p in (cx, cy, cx * cx, cy * cy, cx * cy)]])
+
+    found = weighted_sums(weighed, width, 11, add, ("times",))
+    out = []
+    for rep in range(width):
+        n = found[0, rep]
+        out.append((low + rep, int(round(n)), *[_correlation(n, *sums) for sums in (found[1:6, rep], found[6:, rep])]))
+    return out
+
+
+def _correlation(n: float, u: float, v: float, uu: float, vv: float, uv: float) -> float | None:
+    """From sums; None where either does not vary."""
+    if n <= 0:
+        return None
+    a, b = uu - u * u / n, vv - v * v / n
+    if a <= 1e-12 * max(uu, 1e-300) or b <= 1e-12 * max(vv, 1e-300):
+        return None
+    return float(min(1.0, max(-1.0, (uv - u * v / n) / (a * b) ** 0.5)))
 
 
 def group_grams(rows: DataFrame, columns: list[str], group: str, by: list[str] | None = None) -> DataFrame:

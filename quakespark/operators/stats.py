@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quakespark.functions.labels import range_of
 from quakespark.functions.students_t import quantile, two_sided_p
+from quakespark.operators.ordering import average_ranks
 from quakespark.sources.adapters import finite
 
 FALLBACKS = ("all_depth", "all_relaxed")
@@ -44,15 +45,10 @@ def pearson(x: str, y: str) -> Column:
     return F.when(moves, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))))
 
 
-def average_rank(column: str, by: list[str]) -> Column:
-    """Ranks with the mean rank for ties."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
-
-
 def correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """n, pearson_r, spearman_rho, slope and intercept of y on x, by group; rows with a null or infinite value are left out."""
     kept = rows.withColumns({"_x": finite(F.col(x).cast("double")), "_y": finite(F.col(y).cast("double"))}).where("_x is not null and _y is not null")
-    ranked = kept.withColumns({"_rx": average_rank("_x", by), "_ry": average_rank("_y", by)})
+    ranked = average_ranks(kept.select(*by, "_x", "_y"), {"_x": "_rx", "_y": "_ry"}, by)
     slope = F.when(F.min("_x") < F.max("_x"), F.try_divide(F.covar_pop("_x", "_y"), F.var_pop("_x")))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho"), slope.alias("slope"), (F.avg("_y") - slope * F.avg("_x")).alias("intercept"))
 
