@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quakespark.functions.geo import EVENT_RADIUS_KM, cell, cells_around, circle_bounds, haversine_km
-from quakespark.sources.tables import small
+from quakespark.operators.ordering import following
+from quakespark.sources.tables import settle, small
 
 DAY_US = 86_400_000_000
 #: Side of the grid cells by which points meet the circles around them.
@@ -36,46 +33,45 @@ def strongest(catalog: DataFrame, area: list[str] | None = None) -> DataFrame:
     return catalog.where("mag is not null").groupBy(*area).agg(first.alias("e")).select(*area, "e.*")
 
 
+#: Far above the logarithm of any catalog's length.
+MOST_ROUNDS = 60
+
+
 def decluster(candidates: DataFrame, window_days: float, most: int | None = None, region: str | None = None) -> DataFrame:
     """In order of time, the events at least ``window_days`` after the last one kept, up to ``most``; by region if given.
 
-    An event whose predecessor lies a window or more before it is always kept,
-    so events fall into chains that do not depend on each other. Chains are
-    found from neighbours in buckets of a window's length, dealt to tasks, and
-    each streams through one with the last kept time as all its state.
+    Every time points to the first one a window or more later; kept is what
+    the pointers reach from the times that have none less than a window before
+    them, which are kept in any case. Pointers are doubled: after k rounds of
+    joins each spans 2^k steps, so a dense catalog takes as many rounds as the
+    logarithm of the events kept, in as many tasks as any join. Of equal times
+    the first identifier is kept; events without a time are left out.
     """
     window = max(1, int(window_days * DAY_US))
     key = F.lit("") if region is None else F.coalesce(F.col(region).cast("string"), F.lit(""))
-    keyed = candidates.where("time_us is not null").withColumns({"_region": key, "_bucket": F.floor(F.col("time_us") / window)})
-    before = keyed.groupBy("_region", "_bucket").agg(F.max("time_us").alias("_before")).withColumn("_bucket", F.col("_bucket") + 1)
-    inside = Window.partitionBy("_region", "_bucket").orderBy("time_us", "usgs_id")
-    previous = F.coalesce(F.lag("time_us").over(inside), F.col("_before"))
-    opens = F.when(previous.isNull() | (F.col("time_us") - previous >= window), 1).otherwise(0)
-    marked = keyed.join(before, ["_region", "_bucket"], "left").withColumn("_opens", opens)
-    marked = marked.withColumn("_chain", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    earlier = Window.partitionBy("_region").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket of time
-    bases = marked.groupBy("_region", "_bucket").agg(F.sum("_opens").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    chained = marked.join(bases, ["_region", "_bucket"]).withColumn("_chain", F.col("_chain") + F.col("_base"))
-    columns = [*candidates.columns, "_region"]
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, None
-        for batch in batches:
-            kept = []
-            for chain, time in zip(zip(batch["_region"], batch["_chain"], strict=True), batch["time_us"], strict=True):
-                keep = chain != now or time - last >= window
-                kept.append(keep)
-                if keep:
-                    now, last = chain, time
-            yield batch.loc[kept, columns]
-
-    by = ["_region", "_chain"]
-    dealt = chained.select(*columns, "_chain").repartition(*by).sortWithinPartitions(*by, "time_us", "usgs_id")
-    schema = StructType([*candidates.schema.fields, StructField("_region", StringType())])
-    found = dealt.mapInPandas(pick, schema)
+    keyed = candidates.where("time_us IS NOT NULL").withColumn("_region", key)
+    times = settle(keyed.select("_region", F.col("time_us").alias("t")).distinct(), "times")
+    asks = F.explode(F.array(*[F.struct((F.col("t") + d).alias("at"), F.lit(k).alias("kind")) for k, d in ((0, 1 - window), (1, window), (2, 0))])).alias("a")
+    rows = times.select("_region", "t", asks).select("_region", "t", "a.*").withColumns({"stands": (F.col("kind") == 2).cast("int"), "own": F.when(F.col("kind") == 2, F.col("t"))})
+    found = settle(following(rows, ["_region"], ["at", "stands"], "own", "next").where("kind < 2"), "pointers")
+    marks = settle(found.where("kind = 0 AND next = t").select("_region", "t"), "marks")
+    jumps = found.where("kind = 1 AND next IS NOT NULL").select("_region", "t", "next")
+    n = marks.count()
+    # joins of settled tables: Spark broadcasts a side by its files' size
+    for _ in range(MOST_ROUNDS):
+        reached = jumps.join(marks, ["_region", "t"]).select("_region", F.col("next").alias("t"))
+        marks = settle(marks.unionByName(reached).distinct(), "marks")
+        before, n = n, marks.count()
+        if n == before:
+            break
+        onward = jumps.select("_region", F.col("t").alias("next"), F.col("next").alias("_onward"))
+        jumps = settle(jumps.join(onward, ["_region", "next"]).select("_region", "t", F.col("_onward").alias("next")), "jumps")
+    kept = keyed.join(marks.withColumnRenamed("t", "time_us"), ["_region", "time_us"], "left_semi")
+    first = F.min_by(F.struct(*candidates.columns), F.struct(F.col("usgs_id").isNotNull(), "usgs_id"))
+    found = kept.groupBy("_region", "time_us").agg(first.alias("e")).select("_region", "e.*")
     if most is not None:
-        first = Window.partitionBy("_region").orderBy("time_us", "usgs_id")  # one event for each window of time at most
-        found = found.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most)
+        order = Window.partitionBy("_region").orderBy("time_us", "usgs_id")  # one event for each window of time at most
+        found = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
     return found.select(*candidates.columns)
 
 

@@ -47,6 +47,15 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
     return found.withColumns({k: F.col(f"_in_{k}") + F.col(f"_before_{k}") for k in sums}).drop("_range", *[f"_{p}_{k}" for k in sums for p in ("own", "in", "before")])
 
 
+def following(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` of the group's rows that stand at or after each; null where there is none."""
+    dealt = settle(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)  # a row for each range of a group
+    after = settle(dealt.groupBy("_range", *by).agg(F.min(value).alias("_least")).withColumn("_after", F.min("_least").over(later)).drop("_least"), "after")
+    return _same(dealt.withColumn("_in", F.min(value).over(inside)), small(after), ["_range", *by]).withColumn(name, F.least("_in", "_after")).drop("_range", "_in", "_after")
+
+
 def ranked_values(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, value, n, below): every value of a group, how many rows have it, and how many a smaller one; settled."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))

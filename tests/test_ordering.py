@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quakespark.operators import logo, ordering, resample, stats
+from quakespark.operators import catalog, logo, ordering, resample, stats
 
 
 @pytest.fixture
@@ -125,3 +125,38 @@ def test_correlations_of_groups(many_ranges):
     got = {r.g: r for r in stats.correlations(many_ranges.createDataFrame(rows), "x", "y", ["g"]).collect()}
     for g, own in rows.groupby("g"):
         assert got[g].n == len(own) and got[g].spearman_rho == pytest.approx(spearman(own), abs=1e-9)
+
+
+def plain_declustered(times, window):
+    kept = []
+    for t in sorted(times):
+        if not kept or t - kept[-1] >= window:
+            kept.append(t)
+    return kept
+
+
+def test_dense_catalog_is_declustered_in_many_tasks(many_ranges):
+    """An event every few minutes for years is one chain; it equals the plain loop and no task has most of it."""
+    rng = np.random.default_rng(6)
+    times = np.cumsum(rng.integers(1, 120 * 60, 40_000)) * 1_000_000
+    rows = many_ranges.createDataFrame(pd.DataFrame({"usgs_id": [f"e{i}" for i in range(len(times))], "time_us": times})).repartition(5)
+    got = catalog.decluster(rows, 2.0).toPandas()
+    assert got["time_us"].sort_values().tolist() == plain_declustered(times.tolist(), 2 * catalog.DAY_US)
+    read = many_ranges.createDataFrame(pd.DataFrame({"t": times})).repartitionByRange("t").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert read < 2 * len(times) / 13
+
+
+def test_declustering_of_ties_gaps_and_regions(many_ranges):
+    rng = np.random.default_rng(7)
+    day = catalog.DAY_US
+    frame = pd.DataFrame({"usgs_id": [f"e{i:04d}" for i in range(600)], "time_us": rng.integers(0, 900, 600) * (day // 4), "place": rng.choice(["a", "b", None], 600)})
+    frame.loc[frame["time_us"] > 500 * (day // 4), "time_us"] += 40 * day
+    rows = many_ranges.createDataFrame(frame)
+    got = catalog.decluster(rows, 2.0, 25, region="place").toPandas()
+    for place in ("a", "b", None):
+        own = frame[frame["place"].isna()] if place is None else frame[frame["place"] == place]
+        want = plain_declustered(own["time_us"].tolist(), 2 * day)[:25]
+        mine = got[got["place"].isna()] if place is None else got[got["place"] == place]
+        assert mine["time_us"].sort_values().tolist() == want
+        assert set(mine["usgs_id"]) == {own[own["time_us"] == t]["usgs_id"].min() for t in want}
+    assert catalog.decluster(rows.limit(0), 2.0).count() == 0
