@@ -24,19 +24,24 @@ def circle_bounds(lat: Column, lon: Column, radius_km: float) -> dict[str, Colum
     return {"lat_min": lat - high, "lat_max": lat + high, "lon_min": lon - wide, "lon_max": lon + wide}
 
 
-def cells_around(lat: Column, lon: Column, radius_km: float, degrees: float) -> Column:
-    """The cells (struct y, x) of a grid of ``degrees`` that a circle may touch, across the date line and the poles."""
+def cell_ranges(lat: Column, lon: Column, radius_km: float, degrees: float) -> tuple[Column, Column, Column, Column]:
+    """Of a grid of ``degrees`` the first and last row, and first and last column, that a circle may touch; columns count on across the date line."""
     around = round(360 / degrees)
     angle = radius_km / EVENT_RADIUS_KM * 1.001
     high = math.degrees(angle)
     ratio = F.lit(math.sin(min(angle, math.pi / 2))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
     polar = (F.abs(lat) + high >= 90) | (ratio >= 1)
     wide = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-6)
-    rows = F.sequence(F.floor((lat - high) / degrees).cast("int"), F.floor((lat + high) / degrees).cast("int"))
     first = F.floor((lon - wide) / degrees).cast("int")
     last = F.least(F.floor((lon + wide) / degrees).cast("int"), first + around - 1)
-    columns = F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(around)))
-    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    return F.floor((lat - high) / degrees).cast("int"), F.floor((lat + high) / degrees).cast("int"), first, last
+
+
+def cells_around(lat: Column, lon: Column, radius_km: float, degrees: float) -> Column:
+    """The cells (struct y, x) of a grid of ``degrees`` that a circle may touch, across the date line and the poles."""
+    low, high, first, last = cell_ranges(lat, lon, radius_km, degrees)
+    columns = F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.lit(round(360 / degrees))))
+    return F.flatten(F.transform(F.sequence(low, high), lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
 
 def cell(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:

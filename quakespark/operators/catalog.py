@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.functions.geo import EVENT_RADIUS_KM, cell, cells_around, circle_bounds, haversine_km
+from quakespark.functions.geo import EVENT_RADIUS_KM, cell, cell_ranges, cells_around, circle_bounds, haversine_km
 from quakespark.operators.ordering import following
-from quakespark.sources.tables import settle, small
+from quakespark.sources.tables import BROADCAST_ROWS, settle, small
 
 DAY_US = 86_400_000_000
 #: Side of the grid cells by which points meet the circles around them.
 CELL_DEGREES = 2.0
+#: Points of a cell in a bucket of time before it is quartered, and how often that may be done.
+CELL_ROWS, LEVELS = 50_000, 6
 
 
 def search(catalog: DataFrame, lat: tuple[float, float], lon: tuple[float, float], start=None, end=None, min_mag: float | None = None) -> DataFrame:
@@ -75,28 +77,78 @@ def decluster(candidates: DataFrame, window_days: float, most: int | None = None
     return found.select(*candidates.columns)
 
 
-def near_pairs(points: DataFrame, centers: DataFrame, radius_km: float, earth_km: float = EVENT_RADIUS_KM, degrees: float = CELL_DEGREES, span_us: int | None = None) -> DataFrame:
+def near_pairs(points: DataFrame, centers: DataFrame, radius_km: float, earth_km: float = EVENT_RADIUS_KM, degrees: float = CELL_DEGREES, span_us: int | None = None, broadcast_rows: int = BROADCAST_ROWS, bound: int = CELL_ROWS) -> DataFrame:
     """Points and the centers (c_lat, c_lon) within a distance of them, with dist_km.
 
     Both meet on a cell of the sphere: a center is repeated for the cells that
     its circle may touch, a point has one. With ``span_us`` they also meet on
     a bucket of time of that length: a center (ms_time_us) has the buckets up
     to ``span_us`` later, and points (time_us) farther off are left out.
-    Centers are broadcast where they are few; else it is a shuffled join on
-    cell and bucket.
+    Centers are broadcast where they have few cells. Else it is a shuffled join
+    on cell and bucket, and cells of more than ``bound`` points in a bucket
+    are quartered, as often as it takes (see ``adapted``).
     """
-    y, x = cell(F.col("lat"), F.col("lon"), degrees)
-    on = {"_y": y, "_x": x}
-    cells = centers.withColumn("_cell", F.explode(cells_around(F.col("c_lat"), F.col("c_lon"), radius_km, degrees))).withColumns({"_y": F.col("_cell.y"), "_x": F.col("_cell.x")}).drop("_cell")
+    on = {"_t": F.lit(0).cast("long")}
+    spread = centers.withColumn("_t", F.lit(0).cast("long"))
     if span_us is not None:
         bucket = lambda time: F.floor(time / span_us)
         on["_t"] = bucket(F.col("time_us"))
-        cells = cells.withColumn("_t", F.explode(F.sequence(bucket(F.col("ms_time_us")), bucket(F.col("ms_time_us") + span_us))))
-    met = points.withColumns(on).join(small(cells), list(on))
+        spread = centers.withColumn("_t", F.explode(F.sequence(bucket(F.col("ms_time_us")), bucket(F.col("ms_time_us") + span_us))))
+    y, x = cell(F.col("lat"), F.col("lon"), degrees)
+    cells = spread.withColumn("_cell", F.explode(cells_around(F.col("c_lat"), F.col("c_lon"), radius_km, degrees))).withColumns({"_y": F.col("_cell.y"), "_x": F.col("_cell.x")}).drop("_cell")
+    keys = ["_y", "_x", "_t"]
+    if cells.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        met = points.withColumns(on | {"_y": y, "_x": x}).join(F.broadcast(cells), keys)
+    else:
+        keys = [*keys, "_level", "_salt"]
+        own, circles = adapted(points.withColumns(on), cells, radius_km, degrees, bound)
+        met = own.join(circles, keys)
     if span_us is not None:
         met = met.where((F.col("time_us") >= F.col("ms_time_us")) & (F.col("time_us") <= F.col("ms_time_us") + span_us))
     far = haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"), earth_km)
-    return met.withColumn("dist_km", far).where(F.col("dist_km") <= radius_km).drop(*on)
+    return met.withColumn("dist_km", far).where(F.col("dist_km") <= radius_km).drop(*keys)
+
+
+def adapted(points: DataFrame, cells: DataFrame, radius_km: float, degrees: float, bound: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Points (lat, lon, _t) with their leaf (_level, _y, _x) and _salt, and circles (c_lat, c_lon, _t, _y, _x) with all leaves that they may touch.
+
+    Cells are counted by bucket on the finest grid. A cell that has more than
+    ``bound`` points in a bucket is quartered, down to LEVELS times; leaves
+    that still have more are dealt over salts, which their circles repeat. So
+    no key has many more than ``bound`` points, and what a circle is repeated
+    for grows with the points about it only.
+    """
+    finest = degrees / (1 << LEVELS)
+    up = lambda c, level: F.shiftright(F.col(c), LEVELS - level)
+    fy, fx = cell(F.col("lat"), F.col("lon"), finest)
+    placed = points.withColumns({"_fy": fy, "_fx": fx})
+    counts = settle(placed.groupBy("_fy", "_fx", "_t").agg(F.count("*").alias("n")), "histogram")
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), up("_fy", k).alias("_y"), up("_fx", k).alias("_x")) for k in range(LEVELS + 1)])).alias("c")
+    crowded = counts.select("_t", "n", levels).select("_t", "n", "c.*").groupBy("_level", "_y", "_x", "_t").agg(F.sum("n").alias("n")).groupBy("_level", "_y", "_x").agg(F.max("n").alias("n")).where(F.col("n") > bound)
+    crowded = settle(crowded.select("_level", "_y", "_x", F.ceil(F.col("n") / bound).cast("int").alias("_salts")), "crowded")  # a few for each ``bound`` points
+    split = lambda k: small(crowded.where(F.col("_level") == k).select(F.col("_y").alias(f"_y{k}"), F.col("_x").alias(f"_x{k}"), F.col("_salts").alias(f"_s{k}")))
+    own = placed
+    for k in range(LEVELS + 1):
+        own = own.withColumns({f"_y{k}": up("_fy", k), f"_x{k}": up("_fx", k)}).join(split(k), [f"_y{k}", f"_x{k}"], "left")
+    level = F.coalesce(*[F.when(F.col(f"_s{k}").isNull(), F.lit(k)) for k in range(LEVELS)], F.lit(LEVELS))
+    salt = F.when((F.col("_level") == LEVELS) & F.col(f"_s{LEVELS}").isNotNull(), F.pmod(F.xxhash64("lat", "lon", F.monotonically_increasing_id()), F.col(f"_s{LEVELS}"))).otherwise(0).cast("int")
+    own = own.withColumn("_level", level).withColumns({"_y": F.expr(f"shiftright(_fy, {LEVELS} - _level)"), "_x": F.expr(f"shiftright(_fx, {LEVELS} - _level)"), "_salt": salt})
+    own = own.drop("_fy", "_fx", *[f"_{c}{k}" for k in range(LEVELS + 1) for c in "yxs"])
+    leaves, open_ = None, cells
+    for k in range(LEVELS + 1):
+        flagged = open_.join(split(k).withColumnsRenamed({f"_y{k}": "_y", f"_x{k}": "_x", f"_s{k}": "_salts"}), ["_y", "_x"], "left")
+        done = flagged.where("_salts IS NULL").withColumn("_salt", F.lit(0)) if k < LEVELS else flagged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        done = done.withColumn("_level", F.lit(k)).drop("_salts")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if k == LEVELS:
+            break
+        below = degrees / (2 << k)
+        low, high, first, last = cell_ranges(F.col("c_lat"), F.col("c_lon"), radius_km, below)
+        child = F.explode(F.array(*[F.struct((2 * F.col("_y") + i).alias("y"), (2 * F.col("_x") + j).alias("x")) for i in (0, 1) for j in (0, 1)])).alias("_child")
+        quarters = flagged.where("_salts IS NOT NULL").drop("_salts").select("*", child)
+        touched = F.col("_child.y").between(low, high) & (F.pmod(F.col("_child.x") - first, F.lit(round(360 / below))) <= last - first)
+        open_ = quarters.where(touched).withColumns({"_y": F.col("_child.y"), "_x": F.col("_child.x")}).drop("_child")
+    return own, leaves
 
 
 def mainshock_columns(mainshocks: DataFrame) -> DataFrame:
