@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quakespark.functions.geo import half_planes
 from quakespark.functions.labels import interval_label, record_id
+from quakespark.operators.ordering import ranked_values
 from quakespark.sources.tables import settle, small
 
 Segment = tuple[float, float]
@@ -58,27 +61,30 @@ def merged_rings(events: DataFrame, edges: list[float], least: int) -> DataFrame
 
 
 class Depths:
-    """Depths of a sequence as distinct values and their counts."""
+    """Depths of a sequence as distinct values and their counts, or some of these with the numbers of rows below each.
 
-    def __init__(self, values: list[float], counts: list[int]):
+    Some are enough where they hold what a rule asks for: the ends, the ranks
+    about its quantiles, and the values next to its cuts.
+    """
+
+    def __init__(self, values: list[float], counts: list[int], before: list[int] | None = None):
         order = sorted(range(len(values)), key=values.__getitem__)
         self.values = [values[i] for i in order]
-        self.below, total = [], 0
-        for i in order:
-            total += counts[i]
-            self.below.append(total)
-        self.n = total
+        if before is None:
+            self.before = [0, *accumulate(counts[i] for i in order)][:-1]
+        else:
+            self.before = [before[i] for i in order]
+        self.below = [b + counts[i] for b, i in zip(self.before, order, strict=True)]
+        self.n = self.below[-1] if order else 0
 
     def at_most(self, x: float) -> int:
-        import bisect
-
         i = bisect.bisect_right(self.values, x)
         return self.below[i - 1] if i else 0
 
     def less(self, x: float) -> int:
-        import bisect
-
         i = bisect.bisect_left(self.values, x)
+        if i < len(self.values) and self.values[i] == x:
+            return self.before[i]
         return self.below[i - 1] if i else 0
 
     def quantile(self, q: float) -> float:
@@ -89,8 +95,6 @@ class Depths:
         return a + (at - low) * (b - a) if at - low < 0.5 else b - (b - a) * (1 - (at - low))
 
     def ranked(self, k: int) -> float:
-        import bisect
-
         return self.values[bisect.bisect_right(self.below, k)]
 
     def counts(self, segments: list[Segment]) -> list[int]:
@@ -150,16 +154,48 @@ def binned_depth_segments(depths: Depths, bins: list[float], least: int, most: i
     return [s for s in merged if s[0] > edges[0] + 1e-9 or not math.isinf(s[1])]
 
 
+def depth_marks(events: DataFrame, least: int, target: int, bins: list[float]) -> DataFrame:
+    """(mainshock_id, marks): of each sequence the distinct depths that its segments can depend on, with n and below.
+
+    All from one ranking of the depths and a few aggregations: the first and
+    last, those at the ranks about every quantile, the deepest above each bin's
+    edge, and one after another the first that has ``least`` events since the
+    one before. So no task holds a sequence's depths.
+    """
+    values = ranked_values(events.where("depth_km IS NOT NULL").select("mainshock_id", F.col("depth_km").cast("double").alias("depth")), "depth", ["mainshock_id"])
+    total = settle(values.groupBy("mainshock_id").agg(F.sum("n").alias("total"), F.min("depth").alias("lowest")), "totals")
+    rows = values.join(small(total), "mainshock_id").withColumns({"end": F.col("below") + F.col("n"), "mark": F.struct("depth", "n", "below")})
+    places = [f for k in range(2, target + 1) for i in range(1, k) for f in (F.floor(F.lit(i / k) * (F.col("total") - 1)), F.least(F.floor(F.lit(i / k) * (F.col("total") - 1)) + 1, F.col("total") - 1))]
+    wanted = [F.min("mark"), F.max("mark"), *[F.max(F.when((F.col("below") <= p) & (p < F.col("end")), F.col("mark"))) for p in places], *[F.max(F.when(F.col("depth") < e, F.col("mark"))) for e in bins]]
+    found = rows.groupBy("mainshock_id").agg(F.array(*wanted).alias("marks"))
+    cuts, inner = None, (F.col("below") > 0) & (F.col("end") < F.col("total")) & (F.col("depth") > F.col("lowest") + 1e-9)
+    for _ in range(target - 1):
+        start = rows.withColumns({"_last": F.lit(-math.inf), "_end": F.lit(0)}) if cuts is None else rows.join(small(cuts), "mainshock_id")
+        fits = inner & (F.col("depth") > F.col("_last")) & (F.col("end") - F.col("_end") >= least)
+        cut = start.groupBy("mainshock_id").agg(F.min(F.when(fits, F.col("mark"))).alias("cut")).where("cut IS NOT NULL")
+        cuts = settle(cut.select("mainshock_id", F.col("cut.depth").alias("_last"), (F.col("cut.below") + F.col("cut.n")).alias("_end"), "cut"), "cuts")
+        found = found.join(small(cuts.select("mainshock_id", F.array("cut").alias("_cut"))), "mainshock_id", "left").select("mainshock_id", F.concat("marks", F.coalesce("_cut", F.array().cast(cuts.select(F.array("cut")).schema[0].dataType))).alias("marks"))
+        cuts = cuts.drop("cut")
+    return found.select("mainshock_id", F.array_distinct(F.filter("marks", lambda m: m.isNotNull())).alias("marks"))
+
+
 def depth_segments(events: DataFrame, least: int, target: int = 3, fewest: int = 2, bins: list[float] | None = None) -> DataFrame:
-    """(mainshock_id, lo, hi, first): depth segments of each sequence that can be split; hi is infinity in the last."""
-    histogram = events.where("depth_km is not null").groupBy("mainshock_id", "depth_km").agg(F.count("*").alias("n"))
+    """(mainshock_id, lo, hi, first): depth segments of each sequence that can be split; hi is infinity in the last.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        depths = Depths(group["depth_km"].tolist(), group["n"].astype(int).tolist())
-        found = depth_segments_of(depths, least, target, fewest) if bins is None else binned_depth_segments(depths, bins, least, target)
-        return pd.DataFrame([(group["mainshock_id"].iloc[0], lo, hi, k == 0) for k, (lo, hi) in enumerate(found)], columns=["mainshock_id", "lo", "hi", "first"])
+    The rules see a few depths of each sequence (see ``depth_marks``).
+    """
 
-    return histogram.groupBy("mainshock_id").applyInPandas(fold, "mainshock_id string, lo double, hi double, first boolean")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, marks in zip(batch["mainshock_id"], batch["marks"], strict=True):
+                depths = Depths([m["depth"] for m in marks], [int(m["n"]) for m in marks], [int(m["below"]) for m in marks])
+                found = depth_segments_of(depths, least, target, fewest) if bins is None else binned_depth_segments(depths, bins, least, target)
+                out += [(name, lo, hi, k == 0) for k, (lo, hi) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["mainshock_id", "lo", "hi", "first"]).astype({"lo": float, "hi": float, "first": bool})
+
+    marks = depth_marks(events, least, max(target, 3), [] if bins is None else [float(e) for e in bins])
+    return marks.mapInPandas(fold, "mainshock_id string, lo double, hi double, first boolean")
 
 
 def expand(events: DataFrame, rings: DataFrame | None = None, depths: DataFrame | None = None, regions: dict[str, Column] | None = None, carry: tuple[str, ...] = ("t_days",)) -> DataFrame:
