@@ -292,5 +292,6 @@ _BODIES = {
         SELECT count(v) AS n, round(min(v), 6) AS least, round(max(v), 6) AS greatest, round(avg(CAST(v < 0 AS DOUBLE)), 6) AS share_negative, round(avg(CAST(v > 0 AS DOUBLE)), 6) AS share_positive FROM o""",
     "report_facts": "SELECT count(*) AS n_rows, count(DISTINCT mainshock_id) AS n_groups, count(DISTINCT record_id) AS n_records, (SELECT count(*) FROM msr) AS n_mainshocks, 50 AS n_perm, true AS slopes_agree FROM samp",
 }
+_BODIES["tiled_exposure"] = _BODIES["buffer_exposure"]
 
 ORACLES = {name: CHAIN + body for name, body in _BODIES.items()}

@@ -20,7 +20,7 @@ from quakespark.functions.labels import depth_group, interval_label
 from quakespark.jobs import oracles, studies
 from quakespark.operators import catalog as cat
 from quakespark.operators import exposure, logo, omori, resample, segments, stats
-from quakespark.sources import adapters, geojson, sinks
+from quakespark.sources import adapters, geojson, grid, sinks
 from quakespark.sources.tables import made_once, scratch_dir, settle
 
 P = oracles.PARAMETERS
@@ -352,6 +352,14 @@ def buffer_exposure(spark, d):
     return b.select("mainshock_id", *[r(c, 4) for c in b.columns[1:]])
 
 
+def tiled_exposure(spark, d):
+    """buffer_exposure from a grid written by tile, of which only the circles' tiles are read."""
+    path = f"{scratch_dir(spark)}/grid-{uuid.uuid4().hex}"
+    grid.write_grid(adapters.pixels(spark, d), path)
+    b = exposure.buffers(grid.read_grid(spark, path), cat.mainshock_columns(_mainshocks(spark, d)), list(P["buffers"]), grid.grid_pixels)
+    return b.select("mainshock_id", *[r(c, 4) for c in b.columns[1:]])
+
+
 def subgroup_exposure(spark, d):
     s = _subgroups(spark, d)
     return s.select("record_id", *[r(f"pop_{k}_subgroup", 4) for k in ("sum", "mean", "max")])
@@ -563,7 +571,7 @@ QUERIES = {
         event_catalog, geojson_roundtrip, mainshock_list, fits_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
         depth_group_counts, half_plane_counts, region_predicate_counts, aftershock_ring_counts, merged_rings, depth_segments, depth_segments_binned, subgroup_expand,
         omori_nll, omori_grid_fit, omori_mle, omori_single, omori_single_regions, omori_single_all, omori_sensitivity, omori_bootstrap, omori_subgroups, omori_fe, omori_permutation, omori_logo, bootstrap_intervals, binned_rate,
-        buffer_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, line_fit, features,
+        buffer_exposure, tiled_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, line_fit, features,
         corr_pearson_spearman, corr_p_values, controlled_ols, controlled_ols_full, controlled_ols_effects, within_fe, within_fe_slope, loo_corr, cluster_boot_corr, cluster_boot_fe, within_permute, permutation_test, exact_permutation, draw_histogram, draw_matrix,
         logo_splits, logo_compare, logo_folds, train_bins, class_metrics, confusion, ridge_confusion, fold_metrics, perm_importance,
         scale_sensitivity, scale_correlations, uncertainty, influence_subgroup, influence_scale, influence_range, report_facts,

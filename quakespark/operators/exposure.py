@@ -22,9 +22,13 @@ def stats(inside: Column, name: str) -> list[Column]:
     return [F.sum(pop).alias(f"pop_sum_{name}"), F.avg(pop).alias(f"pop_mean_{name}"), F.max(pop).alias(f"pop_max_{name}")]
 
 
-def buffers(pixels: DataFrame, centers: DataFrame, radii_km: list[int]) -> DataFrame:
-    """One row for each center with pop_sum / mean / max for every radius, in one pass at the largest."""
-    near = circle_pixels(pixels, centers.select("mainshock_id", "c_lat", "c_lon"), float(max(radii_km)))
+def buffers(pixels: DataFrame, centers: DataFrame, radii_km: list[int], near_pixels=circle_pixels) -> DataFrame:
+    """One row for each center with pop_sum / mean / max for every radius, in one pass at the largest.
+
+    ``near_pixels(pixels, centers, radius)`` finds them; of a tiled grid it is
+    ``sources.grid.grid_pixels``.
+    """
+    near = near_pixels(pixels, centers.select("mainshock_id", "c_lat", "c_lon"), float(max(radii_km)))
     found = near.groupBy("mainshock_id").agg(*[x for r in radii_km for x in stats(F.col("dist_km") <= r, f"{r}km")])
     return centers.select("mainshock_id").join(found, "mainshock_id", "left")
 

@@ -13,20 +13,22 @@ from quakespark.functions.labels import range_of
 from quakespark.functions.students_t import quantile, two_sided_p
 from quakespark.operators.ordering import average_ranks
 from quakespark.sources.adapters import finite
+from quakespark.sources.tables import settle
 
 FALLBACKS = ("all_depth", "all_relaxed")
-NEEDED = ("mainshock_id", "subgroup_type", "subgroup", "n_events", "pop_sum_subgroup", "p")
+NEEDED = ("mainshock_id", "subgroup_type", "subgroup", "n_events", "p")
+EXPOSURES = ("pop_sum_subgroup", "pop_sum_50km")
 
 
 def analysis_sample(subgroups: DataFrame, radius_km: float = 400.0, min_events: int = 25) -> DataFrame:
     """Subgroups fit for inference: no aggregates, no ring over the full radius, enough events, people and a finite p."""
-    missing = sorted(set(NEEDED) - set(subgroups.columns))
+    missing = sorted(set(NEEDED) - set(subgroups.columns)) + ([] if set(EXPOSURES) & set(subgroups.columns) else [EXPOSURES[0]])
     if missing:
         raise ValueError(f"Missing analysis columns: {missing}")
     low, high = range_of(F.lower("subgroup"))
     full = (F.col("subgroup_type") == "ring") & (low == 0) & (F.abs(high - radius_km) <= 1e-9 * F.greatest(high, F.lit(radius_km)))
     number = lambda c: finite(F.col(c).try_cast("double"))
-    good = ~F.col("subgroup").isin(*FALLBACKS) & ~F.coalesce(full, F.lit(False)) & (number("n_events") >= min_events) & (number("pop_sum_subgroup") > 0) & number("p").isNotNull()
+    good = ~F.col("subgroup").isin(*FALLBACKS) & ~F.coalesce(full, F.lit(False)) & (number("n_events") >= min_events) & (number(exposure_column(subgroups)) > 0) & number("p").isNotNull()
     return subgroups.where(good).withColumn("analysis_included", F.lit(True))
 
 
@@ -154,7 +156,7 @@ def ols(rows: DataFrame, y: str, xs: list[str], by: list[str] | None = None) ->
 
 def exposure_column(frame: DataFrame) -> str:
     """The subgroups' own population where a table has it, else that within 50 km."""
-    return "pop_sum_subgroup" if "pop_sum_subgroup" in frame.columns else "pop_sum_50km"
+    return EXPOSURES[0] if EXPOSURES[0] in frame.columns else EXPOSURES[1]
 
 
 def with_terms(sample: DataFrame) -> DataFrame:
@@ -165,17 +167,82 @@ def with_terms(sample: DataFrame) -> DataFrame:
 def controlled(rows: DataFrame, outcome: str = "p", effects: bool = False) -> DataFrame:
     """Least squares of the outcome on log10(exposure, 1 at least), magnitude and log(n), with effects of the mainshocks if wanted.
 
-    The effects are indicators fe_* of all mainshocks but the first, a small
-    level set.
+    The effects are indicators fe_* of all mainshocks but the first.
     """
     made = rows.withColumns({"log10_pop": F.log10(F.greatest(finite(F.col(exposure_column(rows)).cast("double")), F.lit(1.0))), "log_n_events": F.log(F.greatest(F.col("n_events").cast("double"), F.lit(1.0)))})
     made = made.withColumn(outcome, finite(F.col(outcome).cast("double"))).dropna(subset=[outcome, "log10_pop", "mainshock_mag", "log_n_events"])
     names = ["log10_pop", "mainshock_mag", "log_n_events"]
-    if effects:
-        levels = sorted(r[0] for r in made.select(F.col("mainshock_id").cast("string")).distinct().collect())[1:]
-        made = made.withColumns({f"fe_{v}": (F.col("mainshock_id") == v).cast("double") for v in levels})
-        names += [f"fe_{v}" for v in levels]
-    return ols(made, outcome, names)
+    return absorbed(made, outcome, names, "mainshock_id") if effects else ols(made, outcome, names)
+
+
+def absorbed(rows: DataFrame, y: str, xs: list[str], group: str) -> DataFrame:
+    """Least squares of y on a constant, xs and an indicator fe_<g> of each group but the first (as strings), in the form of ``ols``.
+
+    The indicators are no columns: coefficients come from deviations from
+    group means, an effect and its error from its group's means. Where xs do
+    not vary within groups there are many solutions; that of the least squares
+    of all coefficients is taken, as a pseudo-inverse of the whole design does.
+    A group is a row of a table; only k x k sums are collected.
+    """
+    k, nothing = len(xs), "term string, coef double, se double, t double, p_value double, ci_lo double, ci_hi double, n long, dof long, r2 double, adj_r2 double"
+    kept = rows.select(F.col(group).cast("string").alias("g"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate([*xs, y])]).dropna(subset=[f"v{i}" for i in range(k + 1)])
+    columns = [f"v{i}" for i in range(k + 1)]
+    whole = kept.agg(F.count("*").alias("n"), (F.var_pop(f"v{k}") * F.count("*")).alias("total"), *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in columns]).first()
+    if not whole["n"]:
+        return rows.sparkSession.createDataFrame([], nothing)
+    means = settle(kept.groupBy("g").agg(F.count("*").cast("double").alias("m"), *[F.avg(c).alias(c) for c in columns]), "group_means")
+    inner = gram(demeaned(kept, columns, ["g"]), columns, []).first()
+    m = unpack(inner["n"], inner["sums"], inner["products"])[1:, 1:]
+    scale = np.array([max(whole[c], 1e-300) for c in columns[:k]])
+    values, vectors = np.linalg.eigh(m[:k, :k] / np.outer(scale, scale) / whole["n"])
+    varies = values > 1e-12
+    null = np.linalg.qr(vectors[:, ~varies] / scale[:, None])[0] if (~varies).any() else np.zeros((k, 0))
+    inverse = (vectors[:, varies] / values[varies]) @ vectors[:, varies].T / np.outer(scale, scale) / whole["n"]
+    across = np.eye(k) - null @ null.T
+    inverse = across @ inverse @ across  # of all solutions the one without a part that does not vary
+    b0 = inverse @ m[:k, k]
+    first = means.orderBy("g").limit(1).first()
+    w1, y1, n1 = np.array([first[c] for c in columns[:k]]), first[f"v{k}"], first["m"]
+    others = means.where(F.col("g") != first["g"])
+    d = [F.col(c) - float(w) for c, w in zip(columns, [*w1, y1], strict=True)]
+    own = d[k] - sum((d[i] * float(b0[i]) for i in range(k)), F.lit(0.0))  # an effect before what does not vary is dealt with
+    sums = lambda f: F.array(*[F.coalesce(F.sum(f(i, j)), F.lit(0.0)) for i in range(k) for j in range(k)])
+    total = others.agg(F.count("*").alias("groups"), sums(lambda i, j: d[i] * d[j]).alias("dd"), sums(lambda i, j: d[i] * d[j] / F.col("m")).alias("ddm"), sums(lambda i, j: d[i] * F.col(columns[j])).alias("dw"), F.array(*[F.coalesce(F.sum(d[i] * own), F.lit(0.0)) for i in range(k)]).alias("da"), F.array(*[F.coalesce(F.sum(d[i]), F.lit(0.0)) for i in range(k)]).alias("d")).first()
+    dd, ddm, dw = (np.array(total[c]).reshape(k, k) for c in ("dd", "ddm", "dw"))
+    a1 = y1 - w1 @ b0
+    b = np.linalg.inv(np.eye(null.shape[1]) + null.T @ (np.outer(w1, w1) + dd) @ null) @ null.T
+    c1 = b @ (w1 - np.array(total["d"]))
+    q = b @ dw + np.outer(c1, w1)
+    spread = b @ ddm @ b.T + np.outer(c1, c1) / n1
+    beta = b0 + null @ (b @ (w1 * a1 + np.array(total["da"])))
+    carried = np.eye(k) - null @ q
+    inside, between = carried @ inverse @ carried.T, null @ spread @ null.T
+    size, parameters = int(whole["n"]), 1 + k + int(total["groups"])
+    rest, dof = max(float(m[k, k] - b0 @ m[:k, k]), 0.0), max(size - parameters, 1)
+    noise = rest / dof
+    r2 = 1 - rest / whole["total"] if whole["total"] > 1e-15 else None
+    adjusted = None if r2 is None else 1 - (1 - r2) * (size - 1) / dof
+    const_var = w1 @ (inside + between) @ w1 + 1 / n1 - 2 * w1 @ null @ c1 / n1
+    few = [("const", float(y1 - w1 @ beta), float(const_var))] + [(name, float(beta[i]), float((inside + between)[i, i])) for i, name in enumerate(xs)]
+    coef = d[k] - sum((d[i] * float(beta[i]) for i in range(k)), F.lit(0.0))
+    both, turned = inside + between, null @ b
+    var = sum((d[i] * d[j] * float(both[i, j]) for i in range(k) for j in range(k)), F.lit(0.0)) + 1 / F.col("m") + 1 / n1
+    var = var - 2 * sum((d[i] * (d[j] * float(turned[i, j]) / F.col("m")) for i in range(k) for j in range(k)), F.lit(0.0)) + 2 * sum((d[i] * float((null @ c1)[i] / n1) for i in range(k)), F.lit(0.0))
+    effects = others.select(F.concat(F.lit("fe_"), F.col("g")).alias("term"), coef.alias("coef"), var.alias("var"))
+    every = rows.sparkSession.createDataFrame(few, "term string, coef double, var double").unionByName(effects)
+    se, critical = F.sqrt(F.greatest(F.col("var"), F.lit(0.0)) * noise), float(quantile(0.975, dof))
+    tested = every.select("term", "coef", se.alias("se")).withColumn("t", F.col("coef") / F.greatest("se", F.lit(1e-12)))
+    return tested.select("term", "coef", "se", "t", t_p("t", dof).alias("p_value"), (F.col("coef") - critical * F.col("se")).alias("ci_lo"), (F.col("coef") + critical * F.col("se")).alias("ci_hi"), F.lit(size).cast("long").alias("n"), F.lit(dof).cast("long").alias("dof"), F.lit(r2).cast("double").alias("r2"), F.lit(adjusted).cast("double").alias("adj_r2"))
+
+
+def t_p(t: str, dof: int) -> Column:
+    """Two-sided p of a t statistic."""
+
+    def many(t: pd.Series) -> pd.Series:
+        return pd.Series([two_sided_p(float(x), dof) for x in t], dtype="float64")
+
+    many.__annotations__ = {"t": pd.Series, "return": pd.Series}
+    return F.pandas_udf(many, "double")(t)
 
 
 def type_levels(sample: DataFrame) -> list[str]:
@@ -217,7 +284,7 @@ FE = "term string, coef double, se double, p_value double, ci_lo double, ci_hi d
 def within_fe(sample: DataFrame, outcome: str = "p", by: list[str] | None = None) -> DataFrame:
     """p ~ log10(exposure) + log(n) + type + fixed effects of the mainshock, by ``by`` (for example an omitted mainshock)."""
     by = by or []
-    rows, names = fe_terms(sample.dropna(subset=[outcome, "pop_sum_subgroup", "n_events", "mainshock_id", "subgroup_type"]))
+    rows, names = fe_terms(sample.dropna(subset=[outcome, exposure_column(sample), "n_events", "mainshock_id", "subgroup_type"]))
     columns = [*names, outcome]
     sums = gram(demeaned(rows, columns, [*by, "mainshock_id"]), columns, by)
     shape = rows.groupBy(*by).agg(F.count_distinct("mainshock_id").alias("groups"), (F.var_pop(outcome) * F.count(outcome)).alias("total"))

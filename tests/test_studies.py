@@ -344,3 +344,14 @@ def test_mainshock_lists_and_nested_fits(spark, tmp_path):
     assert [(r.mainshock_id, r.record_id, r.p) for r in back] == [("m", "m|mainshock|all", 0.9)]
     sinks.write_ordered(fits, [fits.p.desc()], f"{tmp_path}/report")
     assert spark.read.csv(f"{tmp_path}/report", header=True).count() == 2
+
+
+def test_correlation_range_is_that_of_each_row_left_out(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"key": np.repeat(["a", "b", "two", "flat"], [30, 9, 2, 6]), "x": rng.normal(size=47), "y": rng.normal(size=47)})
+    frame.loc[frame["key"] == "flat", "x"] = [1.0, 1.0, 1.0, 1.0, 1.0, 4.0]
+    got = {r.key: (r.loo_min, r.loo_max) for r in studies.correlation_range(spark.createDataFrame(frame), "x", "y", ["key"]).collect()}
+    for key, own in frame.groupby("key"):
+        left = [own.drop(i) for i in own.index]
+        r = [np.corrcoef(f["x"], f["y"])[0, 1] for f in left if len(f) > 1 and f["x"].nunique() > 1]
+        assert got[key] == ((None, None) if not r else pytest.approx((min(r), max(r)), abs=1e-9))
