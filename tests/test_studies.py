@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quakespark.jobs import studies
