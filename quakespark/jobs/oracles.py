@@ -290,8 +290,9 @@ _BODIES = {
     "influence_range": """
         , o AS (SELECT g.mainshock_id AS omitted, CASE WHEN min(s.x) < max(s.x) THEN corr(s.x, s.p) END AS v FROM (SELECT DISTINCT mainshock_id FROM samp) g JOIN samp s ON s.mainshock_id <> g.mainshock_id GROUP BY 1)
         SELECT count(v) AS n, round(min(v), 6) AS least, round(max(v), 6) AS greatest, round(avg(CAST(v < 0 AS DOUBLE)), 6) AS share_negative, round(avg(CAST(v > 0 AS DOUBLE)), 6) AS share_positive FROM o""",
-    "report_facts": "SELECT count(*) AS n_rows, count(DISTINCT mainshock_id) AS n_groups, count(DISTINCT record_id) AS n_records, (SELECT count(*) FROM msr) AS n_mainshocks, 50 AS n_perm, true AS slopes_agree FROM samp",
+    "report_facts": f"SELECT count(*) AS n_rows, count(DISTINCT mainshock_id) AS n_groups, count(DISTINCT record_id) AS n_records, (SELECT count(*) FROM msr) AS n_mainshocks, {P['reps_permutation']} AS n_perm, true AS slopes_agree FROM samp",
 }
+_BODIES["draws_roundtrip"] = "SELECT record_id || '|mainshock|all' AS record_id, record_id AS mainshock_id, 'mainshock' AS subgroup_type, 'all' AS subgroup, CAST(draw AS INT) AS draw, round(p_boot, 6) AS p_boot FROM draws"
 _BODIES["tiled_exposure"] = _BODIES["buffer_exposure"]
 
 ORACLES = {name: CHAIN + body for name, body in _BODIES.items()}

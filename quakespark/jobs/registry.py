@@ -561,20 +561,40 @@ def influence_range(spark, d):
 
 
 def report_facts(spark, d):
-    found = studies.report_facts(_sample(spark, d), _mainshock_rows(spark, d), 50, P["seed"])
+    found = studies.report_facts(_sample(spark, d), _mainshock_rows(spark, d), P["reps_permutation"], P["seed"])
     return found.select("n_rows", "n_groups", "n_records", "n_mainshocks", "n_perm", "slopes_agree")
 
 
+def report_facts_all(spark, d):
+    """Every fact of the report, of the study with the refined fits; maps as JSON."""
+    sample, shocks = _decay_sample(spark, d), _mainshock_rows(spark, d)
+    tested = resample.permutation_summary(resample.permutation_slopes(sample, P["reps_permutation"], P["seed"]), [])
+    propagated = studies.uncertainty_summary(studies.uncertainty(sample, _boots(spark, d), P["reps_uncertainty"], P["seed"]))
+    found = studies.all_facts(
+        sample, resample.cluster_bootstrap_fe(sample, P["reps_fe"], P["seed"]), tested, propagated, logo.metrics(logo.compare(sample)[1]),
+        studies.scale_study(shocks, P["buffers"]), studies.influence(sample, shocks, P["reps_influence"], P["seed"], exact=False),  # no fact is a permutation p of these
+    )
+    return found.select(*[r(c, 4) if t == "double" else F.to_json(c).alias(c) if t.startswith(("map", "array")) else c for c, t in found.dtypes])
+
+
+def draws_roundtrip(spark, d):
+    """The draw table written, and the draws of all records read back."""
+    path = f"{scratch_dir(spark)}/draws-{uuid.uuid4().hex}"
+    draws = _draws(spark, d)
+    sinks.write_draws(draws.withColumn("record_id", F.concat_ws("|", "record_id", F.lit("mainshock"), F.lit("all"))), path)
+    return sinks.read_draws(spark, path).select("record_id", "mainshock_id", "subgroup_type", "subgroup", "draw", r("p_boot"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        event_catalog, geojson_roundtrip, mainshock_list, fits_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
+        event_catalog, geojson_roundtrip, mainshock_list, fits_roundtrip, draws_roundtrip, bbox_search, mainshock_top1, declustered_mainshocks, aftershock_join, catalog_clean, catalog_summary, events_per_mainshock, circle_boxes,
         depth_group_counts, half_plane_counts, region_predicate_counts, aftershock_ring_counts, merged_rings, depth_segments, depth_segments_binned, subgroup_expand,
         omori_nll, omori_grid_fit, omori_mle, omori_single, omori_single_regions, omori_single_all, omori_sensitivity, omori_bootstrap, omori_subgroups, omori_fe, omori_permutation, omori_logo, bootstrap_intervals, binned_rate,
         buffer_exposure, tiled_exposure, subgroup_exposure, mainshock_summary, subgroup_summary, analysis_sample, line_fit, features,
         corr_pearson_spearman, corr_p_values, controlled_ols, controlled_ols_full, controlled_ols_effects, within_fe, within_fe_slope, loo_corr, cluster_boot_corr, cluster_boot_fe, within_permute, permutation_test, exact_permutation, draw_histogram, draw_matrix,
         logo_splits, logo_compare, logo_folds, train_bins, class_metrics, confusion, ridge_confusion, fold_metrics, perm_importance,
-        scale_sensitivity, scale_correlations, uncertainty, influence_subgroup, influence_scale, influence_range, report_facts,
+        scale_sensitivity, scale_correlations, uncertainty, influence_subgroup, influence_scale, influence_range, report_facts, report_facts_all,
     )
 }
 

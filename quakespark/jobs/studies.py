@@ -69,9 +69,9 @@ def scale_influence(mainshocks: DataFrame, radii=RADII, exact: bool = True) -> D
     return scale_study(without, radii, ["omitted"], exact).withColumn("scope", F.lit("mainshock_scale"))
 
 
-def influence(sample: DataFrame, mainshocks: DataFrame, reps: int, seed: int) -> DataFrame:
+def influence(sample: DataFrame, mainshocks: DataFrame, reps: int, seed: int, exact: bool = True) -> DataFrame:
     """Both scopes in one table; what a scope does not have is null."""
-    return subgroup_influence(sample, reps, seed).unionByName(scale_influence(mainshocks), allowMissingColumns=True)
+    return subgroup_influence(sample, reps, seed).unionByName(scale_influence(mainshocks, exact=exact), allowMissingColumns=True)
 
 
 def influence_summary(found: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -113,3 +113,33 @@ def report_facts(sample: DataFrame, mainshocks: DataFrame, reps: int, seed: int)
     return one.withColumn("slopes_agree", F.abs(F.col("fe_slope") - F.col("permutation_slope")) < 1e-9)
 
 
+
+
+def all_facts(sample: DataFrame, fe_draws: DataFrame, tested: DataFrame, propagated: DataFrame, metrics: DataFrame, scale: DataFrame, influenced: DataFrame) -> DataFrame:
+    """Every number that a report states, in one row: each from the table that also goes out.
+
+    ``fe_draws`` (slope) are those of the cluster bootstrap, ``tested`` the
+    permutation test's row, ``propagated`` uncertainty_summary, ``metrics``
+    logo.metrics, ``scale`` scale_study and ``influenced`` influence. Maps are
+    by kind of subgroup, metric, model, or radius; all are small tables.
+    """
+    propagated, metrics, scale, influenced, tested = (settle(f, "facts") for f in (propagated, metrics, scale, influenced, tested))  # each is looked at several times
+    by = lambda frame, key, value, name: frame.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(name))
+    struct = lambda frame, leave: F.struct(*[c for c in frame.columns if c not in leave])
+    sizes = sample.agg(F.count("*").alias("analysis_n"), F.count_distinct("mainshock_id").alias("analysis_groups"))
+    types = by(sample.groupBy("subgroup_type").agg(F.count("*").alias("n")), "subgroup_type", "n", "analysis_type_counts")
+    fe = stats.within_fe(sample).where("term = 'log10_pop'").select(F.col("coef").alias("fe_slope"), F.col("r2").alias("fe_r2"), F.col("adj_r2").alias("fe_adj_r2"))
+    ends = intervals(fe_draws.withColumn("_all", F.lit(0)), "slope", ["_all"]).select(F.array("p_lo", "p_hi").alias("fe_ci"), F.col("below_zero").alias("fe_negative_probability"))
+    own = tested.select(F.col("observed").alias("permutation_observed"), F.col("p_value").alias("permutation_p"), F.col("n_perm").alias("permutation_n"))
+    spread = by(propagated, "metric", F.struct(F.col("p_lo").alias("lo"), F.col("p_median").alias("median"), F.col("p_hi").alias("hi")), "propagation_metrics")
+    below = propagated.where("metric = 'fe_exposure_slope'").select(F.col("n_draws").alias("propagation_draws"), F.col("below_zero").alias("propagation_negative_probability"))
+    models = by(metrics, "model", struct(metrics, ["model"]), "ml")
+    radii = by(scale, "radius_km", struct(scale, ["radius_km"]), "scale_by_radius")
+    subgroups, shocks = influenced.where("scope = 'subgroup_fe_ml'"), influenced.where("scope = 'mainshock_scale'")
+    left = subgroups.agg(F.count("*").alias("influence_subgroup_omissions"), F.min("fe_exposure_slope").alias("influence_slope_min"), F.max("fe_exposure_slope").alias("influence_slope_max"), F.avg((F.col("fe_exposure_slope") < 0).cast("double")).alias("influence_slope_share_negative"), F.max("permutation_p").alias("influence_permutation_p_max"))
+    ranges = by(influence_summary(shocks, "pearson_r", ["radius_km"]), "radius_km", F.struct("least", "greatest", "share_negative", "share_positive"), "influence_scale_pearson")
+    omitted = shocks.agg(F.count_distinct("omitted").alias("influence_scale_omissions"))
+    out = sizes
+    for one in (types, fe, ends, own, spread, below, models, radii, left, ranges, omitted):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out.withColumn("slopes_agree", F.abs(F.col("fe_slope") - F.col("permutation_observed")) < 1e-9)

@@ -80,3 +80,34 @@ def read_fits(spark: SparkSession, path: str, section: str, fields: str) -> Data
 def write_ordered(frame: DataFrame, order: list, path: str) -> None:
     """A report in order: CSV part files whose names follow the order."""
     frame.orderBy(*order).write.option("header", True).csv(path)
+
+
+DRAWS = "record_id string, mainshock_id string, subgroup_type string, subgroup string, draw int, p_boot double"
+
+
+def write_draws(draws: DataFrame, path: str, buckets: int = 64) -> None:
+    """The draw table: the finite draws of every record, in folders by a bucket of the record, each file in order of record and draw.
+
+    record_id is mainshock_id|subgroup_type|subgroup; the three are written as
+    columns too (those of ``draws``, or else from the record_id).
+    """
+    parts = F.split("record_id", r"\|", 3)
+    named = [F.col(c) if c in draws.columns else F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(("mainshock_id", "subgroup_type", "subgroup"))]
+    kept = draws.where(finite(F.col("p_boot")).isNotNull()).select("record_id", *named, F.col("draw").cast("int").alias("draw"), F.col("p_boot").cast("double").alias("p_boot"))
+    bucket = F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int")
+    kept.withColumn("bucket", bucket).repartition("bucket", "record_id").sortWithinPartitions("bucket", "record_id", "draw").write.partitionBy("bucket").parquet(path)
+
+
+def read_draws(spark: SparkSession, path: str, records: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """The draw table, or only the draws of ``records`` (record_id), from the buckets that they are in.
+
+    Two draws of one number for a record are an error.
+    """
+    found = spark.read.schema(f"{DRAWS}, bucket int").parquet(path)
+    twice = found.groupBy("record_id", "draw").count().where("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"Draws that repeat: {[(r['record_id'], r['draw']) for r in twice]}")
+    if records is not None:
+        own = records.select("record_id", F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+        found = found.join(own, ["record_id", "bucket"], "left_semi")  # by the partition column too: Spark may prune
+    return found.drop("bucket")

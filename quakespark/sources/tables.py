@@ -32,14 +32,14 @@ def settle(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-_MADE: dict[tuple[str, str, str], DataFrame] = {}
+_MADE: dict[tuple, DataFrame] = {}
 
 
 def made_once(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A table that the jobs of a session share: made from a folder and settled when first asked for, and again if its files are gone."""
+    """A table that the jobs of a session share: made from a folder and settled when first asked for, and again if the folder's files have changed or its own are gone."""
 
     def get(spark: SparkSession, folder: str) -> DataFrame:
-        key = spark.sparkContext.applicationId, folder, name
+        key = spark.sparkContext.applicationId, folder, name, _state(spark, folder)
         found = _MADE.get(key)
         if found is None or not _there(found):
             found = _MADE[key] = settle(make(spark, folder), name)
@@ -48,6 +48,14 @@ def made_once(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Call
     return get
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Files below a folder, their bytes, and when its entries last changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = system.getContentSummary(path)
+    return summary.getFileCount(), summary.getLength(), tuple((entry.getPath().getName(), entry.getModificationTime()) for entry in system.listStatus(path))
+
+
 def _there(frame: DataFrame) -> bool:
     """Whether the files of a settled table still stand in its folder."""
     spark = frame.sparkSession
