@@ -34,7 +34,6 @@ SMOOTHING = 0.5
 STEP = 6.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-case text: ASCII other than letters to a space; other characters are looked at in unseen words only.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -143,7 +142,7 @@ class Scorer:
         spaces have a sentence in a run.
         """
         model = self.model
-        if not text or not model.languages or not _LETTER.search(text):
+        if not text or not model.languages or not any(map(str.isalpha, text)):  # letters are the Unicode categories L; numerals are none
             return UNKNOWN, 0.0
         counts = Counter(text.lower().encode().translate(_FOLD).split())
         get, rows, times, grams, shares, weight = model.words.get, [], [], [], [], 0.0

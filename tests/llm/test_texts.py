@@ -233,3 +233,11 @@ def test_passages_of_two_to_five_lines_are_found(spark):
     count = lambda rows: sum(x.n_removed for x in rows if x.doc_id is not None and x.doc_id < 100)
     assert count(got) == planted and count(drop_repeated_lines(frame).collect()) < planted / 2
     assert drop_repeated_passages(frame.where("false")).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, f"the words of {i} and that", "en") for i in range(20)] + [(100 + i, t, "en") for i, t in enumerate(["\u00bd", "\u2461 \u00b2", "\u2167", "12 34", "\u00aa", "\u00bd a"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(table).collect()}
+    assert [got[100 + i] for i in range(6)] == ["und", "und", "und", "und", "en", "en"]
+    assert {r.doc_id for r in language.drop_unidentified(table).collect()} == {i for i in range(20)} | {104, 105}
