@@ -180,6 +180,48 @@ def _slope(w: str = "") -> str:
     return f"sum({w}x * y) / (sum({w}x * x){gone}) AS slope"
 
 
+def _two_sided(t: str, dof: str) -> str:
+    """Two-sided p of a t statistic with whole degrees of freedom, by the finite series of the angle atan(|t| / sqrt(dof))."""
+    angle = f"atan(abs({t}) / sqrt({dof}))"
+    odd = f"2e0 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda k: exp(k * ln(4e0) + 2 * lgamma(k + 1e0) - lgamma(2 * k + 2e0)) * pow(cos({angle}), 2 * k + 1))), 0))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {dof} // 2), lambda k: exp(lgamma(2 * k + 1e0) - 2 * lgamma(k + 1e0) - k * ln(4e0)) * pow(cos({angle}), 2 * k)))"
+    return f"(1 - CASE WHEN {dof} % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def _least_squares(source: str, terms: dict[str, str], shape: str) -> str:
+    """Tables that end with ``tested``: term, coef, se, t, p_value, ci_lo, ci_hi, rss of y on the terms, which are columns of ``source``.
+
+    Each term is freed of all others, and so is y; ``shape`` is a query of
+    one row with the degrees of freedom dof. The critical value is bisected.
+    """
+    columns, k = list(terms.values()), len(terms)
+    wide = " UNION ALL ".join(
+        f"SELECT '{term}' AS term, {c} AS e, y" + "".join(f", {o} AS a{i}" for i, o in enumerate(o for o in columns if o != c)) + f" FROM {source}" for term, c in terms.items()
+    )
+    steps, last = "", "wide"
+    for i in range(k - 1):
+        less = [f"{c} - a{i} * sum({c} * a{i}) OVER w / sum(a{i} * a{i}) OVER w AS {c}" for c in ("e", "y", *(f"a{j}" for j in range(i + 1, k - 1)))]
+        steps += f""", freed{i} AS (SELECT * REPLACE ({", ".join(less)}) FROM {last} WINDOW w AS (PARTITION BY term))"""
+        last = f"freed{i}"
+    return f"""
+    , wide AS ({wide}){steps},
+    shape AS ({shape}),
+    critical(i, lo, hi) AS (
+        SELECT 0, 0e0, 1000e0
+        UNION ALL
+        SELECT i + 1, CASE WHEN p > 0.05e0 THEN mid ELSE lo END, CASE WHEN p > 0.05e0 THEN hi ELSE mid END
+        FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, {_two_sided("((lo + hi) / 2)", "dof")} AS p FROM critical, shape) WHERE i < 60),
+    solved AS (SELECT term, sum(e * y) / sum(e * e) AS coef, sum(e * e) AS own, sum(y * y) - pow(sum(e * y), 2) / sum(e * e) AS rss FROM {last} GROUP BY 1),
+    erring AS (SELECT *, sqrt(rss / dof / own) AS se FROM solved, shape),
+    tested AS (
+        SELECT e.*, coef / se AS t, {_two_sided("(coef / se)", "dof")} AS p_value, coef - hi * se AS ci_lo, coef + hi * se AS ci_hi FROM erring e, (SELECT hi FROM critical WHERE i = 60))
+    """
+
+
+def _rounded(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
 _SUMS = ", ".join(f"sum({{w}}{a} * {b}) AS s{a}{b}" for a, b in (("x", "x"), ("z", "z"), ("x", "z"), ("x", "y"), ("z", "y"), ("y", "y")))
 
 _CATALOG = "SELECT usgs_id, {time} AS time_us, round(lat, 9) AS lat, round(lon, 9) AS lon, depth_km, round(mag, 9) AS mag, place FROM cat"
@@ -254,6 +296,15 @@ _BODIES = {
         e AS (SELECT *, syy - b1 * sxy - b2 * szy AS rss FROM b),
         t AS (SELECT 'log10_pop' AS term, b1 AS coef, sqrt(rss / (n - 3) * szz / det) AS se, n, rss, syy FROM e UNION ALL SELECT 'log_n_events', b2, sqrt(rss / (n - 3) * sxx / det), n, rss, syy FROM e)
         SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 5) AS t, n, n - 3 AS dof, round(1 - rss / syy, 6) AS r2, round(1 - rss / syy * (n - 1) / (n - 3), 6) AS adj_r2 FROM t""",
+    "corr_p_values": f"""
+        , k AS (SELECT *, {_ranks('subgroup_type')} FROM samp),
+        c AS (SELECT subgroup_type, count(*) AS n, CASE WHEN min(x) < max(x) AND min(p) < max(p) THEN corr(x, p) END AS a, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS b FROM k GROUP BY 1)
+        SELECT subgroup_type, {", ".join(f"round(CASE WHEN n < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0e0 ELSE {_two_sided(f'({r} * sqrt((n - 2) / (1 - {r} * {r})))', '(n - 2)')} END, 8) AS {name}" for r, name in (("a", "pearson_p"), ("b", "spearman_p")))} FROM c""",
+    "controlled_ols_full": ", ol AS (SELECT 1e0 AS c, log10(greatest(pop_sum_subgroup, 1)) AS x, m.mag AS m, z, p AS y FROM samp s JOIN ms m ON m.usgs_id = s.mainshock_id)"
+        + _least_squares("ol", {"const": "c", "log10_pop": "x", "mainshock_mag": "m", "log_n_events": "z"}, "SELECT count(*) AS n, count(*) - 4 AS dof, var_pop(y) * count(*) AS total FROM ol") + f"""
+        SELECT term, {_rounded('coef', 'se', 't', 'p_value', 'ci_lo', 'ci_hi')}, n, dof, round(1 - rss / total, 6) AS r2, round(1 - rss / total * (n - 1) / dof, 6) AS adj_r2 FROM tested""",
+    "within_fe": _least_squares("dm", {"log10_pop": "x", "log_n_events": "z", "type_region": "r", "type_ring": "g"}, "SELECT count(*) AS n, count(DISTINCT mainshock_id) AS n_groups, 4 + count(DISTINCT mainshock_id) AS n_parameters, count(*) - 4 - count(DISTINCT mainshock_id) AS dof, (SELECT var_pop(y) * count(*) FROM dm0) AS total FROM dm") + f"""
+        SELECT term, {_rounded('coef', 'se', 'p_value', 'ci_lo', 'ci_hi')}, n, n_groups, n_parameters, dof, round(1 - rss / total, 6) AS r2, round(1 - rss / total * (n - 1) / dof, 6) AS adj_r2 FROM tested""",
     "within_fe_slope": _swept("dm", "sw") + f", b AS (SELECT {_slope()} FROM sw) SELECT round(slope, 6) AS slope FROM b",
     "loo_corr": f"""
         , o AS (SELECT g.mainshock_id AS omitted, s.x, s.p FROM (SELECT DISTINCT mainshock_id FROM samp) g JOIN samp s ON s.mainshock_id <> g.mainshock_id UNION ALL SELECT '(none)', x, p FROM samp),
