@@ -3,7 +3,8 @@
 A template is a license's wording as words, with markup: ``[[ ... ]]`` is an
 optional region, ``{{n-m}}`` stands for n to m words of any wording,
 ``((a|b))`` for one of some words, and ``!(a|b)`` at the end for words that
-must not follow. It is compiled to an automaton over words: one state for each
+must not follow, ``#`` among them for any number. A plus sign right after a
+digit (version 2+) is a word of its own for templates, not for base phrases. It is compiled to an automaton over words: one state for each
 word or replaceable place, and skips over what may be left out; all states of
 a run are the bits of one integer. A run starts where the template's opening
 words stand, and a text is accepted where all mandatory wording follows
@@ -29,7 +30,6 @@ PHRASES = {
 }
 
 _FSF = "[[as published by the free software foundation]]"
-_NAMED = "under the [[terms [[and conditions]] of the]]"
 _AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and [[non]] ((noninfringement|infringement)) in no event shall {{1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
 _ISC_TAIL = "the software is provided as is and {{1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
@@ -37,22 +37,48 @@ _BSD_NAME = "[[3]] neither the name of {{1-12}} nor the names of its contributor
 _BSD_TAIL = "this software is provided by {{1-14}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-14}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 
 
+def _forms(version: str) -> list[str]:
+    """The ways to write a version: version 2.1, v 2.1 or v2.1; 3 or 3.0. A bare number is none."""
+    first, rest = version.split(".")
+    tail = rest if rest != "0" else "[[0]]"
+    return [f"((version|v)) {first} {tail}", f"v{first} {tail}"]
+
+
 def _gnu(label: str, name: str, versions: tuple[str, ...]) -> list[tuple[str, str]]:
     """The notices of a GNU license: of a version only, and of that or a later one."""
     out = []
-    for version in versions:
-        words = " ".join(version.split(".")) if version[-1] != "0" else f"{version[0]} [[0]]"
-        out.append((f"{label}-{version}-only", f"{_NAMED} gnu {name} public license {_FSF} version {words} [[only]] [[of the license]] !(or|and)"))
-        out.append((f"{label}-{version}-only", f"{_NAMED} gnu {name} public license version {words} [[only]] {_FSF} !(or|and)"))
-        out.append((f"{label}-{version}-or-later", f"{_NAMED} gnu {name} public license {_FSF} [[either]] version {words} [[of the license]] or [[at your option]] [[any]] ((later|newer)) [[version]]"))
+    for version, words in ((v, form) for v in versions for form in _forms(v)):
+        out.append((f"{label}-{version}-only", f"{name} public license {_FSF} {words} [[only]] [[of the license]] !(or|and|+|#)"))
+        out.append((f"{label}-{version}-only", f"{name} public license {words} [[only]] {_FSF} !(or|and|+|#)"))
+        out.append((f"{label}-{version}-or-later", f"{name} public license {_FSF} [[either]] {words} [[of the license]] or [[at your option]] [[any]] ((later|newer)) [[version]]"))
+        out.append((f"{label}-{version}-or-later", f"{name} public license {_FSF} {words} + !(#)"))
     return out
 
 
+def _gnu_text(label: str, name: str, dated: str, years: str) -> tuple[str, str]:
+    """The head of a GNU license's own text: its version and date, its owner, and that it may not be changed."""
+    return (f"{label}-text", f"{name} public license version {dated} copyright c {years} free software foundation inc {{{{0-16}}}} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed")
+
+
+def _spdx(identifiers: str) -> list[tuple[str, str]]:
+    """Tags of source files that name a license by its short identifier."""
+    folded = ((name, name.lower().replace("-", " ").replace(".", " ")) for name in identifiers.split())
+    return [("mit-notice" if name == "MIT" else name.lower(), f"spdx license identifier {words}" + ("" if words[-1].isalpha() else " !(only|or|+|#)")) for name, words in folded]
+
+
 #: Wordings of licenses and their notices, in lower case, and their labels.
 TEMPLATES = [
-    *_gnu("gpl", "general", ("2.0", "3.0")),
+    *_gnu("gpl", "general", ("1.0", "2.0", "3.0")),
+    *_gnu("lgpl", "library general", ("2.0",)),
     *_gnu("lgpl", "lesser general", ("2.1", "3.0")),
     *_gnu("agpl", "affero general", ("3.0",)),
+    _gnu_text("gpl-2.0", "general", "2 june 1991", "1989 1991"),
+    _gnu_text("gpl-3.0", "general", "3 29 june 2007", "2007"),
+    _gnu_text("lgpl-2.0", "library general", "2 june 1991", "1991"),
+    _gnu_text("lgpl-2.1", "lesser general", "2 1 february 1999", "1991 1999"),
+    _gnu_text("lgpl-3.0", "lesser general", "3 29 june 2007", "2007"),
+    _gnu_text("agpl-3.0", "affero general", "3 19 november 2007", "2007"),
+    *_spdx("GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 MPL-2.0 BSD-2-Clause BSD-3-Clause MIT ISC 0BSD Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0"),
     ("apache-2.0", "licensed under the apache license [[version]] 2 0"),
     ("apache-2.0", "apache license [[version]] 2 0 [[the license]] you may not use this {{1-3}} except in compliance with the license [[you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 [[txt]] [[html]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license]]"),
     ("mit-notice", "released under the [[terms of the]] mit license"),
@@ -74,6 +100,9 @@ TEMPLATES = [
     ("cc0-1.0", "cc0 1 0 universal"),
 ]
 
+#: A plus sign after a version's digit.
+_PLUS = re.compile(rb"(?<=[0-9])\+(?![0-9A-Za-z+=])")
+
 _MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)-(\d+)\}\}|\(\(([^()]+)\)\)|!\(([^()]+)\)|[^\s\[\]{}()!]+")
 
 #: Bytes of a text: A-Z to lower case, ASCII other than letters and digits to a space; a word's other bytes are those of non-ASCII characters.
@@ -149,7 +178,7 @@ class Automaton:
             states, at = self._closed(states), at + 1
             if states & self.accept:
                 end = at
-        return -1 if 0 <= end < len(words) and words[end] in self.not_before else end
+        return -1 if 0 <= end < len(words) and (words[end] in self.not_before or b"#" in self.not_before and words[end].isdigit()) else end
 
 
 def places(line: bytes, needle: bytes) -> list[int]:
@@ -182,17 +211,20 @@ class Scanner:
     def __call__(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a whole text."""
         words = text.encode().translate(_FOLD).split() if text else []
-        line = b" " + b" ".join(words) + b" "
+        n_words, line = len(words), b" " + b" ".join(words) + b" "
         base: set[str] = set()
         starts: list[int] = []
         for needle, label in self.phrases:
             if at := places(line, needle):
                 base.add(label)
                 starts += at
+        if text and _PLUS.search(text.encode()):
+            words = b" + ".join(part.translate(_FOLD) for part in _PLUS.split(text.encode())).split()
+            line = b" " + b" ".join(words) + b" "
         found = [(at, end, t.label) for t in self.templates for at in places(line, t.opening) if (end := t.run(words, at)) >= 0]
         own = longest(found)
         score = 1.0 if own else 0.5 if base else 0.0
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score
+        return n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score
 
 
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

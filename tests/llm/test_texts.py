@@ -118,6 +118,14 @@ def test_templates():
     assert labels("under the GNU General Public License version 3 or newer") == "gpl,gpl-3.0-or-later" and labels("under the GNU General Public License version 3 or something") == "gpl"
     assert labels("under the terms of the GNU GPL. Under the GNU General Public License version 2.0 or later. Under the GNU General Public License, version 2 only, it says.") == "gpl,gpl-2.0-only,gpl-2.0-or-later"
     assert labels("under the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.") == "lgpl-2.1-or-later"
+    assert labels("under the GNU General Public License version 2.1 only") == labels("under the GNU General Public License, version 2.0.1") == "gpl"
+    assert labels("under the GNU General Public License version 3+") == labels("the GNU General Public License (GPL) or the General Public License v3.0+.") == "gpl,gpl-3.0-or-later"
+    assert labels("GNU Lesser General Public License v2.1") == "lgpl-2.1-only" and labels("General Public License v3") == "gpl-3.0-only" and labels("GNU Affero General Public License version 3+") == "agpl-3.0-or-later"
+    assert labels("GNU Lesser General Public License v2.12") == labels("General Public License v33") == labels("General Public License. 3 people") == ""
+    head = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    assert labels(head) == "gpl,gpl-3.0-text" and labels(head.replace("not allowed", "allowed")) == "gpl" and labels(head.replace("GNU", "GNU LESSER")) == "lgpl-3.0-text"
+    assert labels("// SPDX-License-Identifier: GPL-2.0-or-later") == "gpl-2.0-or-later" and labels("SPDX-License-Identifier: MIT") == "mit-notice" and labels("SPDX-License-Identifier: Apache-2.0") == "apache-2.0" and labels("SPDX-License-Identifier: Apache-2.0.1") == ""
+    assert scan("version 3+ of a+b 1+2")[:2] == (7, 0)
     mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
     THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
     assert labels(mit) == "mit-text" and labels(mit.replace("sublicense", "sell")) == "" and labels(mit[:400]) == ""
