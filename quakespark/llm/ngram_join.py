@@ -105,8 +105,8 @@ def shingle_sets(docs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sures, pa.int64()), batch.column("run"), pa.array(sets, pa.binary())], names=["id", "row", "n", "cls", "sure", "run", "tokens"])
 
     row = F.xxhash64("text")
-    run = F.pmod(F.xxhash64("id", row), F.lit(RUNS)).cast("int")
-    return docs.select("id", row.alias("row"), run.alias("run"), "text").mapInArrow(make, "id long, row long, n long, cls long, sure long, run int, tokens binary")
+    run = F.pmod(F.xxhash64("id", row, F.monotonically_increasing_id()), F.lit(RUNS)).cast("int")  # rows that repeat each other spread, too
+    return docs.select("id", row.alias("row"), run.alias("run"), "text").mapInArrow(make, f"id {docs.schema['id'].dataType.simpleString()}, row long, n long, cls long, sure long, run int, tokens binary")
 
 
 def clashes(rows: DataFrame) -> DataFrame:
@@ -498,12 +498,13 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
 
     Sets of similarity percent / 100 or more are linked; a component is what
     links reach. ``component`` holds none/id/row of its first row: smallest
-    identifier, null last, then by hash. Null or empty text has no shingles
-    and is a component alone. Repeated rows are equal rows of one component.
+    identifier, null last, then by hash; identifiers may be of any type with
+    an order and stay as they are. Null or empty text has no shingles and is a
+    component alone. Repeated rows are equal rows of one component.
     An empty table gives an empty result; extra columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     sets = settle(shingle_sets(slim, rule), "sets")
     shared = settle(clashes(sets.select("cls", "sure")), "clashes")
     if shared.limit(1).count():

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quakespark.llm import ngram_join
 from quakespark.llm.shingles import shingles, word_hashes
@@ -110,6 +111,17 @@ def test_drop_near_copies(spark):
     assert ngram_join.drop_near_copies(frame.where("false")).count() == 0 and ngram_join.ngram_jaccard(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "double", "decimal(12,1)", "string"])
+def test_identifiers_of_any_type(spark, kind):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n o"), (4, None), (None, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind) + (F.lit(0.5).cast(kind) if kind in ("double", "decimal(12,1)") else F.lit(0).cast(kind)) if kind != "string" else F.concat(F.lit("d"), F.col("doc_id")))
+    kept = ngram_join.drop_near_copies(frame)
+    number = lambda x: None if x is None else int(float(str(x).lstrip("d")))
+    assert sorted(number(x.doc_id) for x in kept.collect()) == [1, 3, 4]
+    found = ngram_join.ngram_jaccard(frame)
+    assert sorted((number(x.doc_id) or 0, x.n_shingles, number(x.component_id)) for x in found.collect()) == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1), (3, 4, 3), (4, 0, 4)]
+
+
 def test_sets_of_one_class_number_are_told_apart(spark):
     rows = spark.createDataFrame([(1, 5, 10), (2, 5, 10), (3, 5, 11), (4, 6, 10), (5, 6, 10)], "id long, cls long, sure long")
     shared = ngram_join.clashes(rows)
