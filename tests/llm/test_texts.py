@@ -1,10 +1,13 @@
 """Language, license and line operators against plain Python on small tables and held-out rows."""
 
 import collections
+import math
 import random
 import re
 import zlib
 
+import regex
+
 from quakespark.llm import language, licenses
 from quakespark.llm.line_dedup import LONG, drop_repeated_lines, drop_repeated_passages
 
@@ -24,7 +27,7 @@ def test_language_on_held_out_rows(spark):
     for r in rows:
         g = got[r.doc_id]
         assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
-        assert (g.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) and 0 <= g.score <= 1
+        assert (g.lang_pred == "und") == (not regex.search(r"\p{L}", r.text or "")) and 0 <= g.score <= 1
         if g.held_out and r.lang and g.lang_pred != "und":
             total += 1
             right += g.lang_pred == r.lang
@@ -39,6 +42,76 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     assert sorted(map(str, language.identify(frame(rows)).collect())) == sorted(map(str, language.identify(frame(changed)).collect()))
 
 
+def plain_languages(rows):
+    """doc_id -> (lang_pred, score), counted and scored in plain Python over (doc_id, text, lang)."""
+    words = lambda text: regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+    counts = collections.Counter()
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.update((lang, w) for w in words(text))
+    languages = sorted({lang for lang, _ in counts})
+
+    def scores(table, limit):
+        total = collections.Counter()
+        for (_, key), n in table.items():
+            total[key] += n
+        kept = sorted(total, key=lambda k: (-total[k], k))[:limit]
+        sums = {lang: sum(table[lang, k] + language.SMOOTHING for k in kept) for lang in languages}
+        out = {}
+        for k in kept:
+            logs = [math.log((table[lang, k] + language.SMOOTHING) / sums[lang]) for lang in languages]
+            out[k] = [max(-language.STEP, min(language.STEP, x - sum(logs) / len(logs))) for x in logs]
+        return out
+
+    known, grams = scores(counts, language.WORDS), {}
+    for size in range(1, language.LONGEST + 1):
+        table = collections.Counter()
+        for (lang, w), n in counts.items():
+            for at in range(len(w) + 3 - size):
+                table[lang, f" {w} "[at : at + size]] += n
+        grams |= scores(table, language.GRAMS)
+    share = [sum(n for (lang, _), n in counts.items() if lang == own) for own in languages]
+
+    def predict(text):
+        if not languages or not regex.search(r"\p{L}", text or ""):
+            return "und", 0.0
+        sums, weight = [0.0] * len(languages), 0.0
+        for w in words(text):
+            if w in known:
+                parts, own = [known[w]], 1.0
+            else:
+                padded = f" {w} "
+                sizes = [next((s for s in range(language.LONGEST, 0, -1) if padded[at : at + s] in grams), 0) for at in range(len(w) + 1)]
+                parts = [grams[padded[at : at + s]] for at, s in enumerate(sizes) if s]
+                own = max(1.0, len(parts) / language.LONGEST)
+            weight += own
+            for part in parts:
+                sums = [a + own / len(parts) * b for a, b in zip(sums, part, strict=True)]
+        sums = [a * min(1.0, math.sqrt(25 / max(1.0, weight))) + 0.1 * math.log(n / sum(share)) for a, n in zip(sums, share, strict=True)]
+        odds = [math.exp(x - max(sums)) for x in sums]
+        best = odds.index(max(odds))
+        return languages[best], odds[best] / sum(odds)
+
+    return {i: predict(text) for i, text, _ in rows}
+
+
+def test_language_against_plain_counts(spark):
+    docs = documents(spark).select("doc_id", "text", "lang").limit(150)
+    rows = [tuple(r) for r in docs.collect()] + [(-k, t, None) for k, t in enumerate(["\u00bd", "qzx vvw", "\u65e5\u672c", "the xqthe \u201cunter\u201d", "1 2 3"], 1)]
+    wanted = plain_languages(rows)
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert len({lang for lang, _ in wanted.values()}) > 3 and set(got) == set(wanted)
+    for i, (lang, score) in wanted.items():
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, i
+
+
+def test_language_ties_go_to_the_first_by_code_point(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:4]
+    rows = [(ids[0], "uno dos", "b"), (ids[1], "uno dos", "a"), (ids[2], "uno", None), (ids[3], "xyz", None), (ids[3], "xyz", None)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 5 and {(r.lang_pred, round(r.score, 6)) for r in got} == {("a", 0.5)} and plain_languages(rows)[ids[2]] == ("a", 0.5)
+
+
 def test_language_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string, found int"
     rows = [(1, None, "en", "a", 1), (2, "", "en", "a", 1), (3, "123 $$", None, "a", 1), (3, "the the of", "en", "a", 1), (4, "le la des", "fr", "a", 1), (None, "the", None, "a", 1), (6, "the " * 50_000, "en", "b", 2), (8, "日本語", None, "b", 2)]
