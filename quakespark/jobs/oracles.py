@@ -247,6 +247,87 @@ def _drawn(reps: int) -> str:
 """
 
 
+def _mixed(x: str) -> str:
+    """Whole numbers below 2^31 - 1 from whole numbers, by products and shifts."""
+    first = f"({x}) % 2147483647 * 48271 % 2147483647"
+    second = f"list_transform([{first}], lambda v: xor(v, v >> 15) * 69621 % 2147483647)"
+    return f"list_transform({second}, lambda v: xor(v, v >> 13) * 39373 % 2147483647)[1]"
+
+
+def _quantile(k: int, i: int) -> str:
+    """The i-th of k quantiles of the sorted list ds of n values, linear between ranks."""
+    at = f"({i}e0 / {k} * (n - 1))"
+    low = f"CAST(floor({at}) AS BIGINT)"
+    a, b, share = f"ds[{low} + 1]", f"ds[least({low} + 2, n)]", f"({at} - {low})"
+    return f"CASE WHEN {share} < 0.5e0 THEN {a} + {share} * ({b} - {a}) ELSE {b} - ({b} - {a}) * (1 - {share}) END"
+
+
+def _label(lo: str, hi: str) -> str:
+    shown = lambda v: f"regexp_replace(regexp_replace(printf('%.6f', CASE WHEN {v} = 0 THEN 0e0 ELSE round({v} / pow(10e0, floor(log10(abs({v}))) - 5)) * pow(10e0, floor(log10(abs({v}))) - 5) END), '0+$', ''), '\\.$', '')"
+    return f"CASE WHEN {hi} IS NULL THEN '>=' || {shown(lo)} || 'km' ELSE {shown(lo)} || '-' || {shown(hi)} || 'km' END"
+
+
+#: Depths of each sequence in a sorted list, their number, and what the quantile rules ask of them.
+_DEPTHS = f"""
+    , dl AS (SELECT mainshock_id, list(depth_km ORDER BY depth_km) AS ds, count(*) AS n FROM aft WHERE depth_km IS NOT NULL GROUP BY 1),
+    q0 AS (SELECT *, ds[1] AS low, {_quantile(3, 1)} AS a3, {_quantile(3, 2)} AS b3, {_quantile(2, 1)} AS a2 FROM dl)
+"""
+
+#: Cuts one after another among the distinct depths, for sequences whose quantiles coincide.
+_CUTS = f""", inner0 AS (
+        SELECT mainshock_id, depth_km AS u, sum(count(*)) OVER (PARTITION BY mainshock_id ORDER BY depth_km) AS upto FROM aft WHERE depth_km IS NOT NULL GROUP BY 1, 2),
+    within AS (SELECT i.* FROM inner0 i JOIN q0 USING (mainshock_id) WHERE u > low + 1e-9 AND u < ds[n]),
+    cut1 AS (SELECT mainshock_id, min(u) AS u1, min(upto) AS n1 FROM within WHERE upto >= {M} GROUP BY 1),
+    cut2 AS (SELECT w.mainshock_id, min(u) AS u2, min(upto) AS n2 FROM within w JOIN cut1 c ON w.mainshock_id = c.mainshock_id AND u > u1 AND upto - n1 >= {M} GROUP BY 1),
+    q1 AS (
+        SELECT q0.*, CASE WHEN a3 > low + 1e-9 AND b3 > a3 THEN [a3, b3] WHEN n - n2 >= {M} THEN [u1, u2] END AS three,
+               CASE WHEN a2 > low + 1e-9 THEN [a2] WHEN n - n1 >= {M} THEN [u1] END AS two
+        FROM q0 LEFT JOIN cut1 USING (mainshock_id) LEFT JOIN cut2 USING (mainshock_id) WHERE n >= {2 * M}),
+    q2 AS (
+        SELECT *, len(list_filter(ds, lambda v: v <= three[1])) AS a, len(list_filter(ds, lambda v: v > three[1] AND v <= three[2])) AS b, len(list_filter(ds, lambda v: v > three[2])) AS c,
+               len(list_filter(ds, lambda v: v <= two[1])) AS d, len(list_filter(ds, lambda v: v > two[1])) AS e FROM q1),
+    q3 AS (SELECT *, CASE WHEN a <= b AND a <= c THEN true WHEN b <= c THEN a <= c ELSE false END AS leftward FROM q2),
+    q4 AS (
+        SELECT *, CASE WHEN three IS NOT NULL AND least(a, b, c) >= {M} THEN [low, three[1], three[2]]
+            WHEN three IS NOT NULL AND leftward AND least(a + b, c) >= {M} THEN [low, three[2]]
+            WHEN three IS NOT NULL AND NOT leftward AND least(a, b + c) >= {M} THEN [low, three[1]]
+            WHEN two IS NOT NULL AND least(d, e) >= {M} THEN [low, two[1]] END AS edges FROM q3)
+"""
+
+_BINS = f""", mg(mainshock_id, los, cs) AS (
+        SELECT mainshock_id, {[float(b) for b in P["depths"]]}::DOUBLE[],
+               [{", ".join(f"len(list_filter(ds, lambda v: v >= {a}" + (f" AND v < {b}" if b is not None else "") + "))" for a, b in zip(P["depths"], [*P["depths"][1:], None]))}] FROM q0
+        UNION ALL
+        SELECT mainshock_id, los[:j] || los[j + 2:], cs[:j - 1] || [cs[j] + cs[j + 1]] || cs[j + 2:]
+        FROM (
+            SELECT *, CASE WHEN i > 1 AND (i = len(cs) OR cs[i - 1] <= cs[i + 1]) THEN i - 1 ELSE i END AS j
+            FROM (SELECT *, list_position(cs, list_min(cs)) AS i FROM mg WHERE len(cs) > 1 AND (list_min(cs) < {M} OR len(cs) > 3)))),
+    merged AS (SELECT mainshock_id, los FROM mg WHERE len(cs) > 1 AND list_min(cs) >= {M} AND len(cs) <= 3),
+    q4 AS (
+        SELECT mainshock_id, CASE WHEN los IS NOT NULL THEN los
+            WHEN n >= {3 * M} AND least(len(list_filter(ds, lambda v: v < a3)), len(list_filter(ds, lambda v: v >= a3 AND v < b3)), len(list_filter(ds, lambda v: v >= b3))) >= {M} THEN [low, a3, b3]
+            WHEN n >= {2 * M} AND least(len(list_filter(ds, lambda v: v < a2)), len(list_filter(ds, lambda v: v >= a2))) >= {M} THEN [low, a2] END AS edges
+        FROM q0 LEFT JOIN merged USING (mainshock_id))
+"""
+
+_SEGMENTS = f""", sg AS (SELECT mainshock_id, i, edges[i] AS lo, edges[i + 1] AS hi FROM q4, range(1, 4) t(i) WHERE i <= len(edges))
+    SELECT mainshock_id, {_label("lo", "hi")} AS segment, round(lo, 6) AS lo, round(hi, 6) AS hi, i = 1 AS first FROM sg
+"""
+
+#: The slope of p on log10 of people within 50 km over all orders of up to 10 rows, else over 5000 seeded ones, by a hash of repetition and place.
+_ORDERS = f"""
+    , vs AS (SELECT log10(pop_sum_50km) AS x, p, row_number() OVER (ORDER BY log10(pop_sum_50km), p) AS i, count(*) OVER () AS size FROM msrows WHERE pop_sum_50km > 0 AND p IS NOT NULL),
+    us AS (SELECT x - avg(x) OVER () AS u, p, i, size FROM vs),
+    lists AS (SELECT list(u ORDER BY i) AS u, list(p ORDER BY i) AS p FROM us),
+    orders_of(o) AS (SELECT CAST([] AS BIGINT[]) UNION ALL SELECT list_append(o, i) FROM orders_of, us WHERE size <= 10 AND NOT list_contains(o, i)),
+    os AS (SELECT rep, p, row_number() OVER (PARTITION BY rep ORDER BY {_mixed(_mixed(f"rep + {P['seed']}") + " + " + _mixed("i"))}, i) AS place FROM us, range(0, 5000) t(rep) WHERE size > 10),
+    slopes AS (
+        SELECT sum(o.p * u) / sum(u * u) AS slope FROM os o JOIN us ON place = us.i GROUP BY rep
+        UNION ALL
+        SELECT list_inner_product(u, list_transform(o, lambda j: p[j])) / list_inner_product(u, u) FROM orders_of, lists WHERE len(o) = len(u) AND len(u) <= 10)
+"""
+
+
 _BODIES = {
     "event_catalog": _CATALOG.format(time="time_us"),
     "geojson_roundtrip": _CATALOG.format(time="time_us // 1000 * 1000"),
@@ -269,6 +350,8 @@ _BODIES = {
     "region_predicate_counts": "SELECT mainshock_id, subgroup, count(*) AS n FROM (SELECT mainshock_id, unnest([CASE WHEN lon < 101.5 THEN 'West_of_lon0' ELSE 'East_of_lon0' END, CASE WHEN lat < 28.5 THEN 'South_of_lat0' ELSE 'North_of_lat0' END]) AS subgroup FROM aft) GROUP BY ALL",
     "aftershock_ring_counts": "SELECT mainshock_id, CASE WHEN dist_km < 50 THEN 0 WHEN dist_km < 150 THEN 1 ELSE 2 END AS ring, count(*) AS n FROM aft WHERE dist_km < 400 GROUP BY ALL",
     "merged_rings": "SELECT mainshock_id, lo, hi FROM rings",
+    "depth_segments": _DEPTHS + _CUTS + _SEGMENTS,
+    "depth_segments_binned": _DEPTHS + _BINS + _SEGMENTS,
     "subgroup_expand": "SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, subgroup_type, subgroup, count(*) AS n FROM rec0 GROUP BY ALL",
     "omori_nll": f"SELECT mainshock_id, count(*) AS n_events, round(50e0 * (pow(10.05e0, 1 - 1.1e0) - pow(0.06e0, 1 - 1.1e0)) / (1 - 1.1e0) - (count(*) * ln(50e0) - 1.1e0 * sum(ln(t_days + 0.05e0))), 4) AS nll FROM aft WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY 1",
     "omori_grid_fit": ", " + _grid("best", "aft", "mainshock_id") + " SELECT mainshock_id, n_events, round(k, 4) AS k, round(c, 9) AS c, round(p, 6) AS p, round(nll, 4) AS nll FROM best",
@@ -323,6 +406,10 @@ _BODIES = {
         SELECT round(any_value(o.slope), 6) AS observed, count(*) AS n_perm, round((count(*) FILTER (abs(s.slope) >= abs(o.slope)) + 1) / (count(*) + 1), 6) AS p_value,
                round(avg(s.slope), 6) AS null_mean, round(quantile_cont(s.slope, 0.025), 6) AS null_lo, round(quantile_cont(s.slope, 0.975), 6) AS null_hi
         FROM slopes s, (SELECT slope FROM slopes WHERE rep = 0) o WHERE s.rep > 0""",
+    "exact_permutation": _ORDERS + """
+        SELECT 'all' AS study, count(*) AS n_orders, round(any_value(own), 6) AS observed, round((count(*) FILTER (abs(slope) >= abs(own) - 1e-12) + CAST(any_value(many) AS INT)) / (count(*) + CAST(any_value(many) AS INT)), 6) AS p_value,
+               round(quantile_cont(slope, 0.025), 6) AS null_lo, round(quantile_cont(slope, 0.975), 6) AS null_hi
+        FROM slopes, (SELECT sum(u * p) / sum(u * u) AS own, any_value(size) > 10 AS many FROM us) HAVING any_value(own) IS NOT NULL""",
     "draw_histogram": ", e AS (SELECT *, min(p_boot) OVER w AS lo, max(p_boot) OVER w AS hi FROM draws WINDOW w AS (PARTITION BY record_id)) SELECT record_id, CAST(least(floor(coalesce((p_boot - lo) * 25 / nullif(hi - lo, 0), 0)), 24) AS INT) AS bin, count(*) AS n FROM e GROUP BY ALL",
     "draw_matrix": f"""
         , m AS (SELECT record_id, p_boot, row_number() OVER (PARTITION BY record_id ORDER BY p_boot, draw) - 1 AS i, count(*) OVER (PARTITION BY record_id) AS m FROM draws),

@@ -316,3 +316,8 @@ def test_order_permutation_takes_all_rows(spark):
     assert found["few"].n_orders == 120 and abs(found["few"].p_value - 2 / 120) < 1e-12
     assert found["many"].n_orders == 1000 and found["many"].observed == 1 and found["many"].p_value == 1 / 1001
     assert -0.8 < found["many"].null_lo < -0.4 and 0.4 < found["many"].null_hi < 0.8
+    drawn = resample.seeded_orders(np.arange(4000), 12, 7)
+    assert all(sorted(o) == list(range(12)) for o in drawn.tolist()) and len({tuple(o) for o in drawn.tolist()}) == 4000
+    places = np.array([[(drawn[:, k] == i).mean() for k in range(12)] for i in range(12)])
+    assert abs(places - 1 / 12).max() < 0.02
+    assert (resample.seeded_orders(np.arange(100, 103), 12, 7) == drawn[100:103]).all()
