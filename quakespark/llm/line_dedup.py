@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import settle, word_count
+from quakespark.llm.common import discard, join_small, settle, word_count
 from quakespark.llm.exact_dedup import elect
 
 RUNS, FAN = 64, 8
@@ -102,6 +102,20 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return _verified(settle(chunks.join(won, by).withColumn("own", _place() == F.col("first")), "candidates"), by)
 
 
+def _repeating(keys: DataFrame) -> DataFrame:
+    """The rows of settled (sha, bytes, ...) whose digest has several rows, and few others. ``keys`` is deleted.
+
+    Only 64-bit marks of digests are shuffled to count them, so what never
+    repeats does not go through the merge's levels. Two digests with the same
+    mark stay both: nothing that repeats is lost.
+    """
+    mark = F.xxhash64("sha", "bytes")
+    marks = settle(keys.groupBy(mark.alias("mark")).agg(F.count("*").alias("n")).where("n > 1").select("mark"), "marks")
+    found = settle(join_small(keys.withColumn("mark", mark), marks, ["mark"], "left_semi").drop("mark"), "repeating")
+    discard(keys, marks)
+    return found
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(id, row, removed) for rows of (id, text) that lose passages; removed: the numbers of passages_of.
 
@@ -110,7 +124,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     cut = docs.select("id", _row(F.col("id"), F.col("text")).alias("row"), F.explode(passages_of(F.col("text"))).alias("p"))
     keys = cut.select("id", "row", "p.chunk", F.unhex(F.md5(F.col("p.text").cast("binary"))).alias("sha"), F.octet_length("p.text").alias("bytes"))
-    keys = settle(keys.withColumn("run", F.pmod(F.xxhash64("row", "chunk"), F.lit(RUNS)).cast("int")), "passages")
+    keys = _repeating(settle(keys.withColumn("run", F.pmod(F.xxhash64("row", "chunk"), F.lit(RUNS)).cast("int")), "passages"))
     won = elect(keys, ["sha", "bytes"], _place(), RUNS, FAN)
     by = ["sha", "bytes", "run"]
     several = keys.join(won, by).select("id", "row", F.struct("chunk", *by, (_place() == F.col("first")).alias("own")).alias("w"))
