@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quakespark.llm.common import settle, table
 from quakespark.llm.exact_dedup import drop_copies
-from quakespark.llm.language import drop_unidentified
+from quakespark.llm.language import label_languages
 from quakespark.llm.mixing import repeat_mixed
 from quakespark.llm.ngram_join import drop_near_copies
 from quakespark.llm.packing import pack
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told; those without a letter go."""
-    return drop_unidentified(docs)
+    """Rows whose language can be told, with lang as the text has it: missing labels, and those that a sure prediction contradicts, are replaced. Texts without a letter go."""
+    return label_languages(docs)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

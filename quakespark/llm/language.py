@@ -33,6 +33,8 @@ SMOOTHING = 0.5
 #: A word says at most this much (nats) for one language over another: no single word decides a long text.
 STEP = 6.0
 UNKNOWN = "und"
+#: A prediction of this score or more replaces a label that disagrees with it.
+SURE = 0.9
 
 #: Bytes of lower-case text: ASCII other than letters to a space; other characters are looked at in unseen words only.
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -220,3 +222,18 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     label = labeller(docs.sparkSession, train(docs.where(~held_out(F.col(f"`{id_col}`"))), text_col, lang_col))
     (name,) = fresh(docs, "_lang")
     return docs.withColumn(name, label(F.col(f"`{text_col}`"))["lang_pred"]).where(F.col(name) != UNKNOWN).drop(name)
+
+
+def label_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+    """``docs`` without the rows that drop_unidentified drops, and with the language that their texts are in.
+
+    A null label becomes the prediction; so does a label that disagrees with
+    a prediction of score ``sure`` or more. Other labels and all other columns
+    stay as they were, whatever their names; repeated rows are judged each,
+    and an empty table stays empty.
+    """
+    label = labeller(docs.sparkSession, train(docs.where(~held_out(F.col(f"`{id_col}`"))), text_col, lang_col)).asNondeterministic()  # so that the filter below does not run it again
+    (name,) = fresh(docs, "_found")
+    judged = docs.withColumn(name, label(F.col(f"`{text_col}`"))).where(F.col(name)["lang_pred"] != UNKNOWN)
+    own, found = F.col(f"`{lang_col}`"), F.col(name)["lang_pred"].cast(docs.schema[lang_col].dataType)
+    return judged.withColumn(lang_col, F.when(own.isNull() | (F.col(name)["score"] >= sure), found).otherwise(own)).drop(name)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import regex
+from pyspark.sql import functions as F
 
 from quakespark.llm import language, licenses
 from quakespark.llm.line_dedup import LONG, drop_repeated_lines, drop_repeated_passages
@@ -322,3 +323,21 @@ def test_numerals_are_no_letters(spark):
     got = {r.doc_id: r.lang_pred for r in language.identify(table).collect()}
     assert [got[100 + i] for i in range(6)] == ["und", "und", "und", "und", "en", "en"]
     assert {r.doc_id for r in language.drop_unidentified(table).collect()} == {i for i in range(20)} | {104, 105}
+
+
+def test_labels_follow_sure_predictions(spark):
+    docs = documents(spark).select("doc_id", "text", "lang").withColumn("_found", F.lit(1))
+    kept = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    text = {r.lang: r.text for r in docs.where("length(text) > 400").collect() if r.lang}
+    a, b = sorted(text)[:2]
+    extra = spark.createDataFrame([(kept[0], text[a], None, 2), (kept[1], text[a], b, 2), (kept[2], "12 34", b, 2), (kept[0], text[a], None, 2)], docs.schema)
+    table = docs.unionByName(extra)
+    found = language.label_languages(table)
+    assert found.columns == table.columns and found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+    got = [r for r in found.where("_found = 2").collect()]
+    assert sorted((r.doc_id, r.lang) for r in got) == sorted([(kept[0], a), (kept[0], a), (kept[1], a)])
+    told = {r.doc_id: r for r in language.identify(table).collect()}
+    for r in found.where("_found = 1").join(docs.select("doc_id", F.col("lang").alias("own")), "doc_id").collect():
+        want = told[r.doc_id].lang_pred if r.own is None or told[r.doc_id].score >= language.SURE else r.own
+        assert r.lang == want
+    assert language.label_languages(table.where("false")).count() == 0
