@@ -328,6 +328,40 @@ _ORDERS = f"""
 """
 
 
+def _refined(name: str, source: str, by: str, low: str, raw: int) -> str:
+    """Tables that end with ``name``: the fit of ``source`` by ``by`` over [low, days], with n, u = ln c, p, nll.
+
+    The points of ln c close in on the best, and for each the points of p do.
+    """
+    width, end = math.log(10 / 1e-6) / 39, P["days"]
+
+    def nll(p: str) -> str:
+        a, b = f"({low} + exp(u))", f"({end}e0 + exp(u))"
+        return f"n - n * ln(n / CASE WHEN abs(1 - {p}) < 1e-12 THEN ln({b} / {a}) ELSE (pow({b}, 1 - {p}) - pow({a}, 1 - {p})) / (1 - {p}) END) + {p} * logs"
+
+    def best(points: str) -> str:
+        return f"list_extract({points}, list_position(list_transform({points}, lambda q: {nll('q')}), list_min(list_transform({points}, lambda q: {nll('q')}))))"
+
+    out = f"""
+    , {name}_in AS (
+        SELECT {by}, t_days FROM {source} JOIN (SELECT {by} FROM {source} GROUP BY ALL HAVING count(*) >= {raw}) USING ({by}) WHERE t_days BETWEEN {low} AND {end}),
+    {name}_u0 AS (SELECT {by}, ln(1e-6) + {width!r} * k AS u FROM (SELECT DISTINCT {by} FROM {name}_in), range(0, 40) t(k))"""
+    for r in range(7):
+        out += f""",
+    {name}_s{r} AS (SELECT {by}, u, count(*) AS n, sum(ln(t_days + exp(u))) AS logs FROM {name}_in JOIN {name}_u{r} USING ({by}) GROUP BY ALL HAVING count(*) >= 20),
+    {name}_p{r}0 AS (SELECT *, {best("list_transform(range(0, 49), lambda k: 0.2e0 + 0.1e0 * k)")} AS p FROM {name}_s{r})"""
+        for k, step in enumerate((5e-3, 2.5e-4, 1.25e-5, 6.25e-7)):
+            points = f"list_transform(range(-20, 21), lambda k: least(5e0, greatest(0.2e0, p + {step!r} * k)))"
+            out += f""",
+    {name}_p{r}{k + 1} AS (SELECT * REPLACE ({best(points)} AS p) FROM {name}_p{r}{k})"""
+        out += f""",
+    {name}_b{r} AS MATERIALIZED (SELECT *, {nll("p")} AS nll FROM {name}_p{r}4 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {nll("p")}, u) = 1),
+    {name}_u{r + 1} AS (SELECT DISTINCT {by}, greatest(ln(1e-6), least(ln(10e0), u + {width / 8**r!r} * (k - 8) / 8)) AS u FROM {name}_b{r}, range(0, 17) t(k))"""
+    return out + f""",
+    {name} AS (SELECT * FROM {name}_b6)
+    """
+
+
 _BODIES = {
     "event_catalog": _CATALOG.format(time="time_us"),
     "geojson_roundtrip": _CATALOG.format(time="time_us // 1000 * 1000"),
@@ -355,6 +389,12 @@ _BODIES = {
     "subgroup_expand": "SELECT mainshock_id || '|' || subgroup_type || '|' || subgroup AS record_id, subgroup_type, subgroup, count(*) AS n FROM rec0 GROUP BY ALL",
     "omori_nll": f"SELECT mainshock_id, count(*) AS n_events, round(50e0 * (pow(10.05e0, 1 - 1.1e0) - pow(0.06e0, 1 - 1.1e0)) / (1 - 1.1e0) - (count(*) * ln(50e0) - 1.1e0 * sum(ln(t_days + 0.05e0))), 4) AS nll FROM aft WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY 1",
     "omori_grid_fit": ", " + _grid("best", "aft", "mainshock_id") + " SELECT mainshock_id, n_events, round(k, 4) AS k, round(c, 9) AS c, round(p, 6) AS p, round(nll, 4) AS nll FROM best",
+    "omori_sensitivity": """
+        , sn AS (
+            SELECT CAST(mc AS DOUBLE) AS mc, CAST(tmin_days AS DOUBLE) AS tmin_days, t_days
+            FROM aft, (VALUES (1.0), (1.5), (2.0), (2.5)) a(mc), (VALUES (0.01), (0.05), (0.1)) b(tmin_days) WHERE mag >= mc)"""
+        + _refined("sf", "sn", "mc, tmin_days", "tmin_days", 200)
+        + "SELECT mc, tmin_days, n AS n_events, round(p, 3) AS p, round(nll, 4) AS nll FROM sf",
     "bootstrap_intervals": "SELECT record_id, count(p_boot) AS n_draws, round(quantile_cont(p_boot, 0.025), 6) AS p_lo, round(quantile_cont(p_boot, 0.5), 6) AS p_median, round(quantile_cont(p_boot, 0.975), 6) AS p_hi, avg(CAST(p_boot < 0 AS DOUBLE)) AS below_zero FROM draws GROUP BY 1",
     "binned_rate": f"""
         , b AS (SELECT mainshock_id, CAST(least(floor(ln(t_days / {P['tmin']}) * 20 / ln({P['days'] / P['tmin']}e0)), 19) AS INT) AS bin, count(*) AS n FROM aft WHERE t_days BETWEEN {P['tmin']} AND {P['days']} GROUP BY ALL),
