@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakespark.functions.digests import md5_leading
 from quakespark.sources.tables import settle, small, together
 
 C_RANGE, P_RANGE = (1e-6, 10.0), (0.2, 5.0)
@@ -33,6 +34,8 @@ ROUNDS, STEPS = 5, 16
 DRAW_STEPS, REACH = 25, 4.0
 #: A record has a task for so many of its times at least, for its draws.
 PER_TASK = 20_000
+#: And no more tasks than this in all.
+MOST_TASKS = 4096
 
 
 def c_grid(n: int = C_STEPS) -> list[float]:
@@ -184,15 +187,22 @@ def sensitivity(events: DataFrame, mcs: list[float], starts: list[float], high:
     return fit(grid, ["mc", "tmin_days"], "tmin_days", high, raw=least)
 
 
-def poisson(draw: Column) -> Column:
-    """A Poisson number of mean one from a uniform number of 32 bits."""
-    u, total, term = draw / float(1 << 32), 0.0, math.exp(-1)
-    out = F.lit(0)
-    for k in range(10):
+def _poisson_ends(n: int) -> list[float]:
+    """Shares of a Poisson number of mean one that are at most 0, 1, ..."""
+    total, term, ends = 0.0, math.exp(-1), []
+    for k in range(n):
         total += term
         term /= k + 1
-        out = out + (u >= total).cast("int")
-    return out
+        ends.append(total)
+    return ends
+
+
+def _reached(values: np.ndarray, ends) -> np.ndarray:
+    """For each value how many of a few ends it reaches."""
+    out = np.zeros(values.shape, dtype=np.int8)
+    for end in ends:
+        out += values >= end
+    return out.astype(float)
 
 
 def _uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
@@ -204,28 +214,22 @@ def _uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
-def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Draws (record_id, draw, p_boot): refits of a record's events resampled with replacement.
+def _draw_sums(keyed: DataFrame, records: DataFrame, key: str, numbers: np.ndarray, weights, steps) -> DataFrame:
+    """(record_id, draw, u0, n, logs): for each draw the weights of a record's times and their sums of ln(t + c), in parts to be added up.
 
-    In a draw each event counts a Poisson number of times with mean one, a
-    hash of (event, draw, seed): so a record's events are resampled wherever
-    they lie, and only sums for each draw are shuffled. A draw is fitted at
-    DRAW_STEPS values of c about the record's own and between the best three.
+    ``records``: record_id, u0, n_events. ``weights(record_id, rows)`` gives the
+    draws' weights, (draws, rows); ``steps(u0)`` the values of c. There are
+    tasks by the number of times, set here as the work is that of ``numbers``
+    times the rows, which the size of a shuffle does not tell.
     """
-    offsets = np.linspace(-REACH, REACH, DRAW_STEPS)
-    ends = math.log(C_RANGE[0]), math.log(C_RANGE[1])
-    event = [c for c in ("usgs_id", "t_days") if c in times.columns]
-    keyed = times.where(F.col("t_days").between(low, high)).select("record_id", "t_days", F.xxhash64(*event).alias("key"))
-    if "n_events" not in fits.columns:
-        fits = fits.join(keyed.groupBy("record_id").agg(F.count("*").alias("n_events")), "record_id")
-    point = small(settle(fits.select("record_id", F.log("c").alias("u0"), F.ceil(F.col("n_events") / PER_TASK).alias("tasks")), "points"))
-    salt = F.pmod("key", F.col("tasks"))
-    dealt = keyed.join(point, "record_id").repartition("record_id", salt).sortWithinPartitions("record_id")
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    points = settle(records.select("record_id", "u0", F.col("n_events").alias("_n"), F.ceil(F.col("n_events") / PER_TASK).alias("tasks")), "points")
+    events = points.agg(F.sum("_n")).first()[0] or 0
+    tasks = min(MOST_TASKS, 1 + int(3 * events // PER_TASK))
+    salt = F.pmod(F.xxhash64(key), F.col("tasks"))
+    dealt = keyed.join(small(points.drop("_n")), "record_id").repartition(tasks, "record_id", salt).sortWithinPartitions("record_id")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, total, u0 = None, None, 0.0
-        numbers = np.arange(draws)
 
         def done() -> pd.DataFrame:
             return pd.DataFrame({"record_id": now, "draw": numbers, "u0": u0, "n": total[:, 0], "logs": list(total[:, 1:])})
@@ -235,16 +239,72 @@ def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws:
                 if record != now:
                     if now is not None:
                         yield done()
-                    now, total, u0 = record, np.zeros((draws, DRAW_STEPS + 1)), float(own["u0"].iloc[0])
-                t, keys = own["t_days"].to_numpy(), own["key"].to_numpy().view(np.uint64)
-                c = np.exp(np.clip(u0 + offsets, *ends))
-                for at in range(0, len(t), 2048):
-                    part = slice(at, at + 2048)
-                    weights = np.searchsorted(cdf, _uniform(keys[part], numbers, seed), "right").astype(float)
-                    total += weights.T @ np.column_stack([np.ones(len(t[part])), np.log(t[part, None] + c[None, :])])
+                    now, u0 = record, float(own["u0"].iloc[0])
+                    c = steps(u0)
+                    total = np.zeros((len(numbers), len(c) + 1))
+                for at in range(0, len(own), 2048):
+                    part = own.iloc[at : at + 2048]
+                    t = part["t_days"].to_numpy()
+                    total += weights(record, part) @ np.column_stack([np.ones(len(t)), np.log(t[:, None] + c[None, :])])
         if now is not None:
             yield done()
 
+    return dealt.mapInPandas(sums, "record_id string, draw int, u0 double, n double, logs array<double>")
+
+
+def grid_draws(times: DataFrame, low: float, high: float, draws: int, seed: int, least: int = LEAST) -> DataFrame:
+    """Draws (record_id, draw, p_boot): grid fits of a record's events (usgs_id, t_days), each taken a Poisson number of times.
+
+    The number is that of the MD5 of (seed, draw, record, event), so SQL can
+    repeat it. Events are read once and are not copied for the draws; a draw
+    of fewer than ``least`` events gives no fit.
+    """
+    cs, ps, numbers = np.array(c_grid()), np.array(p_grid()), np.arange(1, draws + 1)
+    ends = [math.ceil(x * 2.0**32) for x in _poisson_ends(10)]
+    inside = times.where(F.col("t_days").between(low, high)).select("record_id", "usgs_id", "t_days")
+
+    def weights(record: str, own: pd.DataFrame) -> np.ndarray:
+        suffixes = [b"" if x is None else f"|{x}".encode() for x in own["usgs_id"].tolist()]  # null parts are left out
+        return _reached(md5_leading([f"{seed}|{k}|{record}".encode() for k in numbers], suffixes), ends)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, p = cs[:, None], ps[None, :]
+        near = np.abs(p - 1) <= 1e-6
+        area = np.where(near, np.log((high + c) / (low + c)), (np.power(high + c, 1 - p) - np.power(low + c, 1 - p)) / np.where(near, 1.0, 1 - p))
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                own = batch.iloc[at : at + 256]
+                n = own["n"].to_numpy()[:, None, None]
+                nll = n - n * np.log(n / area) + p * np.stack(own["logs"].to_numpy())[:, :, None]
+                place = np.argmin(np.round(nll, 9).reshape(len(own), -1), axis=1)
+                yield pd.DataFrame({"record_id": own["record_id"], "draw": own["draw"], "p_boot": ps[place % len(ps)]})
+
+    records = inside.groupBy("record_id").agg(F.lit(0.0).alias("u0"), F.count("*").alias("n_events"))
+    parts = _draw_sums(inside, records, "usgs_id", numbers, weights, lambda u0: cs)
+    return together(parts, ["record_id", "draw"], {"logs": C_STEPS}).where(F.col("n") >= least).mapInPandas(best, "record_id string, draw int, p_boot double")
+
+
+def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws: int = 200, seed: int = 7) -> DataFrame:
+    """Draws (record_id, draw, p_boot): refits of a record's events resampled with replacement.
+
+    In a draw each event counts a Poisson number of times with mean one, a
+    hash of (event, draw, seed): so a record's events are resampled wherever
+    they lie, and only sums for each draw are shuffled. A draw is fitted at
+    DRAW_STEPS values of c about the record's own and between the best three.
+    """
+    offsets = np.linspace(-REACH, REACH, DRAW_STEPS)
+    ends = math.log(C_RANGE[0]), math.log(C_RANGE[1])
+    event = [c for c in ("usgs_id", "t_days") if c in times.columns]
+    keyed = times.where(F.col("t_days").between(low, high)).select("record_id", "t_days", F.xxhash64(*event).alias("key"))
+    if "n_events" not in fits.columns:
+        fits = fits.join(keyed.groupBy("record_id").agg(F.count("*").alias("n_events")), "record_id")
+    cdf, numbers = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), np.arange(draws)
+
+    def weights(record: str, own: pd.DataFrame) -> np.ndarray:
+        return _reached(_uniform(own["key"].to_numpy().view(np.uint64), numbers, seed), cdf).T
+
+    parts = _draw_sums(keyed, fits.select("record_id", F.log("c").alias("u0"), "n_events"), "key", numbers, weights, lambda u0: np.exp(np.clip(u0 + offsets, *ends)))
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[batch["n"] > 0]
@@ -260,7 +320,6 @@ def bootstrap(times: DataFrame, fits: DataFrame, low: float, high: float, draws:
             value = pb + shift * (pd_ - pa_) / 2 + shift**2 * (pa_ - 2 * pb + pd_) / 2
             yield pd.DataFrame({"record_id": batch["record_id"], "draw": batch["draw"].astype("int32"), "p_boot": np.clip(value, *P_RANGE)})
 
-    parts = dealt.mapInPandas(sums, "record_id string, draw int, u0 double, n double, logs array<double>")
     return together(parts, ["record_id", "u0", "draw"], {"logs": DRAW_STEPS}).mapInPandas(solve, "record_id string, draw int, p_boot double")
 
 

@@ -1,9 +1,14 @@
 """Fits from sums at Chebyshev points against sums over the times, and their gates."""
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from quakespark.functions.digests import md5_leading
 from quakespark.operators import omori
 
 
@@ -64,3 +69,26 @@ def test_draws_do_not_hang_on_how_a_record_is_dealt(spark, sequences, monkeypatc
     monkeypatch.setattr(omori, "PER_TASK", 50)
     dealt = {(r.record_id, r.draw): r.p_boot for r in omori.bootstrap(rows, fits, 0.01, 100.0, 20).collect()}
     assert len(whole) == 60 and dealt == pytest.approx(whole, abs=1e-6)  # sums in another order
+
+
+def test_digests_are_those_of_hashlib():
+    prefixes, suffixes = [b"", b"7|1|a", b"7|10|a", b"x" * 40, b"y" * 54, b"z" * 80], [b"", b"|", b"|ev1", b"|ev23", b"|" + b"e" * 15, "|é".encode()]
+    want = [[int(hashlib.md5(p + s).hexdigest()[:8], 16) for s in suffixes] for p in prefixes]
+    assert md5_leading(prefixes, suffixes).tolist() == want
+
+
+def test_grid_draws_are_grid_fits_of_weighted_rows_in_tasks_by_their_number(spark, sequences, monkeypatch):
+    rows = sequences[sequences["g"] != "c"].rename(columns={"g": "record_id"}).assign(usgs_id=lambda f: [f"ev{i}" for i in range(len(f))])
+    weighted = []
+    for draw in range(1, 7):
+        h = [int(hashlib.md5(f"5|{draw}|{r}|{e}".encode()).hexdigest()[:8], 16) / 2**32 for r, e in zip(rows["record_id"], rows["usgs_id"], strict=True)]
+        weighted.append(rows.assign(draw=draw, times=np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)]), h, "right")))
+    whole = omori.grid_fit(spark.createDataFrame(pd.concat(weighted)).where("times > 0"), ["record_id", "draw"], 0.01, 100.0, weight=F.col("times"))
+    want = {(r.record_id, r.draw): r.p for r in whole.collect()}
+    monkeypatch.setattr(omori, "PER_TASK", 90)
+    drawn = omori.grid_draws(spark.createDataFrame(rows).coalesce(1), 0.01, 100.0, 6, 5)
+    assert 12 <= len(want) < 18 and {(r.record_id, r.draw): r.p_boot for r in drawn.collect()} == pytest.approx(want)
+    inside = spark.createDataFrame(rows).select("record_id", "usgs_id", "t_days")
+    records = inside.groupBy("record_id").agg(F.lit(0.0).alias("u0"), F.count("*").alias("n_events"))
+    parts = omori._draw_sums(inside, records, "usgs_id", np.arange(1, 3), lambda record, own: np.ones((2, len(own))), lambda u0: np.ones(1))
+    assert parts.rdd.getNumPartitions() == 1 + 3 * len(rows) // 90  # not the few that so small a shuffle would be read in
