@@ -195,6 +195,13 @@ def test_encoder_equals_whole_encoding(monkeypatch, store):
         assert own(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, json.dumps(text)
 
 
+def test_words_before_runs_of_marks_need_no_whole_encoding():
+    own = tokens.Encoder(tokenizer_path())
+    whole, text = own.tokenizer, "Word%%% wörd### word., word!? it''"
+    own.tokenizer = None
+    assert own(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/é", "same"), (2, None, "same"), (3, "u\r\nX: y", "same"), (4, "u", ""), (5, "u", None), (6, "u", "\U0001f600" * 400_000), (None, "u", "same"), (8, "u", "lone"), (8, "u", "lone")]
     pages += [(100 + i, f"http://h/{i}", f"<html>{i % 40} " + "text of a page " * 50) for i in range(400)]
