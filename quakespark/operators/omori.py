@@ -181,10 +181,23 @@ def fit(times: DataFrame, by: list[str], low: float | str, high: float | None, l
 
 
 def sensitivity(events: DataFrame, mcs: list[float], starts: list[float], high: float, least: int = 200) -> DataFrame:
-    """Fits of all events for each completeness magnitude and start time: mc, tmin_days, n_events, k, c, p, nll."""
-    above = F.filter(F.array(*[F.lit(float(m)) for m in mcs]), lambda m: F.col("mag") >= m)
-    grid = events.select("t_days", F.explode(above).alias("mc")).select("mc", "t_days", F.explode(F.array(*[F.lit(float(s)) for s in starts])).alias("tmin_days"))
-    return fit(grid, ["mc", "tmin_days"], "tmin_days", high, raw=least)
+    """Fits of all events for each completeness magnitude and start time: mc, tmin_days, n_events, k, c, p, nll.
+
+    An event is counted once, in the cell of the greatest magnitude and start
+    that it reaches; a fit's sums are those of the cells at or above its own.
+    """
+    mcs, starts = sorted({float(m) for m in mcs}), sorted({float(s) for s in starts})
+    reached = lambda c, values: F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.col(c) >= v))
+    inside = (F.col("s") > 0) & (F.col("t_days") <= float(high))
+    logs = F.array(*[F.coalesce(F.sum(F.when(inside, F.log(F.col("t_days") + float(c)))), F.lit(0.0)) for c in np.exp(nodes())])
+    cells = events.select("t_days", reached("mag", mcs).alias("m"), reached("t_days", starts).alias("s")).where("m > 0")
+    cells = cells.groupBy("m", "s").agg(F.count("*").alias("raw"), F.count(F.when(inside, 1)).alias("n"), logs.alias("sums"))
+    fits = F.array(*[F.when(F.col("m") > i, F.struct(F.lit(m).alias("mc"), F.lit(s).alias("tmin_days"), (F.col("s") > j).cast("double").alias("w"))) for i, m in enumerate(mcs) for j, s in enumerate(starts)])
+    parts = settle(cells, "cells").withColumn("f", F.explode(F.filter(fits, lambda f: f.isNotNull()))).select("raw", "n", "sums", "f.*")
+    sums = F.array(*[F.sum(F.col("w") * F.col("sums")[k]) for k in range(NODES)])
+    whole = parts.groupBy("mc", "tmin_days").agg(F.sum("raw").alias("raw"), F.sum(F.col("w") * F.col("n")).cast("long").alias("n_events"), sums.alias("sums")).where((F.col("raw") >= least) & (F.col("n_events") >= LEAST))
+    run, schema = _solver(["mc", "tmin_days"], {"mc": "double", "tmin_days": "double"}, "tmin_days", float(high))
+    return settle(whole.drop("raw").mapInPandas(run, schema), "fits")
 
 
 def _poisson_ends(n: int) -> list[float]:

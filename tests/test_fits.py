@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quakespark.functions.digests import md5_leading
 from quakespark.operators import omori
+from quakespark.sources import adapters
 
 
 def test_sums_are_interpolated_everywhere():
@@ -92,3 +93,19 @@ def test_grid_draws_are_grid_fits_of_weighted_rows_in_tasks_by_their_number(spar
     records = inside.groupBy("record_id").agg(F.lit(0.0).alias("u0"), F.count("*").alias("n_events"))
     parts = omori._draw_sums(inside, records, "usgs_id", np.arange(1, 3), lambda record, own: np.ones((2, len(own))), lambda u0: np.ones(1))
     assert parts.rdd.getNumPartitions() == 1 + 3 * len(rows) // 90  # not the few that so small a shuffle would be read in
+
+
+def test_sensitivity_counts_an_event_once(spark, sequences, monkeypatch):
+    seen = []
+    monkeypatch.setattr(omori, "settle", lambda frame, name: seen.append((name, frame)) or frame)
+    omori.sensitivity(spark.createDataFrame(sequences), [1.0, 1.5], [0.01, 0.1], 100.0)
+    cells = dict(seen)["cells"]
+    assert cells.agg(F.sum("raw")).first()[0] == len(sequences) and cells.count() <= 6
+
+
+def test_tables_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    assert rows.rdd.getNumPartitions() == 1 and adapters.dealt(rows, "id", 2500) is rows
+    dealt = adapters.dealt(rows, "id", 500)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 5000
