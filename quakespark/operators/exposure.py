@@ -40,16 +40,17 @@ def subgroup_exposure(pixels: DataFrame, centers: DataFrame, subgroups: DataFram
     """
     low, high = range_of(F.col("subgroup"))
     wanted = settle(subgroups.select("mainshock_id", "subgroup_type", "subgroup").distinct().withColumns({"lo": low, "hi": high}).join(centers.select("mainshock_id"), "mainshock_id"), "wanted")
-    near = circle_pixels(pixels, centers.select("mainshock_id", "c_lat", "c_lon"), radius_km).join(small(wanted), "mainshock_id")
-    name, d = F.col("subgroup"), F.col("dist_km")
-    half = (
-        F.when(name.contains("East_of"), F.col("lon") >= F.col("c_lon"))
-        .when(name.contains("West_of"), F.col("lon") < F.col("c_lon"))
-        .when(name.contains("North_of"), F.col("lat") >= F.col("c_lat"))
-        .when(name.contains("South_of"), F.col("lat") < F.col("c_lat"))
-        .otherwise(True)
-    )
-    inside = F.when(F.col("subgroup_type") == "ring", (d > F.col("lo")) & (d <= F.col("hi"))).when(F.col("subgroup_type") == "region", half).otherwise(True)
+    # pixels are added up by side and by the ends of rings passed; subgroups are then put together from these few cells
+    edges = settle(wanted.groupBy("mainshock_id").agg(F.collect_set(F.when(F.col("subgroup_type") == "ring", F.array("lo", "hi"))).alias("_rings")).select("mainshock_id", F.array_sort(F.array_distinct(F.filter(F.flatten("_rings"), lambda x: x.isNotNull()))).alias("edges")), "edges")
+    near = circle_pixels(pixels, centers.select("mainshock_id", "c_lat", "c_lon"), radius_km).join(small(edges), "mainshock_id")
+    step = F.size(F.filter("edges", lambda e: e < F.col("dist_km")))
+    sides = {"east": F.col("lon") >= F.col("c_lon"), "west": F.col("lon") < F.col("c_lon"), "north": F.col("lat") >= F.col("c_lat"), "south": F.col("lat") < F.col("c_lat")}
+    cells = near.groupBy("mainshock_id", step.alias("step"), *[c.alias(k) for k, c in sides.items()]).agg(F.sum("pop").alias("pop"), F.count("pop").alias("n"), F.max("pop").alias("most"))
+    met = settle(cells, "cells").join(small(edges), "mainshock_id").join(small(wanted), "mainshock_id")
+    name = F.col("subgroup")
+    half = F.when(name.contains("East_of"), F.col("east")).when(name.contains("West_of"), F.col("west")).when(name.contains("North_of"), F.col("north")).when(name.contains("South_of"), F.col("south")).otherwise(True)
+    at = lambda end: F.array_position("edges", F.col(end))
+    inside = F.when(F.col("subgroup_type") == "ring", (F.col("step") >= at("lo")) & (F.col("step") < at("hi"))).when(F.col("subgroup_type") == "region", half).otherwise(True)
     keys = ["mainshock_id", "subgroup_type", "subgroup"]
-    found = near.where(inside).groupBy(*keys).agg(*stats(F.lit(True), "subgroup"))
+    found = met.where(inside).groupBy(*keys).agg(F.sum("pop").alias("pop_sum_subgroup"), (F.sum("pop") / F.sum("n")).alias("pop_mean_subgroup"), F.max("most").alias("pop_max_subgroup"))
     return wanted.select(*keys).join(found, keys, "left")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ PER_TASK = 20_000
 MOST_TASKS = 4096
 #: Times weighed at once for all draws: their arrays stay in a core's cache.
 BLOCK = 256
+#: A task passes its sums on when it has those of so many groups.
+MOST_GROUPS = 4096
 
 
 def c_grid(n: int = C_STEPS) -> list[float]:
@@ -62,15 +65,60 @@ def negative_log_likelihood(times: DataFrame, by: list[str], k: float, c: float,
     return times.where(F.col("t_days").between(low, high)).groupBy(*by).agg(F.count("*").alias("n_events"), nll.alias("nll"))
 
 
-def counted(times: DataFrame, by: list[str], low: float | Column, high: float, least: int, raw: int, weight: Column | None = None) -> tuple[DataFrame, Column]:
-    """The times in [low, high] of groups that have ``raw`` times in all, with the weight; and the gate on the window's count."""
-    w = F.lit(1) if weight is None else weight
-    inside = F.col("t_days").between(low, high)
-    kept = times.select(*by, "t_days", w.alias("w"))
-    if raw > 0:
-        enough = kept.groupBy(*by).agg(F.sum("w").alias("_raw")).where(F.col("_raw") >= raw).select(*by)
-        kept = kept.join(enough, by, "left_semi")
-    return kept.where(inside), F.col("n_events") >= least
+def log_sums(times: DataFrame, by: list[str], cs: list[float], low: float | Column, high: float, least: int, raw: int, weight: Column | None = None) -> DataFrame:
+    """(by, n_events, sums): the times in [low, high] of each group, with their weight, and the sums of ln(t + c) for each c.
+
+    Of groups that have ``raw`` times in all and ``least`` in the window. The
+    times are read once: each task adds up its own by numpy, as so many
+    columns of an aggregation are more than the JVM compiles, and only the
+    sums of its groups are shuffled.
+    """
+    w = (F.lit(1) if weight is None else F.coalesce(weight, F.lit(0))).cast("double")
+    inside = F.coalesce(F.col("t_days").between(low, high), F.lit(False))
+    rows = times.select(*by, F.when(inside, F.col("t_days").cast("double")).otherwise(1.0).alias("_t"), F.when(inside, w).otherwise(0.0).alias("_w"), w.alias("_raw"))
+    c = np.array(cs, dtype=float)
+
+    def table(found: dict[tuple, np.ndarray], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        own = [pa.array([k[i] for k in found], type=kind) for i, kind in enumerate(kinds)]
+        total = np.stack(list(found.values()))
+        sums = pa.ListArray.from_arrays(np.arange(len(total) + 1, dtype=np.int32) * len(c), total[:, 2:].ravel())
+        return pa.RecordBatch.from_arrays([*own, pa.array(total[:, 0]), pa.array(total[:, 1]), sums], [*by, "_all", "n", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, kinds = {}, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(b).type for b in by]
+            codes, size = np.zeros(batch.num_rows, dtype=np.int64), 1
+            for b in by:
+                own = batch.column(b).dictionary_encode("encode")
+                if size * len(own.dictionary) >= 2**62:
+                    codes, size = np.unique(codes, return_inverse=True)[1], batch.num_rows
+                codes, size = codes * len(own.dictionary) + own.indices.to_numpy(), size * len(own.dictionary)
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            t, w, every = (batch.column(x).to_numpy()[order] for x in ("_t", "_w", "_raw"))
+            for at in range(0, len(t), BLOCK):
+                part = slice(at, at + BLOCK)
+                starts = np.flatnonzero(np.r_[True, codes[part][1:] != codes[part][:-1]])
+                weighed = np.column_stack([every[part], w[part], np.log(t[part, None] + c) * w[part, None]])
+                for first, total in zip(order[part][starts], np.add.reduceat(weighed, starts), strict=True):
+                    key = tuple(batch.column(b)[int(first)].as_py() for b in by)
+                    if key in found:
+                        found[key] += total
+                    else:
+                        found[key] = total.copy()
+            if len(found) >= MOST_GROUPS:
+                yield table(found, kinds)
+                found = {}
+        if found:
+            yield table(found, kinds)
+
+    names = dict(times.dtypes)
+    parts = rows.mapInArrow(run, ", ".join([*[f"`{b}` {names[b]}" for b in by], "_all double, n double, sums array<double>"]))
+    whole = together(parts, by, {"sums": len(cs)}, also="_all")
+    return whole.where((F.col("_all") >= raw) & (F.col("n") >= least)).select(*by, F.col("n").cast("long").alias("n_events"), "sums")
 
 
 def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: int = LEAST, raw: int = 0, weight: Column | None = None) -> DataFrame:
@@ -79,11 +127,10 @@ def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: in
     A group needs ``raw`` times in all and ``least`` in the window. ``weight``
     (a whole number) says how often a time counts.
     """
-    inside, gate = counted(times, by, low, high, least, raw, weight)
-    logs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.sum(F.col("w") * F.log(F.col("t_days") + c)).alias("logs")) for i, c in enumerate(c_grid())])
-    sums = inside.groupBy(*by).agg(F.sum("w").cast("long").alias("n_events"), logs.alias("g")).where(gate)
+    sums = log_sums(times, by, c_grid(), low, high, least, raw, weight)
+    logs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.col("sums")[i].alias("logs")) for i, c in enumerate(c_grid())])
     ps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(p_grid())])
-    tried = sums.select(*by, "n_events", F.explode("g").alias("g")).select(*by, "n_events", "g.*", F.explode(ps).alias("q")).select(*by, "n_events", "i", "c", "logs", "q.*")
+    tried = sums.select(*by, "n_events", F.explode(logs).alias("g")).select(*by, "n_events", "g.*", F.explode(ps).alias("q")).select(*by, "n_events", "i", "c", "logs", "q.*")
     k = F.col("n_events") / integral(F.col("c"), F.col("p"), F.lit(float(low)), F.lit(float(high)))
     tried = tried.withColumn("k", k).withColumn("nll", F.col("n_events") - F.col("n_events") * F.log("k") + F.col("p") * F.col("logs"))
     best = F.min_by(F.struct("n_events", "k", "c", "p", "nll"), F.struct(F.round("nll", 9).alias("nll"), "i", "j"))
@@ -176,10 +223,9 @@ def fit(times: DataFrame, by: list[str], low: float | str, high: float | None, l
     all and ``least`` in the window. One aggregation over the times.
     """
     end = float(times.agg(F.max("t_days")).first()[0] or 0.0) if high is None else float(high)
-    inside, gate = counted(times, by, F.col(low) if isinstance(low, str) else low, end, least, raw)
-    sums = F.array(*[F.sum(F.col("w") * F.log(F.col("t_days") + float(c))) for c in np.exp(nodes())])
+    sums = log_sums(times, by, np.exp(nodes()).tolist(), F.col(low) if isinstance(low, str) else low, end, least, raw)
     run, schema = _solver(by, dict(times.dtypes), low, end)
-    return settle(inside.groupBy(*by).agg(F.sum("w").cast("long").alias("n_events"), sums.alias("sums")).where(gate).mapInPandas(run, schema), "fits")
+    return settle(sums.mapInPandas(run, schema), "fits")
 
 
 def sensitivity(events: DataFrame, mcs: list[float], starts: list[float], high: float, least: int = 200) -> DataFrame:

@@ -206,11 +206,12 @@ def expand(events: DataFrame, rings: DataFrame | None = None, depths: DataFrame
     """
     thin = lambda f, kind, name: f.select("mainshock_id", F.lit(kind).alias("subgroup_type"), name.alias("subgroup"), *carry)
     places = half_planes(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) if regions is None else F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in regions.items()]), lambda x: x.isNotNull())
+    label = interval_label(F.col("lo"), F.col("hi"))  # written once for a segment, not for each event
     out = thin(events, "depth", F.lit("all_depth")).unionByName(thin(events.withColumn("_place", F.explode(places)), "region", F.col("_place")))
     if rings is not None:
-        met = events.join(small(settle(rings, "rings")), "mainshock_id").where((F.col("dist_km") >= F.col("lo")) & (F.col("dist_km") < F.col("hi")))
-        out = out.unionByName(thin(met, "ring", interval_label(F.col("lo"), F.col("hi"))))
+        met = events.join(small(settle(rings.withColumn("_label", label), "rings")), "mainshock_id").where((F.col("dist_km") >= F.col("lo")) & (F.col("dist_km") < F.col("hi")))
+        out = out.unionByName(thin(met, "ring", F.col("_label")))
     if depths is not None:
-        met = events.join(small(settle(depths, "depths")), "mainshock_id").where((F.col("depth_km") > F.col("lo")) & (F.col("depth_km") <= F.col("hi")) | F.col("first") & (F.col("depth_km") == F.col("lo")))
-        out = out.unionByName(thin(met, "depth", interval_label(F.col("lo"), F.col("hi"))))
+        met = events.join(small(settle(depths.withColumn("_label", label), "depths")), "mainshock_id").where((F.col("depth_km") > F.col("lo")) & (F.col("depth_km") <= F.col("hi")) | F.col("first") & (F.col("depth_km") == F.col("lo")))
+        out = out.unionByName(thin(met, "depth", F.col("_label")))
     return out.withColumn("record_id", record_id(F.col("mainshock_id"), F.col("subgroup_type"), F.col("subgroup")))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.functions.digests import md5_leading
-from quakespark.operators import omori
+from quakespark.operators import exposure, omori, segments
 from quakespark.sources import adapters
 
 
@@ -109,3 +109,46 @@ def test_tables_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 1 and adapters.dealt(rows, "id", 2500) is rows
     dealt = adapters.dealt(rows, "id", 500)
     assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 5000
+
+
+def test_sums_of_groups_in_parts(spark, monkeypatch):
+    """Each task reads the times once and passes on sums of its groups only, of however many groups."""
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i % 3}", None if i % 7 == 0 else f"s{i % 7}", float(rng.uniform(0.0, 12.0)), int(rng.integers(0, 4))) for i in range(3000)]
+    rows += [("m0", "s1", None, 1), ("few", "s1", 1.0, 1), ("outside", "s1", 11.0, 99)]
+    times = spark.createDataFrame(rows, "m string, s string, t_days double, times int").repartition(5)
+    cs = [0.001, 0.5, 10.0]
+    for most in (4096, 2):
+        monkeypatch.setattr(omori, "MOST_GROUPS", most)
+        got = {(r.m, r.s): r for r in omori.log_sums(times, ["m", "s"], cs, 0.01, 10.0, 20, 30, F.col("times")).collect()}
+        assert len(got) == 21
+        for (m, s), r in got.items():
+            own = [(t, w) for a, b, t, w in rows if (a, b) == (m, s) and t is not None and 0.01 <= t <= 10.0]
+            assert r.n_events == sum(w for _, w in own)
+            assert np.allclose(r.sums, [sum(w * np.log(t + c) for t, w in own) for c in cs], rtol=1e-12)
+
+
+def test_pixels_are_added_up_before_they_meet_subgroups(spark, monkeypatch):
+    kept, settle = {}, exposure.settle
+    monkeypatch.setattr(exposure, "settle", lambda frame, name: kept.setdefault(name, settle(frame, name)))
+    rng = np.random.default_rng(6)
+    places = [(float(100 + x), float(28 + y), float(w)) for x, y, w in zip(rng.uniform(-1, 1, 2000), rng.uniform(-1, 1, 2000), rng.uniform(1, 9, 2000), strict=True)]
+    groups = [("m", "ring", "0-50km"), ("m", "ring", "50-120km"), ("m", "ring", "20-80km"), ("m", "region", "West_of_ms"), ("m", "depth", "all_depth")]
+    wanted = spark.createDataFrame(groups, "mainshock_id string, subgroup_type string, subgroup string")
+    centers = spark.createDataFrame([("m", 28.0, 100.0)], "mainshock_id string, c_lat double, c_lon double")
+    pixels = spark.createDataFrame(places, "lon double, lat double, pop double")
+    got = {r.subgroup: r for r in exposure.subgroup_exposure(pixels, centers, wanted, 120.0).collect()}
+    assert kept["cells"].count() <= 6 * 4
+    near = [(r.dist_km, r.lon, r.pop) for r in exposure.circle_pixels(pixels, centers, 120.0).collect()]
+    inside = {"0-50km": lambda d, x: 0 < d <= 50, "50-120km": lambda d, x: 50 < d <= 120, "20-80km": lambda d, x: 20 < d <= 80, "West_of_ms": lambda d, x: x < 100, "all_depth": lambda d, x: True}
+    for name, test in inside.items():
+        own = [w for d, x, w in near if test(d, x)]
+        assert np.allclose([got[name].pop_sum_subgroup, got[name].pop_mean_subgroup, got[name].pop_max_subgroup], [sum(own), sum(own) / len(own), max(own)])
+
+
+def test_labels_of_segments_are_written_once(spark):
+    events = spark.createDataFrame([("m", float(d), 1.0) for d in range(100)], "mainshock_id string, dist_km double, t_days double").withColumns({c: F.lit(0.0) for c in ("lat", "lon", "c_lat", "c_lon", "depth_km")})
+    rings = spark.createDataFrame([("m", 0.0, 50.0), ("m", 50.0, 400.0)], "mainshock_id string, lo double, hi double")
+    dealt = segments.expand(events, rings).where("subgroup_type = 'ring'")
+    assert {r.subgroup: r["count"] for r in dealt.groupBy("subgroup").count().collect()} == {"0-50km": 50, "50-400km": 50}
+    assert "format_number" not in dealt._jdf.queryExecution().optimizedPlan().toString() and "_label" in dealt._jdf.queryExecution().optimizedPlan().toString()
