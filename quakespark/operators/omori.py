@@ -33,8 +33,8 @@ NODES = 80
 ROUNDS, STEPS = 5, 16
 #: A bootstrap draw is fitted at so many c, up to REACH away from the record's own in ln c.
 DRAW_STEPS, REACH = 25, 4.0
-#: A record has a task for so many of its times at least, for its draws.
-PER_TASK = 20_000
+#: Times of a record that are weighed together for its draws: some seconds of work at 200 draws.
+PER_TASK = 100_000
 #: And no more tasks than this in all.
 MOST_TASKS = 4096
 #: Times weighed at once for all draws: their arrays stay in a core's cache.

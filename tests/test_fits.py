@@ -152,3 +152,11 @@ def test_labels_of_segments_are_written_once(spark):
     dealt = segments.expand(events, rings).where("subgroup_type = 'ring'")
     assert {r.subgroup: r["count"] for r in dealt.groupBy("subgroup").count().collect()} == {"0-50km": 50, "50-400km": 50}
     assert "format_number" not in dealt._jdf.queryExecution().optimizedPlan().toString() and "_label" in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_records_parts_are_worth_a_task(spark):
+    """Sums are passed on for each part of a record and draw, so a part has to be many times."""
+    rows = spark.range(60_000).select(F.lit("a").alias("record_id"), (F.col("id") / 6000.0).alias("t_days"), "id")
+    records = spark.createDataFrame([("a", 0.0, 60_000)], "record_id string, u0 double, n_events long")
+    parts = omori._draw_sums(rows, records, "id", np.arange(3), lambda record, own: np.ones((3, len(own))), lambda u0: np.array([1.0])).toPandas()
+    assert parts["draw"].tolist() == [0, 1, 2] and parts["n"].tolist() == [60_000.0] * 3
