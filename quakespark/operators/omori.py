@@ -39,6 +39,8 @@ PER_TASK = 100_000
 MOST_TASKS = 4096
 #: Times weighed at once for all draws: their arrays stay in a core's cache.
 BLOCK = 256
+#: As BLOCK where weights are digests: these are worked out by the length of an event's name, so that few would be worked on at once.
+DIGEST_BLOCK = 4096
 #: A task passes its sums on when it has those of so many groups.
 MOST_GROUPS = 4096
 
@@ -261,8 +263,9 @@ def _poisson_ends(n: int) -> list[float]:
 def _reached(values: np.ndarray, ends) -> np.ndarray:
     """For each value how many of a few ends it reaches."""
     out = np.zeros(values.shape, dtype=np.int8)
-    for end in ends:
-        out += values >= end
+    for row, own in zip(out, values, strict=True):  # which stay in a core's cache
+        for end in ends:
+            row += own >= end
     return out.astype(float)
 
 
@@ -275,11 +278,11 @@ def _uniform(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
-def _draw_sums(keyed: DataFrame, records: DataFrame, key: str, numbers: np.ndarray, weights, steps) -> DataFrame:
+def _draw_sums(keyed: DataFrame, records: DataFrame, key: str, numbers: np.ndarray, weights, steps, block: int = BLOCK) -> DataFrame:
     """(record_id, draw, u0, n, logs): for each draw the weights of a record's times and their sums of ln(t + c), in parts to be added up.
 
     ``records``: record_id, u0, n_events. ``weights(record_id, rows)`` gives the
-    draws' weights, (draws, rows); ``steps(u0)`` the values of c. There are
+    draws' weights, (draws, rows), for ``block`` rows at most; ``steps(u0)`` the values of c. There are
     tasks by the number of times, set here as the work is that of ``numbers``
     times the rows, which the size of a shuffle does not tell.
     """
@@ -303,8 +306,8 @@ def _draw_sums(keyed: DataFrame, records: DataFrame, key: str, numbers: np.ndarr
                     now, u0 = record, float(own["u0"].iloc[0])
                     c = steps(u0)
                     total = np.zeros((len(numbers), len(c) + 1))
-                for at in range(0, len(own), BLOCK):
-                    part = own.iloc[at : at + BLOCK]
+                for at in range(0, len(own), block):
+                    part = own.iloc[at : at + block]
                     t = part["t_days"].to_numpy()
                     total += weights(record, part) @ np.column_stack([np.ones(len(t)), np.log(t[:, None] + c[None, :])])
         if now is not None:
@@ -321,7 +324,7 @@ def grid_draws(times: DataFrame, low: float, high: float, draws: int, seed: int,
     of fewer than ``least`` events gives no fit.
     """
     cs, ps, numbers = np.array(c_grid()), np.array(p_grid()), np.arange(1, draws + 1)
-    ends = [math.ceil(x * 2.0**32) for x in _poisson_ends(10)]
+    ends = np.array([math.ceil(x * 2.0**32) for x in _poisson_ends(10)], dtype=np.uint32)
     inside = times.where(F.col("t_days").between(low, high)).select("record_id", "usgs_id", "t_days")
 
     def weights(record: str, own: pd.DataFrame) -> np.ndarray:
@@ -341,7 +344,7 @@ def grid_draws(times: DataFrame, low: float, high: float, draws: int, seed: int,
                 yield pd.DataFrame({"record_id": own["record_id"], "draw": own["draw"], "p_boot": ps[place % len(ps)]})
 
     records = inside.groupBy("record_id").agg(F.lit(0.0).alias("u0"), F.count("*").alias("n_events"))
-    parts = _draw_sums(inside, records, "usgs_id", numbers, weights, lambda u0: cs)
+    parts = _draw_sums(inside, records, "usgs_id", numbers, weights, lambda u0: cs, DIGEST_BLOCK)
     return together(parts, ["record_id", "draw"], {"logs": C_STEPS}).where(F.col("n") >= least).mapInPandas(best, "record_id string, draw int, p_boot double")
 
 

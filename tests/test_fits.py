@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quakespark.functions import digests
 from quakespark.functions.digests import md5_leading
 from quakespark.operators import exposure, omori, segments
 from quakespark.sources import adapters
@@ -78,6 +79,26 @@ def test_digests_are_those_of_hashlib():
     assert md5_leading(prefixes, suffixes).tolist() == want
 
 
+def test_digests_of_many_events_are_worked_on_in_full_blocks(monkeypatch):
+    sizes = []
+    whole = digests._leading
+    monkeypatch.setattr(digests, "_leading", lambda words, shape: sizes.append(math.prod(shape)) or whole(words, shape))
+    prefixes, suffixes = [f"7|{k}|ev1".encode() for k in range(1, 41)], [f"|ev{i}".encode() for i in range(9_980, 12_000)]
+    found = md5_leading(prefixes, suffixes)
+    for i, j in ((0, 0), (0, 2019), (8, 19), (39, 20), (39, 2019)):
+        assert found[i, j] == int(hashlib.md5(prefixes[i] + suffixes[j]).hexdigest()[:8], 16)
+    assert sizes and min(sizes) > digests.AT_ONCE // 3 and max(sizes) <= digests.AT_ONCE  # the few of 20 shorter names are left to hashlib
+
+
+def test_draws_weigh_digests_in_larger_blocks(spark, sequences, monkeypatch):
+    seen = []
+    whole = omori._draw_sums
+    monkeypatch.setattr(omori, "_draw_sums", lambda *given: seen.append(given) or whole(*given))
+    rows = sequences.rename(columns={"g": "record_id"}).assign(usgs_id=lambda f: [f"ev{i}" for i in range(len(f))])
+    omori.grid_draws(spark.createDataFrame(rows), 0.01, 100.0, 2, 5)
+    assert seen[0][6:] == (omori.DIGEST_BLOCK,) and omori.DIGEST_BLOCK >= 8 * omori.BLOCK
+
+
 def test_grid_draws_are_grid_fits_of_weighted_rows_in_tasks_by_their_number(spark, sequences, monkeypatch):
     rows = sequences[sequences["g"] != "c"].rename(columns={"g": "record_id"}).assign(usgs_id=lambda f: [f"ev{i}" for i in range(len(f))])
     weighted = []
