@@ -11,6 +11,10 @@ from quakespark.operators.catalog import near_pairs
 from quakespark.sources.tables import settle, small
 
 
+#: Ends of a mainshock's rings that a pixel's distance is compared with one by one.
+FEW_ENDS = 16
+
+
 def circle_pixels(pixels: DataFrame, centers: DataFrame, radius_km: float) -> DataFrame:
     """Grid cells with a population, within the radius of a center; distance worked out once for each pair."""
     return near_pairs(pixels.where("pop is not null"), centers, radius_km, PIXEL_RADIUS_KM)
@@ -43,7 +47,9 @@ def subgroup_exposure(pixels: DataFrame, centers: DataFrame, subgroups: DataFram
     # pixels are added up by side and by the ends of rings passed; subgroups are then put together from these few cells
     edges = settle(wanted.groupBy("mainshock_id").agg(F.collect_set(F.when(F.col("subgroup_type") == "ring", F.array("lo", "hi"))).alias("_rings")).select("mainshock_id", F.array_sort(F.array_distinct(F.filter(F.flatten("_rings"), lambda x: x.isNotNull()))).alias("edges")), "edges")
     near = circle_pixels(pixels, centers.select("mainshock_id", "c_lat", "c_lon"), radius_km).join(small(edges), "mainshock_id")
-    step = F.size(F.filter("edges", lambda e: e < F.col("dist_km")))
+    most = edges.agg(F.max(F.size("edges"))).first()[0] or 0
+    # a sum is compiled, a filter of an array is not
+    step = sum((F.coalesce((F.get("edges", F.lit(i)) < F.col("dist_km")).cast("int"), F.lit(0)) for i in range(most)), F.lit(0)) if most <= FEW_ENDS else F.size(F.filter("edges", lambda e: e < F.col("dist_km")))
     sides = {"east": F.col("lon") >= F.col("c_lon"), "west": F.col("lon") < F.col("c_lon"), "north": F.col("lat") >= F.col("c_lat"), "south": F.col("lat") < F.col("c_lat")}
     cells = near.groupBy("mainshock_id", step.alias("step"), *[c.alias(k) for k, c in sides.items()]).agg(F.sum("pop").alias("pop"), F.count("pop").alias("n"), F.max("pop").alias("most"))
     met = settle(cells, "cells").join(small(edges), "mainshock_id").join(small(wanted), "mainshock_id")

@@ -70,8 +70,21 @@ def negative_log_likelihood(times: DataFrame, by: list[str], k: float, c: float,
 def log_sums(times: DataFrame, by: list[str], cs: list[float], low: float | Column, high: float, least: int, raw: int, weight: Column | None = None) -> DataFrame:
     """(by, n_events, sums): the times in [low, high] of each group, with their weight, and the sums of ln(t + c) for each c.
 
-    Of groups that have ``raw`` times in all and ``least`` in the window. The
-    times are read once: each task adds up its own by numpy, as so many
+    Of groups that have ``raw`` times in all and ``least`` in the window.
+    """
+    return gated(log_parts(times, by, cs, low, high, weight), by, len(cs), least, raw)
+
+
+def gated(parts: DataFrame, by: list[str], n: int, least: int, raw: int) -> DataFrame:
+    """(by, n_events, sums) of ``log_parts`` for n values of c, added up by group; of groups as in ``log_sums``."""
+    whole = together(parts, by, {"sums": n}, also="_all")
+    return whole.where((F.col("_all") >= raw) & (F.col("n") >= least)).select(*by, F.col("n").cast("long").alias("n_events"), "sums")
+
+
+def log_parts(times: DataFrame, by: list[str], cs: list[float], low: float | Column, high: float, weight: Column | None = None) -> DataFrame:
+    """(by, _all, n, sums) in parts to be added up: all times of a group, those in [low, high], and their sums of ln(t + c).
+
+    The times are read once: each task adds up its own by numpy, as so many
     columns of an aggregation are more than the JVM compiles, and only the
     sums of its groups are shuffled.
     """
@@ -118,9 +131,7 @@ def log_sums(times: DataFrame, by: list[str], cs: list[float], low: float | Colu
             yield table(found, kinds)
 
     names = dict(times.dtypes)
-    parts = rows.mapInArrow(run, ", ".join([*[f"`{b}` {names[b]}" for b in by], "_all double, n double, sums array<double>"]))
-    whole = together(parts, by, {"sums": len(cs)}, also="_all")
-    return whole.where((F.col("_all") >= raw) & (F.col("n") >= least)).select(*by, F.col("n").cast("long").alias("n_events"), "sums")
+    return rows.mapInArrow(run, ", ".join([*[f"`{b}` {names[b]}" for b in by], "_all double, n double, sums array<double>"]))
 
 
 def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: int = LEAST, raw: int = 0, weight: Column | None = None) -> DataFrame:
@@ -129,7 +140,11 @@ def grid_fit(times: DataFrame, by: list[str], low: float, high: float, least: in
     A group needs ``raw`` times in all and ``least`` in the window. ``weight``
     (a whole number) says how often a time counts.
     """
-    sums = log_sums(times, by, c_grid(), low, high, least, raw, weight)
+    return best_of_grid(log_sums(times, by, c_grid(), low, high, least, raw, weight), by, low, high)
+
+
+def best_of_grid(sums: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
+    """``grid_fit`` from the sums of ``log_sums`` at the values of c_grid."""
     logs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.col("sums")[i].alias("logs")) for i, c in enumerate(c_grid())])
     ps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(p).alias("p")) for j, p in enumerate(p_grid())])
     tried = sums.select(*by, "n_events", F.explode(logs).alias("g")).select(*by, "n_events", "g.*", F.explode(ps).alias("q")).select(*by, "n_events", "i", "c", "logs", "q.*")

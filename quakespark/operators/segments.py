@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.functions.geo import half_planes
-from quakespark.functions.labels import interval_label, record_id
+from quakespark.functions.labels import depth_group, interval_label, record_id
 from quakespark.operators.ordering import ranked_values
 from quakespark.sources.tables import settle, small
 
@@ -215,3 +215,24 @@ def expand(events: DataFrame, rings: DataFrame | None = None, depths: DataFrame
         met = events.join(small(settle(depths.withColumn("_label", label), "depths")), "mainshock_id").where((F.col("depth_km") > F.col("lo")) & (F.col("depth_km") <= F.col("hi")) | F.col("first") & (F.col("depth_km") == F.col("lo")))
         out = out.unionByName(thin(met, "depth", F.col("_label")))
     return out.withColumn("record_id", record_id(F.col("mainshock_id"), F.col("subgroup_type"), F.col("subgroup")))
+
+
+#: What tells apart the cells of ``placed``.
+CELL = ["mainshock_id", "_ring", "_ew", "_ns", "_depth"]
+
+
+def placed(events: DataFrame, rings: DataFrame, bins: list[float]) -> DataFrame:
+    """Events with their cell (CELL): ring (null in none), half-planes and fixed depth group. Each event once."""
+    named = rings.select(F.col("mainshock_id").alias("_m"), "lo", "hi", interval_label(F.col("lo"), F.col("hi")).alias("_ring"))
+    inside = (F.col("mainshock_id") == F.col("_m")) & (F.col("dist_km") >= F.col("lo")) & (F.col("dist_km") < F.col("hi"))
+    places = half_planes(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
+    return events.join(small(settle(named, "rings")), inside, "left").withColumns({"_ew": places[0], "_ns": places[1], "_depth": depth_group(F.col("depth_km"), bins)}).drop("_m", "lo", "hi")
+
+
+def of_cells(cells: DataFrame) -> DataFrame:
+    """Rows of cells (CELL, others) once for each subgroup that the cell is in: all depths, its half-planes, ring and depth group."""
+    kinds = (("depth", F.lit("all_depth")), ("region", F.col("_ew")), ("region", F.col("_ns")), ("ring", F.col("_ring")), ("depth", F.col("_depth")))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("subgroup_type"), name.alias("subgroup")) for k, name in kinds])).alias("_s")
+    others = [c for c in cells.columns if c not in CELL]
+    dealt = cells.select("mainshock_id", *others, each).select("mainshock_id", "_s.*", *others).where("subgroup IS NOT NULL")
+    return dealt.withColumn("record_id", record_id(F.col("mainshock_id"), F.col("subgroup_type"), F.col("subgroup")))

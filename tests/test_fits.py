@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quakespark.functions import digests
 from quakespark.functions.digests import md5_leading
+from quakespark.functions.labels import depth_group
 from quakespark.operators import exposure, omori, segments
 from quakespark.sources import adapters
 
@@ -116,6 +117,26 @@ def test_grid_draws_are_grid_fits_of_weighted_rows_in_tasks_by_their_number(spar
     assert parts.rdd.getNumPartitions() == 1 + 3 * len(rows) // 90  # not the few that so small a shuffle would be read in
 
 
+def test_cells_count_an_event_once_and_give_the_sums_of_its_subgroups(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    frame = pd.DataFrame({"mainshock_id": rng.choice(["m", "n", "o"], n), "t_days": rng.uniform(0.001, 10, n), "lat": rng.uniform(29, 31, n), "lon": rng.uniform(99, 101, n), "c_lat": 30.0, "c_lon": 100.0, "dist_km": rng.uniform(0, 120, n), "depth_km": rng.uniform(-5, 90, n)})
+    events = spark.createDataFrame(frame).withColumns({"depth_km": F.when(F.col("depth_km") > 0, F.col("depth_km")), "lat": F.when(F.col("t_days") > 1, F.col("lat"))})
+    rings = spark.createDataFrame([("m", 0.0, 50.0), ("m", 50.0, 100.0), ("n", 0.0, 100.0)], "mainshock_id string, lo double, hi double")  # none about o
+    fixed = events.select("mainshock_id", F.lit("depth").alias("subgroup_type"), depth_group(F.col("depth_km"), [0.0, 20.0, 80.0]).alias("subgroup"), "t_days")
+    every = segments.expand(events, rings).drop("record_id").unionByName(fixed)
+    by, cs = ["mainshock_id", "subgroup_type", "subgroup"], [0.01, 1.0]
+    want = {tuple(r[b] for b in by): (r.n_events, r.sums) for r in omori.log_sums(every, by, cs, 0.01, 9.0, 20, 25).collect()}
+    own = segments.placed(events, rings, [0.0, 20.0, 80.0])
+    assert own.count() == n
+    cells = omori.log_parts(own, segments.CELL, cs, 0.01, 9.0)
+    got = {tuple(r[b] for b in by): (r.n_events, r.sums) for r in omori.gated(segments.of_cells(cells), by, 2, 20, 25).collect()}
+    assert got.keys() == want.keys() and len({k[1:] for k in got}) > 8
+    for k in want:
+        assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1])
+    assert all(r.record_id == "|".join(r[b] for b in by) for r in segments.of_cells(cells).collect())
+
+
 def test_sensitivity_counts_an_event_once(spark, sequences, monkeypatch):
     seen = []
     monkeypatch.setattr(omori, "settle", lambda frame, name: seen.append((name, frame)) or frame)
