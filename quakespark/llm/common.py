@@ -20,6 +20,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast when it has no more rows than this; each such
 #: side has a few short columns, so this is some tens of MB at most.
 BROADCAST_ROWS = 400_000
+#: ... where a query has many such joins one after the other: the driver builds
+#: each side, and keeps it until its garbage is collected.
+CHAIN_ROWS = 100_000
 #: Rows of an Arrow batch between Spark and Python: texts may be long.
 BATCH_ROWS = 512
 
@@ -119,17 +122,26 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt: int = 16) -> DataFrame:
+def few(frame: DataFrame, most: int) -> bool:
+    """Whether a table that is cheap to count has no more rows than ``most``."""
+    return frame.limit(most + 1).count() <= most
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side of few rows for each key: broadcast if it is small, else by salted keys.
 
-    ``right`` should be cheap to count (settled). Beyond BROADCAST_ROWS each of
-    its rows is repeated for every salt, so that a key with a third of the
-    left rows is dealt over ``salt`` tasks.
+    ``right`` should be cheap to count (settled). Beyond ``most`` rows each of
+    them is repeated for every salt, so that a key with a third of the left
+    rows is dealt over ``salt`` tasks; salt 1 is for keys that the left side
+    has once. Spark takes the size of the files for that of the repeated rows
+    and would broadcast them through the driver, hence the hint.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few(right, most):
         return left.join(F.broadcast(right), on, how)
+    if salt == 1:
+        return left.join(right.hint("merge"), on, how)
     (name,) = fresh(left, "_salt")
-    salted = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
     every = [F.col(f"`{c}`") for c in left.columns]
     return left.withColumn(name, F.pmod(F.xxhash64(*every), F.lit(salt)).cast("int")).join(salted, [*on, name], how).drop(name)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import discard, join_small, settle
+from quakespark.llm.common import CHAIN_ROWS, discard, join_small, settle
 
 #: Far above the logarithm of any graph's size; reached only if the edges kept changing.
 MOST_ROUNDS = 60
@@ -19,13 +19,13 @@ def _lowest(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
 
 def _large_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return join_small(both, _lowest(both, used), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_small(both, _lowest(both, used), ["u"], most=CHAIN_ROWS).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = _lowest(down, used)
-    moved = join_small(down, lowest, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_small(down, lowest, ["u"], most=CHAIN_ROWS).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 

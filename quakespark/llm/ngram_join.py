@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound_batches, discard, frees, join_small, matched, row_keys, settle
+from quakespark.llm.common import CHAIN_ROWS, bound_batches, discard, few, frees, join_small, matched, row_keys, settle
 from quakespark.llm.components import connected
 from quakespark.llm.exact_dedup import elect
 from quakespark.llm.shingles import merged_table, shingles, slices, word_hashes
@@ -117,7 +117,7 @@ def clashes(rows: DataFrame) -> DataFrame:
 def apart(rows: DataFrame, clashing: DataFrame) -> DataFrame:
     """``rows`` (cls, sure, ...) with numbers of their own for the sets that share one."""
     own = F.when(F.col("_clash"), F.xxhash64("cls", "sure")).otherwise(F.col("cls"))
-    return join_small(rows, clashing.withColumn("_clash", F.lit(True)), ["cls"], "left").withColumn("cls", own).select(*rows.columns)
+    return join_small(rows, clashing.withColumn("_clash", F.lit(True)), ["cls"], "left", most=CHAIN_ROWS).withColumn("cls", own).select(*rows.columns)
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -225,7 +225,10 @@ def candidate_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.take(pa.array(rows))
 
     found = sets.select("cls", "tokens").mapInArrow(make, "cls long, tokens binary")
-    return join_small(found, classes, ["cls"], "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    once = lambda rows: rows.groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    if few(classes, CHAIN_ROWS):
+        return once(found.join(F.broadcast(classes), "cls", "left_semi"))
+    return once(found).join(classes.hint("merge"), "cls", "left_semi")  # the sets stay where they were dealt
 
 
 # ---- signature trees
@@ -421,7 +424,7 @@ def bucket_forest(entries: DataFrame, signatures: DataFrame, rule: Rule, block:
     alike = [F.count("*").alias("size"), F.bit_xor(own).alias("x"), F.sum(F.shiftrightunsigned(own, 34)).alias("y"), F.min("cls").alias("low"), F.max("cls").alias("high")]
     kept = core.groupBy("token").agg(*alike).where("size > 1").groupBy("size", "x", "y", "low", "high").agg(F.min("token").alias("token"))
     kept = settle(kept.select("token", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "tokens")
-    dealt = join_small(core, kept, ["token"])
+    dealt = join_small(core, kept, ["token"], most=CHAIN_ROWS)
     if kept.where("blocks > 1").limit(1).count():
         dealt = _units(dealt, F.col("cls"))
     else:
@@ -444,11 +447,11 @@ def exact_links(sets: DataFrame, groups: DataFrame, rule: Rule, block: int = BLO
 
     In an undivided group the edges are stars about a component's least class.
     """
-    members = join_small(sets.select("cls", F.octet_length("tokens").alias("bytes")), groups.withColumnRenamed("node", "cls"), ["cls"])
+    members = join_small(sets.select("cls", F.octet_length("tokens").alias("bytes")), groups.withColumnRenamed("node", "cls"), ["cls"], salt=1, most=CHAIN_ROWS)
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
     size = settle(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
-    units = settle(_units(join_small(members.drop("bytes"), size, ["root"]), F.col("cls")).select("root", "i", "j", "own", "cls"), "units")
-    dealt = join_small(sets.select("cls", "tokens"), units, ["cls"]).select("root", "i", "j", "own", "cls", "tokens")
+    units = settle(_units(join_small(members.drop("bytes"), size, ["root"], most=CHAIN_ROWS), F.col("cls")).select("root", "i", "j", "own", "cls"), "units")
+    dealt = join_small(sets.select("cls", "tokens"), units, ["cls"], salt=1, most=CHAIN_ROWS).select("root", "i", "j", "own", "cls", "tokens")
 
     @frees
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,10 +532,10 @@ def near_components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
         roots = connected(links, "a", "b").withColumnRenamed("node", "cls")
     roots = settle(roots, "roots")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    own = settle(join_small(rows, roots, ["cls"]).groupBy("root").agg(F.min(who).alias("linked")), "components")
-    linked = settle(join_small(roots, own, ["root"]).select("cls", "linked"), "linked")
+    own = settle(join_small(rows, roots, ["cls"], most=CHAIN_ROWS).groupBy("root").agg(F.min(who).alias("linked")), "components")
+    linked = settle(join_small(roots, own, ["root"], most=CHAIN_ROWS).select("cls", "linked"), "linked")
     copies = elect(rows, ["cls"], who, RUNS, FAN).select("cls", "run", F.col("first").alias("copied"))
-    found = join_small(rows.join(copies, ["cls", "run"], "left"), linked, ["cls"], "left")
+    found = join_small(rows.join(copies, ["cls", "run"], "left"), linked, ["cls"], "left", most=CHAIN_ROWS)
     component: Column = F.when(F.col("n") == 0, who).otherwise(F.coalesce("linked", "copied", who))
     return found.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component"))
 

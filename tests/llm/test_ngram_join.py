@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakespark.llm import ngram_join
+from quakespark.llm.common import join_small
 from quakespark.llm.shingles import shingles, word_hashes
 
 
@@ -176,3 +177,28 @@ def test_word_hashes_equal_words():
     own = word_hashes(np.frombuffer(text, dtype=np.uint8))
     assert len(own) == 70_003 and own[0] == own[-2] and len(np.unique(own)) == 3
     assert len(shingles(own, 3)) == 4
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_repeated_rows_are_not_sent_through_the_driver(spark, tmp_path, how):
+    """A side of over 400,000 short rows: its file is small enough for Spark to broadcast all that it is repeated to."""
+    spark.range(400_001).write.parquet(f"{tmp_path}/right")
+    joined = join_small(spark.range(500_000, 2_500_000).selectExpr("id - 100001 AS id", "id AS own"), spark.read.parquet(f"{tmp_path}/right"), ["id"], how)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == {"inner": 2, "left": 2_000_000, "left_semi": 2, "left_anti": 1_999_998}[how]
+
+
+def test_sides_of_many_rows_stay_on_the_executors(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda frame: (sent.append(frame.count()), broadcast(frame))[1])
+    n = 120_000
+    nodes = spark.range(n).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 3).alias("b"))
+    groups = ngram_join.settle(ngram_join.connected(nodes, "a", "b"), "groups")
+    assert groups.count() == n and groups.where("root <> node - node % 3").count() == 0
+    tokens = F.unhex(F.sha2(F.floor(F.col("id") / 3).cast("string"), 256))
+    sets = spark.range(2 * n, numPartitions=4).select(F.col("id").alias("cls"), tokens.alias("tokens"))
+    chosen = ngram_join.settle(ngram_join.candidate_sets(sets.unionByName(sets), groups.select(F.col("node").alias("cls"))), "chosen")
+    assert chosen.count() == n and chosen.join(sets, ["cls", "tokens"]).where(f"cls < {n}").count() == n
+    links, whole = ngram_join.exact_links(chosen, groups, ngram_join.Rule())
+    assert whole and {(x.a, x.b) for x in links.collect()} == {(i, i - i % 3) for i in range(n) if i % 3}
+    assert max(sent) <= 100_000
